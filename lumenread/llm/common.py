@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -88,17 +87,18 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-class BoundedCache(dict):
-    """A dict that makes missing values by a function and forgets all when it is full."""
+class Filled(dict):
+    """A dict that makes missing values by a function; it keeps the first ones, up to a bound.
 
-    def __init__(self, make, most: int = 400_000, longest: int = 64):
+    Words follow a steep distribution, so the first to come hold nearly all of the frequent ones.
+    """
+
+    def __init__(self, make, most: int, longest: int = 64):
         self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
+        if len(self) < self.most and len(key) <= self.longest:
             self[key] = value
         return value
 
@@ -107,7 +107,3 @@ def documents_of(batches: Iterable) -> Iterable[tuple[list, list]]:
     """Columns doc_id and text of Arrow batches as Python lists."""
     for batch in batches:
         yield batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-
-
-def local_python_path() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

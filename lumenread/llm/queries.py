@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, piece_codec
 
 
 def queries() -> dict:
     return {
         "op7_exact_dedup": exact_dedup.query,
+        "op9_piece_codec": piece_codec.query,
     }
 
 
