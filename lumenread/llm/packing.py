@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,12 @@ def chunk_ids(tokenizer_file: str):
     return ids
 
 
+@lru_cache(maxsize=1)
+def known_chunks(tokenizer_file: str) -> common.Filled:
+    """What a worker remembers from one task to the next."""
+    return common.Filled(chunk_ids(tokenizer_file), CACHE)
+
+
 def cut(tokenizer_file: str, capacity: int, end_id: int):
     """A function for mapInArrow: the pieces of each document.
 
@@ -58,13 +65,13 @@ def cut(tokenizer_file: str, capacity: int, end_id: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = common.Filled(chunk_ids(tokenizer_file), CACHE)
+        known = known_chunks(tokenizer_file)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for ids, texts in common.documents_of(batches):
             rows = []
             for doc_id, text in zip(ids, texts, strict=True):
-                raw = b"".join([known[chunk] for chunk in text.translate(BLANKS).split(" ")]) + end
+                raw = b"".join(map(known.__getitem__, text.translate(BLANKS).split(" "))) + end
                 rows += [(doc_id, k, a // 4, len(part := raw[a:a + step]) // 4, zlib.crc32(part)) for k, a in enumerate(range(0, len(raw), step))]
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(

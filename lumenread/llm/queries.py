@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, piece_codec
+from . import exact_dedup, packing, piece_codec, toxicity
 
 
 def queries() -> dict:
     return {
         "op5_best_fit_packing": packing.query,
+        "op6_toxicity": toxicity.query,
         "op7_exact_dedup": exact_dedup.query,
         "op9_piece_codec": piece_codec.query,
     }
