@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, piece_codec, toxicity
+from . import exact_dedup, packing, piece_codec, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.query,
         "op7_exact_dedup": exact_dedup.query,
         "op9_piece_codec": piece_codec.query,
+        "op10_suffix_dedup": suffix_dedup.query,
     }
 
 
