@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, piece_codec, suffix_dedup, toxicity
+from . import exact_dedup, minhash_dedup, packing, piece_codec, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op5_best_fit_packing": packing.query,
         "op6_toxicity": toxicity.query,
         "op7_exact_dedup": exact_dedup.query,
+        "op8_minhash_dedup": minhash_dedup.query,
         "op9_piece_codec": piece_codec.query,
         "op10_suffix_dedup": suffix_dedup.query,
     }
