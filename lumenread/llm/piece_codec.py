@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -28,8 +29,8 @@ from . import common
 
 MARK = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Chunks that a worker remembers.
-CACHE = 500_000
+#: Words that a worker remembers.
+CACHE = 800_000
 
 
 class PieceCodec:
@@ -204,20 +205,47 @@ class PieceCodec:
         return text[1:] if text.startswith(" ") else text
 
 
+class Digester:
+    """What a worker keeps from one batch and task to the next: the codec and the ids of frequent words.
+
+    A word is remembered by its ids alone: that its ids spell it was seen when they were made.
+    Words of which that isn't so are in odd, and texts with such words are decoded id by id.
+    """
+
+    def __init__(self, model_file: str):
+        self.codec, self.odd = PieceCodec(model_file), set()
+        self.known = common.Filled(self.make, CACHE)
+
+    def make(self, word: str) -> str:
+        ids = self.codec.chunk(MARK + word)
+        if self.codec.spelled(ids) != " " + word:
+            self.odd.add(word)
+        return ",".join(map(str, ids))
+
+    def row(self, text: str) -> tuple[int, str, str]:
+        text = text.replace(MARK, " ")
+        words = text.split(" ")
+        if not text or "" in words or not self.odd.isdisjoint(words):
+            ids = self.codec.encode(text)
+            return len(ids), _sha(",".join(map(str, ids))), _sha(self.codec.decode(ids))
+        numbers = ",".join(map(self.known.__getitem__, words))
+        plain = text if self.odd.isdisjoint(words) else self.codec.decode([int(i) for i in numbers.split(",")])
+        return numbers.count(",") + 1, _sha(numbers), _sha(plain)
+
+
+@lru_cache(maxsize=1)
+def digester(model_file: str) -> Digester:
+    """The one that a worker keeps from task to task."""
+    return Digester(model_file)
+
+
 def digests(model_file: str):
     """A function for mapInArrow: n_tokens and the digests of ids and of decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_file)
-        known = common.Filled(lambda chunk: _row(codec, codec.chunk(chunk)), CACHE)
+        row = digester(model_file).row
         for ids, texts in common.documents_of(batches):
-            rows = []
-            for text in texts:
-                parts = [known[chunk] for chunk in codec.chunks(text)]
-                numbers = ",".join([p[0] for p in parts])
-                plain = "".join([p[1] for p in parts])
-                rows.append((numbers.count(",") + bool(numbers), _sha(numbers), _sha(plain[1:] if plain.startswith(" ") else plain)))
-            counts, shas, plains = zip(*rows, strict=True) if rows else ((), (), ())
+            counts, shas, plains = zip(*map(row, texts), strict=True) if texts else ((), (), ())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(counts, pa.int64()),
                 "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(plains, pa.string())})
@@ -225,10 +253,6 @@ def digests(model_file: str):
     return run
 
 
-def _row(codec: PieceCodec, ids: list[int]) -> tuple[str, str]:
-    return ",".join(map(str, ids)), codec.spelled(ids)
-
-
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
