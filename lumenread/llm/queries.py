@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import edit_prints, exact_dedup, minhash_dedup, packing, piece_codec, suffix_dedup, toxicity
+from . import edit_counts, edit_prints, exact_dedup, minhash_dedup, packing, piece_codec, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op3_edit_counts": edit_counts.query,
         "op4_edit_prints": edit_prints.query,
         "op5_best_fit_packing": packing.query,
         "op6_toxicity": toxicity.query,
