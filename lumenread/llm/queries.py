@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import edit_counts, edit_prints, exact_dedup, kneser_ney, minhash_dedup, packing, piece_codec, suffix_dedup, toxicity
+from . import edit_counts, edit_prints, exact_dedup, kneser_ney, masked_lm, minhash_dedup, packing, piece_codec, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_kneser_ney": kneser_ney.query,
+        "op2_masked_lm": masked_lm.query,
         "op3_edit_counts": edit_counts.query,
         "op4_edit_prints": edit_prints.query,
         "op5_best_fit_packing": packing.query,
