@@ -1,8 +1,70 @@
-"""Cleaning pipeline over documents."""
+"""Cleaning pipeline over documents: toxicity, exact and near duplicates, repeated passages, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents. A stage may delete
+the scratch tables of the stages before it, whose results are written by then.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenread.llm import common, exact_dedup, minhash_dedup, packing, suffix_dedup, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on this stage's labelled documents, doesn't predict to be toxic."""
+    common.clear_scratch(spark)
+    return toxicity.drop_toxic(docs, common.read(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    common.clear_scratch(spark)
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates."""
+    common.clear_scratch(spark)
+    return minhash_dedup.drop_near_copies(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that repeat; n_chars follows."""
+    common.clear_scratch(spark)
+    return suffix_dedup.remove_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences; a document without text left is packed no more."""
+    common.clear_scratch(spark)
+    return packing.pack_documents(docs.filter(F.length("text") > 0), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("minhash_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("packing", pack),
+]
+
+#: Networks, confirmed links and vocabularies have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over documents."""
+    docs = common.read(spark, sf_dir, "documents")
+    written: list[str] = []
+    for name, stage in STAGES[:-1]:
+        path = common.stage_path(spark, name)
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+        while written:
+            common.delete(spark, written.pop())
+        written.append(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

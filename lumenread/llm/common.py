@@ -59,13 +59,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that clear_scratch leaves alone."""
+    return f"{shared_dir(spark)}/lumenread-{uuid.uuid4().hex}-stage-{name}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables made so far; only when no result that reads them is still needed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, _scratch.pop())
 
 
 def text_or_empty(text: str = "text") -> Column:
@@ -77,6 +84,12 @@ def keyed_texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", text_or_empty().alias("text"), *more)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in gone (null is an id like any other), with docs' own columns."""
+    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+
+
 def sized_partitions(spark: SparkSession, df: DataFrame, bytes_each: int = 8 << 20, least: int = 12) -> int:
     """Partitions for a shuffle of df's rows by the size of its files, so that a task's share stays bounded."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df) // bytes_each)

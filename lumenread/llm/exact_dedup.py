@@ -11,7 +11,7 @@ table gives an empty result. Columns besides doc_id and text are neither read no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -93,29 +93,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' own columns."""
     spark = docs.sparkSession
-    dropped = fresh_index(spark, int(spark.conf.get("spark.sql.shuffle.partitions"))).ingest(docs).filter(~F.col("kept"))
-    dropped = common.materialise(dropped.groupBy("doc_id", "text_sha256", "keep_id").agg(F.count(F.lit(1)).alias("copies")), "dropped")
-    repeated = dropped.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256")
-    gone = dropped.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256")
-    if repeated.isEmpty():
-        ids = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-        if ids.join(counted_ids(docs), F.col("gone_id").eqNullSafe(F.col("many_id")), "left_semi").isEmpty():
-            return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    keyed = docs.withColumn("__sha", digest())
-    for name, rows in (("gone", gone), ("repeated", repeated)):
-        rows = rows.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key"))
-        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__key"))
-        if name == "gone":
-            keyed = keyed.join(rows, same, "left_anti")
-        else:
-            twice = keyed.join(rows, same, "left_semi").dropDuplicates(["doc_id", "__sha"])
-            keyed = keyed.join(rows, same, "left_anti").unionByName(twice)
-    return keyed.drop("__sha")
-
-
-def counted_ids(docs: DataFrame) -> DataFrame:
-    """Ids that more than one row has."""
-    return docs.groupBy(F.col("doc_id").alias("many_id")).count().filter("count > 1").select("many_id")
+    told = fresh_index(spark, int(spark.conf.get("spark.sql.shuffle.partitions"))).ingest(docs)
+    dropped = common.materialise(told.filter(~F.col("kept")).select("doc_id", "text_sha256").distinct(), "dropped")
+    ids = docs.groupBy(F.col("doc_id").alias("id")).count().filter("count > 1").select(F.col("id").alias("doc_id"))
+    ids = common.materialise(ids, "repeated-ids")
+    if ids.isEmpty():
+        return common.without(docs, dropped)
+    # rows that share a doc_id are told apart by their texts; of equal ones the first stays
+    once = common.without(docs, ids)
+    shared = docs.join(ids.select(F.col("doc_id").alias("__id")), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    same = Window.partitionBy("doc_id", "__sha").orderBy("__sha")
+    shared = shared.withColumn("__sha", digest()).withColumn("__nth", F.row_number().over(same))
+    stay = told.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key"))
+    shared = shared.filter("__nth = 1").join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__key")), "left_semi")
+    return common.without(once, dropped).unionByName(shared.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 SQL = r"""

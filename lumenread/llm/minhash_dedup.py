@@ -295,5 +295,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one document of each component, with docs' own columns."""
-    gone = linked(common.keyed_texts(docs)).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    found = linked(common.keyed_texts(docs))
+    return common.without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))

@@ -334,7 +334,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def keep_rest(data: bytes, spans: list | None) -> tuple[bytes, int]:
     """What is left of data, and the number of maximal runs removed."""
-    if not spans:
+    if spans is None or not len(spans):
         return data, 0
     covered = sorted((x["first"], x["last"] + LENGTH) for x in spans)
     out, end, runs = [], 0, 0
@@ -379,12 +379,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Characters of which only some bytes are left go as a whole. A null text stays null.
     """
     names = docs.columns
-    slim = docs.select(F.struct(*names).alias("row"), "doc_id", common.text_or_empty().alias("text")).withColumn("tag", tag())
+    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", common.text_or_empty().alias("text")).withColumn("tag", tag())
     together = with_spans(slim)
 
     @F.pandas_udf("string")
     def rest(text, spans):
-        return text.combine(spans, lambda t, s: keep_rest(t.encode(), s)[0].decode("utf-8", "ignore") if s is not None and len(s) else t)
+        return text.combine(spans, lambda t, s: keep_rest(t.encode(), s)[0].decode("utf-8", "ignore"))
 
     cut = together.select("row", F.when(F.col("spans").isNotNull(), rest("text", "spans")).otherwise(F.col("row.text")).alias("__text"))
     out = [F.col("__text").alias(c) if c == "text" else F.coalesce(F.length("__text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -319,19 +320,45 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[list[str]
     return [(r["toxic"], [w.split() for w in r["windows"]]) for r in rows]
 
 
+def scoring(shared, names: list[str]):
+    """For mapInArrow: the named columns and each text's score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_of(shared)
+        for batch in batches:
+            scores = pa.array(scorer.scores(batch.column("text").to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), scores], names=[*names, "score"])
+
+    return run
+
+
+def shared_model(spark: SparkSession, model: dict | None) -> Shared:
+    return Shared(spark.sparkContext.broadcast(model), uuid.uuid4().hex)  # of fixed size
+
+
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """Per row of docs its doc_id, held_out, score and predicted."""
     spark = docs.sparkSession
     common.bound_batches(spark)
-    shared = Shared(spark.sparkContext.broadcast(model), uuid.uuid4().hex)  # of fixed size
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
+    scored = keyed.mapInArrow(scoring(shared_model(spark, model), ["doc_id"]), "doc_id long, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that aren't predicted to be toxic, with docs' own columns."""
+    spark = docs.sparkSession
+    shared = shared_model(spark, train(sample(docs, labels)))
+    common.bound_batches(spark)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), common.text_or_empty().alias("text"))
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = scorer_of(shared)
-        for ids, texts in common.documents_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scorer.scores(texts), pa.float64())], names=["doc_id", "score"])
+        for texts in parts:
+            yield pd.Series(scorer.scores(texts.tolist()))
 
-    scored = common.keyed_texts(docs).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.filter(scored("text") < 0.5).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
