@@ -5,15 +5,18 @@ BANDS x BANDS tables are pairs of a band of the first and a band of the second c
 BANDS squared tables cost 2 x BANDS bands. Documents that share a key are candidates. They are
 dealt out by the first half of the key alone; the second half is compared inside.
 
-In a group, the first document leads; it is paired with all that share a whole key with it and
-whose signatures don't rule out the similarity; what it isn't paired with leads in turn. Pairs
-are confirmed on full sets and components are formed by alternating stars. Then candidates that
-stayed in different components are paired and confirmed as well, and components formed again.
+In a group, the document most like the others leads; it is paired with all that share a whole
+key with it and whose signatures don't rule out the similarity; what it isn't paired with leads
+in turn. Pairs are confirmed on full sets and components are formed by alternating stars. Then
+candidates that stayed in different components are held against longer signatures; each one's
+likeliest pair, then all pairs that are left, are confirmed as well and components formed again;
+for the latter, members meet in tiles of a key's group, so no list of pairs is ever written.
 A group whose members all are in one component gives no more pairs, so large groups of copies
 give about one pair a member. Documents with equal sets are one node from the start.
 
 Two documents at the threshold miss each other in all tables with a probability of 2e-5, less
-the more alike they are; a true pair's signatures fall below LEAST by chance with 1e-7.
+the more alike they are; a true pair's signatures fall below LEAST by chance with 1e-7, its
+longer ones below LONG_LEAST with 1e-6.
 
 Defined results: null text counts as empty; texts without words have no shingles and are linked
 with nothing. With fewer than SHINGLE words the whole sequence is the one shingle. Rows that
@@ -24,6 +27,8 @@ smallest unless a component has no other. Other columns, whatever their names, a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,12 @@ BANDS, ROWS = 14, 2
 HASHES = 2 * BANDS * ROWS
 #: Equal signature bytes of HASHES that a candidate needs.
 LEAST = 25
+#: Values of the longer signature that pairs across components are held against, and equal ones needed.
+LONG, LONG_LEAST = 256, 159
+#: Members that a group's order of leaders is taken from.
+SPREAD = 48
+#: Members of a key that one task compares with as many others.
+TILE = 4096
 #: Members of a leader that one task confirms.
 SHARE = 500
 WHITE = np.zeros(256, bool)
@@ -48,8 +59,8 @@ SIGNED = "doc_id long, n_shingles long, node long, keys array<long>, sig binary"
 _RNG = np.random.default_rng(17)
 _VALUES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACES = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
-_SCALES = _RNG.integers(1, 1 << 63, (HASHES, 1), dtype=np.uint64) | np.uint64(1)
-_SHIFTS = _RNG.integers(1, 1 << 63, (HASHES, 1), dtype=np.uint64)
+_SCALES = _RNG.integers(1, 1 << 63, (HASHES + LONG, 1), dtype=np.uint64) | np.uint64(1)
+_SHIFTS = _RNG.integers(1, 1 << 63, (HASHES + LONG, 1), dtype=np.uint64)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,11 +114,12 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def minhashes(hashes: np.ndarray) -> np.ndarray:
-    """The HASHES least values of a set, 32 bits each."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max)
-    for a in range(0, len(hashes), 1 << 14):
-        least = np.minimum(least, (hashes[None, a: a + (1 << 14)] * _SCALES + _SHIFTS).min(1))
+def minhashes(hashes: np.ndarray, which: slice = slice(HASHES)) -> np.ndarray:
+    """The least values of a set under some of the hash functions, 32 bits each."""
+    scales, shifts = _SCALES[which], _SHIFTS[which]
+    least = np.full(len(scales), np.iinfo(np.uint64).max)
+    for a in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[None, a: a + (1 << 12)] * scales + shifts).min(1))
     return least >> np.uint64(32)
 
 
@@ -136,6 +148,17 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_shingles", "node", "keys", "sig"])
 
 
+def sign_longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over texts of nodes: the longer signature."""
+    for batch in batches:
+        nodes, signs = [], []
+        for who, hashes in zip(batch.column("who").to_pylist(), shingle_sets(batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
+            if len(hashes) and node_of(hashes) == who:
+                nodes.append(who)
+                signs.append(minhashes(hashes, slice(HASHES, None)).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())], names=["node", "long"])
+
+
 def alike(sig: np.ndarray, size: np.ndarray, i: int, rows: slice | np.ndarray) -> np.ndarray:
     """Which of rows share a whole key with row i and aren't ruled out by signature or size."""
     same = sig[rows] == sig[i]
@@ -145,8 +168,13 @@ def alike(sig: np.ndarray, size: np.ndarray, i: int, rows: slice | np.ndarray) -
 
 
 def led_pairs(sig: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Leaders and their pairs; the member most like a spread of SPREAD others leads first, as an original does."""
     free = np.ones(len(sig), bool)
-    for i in range(len(sig)):
+    some = np.unique(np.linspace(0, len(sig) - 1, SPREAD).astype(np.int64))
+    central = np.zeros(len(sig), np.int64)
+    for j in some.tolist():
+        central += (sig == sig[j]).sum(1)
+    for i in np.argsort(-central, kind="stable").tolist():
         if free[i]:
             like = alike(sig, size, i, slice(None))
             like[i] = False
@@ -154,17 +182,44 @@ def led_pairs(sig: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarr
             yield i, np.flatnonzero(like)
 
 
-def crossing_pairs(sig: np.ndarray, size: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    if (part == part[0]).all():
+@dataclass
+class Crossing:
+    """What pairs across components need of a group's members, beside signature and size."""
+
+    part: np.ndarray
+    long: np.ndarray
+    bands: np.ndarray
+    band: int
+
+    def still(self, i: int, rest: np.ndarray) -> np.ndarray:
+        return rest[(self.long[rest] == self.long[i]).sum(1) >= LONG_LEAST]
+
+
+def best_crossings(sig: np.ndarray, size: np.ndarray, of: Crossing) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member outside the largest component the member of another component that is most like it."""
+    parts, where, counts = np.unique(of.part, return_inverse=True, return_counts=True)
+    if len(parts) < 2:
+        return
+    for i in np.flatnonzero(where != counts.argmax()).tolist():
+        rest = np.flatnonzero(of.part != of.part[i])
+        rest = of.still(i, rest[alike(sig, size, i, rest)])
+        if len(rest):
+            yield i, rest[(of.long[rest] == of.long[i]).sum(1).argmax(keepdims=True)]
+
+
+def all_crossings(sig: np.ndarray, size: np.ndarray, of: Crossing) -> Iterator[tuple[int, np.ndarray]]:
+    """All pairs of members of different components that may be linked, in the first band that they share."""
+    if (of.part == of.part[0]).all():
         return
     for i in range(len(sig)):
-        rest = np.flatnonzero(part[i + 1:] != part[i]) + i + 1
+        rest = np.flatnonzero(of.part[i + 1:] != of.part[i]) + i + 1
         if len(rest):
-            yield i, rest[alike(sig, size, i, rest)]
+            rest = of.still(i, rest[alike(sig, size, i, rest)])
+            yield i, rest[~(of.bands[rest, : of.band] == of.bands[i, : of.band]).any(1)]
 
 
-def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over all rows of some keys: pairs (lead, node) to confirm."""
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Crossing | None]]:
+    """Key, nodes, signatures, sizes and what crossings need, of each key with several rows, from all rows of some keys."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
@@ -173,17 +228,27 @@ def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((node, key))
     key, node, size = key[order], node[order], table["n_shingles"].to_numpy()[order]
     sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)[order]
-    part = table["part"].to_numpy()[order] if "part" in table.column_names else None
+    crossing = "part" in table.column_names
+    if crossing:
+        part, band = table["part"].to_numpy()[order], table["band"].to_numpy()[order]
+        longer = np.frombuffer(b"".join(table["long"].to_pylist()), np.uint8).reshape(-1, LONG)[order]
+        bands = np.concatenate([c.flatten().to_numpy() for c in table["keys"].chunks]).reshape(-1, BANDS)[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.concatenate([starts[1:], [len(key)]])
     large = ends - starts > 1
-    leads, nodes, held = [], [], 0
     for a, b in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
-        found = led_pairs(sig[a:b], size[a:b]) if part is None else crossing_pairs(sig[a:b], size[a:b], part[a:b])
-        for i, like in found:
+        of = Crossing(part[a:b], longer[a:b], bands[a:b], int(band[a])) if crossing else None
+        yield int(key[a]), node[a:b], sig[a:b], size[a:b], of
+
+
+def pair_up(pairs_of, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over all rows of some keys: pairs (lead, node) to confirm, by one of the functions above."""
+    leads, nodes, held = [], [], 0
+    for _, node, sig, size, of in groups_of(batches):
+        for i, like in pairs_of(sig, size, *(() if of is None else (of,))):
             if len(like):
-                leads.append(np.full(len(like), node[a + i]))
-                nodes.append(node[a + like])
+                leads.append(np.full(len(like), node[i]))
+                nodes.append(node[like])
                 held += len(like)
         if held > 100_000:
             yield _pairs(leads, nodes)
@@ -192,6 +257,63 @@ def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(leads, nodes)
 
 
+def open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over all rows of some keys: the members that have a pair left to confirm, by key.
+
+    Members are dealt to tiles of TILE; each goes to every pair of tiles that its own is part of.
+    """
+    for key, node, sig, size, of in groups_of(batches):
+        busy = np.zeros(len(node), bool)
+        for i, like in all_crossings(sig, size, of):
+            if len(like):
+                busy[i] = True
+                busy[like] = True
+        own = node[busy]
+        tiles = -(-len(own) // TILE)
+        tile = np.arange(len(own)) // TILE
+        rows = [(x, min(t, u), max(t, u), t) for x, t in zip(own.tolist(), tile.tolist(), strict=True) for u in range(tiles)]
+        for a in range(0, len(rows), 20_000):
+            columns = zip(*rows[a: a + 20_000], strict=True)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            parts = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            n = len(parts[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, of.band, np.int32)), *parts], names=["block", "band", "node", "low", "high", "tile"])
+
+
+BLOCKS = "block long, band int, node long, low int, high int, tile int"
+
+
+def confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over members and their texts by block and tiles: confirmed pairs."""
+    names = ("block", "low", "high", "band", "tile", "node", "n_shingles", "sig", "long", "keys", "part")
+    held: list[tuple] = []
+    at = None
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        rows = [r for r in held if len(r[-1]) and node_of(r[-1]) == r[5]]
+        if len(rows) < 2:
+            return
+        size, tile = np.array([r[6] for r in rows]), np.array([r[4] for r in rows])
+        sig, longer = (np.frombuffer(b"".join([r[k] for r in rows]), np.uint8).reshape(len(rows), -1) for k in (7, 8))
+        of = Crossing(np.array([r[10] for r in rows]), longer, np.array([r[9] for r in rows]), rows[0][3])
+        out = []
+        for i, like in all_crossings(sig, size, of):
+            if rows[0][1] != rows[0][2]:  # two tiles: pairs inside one are another task's
+                like = like[tile[like] != tile[i]]
+            out += [(rows[i][5], rows[j][5]) for j in like.tolist() if similar(rows[i][-1], rows[j][-1])]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["lead", "node"])
+
+    for batch in batches:
+        sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist())
+        for row in zip(*(batch.column(c).to_pylist() for c in names), sets, strict=True):
+            if row[:3] != at:
+                yield from settled()
+                held, at = [], row[:3]
+            held.append(row)
+    yield from settled()
+
+
 def _pairs(leads: list, nodes: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(leads)), pa.array(np.concatenate(nodes))], names=["lead", "node"])
 
@@ -263,24 +385,39 @@ def linked(docs: DataFrame) -> DataFrame:
     nodes = common.materialise(nodes.select("node", "r.*"), "nodes")
     parts = common.sized_partitions(spark, nodes, 1 << 20)
 
-    def paired(rows: DataFrame) -> DataFrame:
-        more = [c for c in ("part",) if c in rows.columns]
-        keyed = rows.select(F.explode("keys").alias("key"), "node", "n_shingles", "sig", *more)
-        return keyed.repartition(parts, "key").mapInArrow(pair_up, "lead long, node long").distinct()
+    ordered = F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        more = ["part", "long", "keys"] if "part" in rows.columns else []
+        return rows.select(F.posexplode("keys").alias("band", "key"), "node", "n_shingles", "sig", *more).repartition(parts, "key")
+
+    def paired(rows: DataFrame, pairs_of) -> DataFrame:
+        return keyed(rows).mapInArrow(partial(pair_up, pairs_of), "lead long, node long").distinct()
 
-    pairs = common.materialise(paired(nodes), "pairs")
+    pairs = common.materialise(paired(nodes, led_pairs), "pairs")
     involved = pairs.select("lead").union(pairs.select("node")).distinct().withColumnRenamed("lead", "node")
     wanted = nodes.join(involved, "node").select(F.col("node").alias("who"), F.col("doc_id").alias("of_id"))
     texts = common.materialise(docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["of_id"])).select("who", "text"), "texts")
     links = common.materialise(confirmed(pairs, texts), "links")
     found = components(links)
-    known = nodes.join(involved, "node").join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    ordered = F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")
-    more = common.materialise(paired(known).select(*ordered).distinct().join(pairs.select(*ordered), ["lead", "node"], "left_anti"), "more-pairs")
+    longer = texts.mapInArrow(sign_longer, "node long, long binary").dropDuplicates(["node"])
+    longer = common.materialise(nodes.join(longer, "node"), "longer")
+
+    def parted() -> DataFrame:
+        return longer.join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+    likeliest = paired(parted(), best_crossings).select(*ordered).distinct().join(pairs.select(*ordered), ["lead", "node"], "left_anti")
+    more = common.materialise(confirmed(common.materialise(likeliest, "pairs"), texts), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = components(links)
+    known = common.materialise(parted(), "parted")
+    blocks = common.materialise(keyed(known).mapInArrow(open_blocks, BLOCKS), "blocks")
+    members = blocks.join(known.join(texts, F.col("node") == F.col("who")), "node")
+    members = members.repartition(parts, "block", "low", "high").sortWithinPartitions("block", "low", "high", "node")
+    more = common.materialise(members.mapInArrow(confirm_blocks, "lead long, node long"), "links")
     if not more.isEmpty():
-        further = common.materialise(confirmed(more, texts), "more-links")
-        if not further.isEmpty():
-            found = components(links.unionByName(further))
+        found = components(links.unionByName(more))
     # a node without links is a component of its own
     of_node = signed.select("doc_id", "n_shingles", "node").join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
     of_node = common.materialise(of_node, "parts")

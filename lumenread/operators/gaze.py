@@ -1,0 +1,87 @@
+"""Operators over ordered gaze samples and fixations."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lumenread.sources import tables
+
+
+def reading_measures(fixations: DataFrame, keys: Sequence[str] = ("user_id",), order: str = "i", word: str = "w", duration: str = "d") -> DataFrame:
+    """First fixation, first pass, time before the eye moves on, and total time of each word and reader.
+
+    The first pass is the word's first unbroken run; time before moving on sums the fixations of
+    the word that precede the first later fixation on a later word. Columns: keys, wnum, ffd,
+    fpd, rpd, td, n_fix.
+    """
+    keys = list(keys)
+    in_order = Window.partitionBy(*keys).orderBy(order)
+    slim = fixations.select(*keys, F.col(order).alias("i"), F.col(word).alias("w"), F.col(duration).alias("d"))
+    in_order = Window.partitionBy(*keys).orderBy("i")
+    broken = F.when(F.lag("w").over(in_order) == F.col("w"), 0).otherwise(1)
+    runs = slim.withColumn("brk", broken).withColumn("run", F.sum("brk").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    of_word = Window.partitionBy(*keys, "w")
+    runs = runs.withColumn("first_i", F.min("i").over(of_word)).withColumn("first_run", F.min("run").over(of_word))
+    words = runs.filter("i = first_i").select(*keys, "w", "first_i")
+    later = slim.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("i").alias("later_i"), F.col("w").alias("later_w"))
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    ahead = words.join(later, [*same, F.col("later_i") > F.col("first_i"), F.col("later_w") > F.col("w")]).groupBy(*keys, "w").agg(F.min("later_i").alias("fwd"))
+    told = runs.join(ahead, [*keys, "w"], "left")
+    pick = lambda condition: F.sum(F.when(condition, F.col("d")).otherwise(0.0))
+    return told.groupBy(*keys, F.col("w").alias("wnum")).agg(
+        pick(F.col("i") == F.col("first_i")).alias("ffd"), pick(F.col("run") == F.col("first_run")).alias("fpd"),
+        pick(F.col("fwd").isNull() | (F.col("i") < F.col("fwd"))).alias("rpd"), F.sum("d").alias("td"), F.count(F.lit(1)).alias("n_fix"))
+
+
+def reading_measures_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reading_measures(tables.fixations(spark, sf_dir))
+    return found.select("user_id", "wnum", *[F.round(c, 4).alias(c) for c in ("ffd", "fpd", "rpd", "td")], "n_fix")
+
+
+def dispersion_fixations(t: np.ndarray, x: np.ndarray, y: np.ndarray, spread: float, gap: float, least: float) -> list[tuple[int, int]]:
+    """First and last sample of each fixation: the longest window from a start whose spread stays in bounds.
+
+    A window ends where its x and y extents together exceed spread or the next sample comes more
+    than gap later; it counts if it lasts least, with the median interval added. After a fixation
+    the search goes on behind it, else one sample on.
+    """
+    out, n, a = [], len(t), 0
+    usual = float(np.median(np.diff(t))) if n > 1 else 0.0
+    while a < n:
+        low_x = high_x = x[a]
+        low_y = high_y = y[a]
+        b = a
+        while b + 1 < n and t[b + 1] - t[b] <= gap:
+            lx, hx, ly, hy = min(low_x, x[b + 1]), max(high_x, x[b + 1]), min(low_y, y[b + 1]), max(high_y, y[b + 1])
+            if hx - lx + hy - ly > spread:
+                break
+            low_x, high_x, low_y, high_y, b = lx, hx, ly, hy, b + 1
+        if t[b] - t[a] + usual >= least:
+            out.append((a, b))
+            a = b + 1
+        else:
+            a += 1
+    return out
+
+
+def detect_fixations(samples: DataFrame, key: str, spread: float, gap: float, least: float) -> DataFrame:
+    """Fixations of each trial from samples (key, t, x, y): number, start, end, centre."""
+
+    def run(trial: pd.DataFrame) -> pd.DataFrame:
+        trial = trial.sort_values("t", kind="stable")
+        t, x, y = (trial[c].to_numpy(float) for c in ("t", "x", "y"))
+        rows = [(trial[key].iloc[0], k, t[a], t[b], x[a: b + 1].mean(), y[a: b + 1].mean(), b - a + 1) for k, (a, b) in enumerate(dispersion_fixations(t, x, y, spread, gap, least), 1)]
+        return pd.DataFrame(rows, columns=[key, "fxno", "start_t", "end_t", "x", "y", "samples"])
+
+    kind = dict(samples.dtypes)[key]
+    return samples.select(key, "t", "x", "y").groupBy(key).applyInPandas(run, f"{key} {kind}, fxno long, start_t double, end_t double, x double, y double, samples long")
+
+
+def idt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = tables.fixations(spark, sf_dir).select("user_id", "t", (F.col("w") * 10.0).alias("x"), F.col("d").alias("y"))
+    return detect_fixations(samples, "user_id", spread=80.0, gap=3 * 86400.0, least=60.0)

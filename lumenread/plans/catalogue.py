@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from lumenread.plans import gaze
+
+MODULES = (gaze,)
+
 
 def queries() -> dict:
-    return {}
+    found: dict = {}
+    for module in MODULES:
+        found |= module.QUERIES | {name: frame for name, (frame, _) in module.FRAMES.items()}
+    return found
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    found: dict = {}
+    for module in MODULES:
+        found |= {name: q.oracle() for name, q in module.QUERIES.items()}
+        found |= {name: q.oracle() for name, (_, q) in module.FRAMES.items() if q is not None}
+    return found
