@@ -28,41 +28,70 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .word_merges import PLAIN, WordMerges
 
 CAPACITY = 4096
 END_ID = 1
 #: Groups that pieces of one length are ranked in, so that a common length isn't one task.
 SALTS = 64
 #: Chunks that a worker remembers.
-CACHE = 700_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-BLANKS = str.maketrans("\t\n\r", "   ")
+CACHE = 1_200_000
 
 
-def chunk_ids(tokenizer_file: str):
-    """A function: the ids of a chunk without blanks, as little-endian unsigned 32-bit integers."""
-    from tokenizers import Tokenizer
+class ChunkIds:
+    """Ids of chunks without blanks, as little-endian unsigned 32-bit integers; frequent ones are remembered.
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
+    Unknown chunks of a batch are merged together where they are plain words; the tokenizer
+    itself encodes the others.
+    """
 
-    def ids(chunk: str) -> bytes:
-        return np.array(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes() if chunk else b""
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.merges = Tokenizer.from_file(tokenizer_file), WordMerges(tokenizer_file)
+        self.batch: dict[str, bytes] = {}  # what the batch at hand needs and isn't remembered
+        self.marks = common.Filled(self.encode, 10_000)
+        self.known = common.Filled(self.batch.__getitem__, CACHE)
+        self.known[""] = b""
+
+    def encode(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
+        plain: list[tuple[str, str]] = []
+        words: dict[str, int] = {}
+        self.batch.clear()
+        for chunk in chunks:
+            if parts := PLAIN.fullmatch(chunk):
+                words.setdefault(parts[1].lower(), len(words))
+                plain.append((chunk, parts))
+            else:
+                self.batch[chunk] = self.encode(chunk)
+        ids = self.merges.ids(list(words))
+        for chunk, parts in plain:
+            own = ids[words[parts[1].lower()]]
+            self.batch[chunk] = own + self.marks[parts[2]] if parts[2] else own
 
-    return ids
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text.
+
+        The tokenizer drops white space and never joins what it separates, so a text's ids are
+        the ids of its chunks between blanks; other white space stays inside a chunk.
+        """
+        lists = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        self.learn(set().union(*lists).difference(self.known))
+        for chunks in lists:
+            yield b"".join(map(self.known.__getitem__, chunks))
 
 
 @lru_cache(maxsize=1)
-def known_chunks(tokenizer_file: str) -> common.Filled:
-    """What a worker remembers from one task to the next."""
-    return common.Filled(chunk_ids(tokenizer_file), CACHE)
+def known_chunks(tokenizer_file: str) -> ChunkIds:
+    """What a worker keeps from one task to the next."""
+    return ChunkIds(tokenizer_file)
 
 
 def cut(tokenizer_file: str, capacity: int, end_id: int):
-    """A function for mapInArrow: the pieces of each document.
-
-    The tokenizer drops white space and never joins what it separates, so a text's ids are
-    the ids of its chunks between blanks; other white space stays inside a chunk.
-    """
+    """A function for mapInArrow: the pieces of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_chunks(tokenizer_file)
@@ -70,8 +99,8 @@ def cut(tokenizer_file: str, capacity: int, end_id: int):
         step = 4 * capacity
         for ids, texts in common.documents_of(batches):
             rows = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                raw = b"".join(map(known.__getitem__, text.translate(BLANKS).split(" "))) + end
+            for doc_id, own in zip(ids, known.texts(texts), strict=True):
+                raw = own + end
                 rows += [(doc_id, k, a // 4, len(part := raw[a:a + step]) // 4, zlib.crc32(part)) for k, a in enumerate(range(0, len(raw), step))]
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
@@ -81,6 +110,9 @@ def cut(tokenizer_file: str, capacity: int, end_id: int):
     return run
 
 
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
 def pieces_of(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     common.bound_batches(docs.sparkSession)
     return common.keyed_texts(docs).mapInArrow(cut(tokenizer_file, capacity, end_id), PIECES)
@@ -135,8 +167,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
     pieces = common.materialise(salted, "pieces")
     # at most capacity x SALTS rows
-    counted = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    counted = spark.createDataFrame(counted.toPandas().astype("int64"), "length long, salt int, n long")
+    counted = common.materialise(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = sweep(counts, capacity)
     schema = "run_length long, first_rank long, end_rank long, first_sequence long, each long, run_offset long"
