@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenread.plans import gaze
+from lumenread.plans import gaze, text
 
-MODULES = (gaze,)
+MODULES = (gaze, text)
 
 
 def queries() -> dict:

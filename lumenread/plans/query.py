@@ -12,6 +12,9 @@ from lumenread.functions.dialect import DUCK, SPARK, Dialect
 from lumenread.sources import tables
 
 
+KNOWN = {*tables.DERIVED, *tables.TABLES}
+
+
 @dataclass(frozen=True)
 class SqlQuery:
     """A query that is SQL over relations written {name}."""
@@ -19,17 +22,20 @@ class SqlQuery:
     text: Callable[[Dialect], str]
 
     def used(self, text: str) -> list[str]:
-        return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+        return list(dict.fromkeys(n for n in re.findall(r"\{(\w+)\}", text) if n in KNOWN))
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         text = self.text(SPARK)
         frames = {name: tables.DERIVED[name](spark, sf_dir) if name in tables.DERIVED else tables.read(spark, sf_dir, name) for name in self.used(text)}
+        text = text.replace("{", "{{").replace("}", "}}")  # patterns have braces as well
+        for name in frames:
+            text = text.replace(f"{{{{{name}}}}}", f"{{{name}}}")
         return spark.sql(text, **frames)
 
     def oracle(self) -> str:
         text = self.text(DUCK)
         parts = [f"{name}_ as ({tables.DERIVED_SQL[name]})" for name in self.used(text) if name in tables.DERIVED]
-        body = re.sub(r"\{(\w+)\}", lambda m: f"{m[1]}_" if m[1] in tables.DERIVED else m[1], text).strip()
+        body = re.sub(r"\{(\w+)\}", lambda m: f"{m[1]}_" if m[1] in tables.DERIVED else m[1] if m[1] in KNOWN else m[0], text).strip()
         if not parts:
             return body
         head = re.match(r"with\s+(recursive\s+)?", body, re.I)
