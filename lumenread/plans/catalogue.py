@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenread.plans import gaze, text
+from lumenread.plans import gaze, statistics, text
 
-MODULES = (gaze, text)
+MODULES = (gaze, text, statistics)
 
 
 def queries() -> dict:
