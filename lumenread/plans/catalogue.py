@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lumenread.operators import learn, trees
 from lumenread.plans import gaze, statistics, text
 
 MODULES = (gaze, text, statistics)
@@ -11,7 +12,7 @@ def queries() -> dict:
     found: dict = {}
     for module in MODULES:
         found |= module.QUERIES | {name: frame for name, (frame, _) in module.FRAMES.items()}
-    return found
+    return found | learn.QUERIES | trees.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

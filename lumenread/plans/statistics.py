@@ -217,7 +217,7 @@ def linear_scorer(d: Dialect) -> str:
 
 def reader_qc(d: Dialect) -> str:
     return """with a as (select user_id, avg(case when event_type <> 'error' then 1e0 else 0e0 end) as accuracy from {fix} group by user_id), k as (select user_id from a where accuracy >= 0.7)
-    select f.user_id, count(*) as n, round(avg(d), 6) as mean_d from {fix} f join k on k.user_id = f.user_id group by f.user_id"""
+    select f.user_id, count(*) as n, round(sum(d), 3) as total_d from {fix} f join k on k.user_id = f.user_id group by f.user_id"""
 
 
 def calibration_selection(d: Dialect) -> str:

@@ -53,13 +53,13 @@ DERIVED = {"fix": fixations, "tok": tokens, "sent": sentences, "lex": lexicon, "
 DERIVED_SQL = {
     "fix": f"""select user_id, row_number() over (partition by user_id order by ts, event_id) as i,
         {DUCK.json_int("props", "k")} % {WORDS} as w, value as d, {DUCK.seconds("ts")} as t, event_type, event_id from events""",
-    "tok": f"""select doc_id, lang, pos, words[pos] as word from (
-        select doc_id, lang, regexp_extract_all(lower(text), '{LETTERS}') as words, unnest(generate_series(1, len(regexp_extract_all(lower(text), '{LETTERS}')))) as pos from documents)""",
-    "sent": f"""select doc_id, lang, sid, trim(parts[sid]) as sentence from (
-        select doc_id, lang, regexp_split_to_array(regexp_replace(text, '\\n', '. ', 'g'), '{SENTENCE_END}') as parts,
-        unnest(generate_series(1, len(regexp_split_to_array(regexp_replace(text, '\\n', '. ', 'g'), '{SENTENCE_END}')))) as sid from documents) where trim(parts[sid]) <> ''""",
+    "tok": f"""select doc_id, lang, unnest(generate_series(1, len(words))) as pos, unnest(words) as word from (
+        select doc_id, lang, regexp_extract_all(lower(text), '{LETTERS}') as words from documents)""",
+    "sent": f"""select doc_id, lang, sid, trim(raw) as sentence from (
+        select doc_id, lang, unnest(generate_series(1, len(parts))) as sid, unnest(parts) as raw from (
+        select doc_id, lang, regexp_split_to_array(regexp_replace(text, '\\n', '. ', 'g'), '{SENTENCE_END}') as parts from documents)) where trim(raw) <> ''""",
     "lex": f"select distinct unnest(regexp_extract_all(lower(text), '{LETTERS}')) as word from benchmark",
-    "dims": "select vec_id, label, k - 1 as k, cast(embedding[k] as double) as x from (select vec_id, label, embedding, unnest(generate_series(1, len(embedding))) as k from embeddings)",
+    "dims": "select vec_id, label, unnest(generate_series(0, len(embedding) - 1)) as k, cast(unnest(embedding) as double) as x from embeddings",
 }
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
