@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -91,13 +92,33 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def sized_partitions(spark: SparkSession, df: DataFrame, bytes_each: int = 8 << 20, least: int = 12) -> int:
-    """Partitions for a shuffle of df's rows by the size of its files, so that a task's share stays bounded."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df) // bytes_each)
+    """Partitions for a shuffle of df's rows by the size of the files it scans, so that a task's share stays bounded."""
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), scanned_bytes(df) // bytes_each)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the plan in bytes (of files, where it is a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df's plan scans; relations of unknown size count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+_kept: dict = {}
+
+
+def kept(key: tuple, make):
+    """What a worker keeps from task to task: one object, that of the operator at work."""
+    if key not in _kept:
+        forget()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Free what another operator has kept in this worker."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
 
 
 class Filled(dict):

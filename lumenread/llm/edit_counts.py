@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -148,10 +147,8 @@ class TokenTree:
         return len(pieces)
 
 
-@lru_cache(maxsize=1)
 def counter_of(rank_file: str, pattern: str) -> Counter:
-    """The one that a worker keeps from task to task."""
-    return Counter(rank_file, pattern)
+    return common.kept(("counter", rank_file, pattern), lambda: Counter(rank_file, pattern))
 
 
 def follow(docs: DataFrame, edits: Column, rank_file: str, pattern: str) -> DataFrame:

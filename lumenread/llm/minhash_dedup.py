@@ -41,6 +41,8 @@ from . import common
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 BANDS, ROWS = 14, 2
 HASHES = 2 * BANDS * ROWS
+#: Bytes whose words are hashed at once.
+GROUP = 1 << 20
 #: Equal signature bytes of HASHES that a candidate needs.
 LEAST = 25
 #: Values of the longer signature that pairs across components are held against, and equal ones needed.
@@ -75,7 +77,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     out = []
     group, size = [], 0
     for text in [*texts, None]:
-        if text is None or size + len(text) > 4 << 20:
+        if text is None or size + len(text) > GROUP:
             out += _sets(group) if group else []
             group, size = [], 0
         if text is not None:
@@ -129,6 +131,7 @@ def node_of(hashes: np.ndarray) -> int:
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow: size, identity, band keys and signature of each text's set."""
+    common.forget()
     salt = np.arange(BANDS, dtype=np.uint64)
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()

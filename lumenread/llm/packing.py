@@ -20,7 +20,6 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,10 +83,8 @@ class ChunkIds:
             yield b"".join(map(self.known.__getitem__, chunks))
 
 
-@lru_cache(maxsize=1)
 def known_chunks(tokenizer_file: str) -> ChunkIds:
-    """What a worker keeps from one task to the next."""
-    return ChunkIds(tokenizer_file)
+    return common.kept(("chunks", tokenizer_file), lambda: ChunkIds(tokenizer_file))
 
 
 def cut(tokenizer_file: str, capacity: int, end_id: int):

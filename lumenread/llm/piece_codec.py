@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -233,10 +232,8 @@ class Digester:
         return numbers.count(",") + 1, _sha(numbers), _sha(plain)
 
 
-@lru_cache(maxsize=1)
 def digester(model_file: str) -> Digester:
-    """The one that a worker keeps from task to task."""
-    return Digester(model_file)
+    return common.kept(("pieces", model_file), lambda: Digester(model_file))
 
 
 def digests(model_file: str):

@@ -38,7 +38,7 @@ from . import common
 LENGTH, KEY = 200, 64
 REACH = LENGTH - KEY  # a window's owner starts at most so many bytes after the window
 #: Bytes that are hashed at once, and contexts of one key that one task compares.
-SEGMENT, HOT = 2 << 20, 20_000
+SEGMENT, HOT = 1 << 20, 20_000
 KIND_ASK, KIND_KNOWN = 0, 1
 SUFFIXES = "kind byte, key long, whole binary, many boolean, doc_id long, tag int, at int, first int, last int"
 FOUND = "kind byte, key long, many boolean, hot boolean, doc_id long, tag int, at int, first int, last int"
@@ -116,6 +116,7 @@ def segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 
 def sample_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow: suffixes to ask about, and those that their own batch shows to be repeats."""
+    common.forget()
     sampler = Sampler()
     for batch in batches:
         ids, tags = batch.column("doc_id"), batch.column("tag")

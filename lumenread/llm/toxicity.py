@@ -276,15 +276,8 @@ class Shared:
         return self.broadcast.value
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_of(shared) -> Scorer:
-    """The scorer of a broadcast model; a worker keeps the last one from task to task."""
-    if shared.id not in _scorers:
-        _scorers.clear()
-        _scorers[shared.id] = Scorer(shared.value)
-    return _scorers[shared.id]
+    return common.kept(("toxicity", shared.id), lambda: Scorer(shared.value))
 
 
 def held_out():

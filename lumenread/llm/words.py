@@ -11,7 +11,7 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _K = np.uint64(0x9E3779B97F4A7C15)
 _VALUES = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: Bytes that are hashed at once.
-GROUP = 4 << 20
+GROUP = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
