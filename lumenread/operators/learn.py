@@ -82,6 +82,38 @@ def pair_ranker(pairs: DataFrame, features: Sequence[str], label: str) -> tuple[
     return logistic(scaled, features, "y", intercept=False), scales
 
 
+def vectors_of_pairs(pairs: DataFrame, left: str, right: str, label_first: str, slots: int = 60) -> DataFrame:
+    """Both orders of each pair: two arrays of predicted times, cut or padded with 0 to slots, joined; label 1 if the harder is first."""
+
+    def padded(c: str) -> Column:
+        return F.slice(F.concat(F.col(c), F.array_repeat(F.lit(0.0), slots)), 1, slots)
+
+    def stats(c: str) -> list[Column]:
+        size = F.size(c)
+        return [size.cast("double"), F.when(size > 0, F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / size).otherwise(0.0)]
+
+    one = pairs.select(F.concat(padded(left), padded(right), F.array(*stats(left), *stats(right))).alias("vector"), F.col(label_first).cast("int").alias("label"))
+    two = pairs.select(F.concat(padded(right), padded(left), F.array(*stats(right), *stats(left))).alias("vector"), (1 - F.col(label_first).cast("int")).alias("label"))
+    return one.unionByName(two)
+
+
+def linear_svm(rows: DataFrame, features: Sequence[str], label: str, penalty: float = 0.01) -> tuple[float, np.ndarray]:
+    """Intercept and weights of a linear support vector classifier."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import VectorAssembler
+
+    data = VectorAssembler(inputCols=list(features), outputCol="v").transform(rows).select("v", F.col(label).cast("double").alias("y"))
+    model = LinearSVC(featuresCol="v", labelCol="y", regParam=penalty, standardization=False).fit(data)
+    return float(model.intercept), model.coefficients.toArray()
+
+
+def squares(rows: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """rows with all products of two features beside the features themselves."""
+    names = list(features)
+    more = {f"{a}*{b}": F.col(a) * F.col(b) for i, a in enumerate(names) for b in names[i:]}
+    return rows.select("*", *[c.alias(n) for n, c in more.items()]), [*names, *more]
+
+
 FEATURES = ["x1", "x2", "x3", "x4"]
 
 
@@ -126,4 +158,32 @@ def pair_ranker_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, float(w), float(s)) for c, w, s in zip(FEATURES, weights, scales, strict=True)], "term string, weight double, scale double")
 
 
-QUERIES = {"ridge_fit": ridge_fit, "ridge_group_cv": ridge_group_cv, "ablation": ablation, "logistic_fit": logistic_fit, "pair_ranker_fit": pair_ranker_fit}
+def polynomial_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leave one target out: fits of squares and products on all labels but one, scored on it."""
+    rows, names = squares(example(spark, sf_dir), FEATURES)
+    rows = rows.select("label", "x0", *[F.col(f"`{n}`").alias(n.replace("*", "_")) for n in names])
+    parts = {r["label"]: matrix(r["moments"]) for r in moments(rows, [n.replace("*", "_") for n in names], "x0", ["label"]).collect()}
+    whole = sum(parts.values())
+    return spark.createDataFrame([(int(k), int(m[0, 0]), r_squared(m, *ridge(whole - m, 1.0))) for k, m in sorted(parts.items())], "label int, n int, r2 double")
+
+
+def svm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    intercept, weights = linear_svm(example(spark, sf_dir).withColumn("y", F.col("label") % 2), FEATURES, "y")
+    return spark.createDataFrame([("intercept", intercept), *[(c, float(w)) for c, w in zip(FEATURES, weights, strict=True)]], "term string, weight double")
+
+
+def padded_pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading-time vectors of consecutive readers' words, in both orders."""
+    from pyspark.sql import Window
+
+    from lumenread.operators.gaze import reading_measures
+
+    m = reading_measures(tables.fixations(spark, sf_dir))
+    times = m.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("wnum", "ffd"))), lambda s: s["ffd"]).alias("a"), F.sum("td").alias("total"))
+    order = Window.partitionBy((F.col("user_id") / 50).cast("int")).orderBy("user_id")
+    pairs = times.withColumn("b", F.lead("a").over(order)).withColumn("other", F.lead("total").over(order)).filter("b is not null")
+    vectors = vectors_of_pairs(pairs.withColumn("harder", (F.col("total") > F.col("other")).cast("int")), "a", "b", "harder")
+    return vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"))
+
+
+QUERIES = {"polynomial_cv": polynomial_cv, "svm_fit": svm_fit, "padded_pair_vectors": padded_pair_vectors, "ridge_fit": ridge_fit, "ridge_group_cv": ridge_group_cv, "ablation": ablation, "logistic_fit": logistic_fit, "pair_ranker_fit": pair_ranker_fit}

@@ -130,32 +130,37 @@ def tertile_bands(d: Dialect) -> str:
     group by case when d <= a then 'low' when d <= b then 'mid' else 'high' end"""
 
 
+def drawn(d: Dialect, *parts: str) -> str:
+    """How often a unit is in a resample: Poisson with mean 1, from the documented random stream.
+
+    Every unit draws its own count, so no unit has to be numbered and no draw has to be gathered.
+    """
+    u = d.uniform(*parts)
+    return f"(case when {u} < 0.36787944 then 0 when {u} < 0.73575888 then 1 when {u} < 0.91969860 then 2 when {u} < 0.98101184 then 3 when {u} < 0.99634015 then 4 else 5 end)"
+
+
 def bootstrap_mean(d: Dialect) -> str:
-    """Means of resampled labels; the draw of each place is a documented hash."""
-    return f"""with x as (select quality, row_number() over (order by doc_id) - 1 as n, count(*) over () as total from (select * from {{labels}} where doc_id % 4 = 1) q),
-    s as (select draw, cast(floor({d.uniform("'b'", 'draw', 'x.n')} * x.total) as bigint) as pick from x cross join {d.series('1', str(DRAWS), 'draw')}),
-    m as (select draw, avg(y.quality) as mean_q from s join x y on y.n = s.pick group by draw)
-    select count(*) as draws, round({d.pct('mean_q', 0.025)}, 6) as low, round({d.pct('mean_q', 0.5)}, 6) as median, round({d.pct('mean_q', 0.975)}, 6) as high from m"""
+    """Interval of the mean label by language over resampled documents."""
+    return f"""with x as (select l.doc_id, l.quality, o.lang from {{labels}} l join {{documents}} o on o.doc_id = l.doc_id),
+    m as (select lang, draw, sum(quality * {drawn(d, "'b'", 'draw', 'doc_id')}) / cast(nullif(sum({drawn(d, "'b'", 'draw', 'doc_id')}), 0) as double) as mean_q from x cross join {d.series('1', str(DRAWS), 'draw')} group by lang, draw)
+    select lang, count(mean_q) as draws, round({d.pct('mean_q', 0.025)}, 6) as low, round({d.pct('mean_q', 0.5)}, 6) as median, round({d.pct('mean_q', 0.975)}, 6) as high from m group by lang"""
 
 
 def cluster_bootstrap_diff(d: Dialect) -> str:
     """Readers are drawn, and with them all their fixations: interval and one-sided share of a difference."""
     return f"""with c as (select user_id, sum(case when w < 4 then d else 0 end) as sa, sum(case when w < 4 then 1 else 0 end) as na, sum(case when w >= 4 then d else 0 end) as sb, sum(case when w >= 4 then 1 else 0 end) as nb from {{fix}} group by user_id),
-    x as (select *, row_number() over (order by user_id) - 1 as n, count(*) over () as total from c),
-    s as (select draw, cast(floor({d.uniform("'c'", 'draw', 'x.n')} * x.total) as bigint) as pick from x cross join {d.series('1', str(DRAWS), 'draw')}),
-    m as (select draw, sum(sa) / sum(na) - sum(sb) / sum(nb) as diff from s join x y on y.n = s.pick group by draw)
-    select count(*) as draws, round({d.pct('diff', 0.025)}, 6) as low, round({d.pct('diff', 0.975)}, 6) as high, round(avg(case when diff <= 0 then 1e0 else 0e0 end), 6) as p from m"""
+    s as (select draw, c.*, {drawn(d, "'c'", 'draw', 'user_id')} as times from c cross join {d.series('1', str(DRAWS), 'draw')}),
+    m as (select draw, sum(sa * times) / nullif(sum(na * times), 0) - sum(sb * times) / nullif(sum(nb * times), 0) as diff from s group by draw)
+    select count(diff) as draws, round({d.pct('diff', 0.025)}, 6) as low, round({d.pct('diff', 0.975)}, 6) as high, round(avg(case when diff <= 0 then 1e0 else 0e0 end), 6) as p from m"""
 
 
 def pair_bootstrap(d: Dialect) -> str:
-    """Sentences are drawn; a pair weighs the product of its sentences' counts."""
-    return f"""with w as (select user_id, w, avg(d) as x from {{fix}} where user_id <= 12 group by user_id, w),
-    s as (select *, row_number() over (order by user_id, w) - 1 as n, count(*) over () as total from w),
-    k as (select draw, cast(floor({d.uniform("'p'", 'draw', 's.n')} * s.total) as bigint) as pick from s cross join {d.series('1', '20', 'draw')}),
-    c as (select draw, pick, count(*) as c from k group by draw, pick),
-    p as (select a.n as na, b.n as nb, case when b.x > a.x then 1e0 when b.x = a.x then 0.5e0 else 0e0 end as hit from s a join s b on b.w = a.w + 1 and a.user_id = b.user_id),
-    m as (select ca.draw, sum(p.hit * ca.c * cb.c) / sum(ca.c * cb.c) as acc from p join c ca on ca.pick = p.na join c cb on cb.pick = p.nb and cb.draw = ca.draw group by ca.draw)
-    select count(*) as draws, round({d.pct('acc', 0.025)}, 6) as low, round({d.pct('acc', 0.975)}, 6) as high from m"""
+    """Texts are drawn; a pair weighs the product of its texts' counts."""
+    a, b = drawn(d, "'p'", "draw", "user_id", "wa"), drawn(d, "'p'", "draw", "user_id", "wb")
+    return f"""with w as (select user_id, w, avg(d) as x from {{fix}} group by user_id, w),
+    p as (select a.user_id, a.w as wa, b.w as wb, case when b.x > a.x then 1e0 when b.x = a.x then 0.5e0 else 0e0 end as hit from w a join w b on b.w = a.w + 1 and a.user_id = b.user_id),
+    m as (select draw, sum(hit * {a} * {b}) / cast(nullif(sum({a} * {b}), 0) as double) as acc from p cross join {d.series('1', '20', 'draw')} group by draw)
+    select count(acc) as draws, round({d.pct('acc', 0.025)}, 6) as low, round({d.pct('acc', 0.975)}, 6) as high from m"""
 
 
 def threshold_search(d: Dialect) -> str:

@@ -115,3 +115,42 @@ def replies(rows: DataFrame, text: str = "text") -> DataFrame:
     """id and reply of tolerant 'S01 | reply' lines; the last of an id wins."""
     found = rows.select(F.monotonically_increasing_id().alias("_n"), F.regexp_extract(text, r"^\W*(S\d+)\W*\|\s*(.+?)\s*$", 1).alias("id"), F.regexp_extract(text, r"^\W*(S\d+)\W*\|\s*(.+?)\s*$", 2).alias("reply"))
     return first_of(found.filter("id <> ''"), ["id"], [F.desc("_n")]).drop("_n")
+
+
+def trials(spark: SparkSession, csv_paths: list[str], json_paths: list[str]) -> DataFrame:
+    """Trials of several exports, one row of (pid, practice, sid): the first by source and time wins."""
+    frames = [spark.read.option("header", True).csv(p).withColumn("source", F.lit(p)) for p in csv_paths]
+    frames += [spark.read.json(p).withColumn("source", F.lit(p)) for p in json_paths]
+    every = frames[0]
+    for frame in frames[1:]:
+        every = every.unionByName(frame, allowMissingColumns=True)
+    typed = every.withColumn("practice", F.lower(F.col("practice").cast("string")).isin("true", "1")).withColumn("sid", F.col("sid").cast("string")).withColumn("rt_ms", F.col("rt_ms").try_cast("double"))
+    return first_of(typed, ["pid", "practice", "sid"], ["source", "rt_ms"])
+
+
+def items(rows: DataFrame, regions: str = "regions") -> DataFrame:
+    """Items with their regions, written with bars between, as trimmed parts; an empty part is an error."""
+    parts = F.transform(F.split(regions, r"\|"), lambda x: F.trim(x))
+    bad = F.exists(parts, lambda x: x == "")
+    return rows.withColumn("parts", F.when(bad, F.raise_error(F.concat(F.lit("empty region in "), F.col(regions)))).otherwise(parts))
+
+
+def script_items(text: Column, schema: str, start: str = r"=\s*") -> Column:
+    """The first JSON array that a script assigns."""
+    return F.from_json(F.regexp_extract(text, start + r"(\[[\s\S]*\])\s*;?", 1), schema)
+
+
+def newest_sessions(rows: DataFrame, participant: str = "pid", started: str = "started", done: str = "completed") -> DataFrame:
+    """Each participant's latest completed session."""
+    return first_of(rows.filter(F.col(done)), [participant], [F.desc(started)])
+
+
+def numbers(value: Column) -> Column:
+    """Text as a struct of a whole number, a number or the text itself."""
+    return F.struct(value.try_cast("bigint").alias("whole"), F.when(value.try_cast("bigint").isNull(), value.try_cast("double")).alias("number"), F.when(value.try_cast("double").isNull(), value).alias("text"))
+
+
+def write_bigrams(unigrams: DataFrame, bigrams: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """Counts as two bucketed tables, so that lookups by (w1, w2) and by word join without a shuffle."""
+    bigrams.write.mode("overwrite").option("path", f"{path}/bigrams").bucketBy(buckets, "w1", "w2").sortBy("w1", "w2").saveAsTable(f"{table}_bigrams")
+    unigrams.write.mode("overwrite").option("path", f"{path}/unigrams").bucketBy(buckets, "word").sortBy("word").saveAsTable(f"{table}_unigrams")

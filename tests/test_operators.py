@@ -106,3 +106,45 @@ def test_streaming_matches_batch(spark, tmp_path):
     assert found == [(k, a, b, 6) for k in (1, 2) for a, b in ((0.0, 100.0), (120.0, 220.0))]
     with pytest.raises(Exception):  # noqa: B017
         spark.sql("select no_such_column from found").collect()
+
+
+def test_repair(spark):
+    from lumenread.functions import repair
+
+    assert repair.merged(["un", "known", "word"], {"unknown", "word"}) == ["unknown", "word"]
+    assert repair.merged(["a", "b"], {"a", "b", "ab"}) == ["a", "b"] and repair.merged([], {"a"}) == []
+    frame = spark.createDataFrame([("e\u0301e",), (None,)], "t string")
+    assert [r[0] for r in frame.select(repair.nfc("t")).collect()] == ["\u00e9e", None]
+    doubled = spark.createDataFrame([("kaa\u0bbe\u0bbe b \u0bbe",)], "t string")
+    from pyspark.sql import functions as F
+
+    assert doubled.select(repair.single_signs(F.col("t"), "\u0bbe")).first()[0] == "kaa\u0bbe b\u0bbe"
+
+
+def test_providers(spark):
+    from lumenread.functions import providers
+    from pyspark.sql import functions as F
+
+    tokens = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (1, 4, "b")], "doc_id long, pos long, word string")
+    found = {r["pos"]: r["surprisal"] for r in providers.BigramSurprisal(tokens).surprisal(tokens).collect()}
+    assert found[1] == 0 and np.isclose(found[2], -np.log(3 / 4)) and np.isclose(found[3], -np.log(2 / 4))
+    golden = spark.range(1).select(providers.laplace_logp(F.lit(6), F.lit(464556), F.lit(335051.0)).alias("f"), providers.laplace_logp(F.lit(None), F.lit(77), F.lit(335051.0)).alias("b")).first()
+    assert np.isclose(golden["f"], -11.64596548689194) and np.isclose(golden["b"], -12.72226782738182)
+    words = spark.createDataFrame([("walking",), ("ing",)], "word string")
+    assert [list(r[0]) for r in words.select(providers.SuffixSegments(["ing", "g"]).segments(F.col("word"))).collect()] == [["walk", "ing"], ["ing"]]
+    assert providers.CorpusFrequency(tokens).log_frequency(words).filter("log_freq < -20").count() == 2
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("pid,practice,sid,rt_ms\np1,false,1,10\np1,true,1,5\n")
+    (tmp_path / "b.json").write_text('{"pid": "p1", "practice": false, "sid": 1, "rt_ms": 99, "extra": 1}\n{"pid": "p2", "practice": false, "sid": 1, "rt_ms": 7}')
+    found = sorted((r["pid"], r["practice"], r["sid"], r["rt_ms"]) for r in readers.trials(spark, [f"{tmp_path}/a.csv"], [f"{tmp_path}/b.json"]).collect())
+    assert found == [("p1", False, "1", 10.0), ("p1", True, "1", 5.0), ("p2", False, "1", 7.0)]
+    frame = spark.createDataFrame([("a | b c|d",)], "regions string")
+    assert list(readers.items(frame).first()["parts"]) == ["a", "b c", "d"]
+    with pytest.raises(Exception, match="empty region"):
+        readers.items(spark.createDataFrame([("a||d",)], "regions string")).collect()
+    from pyspark.sql import functions as F
+
+    script = spark.createDataFrame([('var items = [{"id": 1}, {"id": 2}];',)], "t string")
+    assert [x["id"] for x in script.select(readers.script_items(F.col("t"), "array<struct<id:int>>").alias("x")).first()["x"]] == [1, 2]
