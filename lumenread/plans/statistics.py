@@ -7,15 +7,20 @@ from lumenread.plans.query import SqlQuery
 
 #: Average ranks, as Spearman's coefficient takes them.
 RANK = "rank() over (partition by {g} order by {x}) + (count(*) over (partition by {g}, {x}) - 1) / 2e0"
-#: Sentences graded by the quality label of their document and the number of words before them.
-GRADED = r"""
-graded as (select doc_id, sid, grade, words, chars from (
-    select s.doc_id, s.sid, cast(floor(ln(d.n_chars + 1e0)) as int) as grade, length(s.sentence) - length(replace(s.sentence, ' ', '')) + 1 as words, length(s.sentence) as chars
-    from {sent} s join {documents} d on d.doc_id = s.doc_id where s.sid <= 3) q where words between 4 and 30)
-"""
+#: Sentences of a bucket, within which pairs are drawn: pairs grow with the sentences, not with their square.
+BUCKET = 64
 DRAWS = 40
 
 
+def graded_sentences(d: Dialect) -> str:
+    """The first sentences of documents, graded by their document's length, dealt to buckets of documents by the random stream."""
+    return f"""buckets as (select greatest(1, cast(floor(count(*) / {BUCKET}e0) as bigint)) as buckets from {{documents}}),
+graded as (select doc_id, sid, grade, words, chars, bucket from (
+    select s.doc_id, s.sid, cast(floor(ln(d.n_chars + 1e0)) as int) as grade, length(s.sentence) - length(replace(s.sentence, ' ', '')) + 1 as words, length(s.sentence) as chars,
+    cast(floor({d.uniform("'bucket'", "s.doc_id")} * buckets) as bigint) as bucket
+    from {{sent}} s join {{documents}} d on d.doc_id = s.doc_id cross join buckets where s.sid <= 3) q where words between 4 and 30)"""
+
+
 def hash_split(d: Dialect) -> str:
     return f"""select doc_id, case when {d.uniform("'split'", 'doc_id')} < 0.6 then 'train' when {d.uniform("'split'", 'doc_id')} < 0.8 then 'dev' else 'test' end as split from {{documents}}"""
 
@@ -50,30 +55,30 @@ def batches(d: Dialect) -> str:
 
 def graded_pairs(d: Dialect) -> str:
     """Pairs of sentences at least two grades apart: a hash-ranked few for each first sentence."""
-    return f"""with {GRADED}, s as (select * from graded where sid = 1),
+    return f"""with {graded_sentences(d)}, s as (select * from graded where sid = 1),
     p as (select a.doc_id as doc_a, b.doc_id as doc_b, a.grade as grade_a, b.grade as grade_b,
-        row_number() over (partition by a.doc_id order by {d.uniform('a.doc_id', 'b.doc_id')}, b.doc_id) as rn from s a join s b on b.grade >= a.grade + 2 and b.grade <= a.grade + 3 and a.words = b.words)
+        row_number() over (partition by a.doc_id order by {d.uniform('a.doc_id', 'b.doc_id')}, b.doc_id) as rn from s a join s b on a.bucket = b.bucket and b.grade >= a.grade + 2 and b.grade <= a.grade + 3)
     select doc_a, doc_b, grade_a, grade_b, grade_b - grade_a as gap, case when {d.uniform('doc_a')} < 0.2 then 'test' else 'train' end as split from p where rn <= 3"""
 
 
 def pair_baseline_accuracy(d: Dialect) -> str:
     """Direction from the training pairs, ties half right, on the test pairs."""
-    return f"""with {GRADED}, s as (select * from graded where sid = 1),
+    return f"""with {graded_sentences(d)}, s as (select * from graded where sid = 1),
     p as (select a.doc_id as ka, sign(b.chars - a.chars) as delta, {d.uniform('a.doc_id')} as u,
-        row_number() over (partition by a.doc_id order by {d.uniform('a.doc_id', 'b.doc_id')}, b.doc_id) as rn from s a join s b on b.grade >= a.grade + 2 and b.grade <= a.grade + 3),
+        row_number() over (partition by a.doc_id order by {d.uniform('a.doc_id', 'b.doc_id')}, b.doc_id) as rn from s a join s b on a.bucket = b.bucket and b.grade >= a.grade + 2 and b.grade <= a.grade + 3),
     k as (select * from p where rn <= 4), w as (select case when avg(delta) >= 0 then 1 else -1 end as direction from k where u >= 0.2)
     select count(*) as n, round(avg(case when delta = 0 then 0.5e0 when delta * direction > 0 then 1e0 else 0e0 end), 6) as accuracy, max(direction) as direction from k cross join w where u < 0.2"""
 
 
 def length_matched(d: Dialect) -> str:
-    return f"""with {GRADED}, s as (select * from graded where sid = 2)
-    select a.grade as low, b.grade as high, count(*) as pairs, round(avg(abs(a.chars - b.chars)), 6) as mean_gap from s a join s b on b.grade > a.grade and a.words = b.words group by a.grade, b.grade"""
+    return f"""with {graded_sentences(d)}, s as (select * from graded where sid = 2)
+    select a.grade as low, b.grade as high, count(*) as pairs, round(avg(abs(a.chars - b.chars)), 6) as mean_gap from s a join s b on a.bucket = b.bucket and b.grade > a.grade and a.words = b.words group by a.grade, b.grade"""
 
 
 def gap_accuracy(d: Dialect) -> str:
-    return f"""with {GRADED}, s as (select * from graded where sid = 1)
+    return f"""with {graded_sentences(d)}, s as (select * from graded where sid = 1)
     select b.grade - a.grade as gap, count(*) as n, round(avg(case when b.chars > a.chars then 1e0 when b.chars = a.chars then 0.5e0 else 0e0 end), 6) as accuracy
-    from s a join s b on b.grade > a.grade and a.words = b.words group by b.grade - a.grade"""
+    from s a join s b on a.bucket = b.bucket and b.grade > a.grade and a.words = b.words group by b.grade - a.grade"""
 
 
 def pearson(d: Dialect) -> str:
@@ -173,15 +178,15 @@ def threshold_search(d: Dialect) -> str:
 
 def pair_vectors(d: Dialect) -> str:
     """Both orders of a pair, labelled by which side is first."""
-    return f"""with {GRADED}, s as (select doc_id, grade, count(*) as n, sum(words) as words, sum(chars) as chars from graded group by doc_id, grade),
-    p as (select a.doc_id as a, b.doc_id as b, a.words - b.words as dw, a.chars - b.chars as dc, row_number() over (partition by a.doc_id order by b.doc_id) as rn from s a join s b on a.grade = b.grade + 2)
+    return f"""with {graded_sentences(d)}, s as (select doc_id, grade, bucket, count(*) as n, sum(words) as words, sum(chars) as chars from graded group by doc_id, grade, bucket),
+    p as (select a.doc_id as a, b.doc_id as b, a.words - b.words as dw, a.chars - b.chars as dc, row_number() over (partition by a.doc_id order by b.doc_id) as rn from s a join s b on a.bucket = b.bucket and a.grade = b.grade + 2)
     select a, b, dw, dc, 1 as label from p where rn <= 2 union all select b as a, a as b, -dw as dw, -dc as dc, 0 as label from p where rn <= 2"""
 
 
 def pair_score(d: Dialect) -> str:
     """A fixed linear score of both sides and the verdict."""
-    return f"""with {GRADED}, s as (select doc_id, grade, 0.3e0 * words + 0.02e0 * chars as score from graded where sid = 1),
-    p as (select a.doc_id as a, b.doc_id as b, b.score - a.score as delta, row_number() over (partition by a.doc_id order by b.doc_id) as rn from s a join s b on b.grade = a.grade + 2)
+    return f"""with {graded_sentences(d)}, s as (select doc_id, grade, bucket, 0.3e0 * words + 0.02e0 * chars as score from graded where sid = 1),
+    p as (select a.doc_id as a, b.doc_id as b, b.score - a.score as delta, row_number() over (partition by a.doc_id order by b.doc_id) as rn from s a join s b on a.bucket = b.bucket and b.grade = a.grade + 2)
     select a, b, round(1 / (1 + exp(-delta)), 6) as p_harder, case when delta > 0 then 1 else 0 end as agree from p where rn <= 3"""
 
 
