@@ -138,9 +138,12 @@ def sample_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             known, ask = order[later | earlier], order[~later]
             many = earlier[~later]
             row = np.concatenate([known, ask])
+            to = key[row]
+            # what is known already goes anywhere: a key with very many copies isn't one task's
+            to[: len(known)] ^= np.arange(len(known)) * np.int64(0x9E3779B97F4A7C1)
             doc = np.array([d for d, _, _ in group])[which[row]]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(np.array([KIND_KNOWN, KIND_ASK], np.int8), [len(known), len(ask)])), pa.array(key[row]),
+                pa.array(np.repeat(np.array([KIND_KNOWN, KIND_ASK], np.int8), [len(known), len(ask)])), pa.array(to),
                 pa.array([None] * len(known) + [whole[i] for i in ask.tolist()], pa.binary()), pa.array(np.concatenate([np.zeros(len(known), bool), many])),
                 ids.take(pa.array(doc)).cast(pa.int64()), tags.take(pa.array(doc)),
                 *(pa.array((x[row] + offset[row]).astype(np.int32)) for x in (owner, first, last))],
