@@ -437,3 +437,17 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one document of each component, with docs' own columns."""
     found = linked(common.keyed_texts(docs))
     return common.without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT c.a, c.b FROM c JOIN n na ON na.doc_id = c.a JOIN n nb ON nb.doc_id = c.b WHERE 100 * c.k >= 75 * (na.n + nb.n - c.k)),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.a, r.m FROM r JOIN l ON l.b = r.doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.m) AS component_id, n.doc_id = min(r.m) AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.SQL}
+    return {"op7_exact_dedup": exact_dedup.SQL, "op8_minhash_dedup": minhash_dedup.SQL, "op10_suffix_dedup": suffix_dedup.SQL}

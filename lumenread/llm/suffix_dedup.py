@@ -397,3 +397,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.read(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(generate_series(0, CAST(length(h) // 2 AS BIGINT) - 200)) AS i FROM h WHERE length(h) >= 400),
+m AS (SELECT w.doc_id, w.i, md5(substr(h.h, 2 * w.i + 1, 400)) AS m FROM w JOIN h USING (doc_id)),
+t AS (SELECT m FROM m GROUP BY m HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM m WHERE m IN (SELECT m FROM t)),
+b AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM r),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM n GROUP BY doc_id, run),
+g AS (SELECT s.doc_id, s.a, s.z, substr(h.h, 2 * lag(s.z, 1, 0) OVER (PARTITION BY s.doc_id ORDER BY s.a) + 1, 2 * (s.a - lag(s.z, 1, 0) OVER (PARTITION BY s.doc_id ORDER BY s.a))) AS part FROM s JOIN h USING (doc_id)),
+k AS (SELECT doc_id, string_agg(part, '' ORDER BY a) AS head, max(z) AS last, sum(z - a) AS gone, count(*) AS spans FROM g GROUP BY doc_id)
+SELECT h.doc_id, CAST(length(h.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(CASE WHEN k.doc_id IS NULL THEN h.h ELSE k.head || substr(h.h, 2 * k.last + 1) END)) AS kept_sha256
+FROM h LEFT JOIN k ON k.doc_id = h.doc_id
+"""
