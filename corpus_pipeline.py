@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lumenread.llm import common, exact_dedup, minhash_dedup, packing, suffix_dedup, toxicity
 
@@ -39,9 +38,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences; a document without text left is packed no more."""
+    """Pieces of all documents and their places in sequences; a document without text left is its end id alone."""
     common.clear_scratch(spark)
-    return packing.pack_documents(docs.filter(F.length("text") > 0), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
