@@ -391,8 +391,13 @@ def linked(docs: DataFrame) -> DataFrame:
     ordered = F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")
 
     def keyed(rows: DataFrame) -> DataFrame:
-        more = ["part", "long", "keys"] if "part" in rows.columns else []
-        return rows.select(F.posexplode("keys").alias("band", "key"), "node", "n_shingles", "sig", *more).repartition(parts, "key")
+        if "part" not in rows.columns:
+            return rows.select(F.posexplode("keys").alias("band", "key"), "node", "n_shingles", "sig").repartition(parts, "key")
+        # only keys whose members are in several components have pairs left
+        slim = rows.select(F.posexplode("keys").alias("band", "key"), "node", "part")
+        split = slim.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+        left = slim.join(split, "key").groupBy("node").agg(F.collect_list(F.struct("band", "key")).alias("at"))  # at most BANDS a node
+        return rows.join(left, "node").select(F.explode("at").alias("at"), "node", "n_shingles", "sig", "part", "long", "keys").select("at.*", "node", "n_shingles", "sig", "part", "long", "keys").repartition(parts, "key")
 
     def paired(rows: DataFrame, pairs_of) -> DataFrame:
         return keyed(rows).mapInArrow(partial(pair_up, pairs_of), "lead long, node long").distinct()
