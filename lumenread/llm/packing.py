@@ -34,7 +34,7 @@ END_ID = 1
 #: Groups that pieces of one length are ranked in, so that a common length isn't one task.
 SALTS = 64
 #: Chunks that a worker remembers.
-CACHE = 1_200_000
+CACHE = 1_000_000
 
 
 class ChunkIds:
