@@ -383,16 +383,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Characters of which only some bytes are left go as a whole. A null text stays null.
     """
     names = docs.columns
-    slim = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", common.text_or_empty().alias("text")).withColumn("tag", tag())
-    together = with_spans(slim)
+    others = [c for c in names if c != "text"]
+    slim = docs.select(F.struct(F.lit(0).alias("__0"), *[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text").isNull().alias("none"), "doc_id", common.text_or_empty().alias("text"))
+    together = with_spans(slim.withColumn("tag", tag()))
 
     @F.pandas_udf("string")
     def rest(text, spans):
         return text.combine(spans, lambda t, s: keep_rest(t.encode(), s)[0].decode("utf-8", "ignore"))
 
-    cut = together.select("row", F.when(F.col("spans").isNotNull(), rest("text", "spans")).otherwise(F.col("row.text")).alias("__text"))
-    out = [F.col("__text").alias(c) if c == "text" else F.coalesce(F.length("__text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]
-    return cut.select(*out)
+    left = F.when(F.col("spans").isNotNull(), rest("text", "spans")).when(~F.col("none"), F.col("text"))
+    cut = together.select("row", left.alias("__text"))
+    n_chars = F.coalesce(F.length("__text"), F.lit(0))
+    return cut.select(*[
+        F.col("__text").alias(c) if c == "text" else n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
