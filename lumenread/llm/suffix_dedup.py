@@ -97,18 +97,23 @@ class Sampler:
         return owner[new], keys[owner[new]].view(np.int64), starts[new], starts[last]
 
 
-def segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Groups of (document, offset, bytes) of about SEGMENT bytes; parts of long texts overlap by a window less one byte."""
+def segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """Groups of (document, first place, offset, bytes) of about SEGMENT bytes.
+
+    A part of a long text answers for the SEGMENT places from its first one on, and has the bytes of
+    all windows that these can own, so no place's windows are dealt to two parts.
+    """
     group, size = [], 0
     for d, text in enumerate(texts):
-        for a in range(0, max(1, len(text) - LENGTH + 1), SEGMENT):
-            part = text[a: a + SEGMENT + LENGTH - 1]
-            if len(part) < LENGTH:
-                continue
+        if len(text) < LENGTH:
+            continue
+        for a in range(0, len(text) - KEY + 1, SEGMENT):
+            begin = max(0, a - REACH)
+            part = text[begin: a + SEGMENT + LENGTH - 1]
             if size + len(part) > 2 * SEGMENT and group:
                 yield group
                 group, size = [], 0
-            group.append((d, a, part))
+            group.append((d, a, begin, part))
             size += len(part)
     if group:
         yield group
@@ -122,14 +127,17 @@ def sample_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         ids, tags = batch.column("doc_id"), batch.column("tag")
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         for group in segments(texts):
-            data = b"".join(part for _, _, part in group)
-            ends = np.cumsum([len(part) for _, _, part in group])
+            data = b"".join(part for *_, part in group)
+            ends = np.cumsum([len(part) for *_, part in group])
             owner, key, first, last = sampler.owners(np.frombuffer(data, np.uint8), ends)
-            if not len(owner):
-                continue
             which = np.searchsorted(ends, first, side="right")
-            begin = ends - [len(part) for _, _, part in group]
-            offset = np.array([a for _, a, _ in group])[which] - begin[which]
+            begin = ends - [len(part) for *_, part in group]
+            offset = (np.array([x for _, _, x, _ in group]) - begin)[which]
+            place = owner + offset - np.array([a for _, a, _, _ in group])[which]
+            own = np.flatnonzero((place >= 0) & (place < SEGMENT))
+            if not len(own):
+                continue
+            owner, key, first, last, which, offset = (x[own] for x in (owner, key, first, last, which, offset))
             whole = [xxhash.xxh3_128_digest(data[a: b + LENGTH] + bytes((m - a,))) for m, a, b in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True)]
             sums = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
             order = np.lexsort((sums[:, 1], sums[:, 0], key))
@@ -141,7 +149,7 @@ def sample_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             to = key[row]
             # what is known already goes anywhere: a key with very many copies isn't one task's
             to[: len(known)] ^= np.arange(len(known)) * np.int64(0x9E3779B97F4A7C1)
-            doc = np.array([d for d, _, _ in group])[which[row]]
+            doc = np.array([d for d, *_ in group])[which[row]]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.repeat(np.array([KIND_KNOWN, KIND_ASK], np.int8), [len(known), len(ask)])), pa.array(to),
                 pa.array([None] * len(known) + [whole[i] for i in ask.tolist()], pa.binary()), pa.array(np.concatenate([np.zeros(len(known), bool), many])),

@@ -139,6 +139,40 @@ def test_suffixes_with_hot_keys_and_segments(spark, monkeypatch):
     assert any(found["hot"].to_pylist())
 
 
+def cut_here(rows):
+    """cut_brute's rows by the operator's functions, in this process."""
+    import pyarrow as pa
+
+    texts = [(t or "").encode() for _, t, *_ in rows]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows]), "tag": pa.array([0] * len(rows), pa.int32()), "text": pa.array([r[1] or "" for r in rows])})
+    found = pa.Table.from_batches(list(suffix_dedup.settle(suffix_dedup.sample_suffixes(iter([batch]))))).to_pylist()
+    spans, asked = defaultdict(list), defaultdict(list)
+    for x in found:
+        (spans if x["kind"] == suffix_dedup.KIND_KNOWN else asked)[x["doc_id"]].append(x)
+    ask = pa.RecordBatch.from_pydict({"doc_id": list(asked), "tag": pa.array([0] * len(asked), pa.int32()), "text": [texts[i].decode() for i in asked], "asked": list(asked.values())})
+    if asked:
+        contexts = pa.Table.from_batches(list(suffix_dedup.cut_contexts(iter([ask]))))
+        contexts = contexts.take(pa.array(sorted(range(len(contexts)), key=contexts["right"].to_pylist().__getitem__)))
+        for part in suffix_dedup.compare_bucket(iter(contexts.combine_chunks().to_batches())):
+            for x in part.to_pylist():
+                spans[x["doc_id"]].append(x)
+    out = []
+    for i, data in enumerate(texts):
+        rest, runs = suffix_dedup.keep_rest(data, spans.get(i))
+        out.append((i, len(data), len(data) - len(rest), runs, hashlib.sha256(rest).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("segment", [150, 300, 777, 1 << 20])
+def test_suffixes_of_texts_in_segments(monkeypatch, segment):
+    """Long texts are hashed in parts; where the cuts fall is nothing to the result."""
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+    passage = prose(60, 90)
+    rows = [(0, prose(61, 900)), (1, prose(62, 200) + " " + passage + " " + prose(63, 300)), (2, passage + prose(64, 40)), (3, "ab" * 600), (4, prose(65, 3)), *((i, prose(100 + i, 40 * i)) for i in range(5, 12))]
+    assert cut_here(rows) == cut_brute(rows)
+    assert cut_here(cases()) == cut_brute(cases())
+
+
 def test_hot_windows_agree(spark):
     passage = prose(51, 70)
     texts = [prose(400 + i, 9) + " " + passage + " " + prose(500 + i, 9) for i in range(6)]
