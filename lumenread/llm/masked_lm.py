@@ -1,8 +1,10 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 Every word is predicted from REACH words on both sides of it, itself masked; a document's score
-is the sum of the log probabilities. The vocabulary is the most frequent words of all documents;
-other words fall into buckets by their hash. A hidden layer over the neighbours' embeddings (one
+is the sum of the log probabilities. The network's vocabulary is the most frequent words of all
+documents; other words fall into buckets by their hash, and a word of a bucket has the bucket's
+probability times the word's share of all occurrences of the bucket's words, so every counted word
+has a probability of its own. As neighbours, words of a bucket are one. A hidden layer over the neighbours' embeddings (one
 table for each place) predicts a word's class, and given the class the word, so that a word costs
 two softmaxes of the square root of the vocabulary.
 
@@ -226,13 +228,30 @@ def average_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([mean], pa.binary())], names=["chunk", "part"])
 
 
-def vocabulary_of(docs: DataFrame) -> np.ndarray:
-    """Hashes of the FREQUENT most frequent words of all texts, most frequent first."""
-    counted = docs.select("text").mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word and n of every word of all texts."""
+    return docs.select("text").mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counted: DataFrame) -> np.ndarray:
     rows = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     return np.array([r["word"] for r in rows], np.int64).view(np.uint64)
 
 
+def vocabulary_of(docs: DataFrame) -> np.ndarray:
+    """Hashes of the FREQUENT most frequent words of all texts, most frequent first."""
+    return most_frequent(word_counts(docs))
+
+
+def rare_shares(counted: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """word and log_share of every word outside the vocabulary: its share of its bucket's occurrences."""
+    frequent = counted.sparkSession.createDataFrame([(w,) for w in vocabulary.view(np.int64).tolist()], "word long")
+    bucket = F.shiftrightunsigned("word", 17) % RARE  # as Vocabulary deals them
+    rare = counted.join(F.broadcast(frequent), "word", "left_anti").withColumn("bucket", bucket)
+    totals = rare.groupBy("bucket").agg(F.sum("n").alias("total"))
+    return rare.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
+
+
 def train(docs: DataFrame, vocabulary: np.ndarray, seed: int = 3) -> np.ndarray:
     """Parameters after ROUNDS rounds; docs has doc_id and text (not null)."""
     spark = docs.sparkSession
@@ -246,13 +265,15 @@ def train(docs: DataFrame, vocabulary: np.ndarray, seed: int = 3) -> np.ndarray:
     return values
 
 
-def score(docs: DataFrame, vocabulary: np.ndarray, values: np.ndarray) -> DataFrame:
+def network_scores(docs: DataFrame, vocabulary: np.ndarray, values: np.ndarray, rare: bool) -> DataFrame:
+    """doc_id, n_words and log_likelihood with whole buckets for rare words; these in an array, if asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(values)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = unpacked(shared.value), Vocabulary(vocabulary)
         for batch in batches:
             counts, sums = [], []
+            found, ends, size = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0
             for texts in grouped(batch.column("text").cast(pa.binary()).to_pylist()):
                 words, upto = word_hashes(texts)
                 ids = known.ids(words)
@@ -262,19 +283,45 @@ def score(docs: DataFrame, vocabulary: np.ndarray, values: np.ndarray) -> DataFr
                 begin = np.concatenate([[0], upto[:-1]])
                 counts += (upto - begin).tolist()
                 sums += (total[upto] - total[begin]).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_words", "log_likelihood"])
+                if rare:
+                    of_bucket = ids >= FREQUENT
+                    found.append(words[of_bucket].view(np.int64))
+                    ends.append(size + np.concatenate([[0], np.cumsum(of_bucket)])[upto])
+                    size += len(found[-1])
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())]
+            if rare:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(found))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "log_likelihood", "rare"][: len(columns)])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double" + ", rare array<long>" * rare)
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
+
+def with_mean(scored: DataFrame) -> DataFrame:
     return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
+def score(docs: DataFrame, vocabulary: np.ndarray, values: np.ndarray) -> DataFrame:
+    """The network's own scores, a rare word counting as its bucket."""
+    return with_mean(network_scores(docs, vocabulary, values, False))
+
+
+def score_words(docs: DataFrame, counted: DataFrame, vocabulary: np.ndarray, values: np.ndarray) -> DataFrame:
+    """Scores with every rare word's share of its bucket; counted has the words of all docs."""
+    scored = network_scores(docs, vocabulary, values, True).withColumn("at", F.monotonically_increasing_id())
+    scored = common.materialise(scored, "scored")  # numbers rows once
+    shares = rare_shares(counted, vocabulary)
+    parts = scored.select("at", F.explode("rare").alias("word")).join(shares, "word").groupBy("at").agg(F.sum("log_share").alias("log_share"))
+    whole = F.col("log_likelihood") + F.coalesce("log_share", F.lit(0.0))
+    return with_mean(scored.drop("rare").join(parts, "at", "left").select("doc_id", "n_words", whole.alias("log_likelihood")))
+
+
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_likelihood and mean_log_prob of every row."""
     common.bound_batches(docs.sparkSession)
     docs = common.keyed_texts(docs)
-    vocabulary = vocabulary_of(docs)
-    return score(docs, vocabulary, train(docs, vocabulary))
+    counted = common.materialise(word_counts(docs), "words")
+    vocabulary = most_frequent(counted)
+    return score_words(docs, counted, vocabulary, train(docs, vocabulary))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,6 +170,32 @@ def test_masked_scores(spark):
     assert masked_lm.pseudo_likelihood(clashing(spark, [])).count() == 0
 
 
+def test_masked_rare_words(spark):
+    """A rare word has its share of its bucket, so the probabilities of all words sum to 1."""
+    from collections import Counter
+
+    rows = [*repeated(), *((100 + i, prose(900 + i, 800), "en", "s", 1) for i in range(10))]
+    docs = common.keyed_texts(clashing(spark, rows))
+    counted = masked_lm.word_counts(docs)
+    vocabulary, values = masked_lm.most_frequent(counted), masked_lm.packed(masked_lm.fresh())
+    known, hashes = masked_lm.Vocabulary(vocabulary), [words.word_hashes([(t or "").encode()])[0] for _, t, *_ in rows]
+    count = Counter(w for h in hashes for w in h.tolist())
+    bucket = dict(zip(count, known.ids(np.array(list(count), np.uint64)).tolist(), strict=True))
+    total = Counter()
+    for w, n in count.items():
+        total[bucket[w]] += n
+    log_share = {w: np.log(n / total[bucket[w]]) if bucket[w] >= masked_lm.FREQUENT else 0.0 for w, n in count.items()}
+    shares = {r["word"] % (1 << 64): r["log_share"] for r in masked_lm.rare_shares(counted, vocabulary).collect()}
+    assert len(shares) > 1000 and shares.keys() == {w for w in count if bucket[w] >= masked_lm.FREQUENT}
+    assert all(np.isclose(x, log_share[w]) for w, x in shares.items())
+    key = lambda r: (str(r["doc_id"]), r["n_words"], r["log_likelihood"])
+    plain = sorted(masked_lm.score(docs, vocabulary, values).collect(), key=key)
+    extra = {(str(i), len(h)): sum(log_share[w] for w in h.tolist()) for (i, *_), h in zip(rows, hashes, strict=True)}
+    found = sorted(masked_lm.score_words(docs, counted, vocabulary, values).collect(), key=key)
+    assert [r["doc_id"] for r in found] == [r["doc_id"] for r in plain] and min(extra.values()) < -100
+    assert all(np.isclose(a["log_likelihood"], b["log_likelihood"] + extra[str(a["doc_id"]), a["n_words"]], rtol=1e-5, atol=1e-2) for a, b in zip(found, plain, strict=True))
+
+
 def test_masked_training_learns(spark):
     rows = [(i, " ".join(["red green blue yellow"] * 40), "en", "s", 1) for i in range(200)]
     docs = common.keyed_texts(frame(spark, rows))
