@@ -10,7 +10,7 @@ two softmaxes of the square root of the vocabulary.
 
 The network is trained in numpy by all tasks at once: in each round every task trains a copy on
 its part of that round's share of the documents, and the copies are averaged by words, in chunks
-of the parameters. Words are counted over all documents, the share is a fixed part of them, and
+of the parameters. Words are counted over all documents, the rounds' shares make up all of them, and
 all tasks' copies meet, so what is gathered grows with the input; the model itself doesn't.
 
 Defined results: null text counts as empty; a text without words has score 0 over 0 words and
@@ -38,8 +38,8 @@ EDGE = CLASSES * MEMBERS
 REACH = 2
 PLACES = (*range(-REACH, 0), *range(1, REACH + 1))
 DIM = 16
-#: A round trains on one of SHARES parts of the documents.
-ROUNDS, SHARES = 2, 24
+#: A round trains on one of as many parts of the documents, so that every document is trained on once.
+ROUNDS = 2
 BATCH, RATE = 1024, 0.15
 CHUNKS = 32
 COUNTED = 1_000_000
@@ -159,12 +159,24 @@ def gradients(model: dict, ids: np.ndarray, around: np.ndarray) -> dict[str, np.
     slope /= n
     grad = {"group": state.T @ slope, "group_bias": slope.sum(0), "member": np.zeros_like(model["member"]), "member_bias": np.zeros_like(model["member_bias"])}
     d_state = slope @ model["group"].T
-    for k, rows in by_class(ids):
-        own = np.exp(log_softmax(state[rows] @ model["member"][k] + model["member_bias"][k]))
-        own[np.arange(len(rows)), ids[rows] % MEMBERS] -= 1
-        own /= n
-        grad["member"][k], grad["member_bias"][k] = state[rows].T @ own, own.sum(0)
-        d_state[rows] += own @ model["member"][k].T
+    # rows by class, so that a class is a slice and the softmax one for all
+    order = np.argsort(ids, kind="stable")
+    own_ids, by = ids[order], state[order]
+    cut = np.flatnonzero(np.diff(own_ids // MEMBERS, prepend=-1, append=CLASSES)).tolist()
+    spans = [(int(own_ids[a]) // MEMBERS, a, b) for a, b in zip(cut, cut[1:], strict=False)]
+    own = model["member_bias"][own_ids // MEMBERS]
+    for k, a, b in spans:
+        own[a:b] += by[a:b] @ model["member"][k]
+    own = np.exp(log_softmax(own))
+    own[np.arange(n), own_ids % MEMBERS] -= 1
+    own /= n
+    back = np.empty_like(by)
+    for k, a, b in spans:
+        grad["member"][k] = by[a:b].T @ own[a:b]
+        back[a:b] = own[a:b] @ model["member"][k].T
+    if spans:
+        grad["member_bias"][[k for k, _, _ in spans]] = np.add.reduceat(own, [a for _, a, _ in spans])
+    d_state[order] += back
     grad["near"] = d_state * (1 - state**2)
     grad["bias"] = grad["near"].sum(0)
     return grad
@@ -187,9 +199,9 @@ class Trainer:
                 self.squares[k] += g * g
                 self.model[k] -= RATE * g / np.sqrt(self.squares[k])
             for k in range(len(PLACES)):
-                rows, where = np.unique(near[k], return_inverse=True)
-                g = np.zeros((len(rows), DIM), np.float32)
-                np.add.at(g, where, slope)
+                order = np.argsort(near[k], kind="stable")
+                rows, first = np.unique(near[k][order], return_index=True)
+                g = np.add.reduceat(slope[order], first)
                 self.squares["near"][k][rows] += g * g
                 self.model["near"][k][rows] -= RATE * g / np.sqrt(self.squares["near"][k][rows])
             self.words += len(own)
@@ -252,13 +264,17 @@ def rare_shares(counted: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return rare.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("log_share"))
 
 
+def part_of(docs: DataFrame, turn: int) -> DataFrame:
+    """Texts of the documents that a round trains on; the rounds' parts make up all documents."""
+    return docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn).select("text")
+
+
 def train(docs: DataFrame, vocabulary: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Parameters after ROUNDS rounds; docs has doc_id and text (not null)."""
+    """Parameters after ROUNDS rounds, which see every document once; docs has doc_id and text (not null)."""
     spark = docs.sparkSession
     values = packed(fresh(seed))
     for turn in range(ROUNDS):
-        share = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES)) == turn).select("text")
-        copies = share.mapInArrow(train_copies(spark.sparkContext.broadcast(values), vocabulary), "chunk int, task int, words long, part binary")
+        copies = part_of(docs, turn).mapInArrow(train_copies(spark.sparkContext.broadcast(values), vocabulary), "chunk int, task int, words long, part binary")
         means = copies.repartition(CHUNKS, "chunk").sortWithinPartitions("chunk", "task").mapInArrow(average_copies, "chunk int, part binary").collect()
         if means:
             values = np.concatenate([np.frombuffer(r["part"], "<f4") for r in sorted(means, key=lambda r: r["chunk"])])

@@ -196,6 +196,27 @@ def test_masked_rare_words(spark):
     assert all(np.isclose(a["log_likelihood"], b["log_likelihood"] + extra[str(a["doc_id"]), a["n_words"]], rtol=1e-5, atol=1e-2) for a, b in zip(found, plain, strict=True))
 
 
+def test_masked_training_sees_every_document(spark, monkeypatch):
+    """The words that all rounds' copies learned from are those of all documents."""
+    docs = common.keyed_texts(frame(spark, [(i, f"w{i} red", "en", "s", 1) for i in range(300)]))
+    vocabulary = masked_lm.vocabulary_of(docs)
+    seen, plain = spark.sparkContext.accumulator(0), masked_lm.train_copies
+
+    def watched(shared, vocabulary):
+        run = plain(shared, vocabulary)
+
+        def counting(batches):
+            for batch in run(batches):
+                seen.add(batch.column("words")[0].as_py())
+                yield batch
+
+        return counting
+
+    monkeypatch.setattr(masked_lm, "train_copies", watched)
+    masked_lm.train(docs, vocabulary)
+    assert seen.value == 600
+
+
 def test_masked_training_learns(spark):
     rows = [(i, " ".join(["red green blue yellow"] * 40), "en", "s", 1) for i in range(200)]
     docs = common.keyed_texts(frame(spark, rows))
