@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -226,33 +227,47 @@ def prints_of(docs: DataFrame) -> DataFrame:
     return common.keyed_texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def extents(n: int) -> list[int]:
+    """Lengths of a fixed ladder that a fingerprint of n notes draws bands over.
+
+    Texts with a likeness of 0.75 differ by a quarter in notes at most, and share a rung that covers
+    nearly all of the shorter one.
+    """
+    rungs = dict.fromkeys(int(BAND_NOTES * 1.15**k) for k in range(40))
+    return [e for e in rungs if 0.65 * n - 1 <= e <= n]
+
+
+@lru_cache(None)
+def band_places(extent: int, band: int) -> np.ndarray:
+    return np.sort(np.random.default_rng((SEED, extent, band)).choice(extent, BAND_NOTES, replace=False))
+
+
 def band_keys(print_: str) -> list[str]:
-    """Keys of BANDS bands of sampled notes, at the fingerprint's level and at the next coarser one."""
-    out = []
+    """Keys of BANDS bands of notes from all over the fingerprint, at its level and at the next coarser one."""
     own = int(print_[:2], 16)
+    out = []
     for level in (own, own + 1):
         notes = notes_at(print_, level)
-        half = len(notes) // 2 // BAND_NOTES * BAND_NOTES  # texts of like length share the earlier steps
-        for band in range(min(BANDS, half // BAND_NOTES)):
-            places = np.random.default_rng((SEED, band)).choice(LEAST // 4, BAND_NOTES, replace=False)
-            if places.max() < len(notes):
-                out.append(f"{level}.{band}." + notes[np.sort(places)].tobytes().decode())
+        out += [f"{level}.{e}.{band}." + notes[band_places(e, band)].tobytes().decode() for e in extents(len(notes)) for band in range(BANDS)]
     return out or [print_]
 
 
 def near_copies(prints: DataFrame, least: float = 0.75) -> DataFrame:
-    """(doc_id, lead_id, near): documents alike to the first document of a band they are in.
+    """(doc_id, lead_id, near): every two candidates whose likeness is at least so high, lead_id the smaller.
 
-    Every band's group gives one pair a member, whatever its size.
+    Equal fingerprints are one candidate, that of the smallest doc_id, and their other rows are pairs with
+    it. All different fingerprints of a band are compared, so pairs grow with the square of their number.
     """
+    firsts = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
+    copies = prints.join(firsts.withColumnRenamed("doc_id", "lead_id"), "fingerprint").filter("doc_id > lead_id")
+    copies = copies.select("doc_id", "lead_id", F.lit(1.0).alias("near")).distinct()
     keys = F.udf(band_keys, "array<string>")
-    banded = prints.withColumn("key", F.explode(F.array_distinct(keys("fingerprint"))))
-    leads = banded.groupBy("key").agg(F.min("doc_id").alias("lead_id"))
-    pairs = banded.join(leads, "key").filter("doc_id > lead_id").select("doc_id", "lead_id").distinct()
+    banded = firsts.withColumn("key", F.explode(F.array_distinct(keys("fingerprint"))))
+    leads = banded.select("key", F.col("doc_id").alias("lead_id"), F.col("fingerprint").alias("lead_print"))
+    pairs = banded.join(leads, "key").filter("doc_id > lead_id").drop("key").distinct()
     near = F.pandas_udf(lambda a, b: pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)]), "double")
-    other = prints.select(F.col("doc_id").alias("lead_id"), F.col("fingerprint").alias("lead_print"))
-    verified = pairs.join(prints.select("doc_id", "fingerprint"), "doc_id").join(other, "lead_id").withColumn("near", near("fingerprint", "lead_print"))
-    return verified.filter(F.col("near") >= least).select("doc_id", "lead_id", "near")
+    verified = pairs.withColumn("near", near("fingerprint", "lead_print")).filter(F.col("near") >= least)
+    return verified.select("doc_id", "lead_id", "near").unionByName(copies)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

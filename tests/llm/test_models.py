@@ -49,6 +49,22 @@ def test_near_prints(spark):
     assert {(2, 1), (3, 1)} <= found and not any(4 in x for x in found)
 
 
+def test_near_prints_against_all_pairs(spark):
+    """Changed openings, and near copies that share a header with a smaller id that isn't like them."""
+    header, texts = prose(20, 40), []
+    for k in range(8):
+        body = prose(30 + k, 300)
+        texts += [body, prose(60 + k, 30) + body[len(body) // 10:]]
+    for k in range(6):
+        body = header + " " + prose(80 + k, 260)
+        texts += [body, body[:1000] + "q" + body[1000:]]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    prints = edit_prints.fingerprints(texts)
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if edit_prints.likeness(prints[i], prints[j]) >= 0.75}
+    found = [(r["doc_id"], r["lead_id"]) for r in edit_prints.near_copies(edit_prints.prints_of(frame(spark, rows))).collect()]
+    assert len(want) >= 9 and sorted(found) == sorted(want)
+
+
 def test_word_hashes_in_any_grouping():
     texts = [(t or "").encode() for _, t, *_ in cases()]
     together, upto = words.word_hashes(texts)
