@@ -1,7 +1,8 @@
 """Exact deduplication against a persistent digest index, in DataFrame operations only.
 
-The index is a table of one row per distinct text, bucketed and sorted by digest. New
-documents are digested, grouped, anti-joined with the index and what is new is appended.
+The index is a table of one row per distinct text and batch, bucketed and sorted by digest. New
+documents are digested, grouped, anti-joined with the index; what is new and the sizes of what is
+known are appended.
 
 Defined results: null text counts as empty; texts are equal after each run of white space
 (space, tab to carriage return) became one space. Of equal texts the smallest doc_id stays;
@@ -11,6 +12,8 @@ table gives an empty result. Columns besides doc_id and text are neither read no
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +39,8 @@ class DigestIndex:
         return self.spark.catalog.tableExists(self.table)
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.table)
+        """One row a digest: a batch adds a row for each of its digests, known or new, so sizes are sums."""
+        return self.spark.table(self.table).groupBy("text_sha256").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
     def append(self, rows: DataFrame) -> None:
         (rows.select("text_sha256", "keep_id", "group_size")
@@ -59,7 +63,8 @@ class DigestIndex:
                 .join(self.read().select("text_sha256", "keep_id", "group_size"), "text_sha256"), "seen")
             groups = groups.join(known.hint("merge"), "text_sha256", "left_anti")
         fresh = common.materialise(groups, "fresh")
-        self.append(fresh)
+        again = [] if before is None else [before.select("text_sha256", "keep_id", F.col("new_rows").alias("group_size"))]
+        self.append(reduce(DataFrame.unionByName, again, fresh))
         told = fresh.select("text_sha256", "keep_id", "group_size", F.lit(True).alias("new"))
         if before is not None:
             told = told.unionByName(before.select("text_sha256", "keep_id", (F.col("group_size") + F.col("new_rows")).alias("group_size"), F.lit(False).alias("new")))

@@ -38,6 +38,14 @@ def test_index_persists(spark):
     assert index.read().count() == 2
 
 
+def test_index_counts_every_batch(spark):
+    index = exact_dedup.fresh_index(spark, 2)
+    told = [[tuple(r) for r in index.ingest(frame(spark, [(i, t, "en", "s", 3) for i, t in rows])).select("doc_id", "keep_id", "group_size", "kept").collect()]
+            for rows in ([(5, "a b")], [(1, "a  b"), (2, "a b"), (7, "new")], [(3, "a\tb"), (8, "new")])]
+    assert [sorted(x) for x in told] == [[(5, 5, 1, True)], [(1, 5, 3, False), (2, 5, 3, False), (7, 7, 1, True)], [(3, 5, 4, False), (8, 7, 2, False)]]
+    assert sorted((r["keep_id"], r["group_size"]) for r in index.read().collect()) == [(5, 4), (7, 2)]
+
+
 def test_exact_stage(spark):
     for rows in (cases(), repeated()):
         docs = clashing(spark, rows)
