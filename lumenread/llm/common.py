@@ -7,7 +7,9 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,29 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 2048
 BATCH_BYTES = 16 << 20
 
-_scratch: list[str] = []
+class Scope:
+    """The scratch tables of one run, which are deleted together and without those of others."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def clear(self, spark: SparkSession) -> None:
+        """Delete them; only when no result that reads them is still needed."""
+        while self.paths:
+            delete(spark, self.paths.pop())
+
+    @contextmanager
+    def open(self) -> Iterator[Scope]:
+        """Scratch tables made inside belong to this scope."""
+        token = _scope.set(self)
+        try:
+            yield self
+        finally:
+            _scope.reset(token)
+
+
+#: Where scratch tables are noted; outside of any run they stay until the session's folder goes.
+_scope: ContextVar[Scope] = ContextVar("scope", default=Scope())
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,37 +56,53 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) a temporary folder is made.
+    Only where that setting is absent on one machine (tests) a temporary folder is made.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="lumenread-checkpoints-")
     atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{local}")
     return f"file://{local}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/lumenread-{uuid.uuid4().hex}-{name}"
-    _scratch.append(path)
+def fresh_name() -> str:
+    return uuid.uuid4().hex
+
+
+def scratch_path(spark: SparkSession, name: str, path: str | None = None) -> str:
+    """A path (a new one, or the given) that belongs to the scope at hand."""
+    path = path or f"{shared_dir(spark)}/lumenread-{fresh_name()}-{name}"
+    _scope.get().paths.append(path)
     return path
 
 
+def write(df: DataFrame, path: str) -> DataFrame:
+    """Write df to a path, over what a lost job may have left there, and read it back."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once into the shared folder and read it back.
 
     This cuts the lineage: what an executor held can be read again by any other one.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write(df, scratch_path(df.sparkSession, name))
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that clear_scratch leaves alone."""
-    return f"{shared_dir(spark)}/lumenread-{uuid.uuid4().hex}-stage-{name}"
+    """A path in the shared folder that no scope deletes."""
+    return f"{shared_dir(spark)}/lumenread-{fresh_name()}-stage-{name}"
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -70,12 +110,6 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far; only when no result that reads them is still needed."""
-    while _scratch:
-        delete(spark, _scratch.pop())
-
-
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -46,6 +46,51 @@ def test_index_counts_every_batch(spark):
     assert sorted((r["keep_id"], r["group_size"]) for r in index.read().collect()) == [(5, 4), (7, 2)]
 
 
+def told(frame):
+    return sorted(tuple(r) for r in frame.select("doc_id", "keep_id", "group_size", "kept").collect())
+
+
+def test_index_replays_a_batch(spark):
+    """A batch that comes again gets its first answer, wherever the earlier try was lost."""
+    index = exact_dedup.fresh_index(spark, 2)
+    one, two = (frame(spark, [(i, t, "en", "s", 3) for i, t in rows]) for rows in ([(5, "a b"), (6, "c")], [(1, "a  b"), (2, "new"), (3, "new")]))
+    first = told(index.ingest(one, "one"))
+    assert first == told(index.ingest(one, "one")) == [(5, 5, 1, True), (6, 6, 1, True)]
+    # lost between the decisions and the index: the additions are made up for
+    second = told(index.ingest(two, "two"))
+    rows = sorted(tuple(r) for r in index.read().collect())
+    spark.table(index.table).filter("batch = 'one'").write.mode("overwrite").parquet(index.path + "-saved")
+    saved = spark.read.parquet(index.path + "-saved")
+    index.drop()
+    from lumenread.llm import common
+    common.delete(spark, index.path)
+    saved.write.format("parquet").option("path", index.path).bucketBy(2, "text_sha256").sortBy("text_sha256").saveAsTable(index.table)
+    assert not index.has("two")
+    assert told(index.ingest(two, "two")) == second == [(1, 5, 2, False), (2, 2, 2, True), (3, 2, 2, False)]
+    assert sorted(tuple(r) for r in index.read().collect()) == rows
+    # lost before the decisions were whole
+    common.delete(spark, index.staged("two", "decided") + "/_SUCCESS")
+    assert told(index.ingest(two, "two")) == second and sorted(tuple(r) for r in index.read().collect()) == rows
+    index.drop()
+    assert not index.exists()
+
+
+@pytest.mark.parametrize("rows", [cases(), repeated(), []], ids=["cases", "repeated", "empty"])
+def test_exact_decisions_in_batches(spark, rows):
+    """Several batches through the anti-join decide as one would."""
+    before = len(spark.catalog.listTables())
+    found = exact_dedup.decisions(clashing(spark, rows))
+    assert sorted([tuple(r) for r in found.collect()], key=str) == exact_brute(rows)
+    assert len(spark.catalog.listTables()) == before
+
+
+def test_exact_hot_digest_that_is_known(spark):
+    index = exact_dedup.fresh_index(spark, 2)
+    index.ingest(frame(spark, [(1, "hot", "en", "s", 3)]), "a")
+    rows = [(i, "hot" if i % 2 else f"t{i}", "en", "s", 3) for i in range(10, 1010)]
+    assert told(index.ingest(frame(spark, rows), "b")) == sorted((i, 1, 501, False) if i % 2 else (i, i, 1, True) for i, *_ in rows)
+
+
 def test_exact_stage(spark):
     for rows in (cases(), repeated()):
         docs = clashing(spark, rows)
