@@ -1,16 +1,23 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
-A word enters as the embedding of its hashed form joined with the mean embedding of its
-hashed character n-grams. Windows of WINDOW words that overlap by half cover every text; a
-forward and a backward gated recurrent pass read each window, attention pools the states, and
-one unit gives the window's logit. A document's score is the sigmoid of its largest window
-logit. The network is trained in numpy on the driver, by Adam, from a bounded sample of
-labelled documents; a step takes whole documents and learns from the windows that decide their
-scores. Scoring covers every window of every text, in parallel.
+A word enters as the embedding of its hashed form, the mean embedding of its hashed character
+n-grams, and what the labels say of both: how much more often toxic documents hold the word, or
+its n-grams, than chance would have it. Windows of WINDOW words that overlap by half cover every
+text; a forward and a backward gated recurrent pass read each window, attention pools the states,
+and one unit gives the window's logit. A document's score is the sigmoid of its largest window
+logit. Scoring covers every window of every text, in parallel.
+
+The network is trained in numpy on the driver, by Adam, from a bounded sample of labelled
+documents, all windows of each. A toxic document teaches by the window that decides its score, a
+clean one by that or any other; which one decides is found anew over all windows every REFRESH
+steps. In training, what labels say of a document's words comes from the other FOLDS - 1 folds,
+so that words that only it holds tell nothing; embeddings are dropped at random and decay.
 
 Defined results: null text counts as empty; an empty text is one window without words and gets
-a score as well. Rows that repeat are scored each. Labels that are null aren't learned from;
-without labels of both kinds every score is the untrained 0. Other columns are not read.
+a score as well. Rows that repeat are scored each. Labels that are null aren't learned from; of
+several labels of a document the highest counts. Without labels of both kinds every score is the
+untrained 0. A score of exactly 0.5 is predicted toxic. Scores are rounded to six digits, as sums
+in single precision may differ with a text's neighbours. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +35,12 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, STRIDE = 64, 32
-#: Bounds of the training sample: labelled documents of each class, and windows of a document.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 16
-STEPS, BATCH_DOCS, RATE = 420, 32, 0.012
-HIDDEN, DIM, WORDS, GRAMS = 8, 12, 1 << 13, 1 << 14
+#: Bound of the training sample: labelled documents of each class.
+SAMPLE_DOCS = 1500
+STEPS, REFRESH, BATCH_DOCS, RATE = 300, 60, 32, 0.012
+#: Folds that label scores are taken over, share of embeddings dropped, and their decay a step.
+FOLDS, DROPPED, DECAY = 5, 0.3, 2e-3
+HIDDEN, DIM, WORDS, GRAMS, TOLD = 8, 12, 1 << 13, 1 << 14, 1 << 18
 GRAM_SIZES = (3, 5)
 PUNCTUATION = ".,;:!?\"'()[]{}|*%&$#<>-"
 #: Words that a worker remembers, and words that it reads at once.
@@ -39,7 +48,7 @@ TABLE, SPAN = 200_000, 48_000
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets; character n-gram buckets of all words, one after the other; where each word's begin."""
+    """24-bit hashes of the words; of the character n-grams of all words, one after the other; where each word's begin."""
     raw = [b"\x02\x02" + w.strip(PUNCTUATION).encode("utf-8", "surrogatepass") + b"\x03\x03\x03" for w in words]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw) + bytes(8), np.uint8).astype(np.uint64)
@@ -57,16 +66,16 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         total ^= total >> np.uint64(32)
         total = total * power
         keep = left >= k
-        parts.append(((total >> np.uint64(40)) % np.uint64(GRAMS), np.repeat(np.arange(len(raw)), size)[keep], keep))
+        parts.append((total >> np.uint64(40), np.repeat(np.arange(len(raw)), size)[keep], keep))
         counts += np.maximum(size - k + 1, 0)
     owner = np.concatenate([p[1] for p in parts])
     grams = np.concatenate([p[0][p[2]] for p in parts])[np.argsort(owner, kind="stable")].astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    # a word's own bucket: the sum of its spread bytes by place, mixed
+    # a word's own hash: the sum of its spread bytes by place, mixed
     placed = spread[: len(at)] * (2 * at.astype(np.uint64) + np.uint64(1))
     whole = np.add.reduceat(placed, first) if len(raw) else np.zeros(0, np.uint64)
     whole = (whole ^ (whole >> np.uint64(31))) * power
-    return ((whole >> np.uint64(40)) % np.uint64(WORDS)).astype(np.int64), grams, starts
+    return (whole >> np.uint64(40)).astype(np.int64), grams, starts
 
 
 def fresh_model(seed: int = 7) -> dict[str, np.ndarray]:
@@ -74,21 +83,39 @@ def fresh_model(seed: int = 7) -> dict[str, np.ndarray]:
     draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
     h = HIDDEN
     return {
-        "word": draw(WORDS, DIM, scale=0.05), "gram": draw(GRAMS, DIM, scale=0.3),
-        "inp": draw(2 * DIM, 6 * h, scale=0.3), "bias": np.zeros(6 * h, np.float32),
+        "word": draw(WORDS, DIM, scale=0.05), "gram": draw(GRAMS, DIM, scale=0.05),
+        "inp": draw(2 * DIM + 3, 6 * h, scale=0.3), "bias": np.zeros(6 * h, np.float32),
         "rec_f": draw(h, 3 * h, scale=0.3), "rec_b": draw(h, 3 * h, scale=0.3),
         "att": draw(2 * h, h, scale=0.3), "att_bias": np.zeros(h, np.float32), "att_out": draw(h, scale=0.3),
         "out": draw(2 * h, scale=0.3), "out_bias": np.zeros(1, np.float32),
+        "told_word": np.zeros(TOLD, np.float32), "told_gram": np.zeros(TOLD, np.float32),
     }
 
 
-def inputs(model: dict, words: list[str]) -> tuple[np.ndarray, tuple]:
+#: Parts of a model that are counted, not trained.
+COUNTED = ("told_word", "told_gram")
+
+
+def label_scores(held: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """By bucket, from (label, bucket) numbers of documents that hold it: toxic ones beyond chance, in deviations."""
+    expected = held.sum(0) * (sizes[1] / max(1, sizes.sum()))
+    return np.clip((held[1] - expected) / np.sqrt(expected + 1) / 3, -3, 3).astype(np.float32)
+
+
+def inputs(model: dict, words: list[str], drop: np.random.Generator | None = None) -> tuple[np.ndarray, tuple]:
     """What each word adds to the gates, and what the way back needs."""
     own, grams, starts = features(words)
     counts = np.diff(np.concatenate([starts, [len(grams)]])).astype(np.float32)
+    told = model["told_gram"][grams % TOLD]
+    told = np.stack([model["told_word"][own % TOLD], np.maximum.reduceat(told, starts), np.add.reduceat(told, starts) / counts], 1)
+    own, grams = own % WORDS, grams % GRAMS
     mean = np.add.reduceat(model["gram"][grams], starts, axis=0) / counts[:, None]
-    joined = np.concatenate([model["word"][own], mean], 1)
-    return joined @ model["inp"] + model["bias"], (own, grams, counts, joined)
+    learned = np.concatenate([model["word"][own], mean], 1)
+    keep = None if drop is None else (drop.random((len(own), 2)) >= DROPPED).repeat(DIM, 1) / np.float32(1 - DROPPED)
+    if keep is not None:
+        learned = learned * keep
+    joined = np.concatenate([learned, told], 1).astype(model["inp"].dtype)
+    return joined @ model["inp"] + model["bias"], (own, grams, counts, joined, keep)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -98,7 +125,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def recur(gates: np.ndarray, index: np.ndarray, mask: np.ndarray, rec: np.ndarray, order, states: np.ndarray, keep: list | None = None) -> None:
     """One gated recurrent pass over columns of index in the given order; states gets every step's state."""
     h = HIDDEN
-    state = np.zeros((index.shape[1], h), np.float32)
+    state = np.zeros((index.shape[1], h), gates.dtype)
     for t in order:
         g = gates[index[t]]
         u = state @ rec
@@ -115,7 +142,7 @@ def recur(gates: np.ndarray, index: np.ndarray, mask: np.ndarray, rec: np.ndarra
 def forward(model: dict, gates: np.ndarray, index: np.ndarray, mask: np.ndarray, keep: dict | None = None) -> np.ndarray:
     """Logits of windows: index and mask are (time, window)."""
     h, (steps, n) = HIDDEN, index.shape
-    states = np.empty((2, steps, n, h), np.float32)
+    states = np.empty((2, steps, n, h), gates.dtype)
     back = {"f": [], "b": []} if keep is not None else {"f": None, "b": None}
     recur(np.ascontiguousarray(gates[:, : 3 * h]), index, mask, model["rec_f"], range(steps), states[0], back["f"])
     recur(np.ascontiguousarray(gates[:, 3 * h:]), index, mask, model["rec_b"], range(steps - 1, -1, -1), states[1], back["b"])
@@ -146,7 +173,7 @@ def backward(model: dict, gates: np.ndarray, index: np.ndarray, kept: dict, slop
     d_both += (d_hidden @ model["att"].T).reshape(steps, n, 2 * h)
     d_gates = np.zeros_like(gates)
     for way, name, at in (("f", "rec_f", 0), ("b", "rec_b", 3 * h)):
-        rec, d_rec, d_state = model[name], np.zeros_like(model[name]), np.zeros((n, h), np.float32)
+        rec, d_rec, d_state = model[name], np.zeros_like(model[name]), np.zeros((n, h), gates.dtype)
         for t, before, z, r, new, u, m in reversed(kept[way]):
             d_state = d_state + d_both[t][:, :h] if way == "f" else d_state + d_both[t][:, h:]
             d_z = -d_state * m * (new - before) * z * (1 - z)
@@ -161,8 +188,10 @@ def backward(model: dict, gates: np.ndarray, index: np.ndarray, kept: dict, slop
 
 
 def input_gradients(model: dict, kept: tuple, d_gates: np.ndarray) -> dict:
-    own, grams, counts, joined = kept
-    d_joined = d_gates @ model["inp"].T
+    own, grams, counts, joined, keep = kept
+    d_joined = (d_gates @ model["inp"].T)[:, : 2 * DIM]
+    if keep is not None:
+        d_joined = d_joined * keep
     d_word, d_gram = np.zeros_like(model["word"]), np.zeros_like(model["gram"])
     np.add.at(d_word, own, d_joined[:, :DIM])
     np.add.at(d_gram, grams, np.repeat(d_joined[:, DIM:] / counts[:, None], counts.astype(np.int64), axis=0))
@@ -181,42 +210,111 @@ def laid_out(index: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return index[np.where(mask, at, starts[None, :])], mask.astype(np.float32)
 
 
-def train(samples: list[tuple[int, list[list[str]]]], steps: int = STEPS, seed: int = 7) -> dict | None:
-    """A model from (label, windows of words) of documents; None without both labels."""
-    kinds = [[windows for label, windows in samples if label == k] for k in (0, 1)]
-    if not all(kinds):
+class Sample:
+    """Labelled documents as words, and what labels say of words by the fold that is left out."""
+
+    def __init__(self, samples: list[tuple[int, list[str]]]):
+        self.labels = np.array([label for label, _ in samples])
+        self.words = [words or [""] for _, words in samples]
+        self.starts = [np.array(window_starts(len(words))) for words in self.words]
+        # by label in turn, so that every fold has its share of each
+        self.folds = np.empty(len(samples), np.int64)
+        for k in (0, 1):
+            self.folds[self.labels == k] = np.arange((self.labels == k).sum()) % FOLDS
+        held = {name: np.zeros((FOLDS, 2, TOLD), np.float32) for name in COUNTED}
+        sizes = np.zeros((FOLDS, 2))
+        for label, fold, words in zip(self.labels, self.folds, self.words, strict=True):
+            own, grams, _ = features(list(dict.fromkeys(words)))
+            for name, hashes in zip(COUNTED, (own, grams), strict=True):
+                held[name][fold, label, np.unique(hashes % TOLD)] += 1
+            sizes[fold, label] += 1
+        self.told = {name: label_scores(x.sum(0), sizes.sum(0)) for name, x in held.items()}
+        self.others = [{name: label_scores(x.sum(0) - x[f], sizes.sum(0) - sizes[f]) for name, x in held.items()} for f in range(FOLDS)]
+
+    def first_windows(self) -> np.ndarray:
+        """The start of each document's window that holds the word of which labels say most."""
+        out = np.zeros(len(self.words), np.int64)
+        for d, words in enumerate(self.words):
+            own, grams, starts = features(words)
+            told = self.others[self.folds[d]]
+            at = int(np.argmax(told["told_word"][own % TOLD] + np.maximum.reduceat(told["told_gram"][grams % TOLD], starts)))
+            out[d] = self.starts[d][min(len(self.starts[d]) - 1, at // STRIDE)]
+        return out
+
+    def deciding_windows(self, model: dict) -> np.ndarray:
+        """The start of each document's window with the largest logit."""
+        out = np.zeros(len(self.words), np.int64)
+        for fold in range(FOLDS):
+            scorer = Scorer(model | self.others[fold])
+            for d in np.flatnonzero(self.folds == fold).tolist():
+                best = -np.inf
+                for a, words in parts_of(self.words[d], SPAN):
+                    starts = np.array(window_starts(len(words)))
+                    logits = scorer.logits(words, starts, np.full(len(starts), len(words)))
+                    if logits.max() > best:
+                        best, out[d] = logits.max(), a + starts[logits.argmax()]
+        return out
+
+
+def train(samples: list[tuple[int, list[str]]], steps: int = STEPS, seed: int = 7) -> dict | None:
+    """A model from (label, words) of documents; None without both labels."""
+    if not {0, 1} <= {label for label, _ in samples}:
         return None
-    rng, model = np.random.default_rng(seed), fresh_model(seed)
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
+    sample, rng, model = Sample(samples), np.random.default_rng(seed), fresh_model(seed)
+    kinds = [np.flatnonzero(sample.labels == k) for k in (0, 1)]
+    trained = [k for k in model if k not in COUNTED]
+    moments = {k: (np.zeros_like(model[k]), np.zeros_like(model[k])) for k in trained}
+    deciding = sample.first_windows()
     for step in range(1, steps + 1):
-        docs, labels = [], []
-        for k, n in ((0, BATCH_DOCS // 2), (1, BATCH_DOCS - BATCH_DOCS // 2)):
-            docs += [kinds[k][i] for i in rng.integers(len(kinds[k]), size=n)]
-            labels += [k] * n
-        windows = [w or [""] for d in docs for w in d]
-        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        words: dict[str, int] = {}
-        flat = np.array([words.setdefault(w, len(words)) for x in windows for w in x])
-        sizes = np.array([len(x) for x in windows])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        index, mask = laid_out(flat, starts, starts + sizes)
-        gates, kept_in = inputs(model, list(words))
-        logits = forward(model, gates, index, mask)
-        # what decides each document's score: its largest window
-        order = np.lexsort((-logits, owner))
-        chosen = order[np.unique(owner[order], return_index=True)[1]]
+        if step > 1 and step % REFRESH == 1:
+            deciding = sample.deciding_windows(model)
+        chosen = np.concatenate([rng.choice(kinds[0], BATCH_DOCS // 2), rng.choice(kinds[1], BATCH_DOCS - BATCH_DOCS // 2)])
+        truth = sample.labels[chosen].astype(np.float32)
+        begin = deciding[chosen]
+        for j in np.flatnonzero((truth == 0) & (rng.random(len(chosen)) < 0.5)).tolist():
+            begin[j] = rng.choice(sample.starts[chosen[j]])
+        windows = [sample.words[d][a: a + WINDOW] for d, a in zip(chosen.tolist(), begin.tolist(), strict=True)]
+        # a document's words are told of by the other folds, so words are apart by fold
+        index, gates, kept_in = [None] * len(windows), [], []
+        size = 0
+        for fold in range(FOLDS):
+            mine = np.flatnonzero(sample.folds[chosen] == fold).tolist()
+            if not mine:
+                continue
+            words: dict[str, int] = {}
+            for j in mine:
+                index[j] = [size + words.setdefault(w, len(words)) for w in windows[j]]
+            g, kept = inputs(model | sample.others[fold], list(words), rng)
+            gates.append(g)
+            kept_in.append((size, size + len(words), kept))
+            size += len(words)
+        gates = np.concatenate(gates)
+        sizes = np.array([len(x) for x in index])
+        ends = np.cumsum(sizes)
+        places, mask = laid_out(np.concatenate(index), ends - sizes, ends)
         kept: dict = {}
-        picked, truth = forward(model, gates, index[:, chosen], mask[:, chosen], kept), np.array(labels, np.float32)
-        slope = ((sigmoid(picked) - truth) / len(docs)).astype(np.float32)
-        grad, d_gates = backward(model, gates, index[:, chosen], kept, slope)
-        grad |= input_gradients(model, kept_in, d_gates)
+        logits = forward(model, gates, places, mask, kept)
+        slope = ((sigmoid(logits) - truth) / len(chosen)).astype(np.float32)
+        grad, d_gates = backward(model, gates, places, kept, slope)
+        for a, b, part in kept_in:
+            for name, g in input_gradients(model, part, d_gates[a:b]).items():
+                grad[name] = grad[name] + g if name in grad else g
         rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
-        for k, g in grad.items():
+        for k in trained:
             first, second = moments[k]
-            first += 0.1 * (g - first)
-            second += 0.01 * (g * g - second)
+            first += 0.1 * (grad[k] - first)
+            second += 0.01 * (grad[k] * grad[k] - second)
             model[k] -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
-    return model
+        for k in ("word", "gram"):
+            model[k] *= 1 - DECAY
+    return model | sample.told
+
+
+def parts_of(words: list[str], most: int) -> Iterator[tuple[int, list[str]]]:
+    """(first word, words) of parts that overlap as windows do, so that they have the text's own windows."""
+    part = most // 2 // STRIDE * STRIDE
+    for a in range(0, max(1, len(words) - STRIDE), part):
+        yield a, words[a: a + part + STRIDE]
 
 
 class Scorer:
@@ -253,17 +351,14 @@ class Scorer:
             words.clear()
             spans.clear()
 
-        part = SPAN // 2 // STRIDE * STRIDE
         for d, text in enumerate(texts):
-            own = text.lower().split() or [""]
-            for a in range(0, max(1, len(own) - STRIDE), part):  # parts overlap as windows do
-                piece = own[a: a + part + STRIDE]
+            for _, piece in parts_of(text.lower().split() or [""], SPAN):
                 if len(words) + len(piece) > SPAN:
                     flush()
                 spans.append((d, len(words), len(words) + len(piece)))
                 words += piece
         flush()
-        return np.round(sigmoid(best.astype(np.float64)), 6)  # sums in single precision differ with a text's neighbours
+        return np.round(sigmoid(best.astype(np.float64)), 6)
 
 
 @dataclass
@@ -285,8 +380,8 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[list[str]]]]:
-    """At most SAMPLE_DOCS labelled documents of each class, SAMPLE_WINDOWS windows of each."""
+def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[str]]]:
+    """Label and words of at most SAMPLE_DOCS labelled documents of each class, whole texts."""
     spark = docs.sparkSession
     told = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     told = told.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(11)))
@@ -294,23 +389,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[list[str]
     if not ids:
         return []
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))  # at most 2 x SAMPLE_DOCS rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
-                words = text.lower().split()
-                starts = window_starts(len(words))
-                if len(starts) > SAMPLE_WINDOWS:
-                    starts = sorted(np.random.default_rng(abs(doc_id)).choice(starts, SAMPLE_WINDOWS, replace=False).tolist())
-                out.append((doc_id, label, [" ".join(words[a: a + WINDOW]) for a in starts]))
-            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.string()))], names=["doc_id", "toxic", "windows"])
-
-    common.bound_batches(spark)
-    rows = common.keyed_texts(docs).join(chosen, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, windows array<string>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["windows"]))
-    return [(r["toxic"], [w.split() for w in r["windows"]]) for r in rows]
+    rows = common.keyed_texts(docs).join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
+    return [(r["toxic"], r["text"].lower().split()) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
 def scoring(shared, names: list[str]):

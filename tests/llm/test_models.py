@@ -233,6 +233,28 @@ def test_masked_training_sees_every_document(spark, monkeypatch):
     assert seen.value == 600
 
 
+def test_masked_copies_are_averaged_in_two_levels(spark):
+    rng = np.random.default_rng(0)
+    rows = [(c, t, int(rng.integers(1, 50)), rng.standard_normal(5).astype("<f4").tobytes()) for t in range(200) for c in range(3)]
+    found = {r["chunk"]: np.frombuffer(r["part"], "<f4") for r in masked_lm.averaged(spark.createDataFrame([(c, t, w, bytearray(p)) for c, t, w, p in rows], masked_lm.COPIES)).collect()}
+    for c in range(3):
+        parts, weights = np.array([np.frombuffer(p, "<f4") for k, _, _, p in rows if k == c]), np.array([w for k, _, w, _ in rows if k == c])
+        assert np.allclose(found[c], (parts * weights[:, None]).sum(0) / weights.sum(), atol=1e-5)
+
+
+def test_masked_end_to_end(spark):
+    """Nulls, repeated rows and clashing names, from counting to scores; few documents are trained on as well."""
+    rows = repeated()
+    found = masked_lm.pseudo_likelihood(clashing(spark, rows)).collect()
+    assert sorted(str((r["doc_id"], r["n_words"])) for r in found) == sorted(str((i, len((t or "").encode().split()))) for i, t, *_ in rows)
+    assert all((r["mean_log_prob"] is None and r["log_likelihood"] == 0) if r["n_words"] == 0 else r["mean_log_prob"] < 0 for r in found)
+    docs = common.keyed_texts(frame(spark, rows[:3]))
+    vocabulary = masked_lm.vocabulary_of(docs)
+    fresh = masked_lm.packed(masked_lm.fresh())
+    assert not np.array_equal(masked_lm.train(docs, vocabulary), fresh)
+    assert np.array_equal(masked_lm.train(docs.filter("text = ''"), vocabulary), fresh)
+
+
 def test_masked_training_learns(spark):
     rows = [(i, " ".join(["red green blue yellow"] * 40), "en", "s", 1) for i in range(200)]
     docs = common.keyed_texts(frame(spark, rows))
@@ -244,6 +266,8 @@ def test_masked_training_learns(spark):
 
 def test_toxicity_gradients():
     model = small_model(toxicity.fresh_model())
+    rng = np.random.default_rng(2)
+    model |= {k: rng.standard_normal(toxicity.TOLD) for k in toxicity.COUNTED}
     vocabulary, flat, sizes = ["abc", "idiot", "x", "hello.", ""], np.array([0, 1, 2, 3, 4, 2, 3, 3, 1]), np.array([4, 2, 3])
     starts = np.cumsum(sizes) - sizes
     index, mask = toxicity.laid_out(flat, starts, starts + sizes)
@@ -255,6 +279,60 @@ def test_toxicity_gradients():
     check_gradients(model, grads | toxicity.input_gradients(model, kept_in, d_gates), lambda: (toxicity.forward(model, toxicity.inputs(model, vocabulary)[0], index, mask) * slope).sum())
 
 
+def test_toxicity_forward_word_by_word():
+    """The windows' logits by the gates' equations, one window and one word after the other."""
+    model, rng = small_model(toxicity.fresh_model()), np.random.default_rng(4)
+    model |= {k: rng.standard_normal(toxicity.TOLD) for k in toxicity.COUNTED}
+    windows = [["abc", "idiot", "x"], ["hello."], ["x", "y", "x", "abc", "zz"]]
+    words = sorted({w for x in windows for w in x})
+    gates, _ = toxicity.inputs(model, words)
+    flat = np.array([words.index(w) for x in windows for w in x])
+    ends = np.cumsum([len(x) for x in windows])
+    index, mask = toxicity.laid_out(flat, ends - [len(x) for x in windows], ends)
+    found = toxicity.forward(model, gates, index, mask)
+    h, sig = toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+
+    def gate(word):
+        own, grams, _ = toxicity.features([word])
+        told = model["told_gram"][grams % toxicity.TOLD]
+        learned = np.concatenate([model["word"][own[0] % toxicity.WORDS], model["gram"][grams % toxicity.GRAMS].mean(0)])
+        return np.concatenate([learned, [model["told_word"][own[0] % toxicity.TOLD], told.max(), told.mean()]]) @ model["inp"] + model["bias"]
+
+    def passed(words, at, rec):
+        state, out = np.zeros(h), []
+        for w in words:
+            g, u = gate(w)[at: at + 3 * h], state @ rec
+            z, r = sig(g[:h] + u[:h]), sig(g[h:2 * h] + u[h:2 * h])
+            state = z * state + (1 - z) * np.tanh(g[2 * h:] + r * u[2 * h:])
+            out.append(state)
+        return np.array(out)
+
+    for own, logit in zip(windows, found, strict=True):
+        both = np.concatenate([passed(own, 0, model["rec_f"]), passed(own[::-1], 3 * h, model["rec_b"])[::-1]], 1)
+        weight = np.exp(np.tanh(both @ model["att"] + model["att_bias"]) @ model["att_out"])
+        assert np.isclose((weight / weight.sum()) @ both @ model["out"] + model["out_bias"][0], logit, rtol=1e-6)
+
+
+def test_toxicity_tells_by_other_folds():
+    """Words that one document holds alone tell nothing of it; words that many toxic ones hold do."""
+    samples = [(int(k < 20), ["common", f"own{k}", *(["slur"] if k < 20 else [])]) for k in range(60)]
+    made = toxicity.Sample(samples)
+    of = lambda told, w: told["told_word"][toxicity.features([w])[0][0] % toxicity.TOLD]
+    for k in range(60):
+        told = made.others[made.folds[k]]
+        assert of(told, f"own{k}") == 0 and abs(of(told, "common")) < 0.1 and of(told, "slur") > 0.8
+    assert of(made.told, "slur") >= of(made.others[0], "slur")
+
+
+def test_toxicity_tie_and_labels(spark):
+    rows = [(1, "a", "en", "s", 1), (2, "b", "en", "s", 1)]
+    model = toxicity.fresh_model() | {"out": np.zeros(2 * toxicity.HIDDEN, np.float32)}
+    assert [(r["score"], r["predicted"]) for r in toxicity.score(frame(spark, rows), model).collect()] == [(0.5, 1)] * 2
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, None), (2, 0)], "doc_id long, toxic int")
+    told = {i: t for i, t in ((1, 1), (2, 0)) if zlib.crc32(str(i).encode()) % 5}
+    assert sorted(toxicity.sample(frame(spark, rows), labels)) == sorted((t, [rows[i - 1][1]]) for i, t in told.items())
+
+
 def toxic_rows(n):
     rows = [(i, prose(i, 80 + i % 300), "en", "s", 1) for i in range(n)]
     return [(i, " ".join([*t.split()[:40], "scumbag", *t.split()[40:]]) if i % 4 == 0 else t, *r) for i, t, *r in rows]

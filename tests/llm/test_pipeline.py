@@ -43,3 +43,32 @@ def test_stages(spark, tmp_path):
 def test_run_gives_pieces(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.columns[:2] == ["doc_id", "piece"] and found.count() > 100
+
+
+def test_other_results_outlive_a_run(spark):
+    """Frames made before a run, or by another one, can still be read after it."""
+    from lumenread.llm import exact_dedup, minhash_dedup
+
+    queries = [minhash_dedup.query(spark, SF), exact_dedup.query(spark, SF), corpus_pipeline.run(spark, SF)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        assert stage(spark, docs, SF).count() > 0
+    assert [q.count() for q in queries[:2]] == [docs.count()] * 2 and queries[2].count() == corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_stages_take_hard_rows(spark, tmp_path):
+    """Empty tables, null texts and ids, repeated rows and clashing columns, through all stages."""
+    import os
+
+    from helpers import clashing, frame, repeated
+
+    spark.createDataFrame([(3, 0, 1), (0, 1, 0), (6, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, docs in enumerate((clashing(spark, repeated()), frame(spark, []))):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            path = os.path.join(tmp_path, f"{k}-{name}")
+            stage(spark, docs, str(tmp_path)).write.parquet(path)
+            before, docs = docs, spark.read.parquet(path)
+            assert name == "packing" or docs.columns == columns
+        assert docs.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+        assert (docs.count() > 0) == (k == 0)
