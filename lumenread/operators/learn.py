@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenread.sources import tables
+from lumenread.functions.dialect import SPARK
 
 
 def moments(rows: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:
@@ -41,19 +42,56 @@ def r_squared(m: np.ndarray, intercept: float, weights: np.ndarray) -> float:
     return float(1 - (w @ m @ w) / (m[-1, -1] - m[0, -1] ** 2 / m[0, 0]))
 
 
-def fold(key: Column, folds: int) -> Column:
-    """The fold of a group: all rows of a key are in one."""
+def crc_fold(key: Column, folds: int) -> Column:
+    """The fold of a group by its key's checksum: all rows of a key are in one."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
+def fnv1a(text: Column) -> Column:
+    """32-bit FNV-1a of a text's UTF-8 bytes."""
+    codes = F.transform(F.sequence(F.lit(0), F.octet_length(text)), lambda i: F.conv(F.hex(F.substring(F.encode(text, "UTF-8"), i, 1)), 16, 10).cast("long"))
+    step = lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619), F.lit(1 << 32))
+    return F.aggregate(F.slice(codes, 2, F.octet_length(text)), F.lit(2166136261).cast("long"), step)
+
+
+def fold(key: str, folds: int) -> Column:
+    """The fold of a group by the documented random stream: all rows of a key are in one."""
+    return F.floor(F.expr(SPARK.uniform("'fold'", key)) * folds).cast("int")
+
+
 def group_cv(rows: DataFrame, key: str, features: Sequence[str], target: str, alphas: Sequence[float], folds: int = 10) -> pd.DataFrame:
     """R squared of each fold and alpha, fitted on the other folds, from one pass over the rows."""
-    parts = {r["fold"]: matrix(r["moments"]) for r in moments(rows.withColumn("fold", fold(F.col(key), folds)), features, target, ["fold"]).collect()}
+    parts = {r["fold"]: matrix(r["moments"]) for r in moments(rows.withColumn("fold", fold(key, folds)), features, target, ["fold"]).collect()}
     whole = sum(parts.values())
     out = [(k, a, int(m[0, 0]), r_squared(m, *ridge(whole - m, a))) for k, m in sorted(parts.items()) for a in alphas]
     return pd.DataFrame(out, columns=["fold", "alpha", "n", "r2"])
 
 
+def shuffled_group_cv(rows: DataFrame, key: str, features: Sequence[str], target: str, alpha: float, splits: int = 30, share: float = 0.2, shards: int = 200) -> list[tuple[int, int, float]]:
+    """Test rows and R squared of each of several random splits that keep groups together, from one pass over the rows.
+
+    Groups fall into shards, and a split draws shards for its test.
+    """
+    parts = {r["fold"]: matrix(r["moments"]) for r in moments(rows.withColumn("fold", fold(key, shards)), features, target, ["fold"]).collect()}
+    out = []
+    for split in range(1, splits + 1):
+        tested = [m for k, m in parts.items() if stream("split", split, k) < share]
+        if tested and len(tested) < len(parts):
+            test = sum(tested)
+            out.append((split, int(test[0, 0]), r_squared(test, *ridge(sum(parts.values()) - test, alpha))))
+    return out
+
+
+def stream(*parts: object) -> float:
+    """The documented random stream on the driver."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def best_alpha(train: np.ndarray, dev: np.ndarray, alphas: Sequence[float]) -> float:
+    """The alpha whose fit on the training moments explains the development moments best; the smallest of equal ones."""
+    return max(sorted(alphas), key=lambda a: round(r_squared(dev, *ridge(train, a)), 12))
+
+
 def logistic(rows: DataFrame, features: Sequence[str], label: str, penalty: float = 1.0, intercept: bool = True, steps: int = 12) -> np.ndarray:
     """Weights (intercept first) of a penalised logistic fit by Newton's method; each step is one aggregation."""
     names = list(features)
@@ -97,93 +135,89 @@ def vectors_of_pairs(pairs: DataFrame, left: str, right: str, label_first: str,
     return one.unionByName(two)
 
 
-def linear_svm(rows: DataFrame, features: Sequence[str], label: str, penalty: float = 0.01) -> tuple[float, np.ndarray]:
-    """Intercept and weights of a linear support vector classifier."""
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import VectorAssembler
+def squared_hinge(rows: DataFrame, features: Sequence[str], label: str, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Weights (intercept first, held like the others) of a linear support vector classifier with squared hinge loss.
 
-    data = VectorAssembler(inputCols=list(features), outputCol="v").transform(rows).select("v", F.col(label).cast("double").alias("y"))
-    model = LinearSVC(featuresCol="v", labelCol="y", regParam=penalty, standardization=False).fit(data)
-    return float(model.intercept), model.coefficients.toArray()
+    Newton's method on the rows inside the margin; each step is one aggregation, and it ends when
+    the same rows are inside again.
+    """
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
+    y = 2 * F.col(label) - 1
+    weights = np.zeros(len(x))
+    for _ in range(steps):
+        z = sum((F.lit(float(w)) * c for w, c in zip(weights, x, strict=True)), F.lit(0.0))
+        inside = F.when(y * z < 1, 1.0).otherwise(0.0)
+        row = rows.agg(F.array(*[F.sum(inside * y * c) for c in x]).alias("g"), F.array(*[F.sum(inside * a * b) for i, a in enumerate(x) for b in x[i:]]).alias("h")).first()
+        found = np.linalg.solve(2 * penalty * matrix(row["h"]) + np.eye(len(x)), 2 * penalty * np.array(row["g"]))
+        done = np.abs(found - weights).max() < 1e-12
+        weights = found
+        if done:
+            break
+    return weights
 
 
 def squares(rows: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """rows with all products of two features beside the features themselves."""
     names = list(features)
-    more = {f"{a}*{b}": F.col(a) * F.col(b) for i, a in enumerate(names) for b in names[i:]}
+    more = {f"{a}_{b}": F.col(a) * F.col(b) for i, a in enumerate(names) for b in names[i:]}
     return rows.select("*", *[c.alias(n) for n, c in more.items()]), [*names, *more]
 
 
-FEATURES = ["x1", "x2", "x3", "x4"]
-
+def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = 10) -> DataFrame:
+    """rows with a fold that has its share of every label, by the random stream within the label."""
+    return rows.withColumn("fold", F.floor(F.expr(SPARK.uniform("'strata'", label, key)) * folds).cast("int"))
 
-def example(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = tables.read(spark, sf_dir, "embeddings")
-    return vectors.select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(5)])
 
-
-def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = matrix(moments(example(spark, sf_dir), FEATURES, "x0").first()["moments"])
-    out = []
-    for alpha in (0.01, 0.1, 1.0, 10.0, 100.0):
-        intercept, weights = ridge(m, alpha)
-        out.append((alpha, "intercept", intercept, r_squared(m, intercept, weights)))
-        out += [(alpha, c, float(w), r_squared(m, intercept, weights)) for c, w in zip(FEATURES, weights, strict=True)]
-    return spark.createDataFrame(out, "alpha double, term string, weight double, r2 double")
-
-
-def ridge_group_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(group_cv(example(spark, sf_dir), "label", FEATURES, "x0", [0.1, 1.0, 10.0], 5))
-
-
-def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R squared of growing groups of features."""
-    out = []
-    for n in range(1, len(FEATURES) + 1):
-        m = matrix(moments(example(spark, sf_dir), FEATURES[:n], "x0").first()["moments"])
-        out.append((n, ", ".join(FEATURES[:n]), r_squared(m, *ridge(m, 1.0))))
-    return spark.createDataFrame(out, "n int, features string, r2 double")
-
-
-def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = logistic(example(spark, sf_dir).withColumn("y", (F.col("label") % 2).cast("double")), FEATURES, "y")
-    return spark.createDataFrame([(t, float(w)) for t, w in zip(["intercept", *FEATURES], weights, strict=True)], "term string, weight double")
-
-
-def pair_ranker_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = example(spark, sf_dir)
-    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("b"), *[F.col(c).alias(f"_{c}") for c in FEATURES])
-    pairs = rows.join(other, "vec_id").filter("label <> b").select((F.col("label") > F.col("b")).cast("double").alias("y"), *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in FEATURES])
-    weights, scales = pair_ranker(pairs, FEATURES, "y")
-    return spark.createDataFrame([(c, float(w), float(s)) for c, w, s in zip(FEATURES, weights, scales, strict=True)], "term string, weight double, scale double")
+def logistic_folds(rows: DataFrame, features: Sequence[str], label: str, fold_: str = "fold", penalty: float = 1.0, steps: int = 12) -> dict[int, np.ndarray]:
+    """Weights (intercept first) of a penalised logistic fit without each fold, all fits in the same aggregations."""
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
+    ids = sorted(r[0] for r in rows.select(fold_).distinct().collect())  # a row a fold
+    weights = {k: np.zeros(len(x)) for k in ids}
+    hold = penalty * np.diag([0.0] + [1.0] * len(features))
+    fits = rows.withColumn("fit", F.explode(F.array(*[F.lit(k) for k in ids]))).filter(F.col("fit") != F.col(fold_))
+    for _ in range(steps):
+        told = F.create_map(*[c for k, w in weights.items() for c in (F.lit(k), F.array(*[F.lit(float(v)) for v in w]))])
+        own = fits.withColumn("w", told[F.col("fit")])
+        z = sum((F.col("w")[i] * c for i, c in enumerate(x)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-z))
+        own = own.withColumn("p", p)
+        sums = own.groupBy("fit").agg(
+            F.array(*[F.sum((F.col(label) - F.col("p")) * c) for c in x]).alias("g"), F.array(*[F.sum(F.col("p") * (1 - F.col("p")) * a * b) for i, a in enumerate(x) for b in x[i:]]).alias("h")).collect()
+        most = 0.0
+        for r in sums:
+            step = np.linalg.solve(matrix(r["h"]) + hold, np.array(r["g"]) - hold @ weights[r["fit"]])
+            weights[r["fit"]] = weights[r["fit"]] + step
+            most = max(most, float(np.abs(step).max()))
+        if most < 1e-10:
+            break
+    return weights
 
 
-def polynomial_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leave one target out: fits of squares and products on all labels but one, scored on it."""
-    rows, names = squares(example(spark, sf_dir), FEATURES)
-    rows = rows.select("label", "x0", *[F.col(f"`{n}`").alias(n.replace("*", "_")) for n in names])
-    parts = {r["label"]: matrix(r["moments"]) for r in moments(rows, [n.replace("*", "_") for n in names], "x0", ["label"]).collect()}
-    whole = sum(parts.values())
-    return spark.createDataFrame([(int(k), int(m[0, 0]), r_squared(m, *ridge(whole - m, 1.0))) for k, m in sorted(parts.items())], "label int, n int, r2 double")
+def fold_scores(rows: DataFrame, features: Sequence[str], label: str, weights: dict[int, np.ndarray], fold_: str = "fold") -> DataFrame:
+    """n and accuracy of each fold under the fit without it."""
+    told = F.create_map(*[c for k, w in weights.items() for c in (F.lit(k), F.array(*[F.lit(float(v)) for v in w]))])
+    z = sum((told[F.col(fold_)][i] * c for i, c in enumerate([F.lit(1.0), *[F.col(c).cast("double") for c in features]])), F.lit(0.0))
+    return rows.groupBy(fold_).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when((z > 0) == (F.col(label) == 1), 1.0).otherwise(0.0)), 6).alias("accuracy"))
 
 
-def svm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    intercept, weights = linear_svm(example(spark, sf_dir).withColumn("y", F.col("label") % 2), FEATURES, "y")
-    return spark.createDataFrame([("intercept", intercept), *[(c, float(w)) for c, w in zip(FEATURES, weights, strict=True)]], "term string, weight double")
+def save_model(spark: SparkSession, path: str, kind: str, terms: dict[str, float], scales: dict[str, float] | None = None) -> None:
+    """A linear model as a small table: kind, term, weight, scale."""
+    rows = [(kind, t, float(w), float((scales or {}).get(t, 1.0))) for t, w in terms.items()]
+    spark.createDataFrame(rows, "kind string, term string, weight double, scale double").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def padded_pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reading-time vectors of consecutive readers' words, in both orders."""
-    from pyspark.sql import Window
+def load_model(spark: SparkSession, path: str) -> tuple[str, dict[str, float], dict[str, float]]:
+    rows = spark.read.parquet(path).collect()  # a row a term
+    return rows[0]["kind"], {r["term"]: r["weight"] for r in rows}, {r["term"]: r["scale"] for r in rows}
 
-    from lumenread.operators.gaze import reading_measures
 
-    m = reading_measures(tables.fixations(spark, sf_dir))
-    times = m.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("wnum", "ffd"))), lambda s: s["ffd"]).alias("a"), F.sum("td").alias("total"))
-    order = Window.partitionBy((F.col("user_id") / 50).cast("int")).orderBy("user_id")
-    pairs = times.withColumn("b", F.lead("a").over(order)).withColumn("other", F.lead("total").over(order)).filter("b is not null")
-    vectors = vectors_of_pairs(pairs.withColumn("harder", (F.col("total") > F.col("other")).cast("int")), "a", "b", "harder")
-    return vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"))
+def linear_score(terms: dict[str, float], scales: dict[str, float] | None = None) -> Column:
+    """A saved model's value: the intercept and each term's weight times its column over its scale; null counts as 0."""
+    parts = [F.lit(w) if t == "intercept" else F.lit(w) * F.coalesce(F.col(t), F.lit(0.0)) / F.lit((scales or {}).get(t, 1.0)) for t, w in terms.items()]
+    return sum(parts, F.lit(0.0))
 
 
-QUERIES = {"polynomial_cv": polynomial_cv, "svm_fit": svm_fit, "padded_pair_vectors": padded_pair_vectors, "ridge_fit": ridge_fit, "ridge_group_cv": ridge_group_cv, "ablation": ablation, "logistic_fit": logistic_fit, "pair_ranker_fit": pair_ranker_fit}
+def varying(rows: DataFrame, features: Sequence[str]) -> list[str]:
+    """The features with some value and some spread."""
+    row = rows.agg(*[F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(c) for c in features]).first()
+    return [c for c in features if row[c] > 0]

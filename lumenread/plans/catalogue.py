@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from lumenread.operators import learn, trees
-from lumenread.plans import gaze, statistics, text
+from lumenread.operators import trees
+from lumenread.plans import gaze, learning, statistics, text
 
-MODULES = (gaze, text, statistics)
+MODULES = (gaze, text, statistics, learning)
 
 
 def queries() -> dict:
     found: dict = {}
     for module in MODULES:
         found |= module.QUERIES | {name: frame for name, (frame, _) in module.FRAMES.items()}
-    return found | learn.QUERIES | trees.QUERIES
+    return found | trees.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,18 +7,35 @@ from lumenread.plans.query import SqlQuery
 
 #: Average ranks, as Spearman's coefficient takes them.
 RANK = "rank() over (partition by {g} order by {x}) + (count(*) over (partition by {g}, {x}) - 1) / 2e0"
-#: Sentences of a bucket, within which pairs are drawn: pairs grow with the sentences, not with their square.
-BUCKET = 64
-DRAWS = 40
+#: Draws of a resampled interval.
+DRAWS = 2000
+#: Rows of a bucket that rows are numbered in, so that no numbering is one task's.
+BUCKET = 4096
+
+
+def numbered(d: Dialect, rows: str, by: str, keys: str, out: str) -> str:
+    """Relations that number rows from 1 within by: places in a hash bucket plus the rows of the buckets before."""
+    return f"""{out}_b as (select r.*, cast(floor({d.uniform("'bucket'", *keys.split(", "))} * greatest(1, ceil(n.n / {BUCKET}e0))) as bigint) as bucket from {rows} r cross join (select count(*) as n from {rows}) n),
+{out}_c as (select {by}, bucket, count(*) as n from {out}_b group by {by}, bucket),
+{out}_o as (select {by}, bucket, coalesce(sum(n) over (partition by {by} order by bucket rows between unbounded preceding and 1 preceding), 0) as before from {out}_c),
+{out}_s as (select {by}, sum(n) as size from {out}_c group by {by}),
+{out} as (select b.*, cast(o.before + row_number() over (partition by b.{by}, b.bucket order by {", ".join("b." + k for k in keys.split(", "))}) as bigint) as nth from {out}_b b join {out}_o o on o.{by} = b.{by} and o.bucket = b.bucket)"""
 
 
 def graded_sentences(d: Dialect) -> str:
-    """The first sentences of documents, graded by their document's length, dealt to buckets of documents by the random stream."""
-    return f"""buckets as (select greatest(1, cast(floor(count(*) / {BUCKET}e0) as bigint)) as buckets from {{documents}}),
-graded as (select doc_id, sid, grade, words, chars, bucket from (
-    select s.doc_id, s.sid, cast(floor(ln(d.n_chars + 1e0)) as int) as grade, length(s.sentence) - length(replace(s.sentence, ' ', '')) + 1 as words, length(s.sentence) as chars,
-    cast(floor({d.uniform("'bucket'", "s.doc_id")} * buckets) as bigint) as bucket
-    from {{sent}} s join {{documents}} d on d.doc_id = s.doc_id cross join buckets where s.sid <= 3) q where words between 4 and 30)"""
+    """All sentences, graded by their document's length."""
+    return """graded as (select s.doc_id, s.sid, cast(floor(ln(d.n_chars + 1e0)) as int) as grade, length(s.sentence) - length(replace(s.sentence, ' ', '')) + 1 as words, length(s.sentence) as chars
+    from {sent} s join {documents} d on d.doc_id = s.doc_id)"""
+
+
+def drawn_pairs(d: Dialect, draws: int = 1, least_gap: int = 2) -> str:
+    """Pairs of an easier and a harder sentence at least least_gap grades apart: every sentence draws from all
+    sentences of each harder grade, with replacement; pairs that were drawn twice are one."""
+    return f"""{graded_sentences(d)}, {numbered(d, "graded", "grade", "doc_id, sid", "ranked")},
+    wishes as (select a.doc_id, a.sid, a.grade, a.words, a.chars, z.grade as other, cast(1 + floor({d.uniform("'pair'", "a.doc_id", "a.sid", "z.grade", "t.draw")} * z.size) as bigint) as wish
+        from graded a join ranked_s z on z.grade >= a.grade + {least_gap} cross join {d.series("1", str(draws), "draw")} t),
+    pairs as (select distinct w.doc_id as doc_a, w.sid as sid_a, b.doc_id as doc_b, b.sid as sid_b, w.grade as grade_a, b.grade as grade_b, w.words as words_a, b.words as words_b, w.chars as chars_a, b.chars as chars_b
+        from wishes w join ranked b on b.grade = w.other and b.nth = w.wish)"""
 
 
 def hash_split(d: Dialect) -> str:
@@ -54,31 +71,31 @@ def batches(d: Dialect) -> str:
 
 
 def graded_pairs(d: Dialect) -> str:
-    """Pairs of sentences at least two grades apart: a hash-ranked few for each first sentence."""
-    return f"""with {graded_sentences(d)}, s as (select * from graded where sid = 1),
-    p as (select a.doc_id as doc_a, b.doc_id as doc_b, a.grade as grade_a, b.grade as grade_b,
-        row_number() over (partition by a.doc_id order by {d.uniform('a.doc_id', 'b.doc_id')}, b.doc_id) as rn from s a join s b on a.bucket = b.bucket and b.grade >= a.grade + 2 and b.grade <= a.grade + 3)
-    select doc_a, doc_b, grade_a, grade_b, grade_b - grade_a as gap, case when {d.uniform('doc_a')} < 0.2 then 'test' else 'train' end as split from p where rn <= 3"""
+    """Pairs of sentences at least two grades apart, split by the easier one's document."""
+    return f"""with {drawn_pairs(d)}
+    select doc_a, sid_a, doc_b, sid_b, grade_a, grade_b, grade_b - grade_a as gap, case when {d.uniform("'page'", 'doc_a')} < 0.2 then 'test' else 'train' end as split from pairs"""
 
 
 def pair_baseline_accuracy(d: Dialect) -> str:
     """Direction from the training pairs, ties half right, on the test pairs."""
-    return f"""with {graded_sentences(d)}, s as (select * from graded where sid = 1),
-    p as (select a.doc_id as ka, sign(b.chars - a.chars) as delta, {d.uniform('a.doc_id')} as u,
-        row_number() over (partition by a.doc_id order by {d.uniform('a.doc_id', 'b.doc_id')}, b.doc_id) as rn from s a join s b on a.bucket = b.bucket and b.grade >= a.grade + 2 and b.grade <= a.grade + 3),
-    k as (select * from p where rn <= 4), w as (select case when avg(delta) >= 0 then 1 else -1 end as direction from k where u >= 0.2)
+    return f"""with {drawn_pairs(d)}, k as (select sign(chars_b - chars_a) as delta, {d.uniform("'page'", 'doc_a')} as u from pairs),
+    w as (select case when avg(delta) >= 0 then 1 else -1 end as direction from k where u >= 0.2)
     select count(*) as n, round(avg(case when delta = 0 then 0.5e0 when delta * direction > 0 then 1e0 else 0e0 end), 6) as accuracy, max(direction) as direction from k cross join w where u < 0.2"""
 
 
+def counted_pairs(d: Dialect) -> str:
+    """All pairs of sentences of equal words and different grades, from counts by grade, words and characters."""
+    return f"""{graded_sentences(d)}, h as (select grade, words, chars, count(*) as n from graded group by grade, words, chars),
+    p as (select a.grade as low, b.grade as high, a.chars as chars_a, b.chars as chars_b, cast(a.n * b.n as bigint) as n from h a join h b on b.words = a.words and b.grade > a.grade)"""
+
+
 def length_matched(d: Dialect) -> str:
-    return f"""with {graded_sentences(d)}, s as (select * from graded where sid = 2)
-    select a.grade as low, b.grade as high, count(*) as pairs, round(avg(abs(a.chars - b.chars)), 6) as mean_gap from s a join s b on a.bucket = b.bucket and b.grade > a.grade and a.words = b.words group by a.grade, b.grade"""
+    return f"""with {counted_pairs(d)} select low, high, cast(sum(n) as bigint) as pairs, round(sum(n * abs(chars_a - chars_b)) / cast(sum(n) as double), 6) as mean_gap from p group by low, high"""
 
 
 def gap_accuracy(d: Dialect) -> str:
-    return f"""with {graded_sentences(d)}, s as (select * from graded where sid = 1)
-    select b.grade - a.grade as gap, count(*) as n, round(avg(case when b.chars > a.chars then 1e0 when b.chars = a.chars then 0.5e0 else 0e0 end), 6) as accuracy
-    from s a join s b on a.bucket = b.bucket and b.grade > a.grade and a.words = b.words group by b.grade - a.grade"""
+    return f"""with {counted_pairs(d)}
+    select high - low as gap, cast(sum(n) as bigint) as n, round(sum(n * case when chars_b > chars_a then 1e0 when chars_b = chars_a then 0.5e0 else 0e0 end) / sum(n), 6) as accuracy from p group by high - low"""
 
 
 def pearson(d: Dialect) -> str:
@@ -110,9 +127,19 @@ def r2_identity(d: Dialect) -> str:
 
 
 def pairwise_agreement(d: Dialect) -> str:
-    """Correlation of every two readers over the words both read, then its mean by reader."""
-    return """with m as (select user_id, w, sum(d) as td from {fix} group by user_id, w),
-    p as (select a.user_id as r1, b.user_id as r2, count(*) as n, corr(a.td, b.td) as r from m a join m b on b.w = a.w and a.user_id < b.user_id and b.user_id <= a.user_id + 20 group by a.user_id, b.user_id having count(*) >= 3)
+    """Spearman's coefficient of every two readers over the words both read, then its mean by the first reader.
+
+    Words are few, so readers meet by word and a block of the first reader's id: as many tasks as blocks share a word.
+    """
+    blocks = 64
+    rank = "rank() over (partition by r1, r2 order by {0}) + (count(*) over (partition by r1, r2, {0}) - 1) / 2e0"
+    if d.spark:
+        pairs = f"select a.user_id as r1, b.user_id as r2, a.td as x, b.td as y from m a join (select m.*, explode(sequence(0, {blocks - 1})) as block from m) b on b.w = a.w and b.block = pmod(hash(a.user_id), {blocks}) and a.user_id < b.user_id"
+    else:
+        pairs = "select a.user_id as r1, b.user_id as r2, a.td as x, b.td as y from m a join m b on b.w = a.w and a.user_id < b.user_id"
+    return f"""with m as (select user_id, w, sum(d) as td from {{fix}} group by user_id, w), q as ({pairs}),
+    k as (select r1, r2, {rank.format("x")} as rx, {rank.format("y")} as ry from q),
+    p as (select r1, r2, count(*) as n, case when stddev_pop(rx) = 0 or stddev_pop(ry) = 0 then null else corr(rx, ry) end as r from k group by r1, r2 having count(*) >= 3)
     select r1 as user_id, count(*) as pairs, round(avg(r), 6) as mean_r, round(avg(n), 6) as mean_overlap from p group by r1"""
 
 
@@ -135,36 +162,54 @@ def tertile_bands(d: Dialect) -> str:
     group by case when d <= a then 'low' when d <= b then 'mid' else 'high' end"""
 
 
-def drawn(d: Dialect, *parts: str) -> str:
-    """How often a unit is in a resample: Poisson with mean 1, from the documented random stream.
+def drawn(u: str) -> str:
+    """How often a unit is in a resample: Poisson with mean 1, from a number of the documented random stream.
 
-    Every unit draws its own count, so no unit has to be numbered and no draw has to be gathered.
+    Every unit draws its own count, so no unit has to be numbered and no draw has to be gathered; draws
+    are made and summed up in the same stage, so nothing but sums by draw is shuffled.
     """
-    u = d.uniform(*parts)
     return f"(case when {u} < 0.36787944 then 0 when {u} < 0.73575888 then 1 when {u} < 0.91969860 then 2 when {u} < 0.98101184 then 3 when {u} < 0.99634015 then 4 else 5 end)"
 
 
-def bootstrap_mean(d: Dialect) -> str:
+def draws_of(d: Dialect, rows: str, columns: str, *streams: tuple[str, ...], draws: int = DRAWS) -> str:
+    """rows once a draw, with how often each is drawn: the product of its streams' counts."""
+    streams_ = ", ".join(f"{d.uniform(*s)} as u{k}" for k, s in enumerate(streams))
+    times = " * ".join(drawn(f"u{k}") for k in range(len(streams)))
+    return f"select draw, {columns}, {times} as times from (select draw, {columns}, {streams_} from {rows} cross join {d.series('1', str(draws), 'draw')} t) z"
+
+
+def bootstrap_mean(d: Dialect, draws: int = DRAWS) -> str:
     """Interval of the mean label by language over resampled documents."""
     return f"""with x as (select l.doc_id, l.quality, o.lang from {{labels}} l join {{documents}} o on o.doc_id = l.doc_id),
-    m as (select lang, draw, sum(quality * {drawn(d, "'b'", 'draw', 'doc_id')}) / cast(nullif(sum({drawn(d, "'b'", 'draw', 'doc_id')}), 0) as double) as mean_q from x cross join {d.series('1', str(DRAWS), 'draw')} group by lang, draw)
+    s as ({draws_of(d, "x", "lang, quality", ("'b'", "draw", "doc_id"), draws=draws)}),
+    m as (select lang, draw, sum(quality * times) / cast(nullif(sum(times), 0) as double) as mean_q from s group by lang, draw)
     select lang, count(mean_q) as draws, round({d.pct('mean_q', 0.025)}, 6) as low, round({d.pct('mean_q', 0.5)}, 6) as median, round({d.pct('mean_q', 0.975)}, 6) as high from m group by lang"""
 
 
-def cluster_bootstrap_diff(d: Dialect) -> str:
+def bootstrap_spearman(d: Dialect, draws: int = 200) -> str:
+    """Interval of Spearman's coefficient over resampled documents: ranks are taken anew in every draw, a unit counting as often as it is drawn."""
+    rank = "sum(times) over (partition by draw order by {0}) - (sum(times) over (partition by draw, {0}) - 1) / 2e0"
+    return f"""with x as (select l.doc_id, o.n_chars as x, length(replace(o.text, ' ', '')) / cast(o.n_chars as double) as y from {{labels}} l join {{documents}} o on o.doc_id = l.doc_id where o.n_chars > 0),
+    s as (select * from ({draws_of(d, "x", "x, y", ("'rho'", "draw", "doc_id"), draws=draws)}) q where times > 0),
+    r as (select draw, times, {rank.format("x")} as rx, {rank.format("y")} as ry from s),
+    m as (select draw, (sum(times * rx * ry) - sum(times * rx) * sum(times * ry) / sum(times)) / nullif(sqrt((sum(times * rx * rx) - sum(times * rx) * sum(times * rx) / sum(times)) * (sum(times * ry * ry) - sum(times * ry) * sum(times * ry) / sum(times))), 0) as rho from r group by draw)
+    select count(rho) as draws, round({d.pct('rho', 0.025)}, 6) as low, round({d.pct('rho', 0.5)}, 6) as median, round({d.pct('rho', 0.975)}, 6) as high from m"""
+
+
+def cluster_bootstrap_diff(d: Dialect, draws: int = DRAWS) -> str:
     """Readers are drawn, and with them all their fixations: interval and one-sided share of a difference."""
     return f"""with c as (select user_id, sum(case when w < 4 then d else 0 end) as sa, sum(case when w < 4 then 1 else 0 end) as na, sum(case when w >= 4 then d else 0 end) as sb, sum(case when w >= 4 then 1 else 0 end) as nb from {{fix}} group by user_id),
-    s as (select draw, c.*, {drawn(d, "'c'", 'draw', 'user_id')} as times from c cross join {d.series('1', str(DRAWS), 'draw')}),
+    s as ({draws_of(d, "c", "sa, na, sb, nb", ("'c'", "draw", "user_id"), draws=draws)}),
     m as (select draw, sum(sa * times) / nullif(sum(na * times), 0) - sum(sb * times) / nullif(sum(nb * times), 0) as diff from s group by draw)
     select count(diff) as draws, round({d.pct('diff', 0.025)}, 6) as low, round({d.pct('diff', 0.975)}, 6) as high, round(avg(case when diff <= 0 then 1e0 else 0e0 end), 6) as p from m"""
 
 
-def pair_bootstrap(d: Dialect) -> str:
+def pair_bootstrap(d: Dialect, draws: int = DRAWS) -> str:
     """Texts are drawn; a pair weighs the product of its texts' counts."""
-    a, b = drawn(d, "'p'", "draw", "user_id", "wa"), drawn(d, "'p'", "draw", "user_id", "wb")
     return f"""with w as (select user_id, w, avg(d) as x from {{fix}} group by user_id, w),
     p as (select a.user_id, a.w as wa, b.w as wb, case when b.x > a.x then 1e0 when b.x = a.x then 0.5e0 else 0e0 end as hit from w a join w b on b.w = a.w + 1 and a.user_id = b.user_id),
-    m as (select draw, sum(hit * {a} * {b}) / cast(nullif(sum({a} * {b}), 0) as double) as acc from p cross join {d.series('1', '20', 'draw')} group by draw)
+    s as ({draws_of(d, "p", "hit", ("'p'", "draw", "user_id", "wa"), ("'p'", "draw", "user_id", "wb"), draws=draws)}),
+    m as (select draw, sum(hit * times) / cast(nullif(sum(times), 0) as double) as acc from s group by draw)
     select count(acc) as draws, round({d.pct('acc', 0.025)}, 6) as low, round({d.pct('acc', 0.975)}, 6) as high from m"""
 
 
@@ -177,17 +222,18 @@ def threshold_search(d: Dialect) -> str:
 
 
 def pair_vectors(d: Dialect) -> str:
-    """Both orders of a pair, labelled by which side is first."""
-    return f"""with {graded_sentences(d)}, s as (select doc_id, grade, bucket, count(*) as n, sum(words) as words, sum(chars) as chars from graded group by doc_id, grade, bucket),
-    p as (select a.doc_id as a, b.doc_id as b, a.words - b.words as dw, a.chars - b.chars as dc, row_number() over (partition by a.doc_id order by b.doc_id) as rn from s a join s b on a.bucket = b.bucket and a.grade = b.grade + 2)
-    select a, b, dw, dc, 1 as label from p where rn <= 2 union all select b as a, a as b, -dw as dw, -dc as dc, 0 as label from p where rn <= 2"""
+    """Both orders of a pair of documents two grades apart, labelled by which side is first; every easier document draws two partners."""
+    return f"""with {graded_sentences(d)}, texts as (select doc_id, grade, count(*) as n, sum(words) as words, sum(chars) as chars from graded group by doc_id, grade),
+    {numbered(d, "texts", "grade", "doc_id", "ranked")},
+    wishes as (select a.doc_id, a.words, a.chars, z.grade as other, cast(1 + floor({d.uniform("'vector'", "a.doc_id", "t.draw")} * z.size) as bigint) as wish from texts a join ranked_s z on z.grade = a.grade + 2 cross join {d.series("1", "2", "draw")} t),
+    p as (select distinct b.doc_id as a, w.doc_id as b, b.words - w.words as dw, b.chars - w.chars as dc from wishes w join ranked b on b.grade = w.other and b.nth = w.wish)
+    select a, b, dw, dc, 1 as label from p union all select b as a, a as b, -dw as dw, -dc as dc, 0 as label from p"""
 
 
 def pair_score(d: Dialect) -> str:
     """A fixed linear score of both sides and the verdict."""
-    return f"""with {graded_sentences(d)}, s as (select doc_id, grade, bucket, 0.3e0 * words + 0.02e0 * chars as score from graded where sid = 1),
-    p as (select a.doc_id as a, b.doc_id as b, b.score - a.score as delta, row_number() over (partition by a.doc_id order by b.doc_id) as rn from s a join s b on a.bucket = b.bucket and b.grade = a.grade + 2)
-    select a, b, round(1 / (1 + exp(-delta)), 6) as p_harder, case when delta > 0 then 1 else 0 end as agree from p where rn <= 3"""
+    return f"""with {drawn_pairs(d)}, p as (select *, 0.3e0 * (words_b - words_a) + 0.02e0 * (chars_b - chars_a) as delta from pairs)
+    select doc_a, sid_a, doc_b, sid_b, round(1 / (1 + exp(-delta)), 6) as p_harder, case when delta > 0 then 1 else 0 end as agree from p"""
 
 
 def feature_stability(d: Dialect) -> str:
@@ -323,16 +369,30 @@ def sessions(d: Dialect) -> str:
     select user_id, cast(session as bigint) as session, count(*) as n, round(max(t) - min(t), 3) as seconds from s group by user_id, session"""
 
 
-def tree_depth(d: Dialect) -> str:
-    """Depth in the tree of parents key div 3, root 0, by a recursive relation."""
-    half = "cast(floor(c.c_custkey / 3e0) as bigint)"
-    return f"""with recursive t as (select cast(c_custkey as bigint) as k, 0 as depth from {{customer}} where c_custkey = 1
-    union all select cast(c.c_custkey as bigint) as k, t.depth + 1 as depth from {{customer}} c join t on {half} = t.k where c.c_custkey > 1 and t.depth < 30)
-    select depth, count(*) as n, min(k) as first_key from t group by depth"""
+HEADS = """
+words as (select item_id, word, row_number() over (partition by item_id order by nth) as id from ({items}) q),
+heads as (select a.item_id, a.id, a.word, coalesce(min(b.id), 0) as head from words a left join words b on b.item_id = a.item_id and b.id > a.id and length(b.word) > length(a.word) group by a.item_id, a.id, a.word)
+"""
+
+
+def heads(d: Dialect) -> str:
+    """A dependency tree an item: a word's head is the next longer one, else the root."""
+    if d.spark:
+        items = r"select item_id, posexplode(regexp_extract_all(lower(text), r'\p{L}+', 0)) as (nth, word) from {benchmark}"
+    else:
+        items = r"select item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) as word, unnest(range(len(regexp_extract_all(lower(text), '\p{L}+')))) as nth from {benchmark}"
+    return HEADS.replace("{items}", items)
+
+
+def tree_depth(d: Dialect, root_depth: int = 1) -> str:
+    """Depth of each word in its item's dependency tree, by a recursive relation; the root counts root_depth."""
+    return f"""with recursive {heads(d)}, t as (select item_id, id, {root_depth} as depth from heads where head = 0
+    union all select h.item_id, h.id, t.depth + 1 as depth from heads h join t on h.item_id = t.item_id and h.head = t.id)
+    select item_id, count(*) as words, max(depth) as depth, round(avg(depth), 6) as mean_depth from t group by item_id"""
 
 
 def dep_distance(d: Dialect) -> str:
-    return """select c_nationkey, count(*) as n, round(avg(abs(c_custkey - floor(c_custkey / 3e0))), 6) as mean_distance from {customer} where c_custkey > 1 group by c_nationkey"""
+    return f"""with {heads(d)} select item_id, count(*) as n, round(avg(abs(id - head)), 6) as mean_distance from heads where head > 0 group by item_id"""
 
 
 def score_change(d: Dialect) -> str:
@@ -342,7 +402,7 @@ def score_change(d: Dialect) -> str:
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
     hash_split, group_split, seeded_group_split, hash_sample, participant_order, latin_square, batches, graded_pairs, pair_baseline_accuracy, length_matched,
-    gap_accuracy, pearson, spearman, partial_spearman, r2_identity, pairwise_agreement, leave_one_out, percentile_ci, tertile_bands, bootstrap_mean,
+    gap_accuracy, pearson, spearman, partial_spearman, r2_identity, pairwise_agreement, leave_one_out, percentile_ci, tertile_bands, bootstrap_mean, bootstrap_spearman,
     cluster_bootstrap_diff, pair_bootstrap, threshold_search, pair_vectors, pair_score, feature_stability, per_target_error, validation_summary, standardise,
     ols_single, mean_imputation, linear_scorer, reader_qc, calibration_selection, two_level_mean, mode_vote, survey_unpivot, side_mapping, item_means,
     answer_clamp, override_join, default_lookup, semi_split, anti_seen, first_wins, last_wins, nearest_level, level_profile, confusion_by_label,

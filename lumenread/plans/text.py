@@ -160,15 +160,17 @@ def text_mean_features(d: Dialect) -> str:
     select doc_id, count(*) as n_sentences, round(avg(words), 6) as words, round(avg(chars / cast(greatest(words, 1) as double)), 6) as word_len, round(avg(commas), 6) as commas from x group by doc_id"""
 
 
-def context_budget(d: Dialect) -> str:
-    """Earlier turns, latest first, that fit a budget of words; the first that overflows ends the context."""
+def context_budget(d: Dialect, budget: int = 120) -> str:
+    """Earlier turns, latest first, that fit a budget of words; the first that overflows ends the context.
+
+    Turns from b on fit before turn n if the words before n less those before b are within the budget: a range of running sums.
+    """
     s = chr(92)
     return f"""with x as (select conv_id, turn, {d.count_matches('text', s + 'S+')} as words from {{conversations}}),
-    y as (select *, row_number() over (partition by conv_id order by turn) as n from x),
-    z as (select a.conv_id, a.turn, b.n as bn, sum(b.words) over (partition by a.conv_id, a.turn order by b.n desc) as used
-          from y a join y b on b.conv_id = a.conv_id and b.n < a.n and b.n >= a.n - 3)
-    select y.conv_id, y.turn, count(z.bn) as context_turns, cast(coalesce(max(z.used), 0) as bigint) as context_words
-    from y left join z on z.conv_id = y.conv_id and z.turn = y.turn and z.used <= 120 group by y.conv_id, y.turn"""
+    y as (select conv_id, turn, words, cast(coalesce(sum(words) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as bigint) as before from x),
+    z as (select conv_id, turn, before, count(*) over fits as n, min(before) over fits as since, row_number() over (partition by conv_id, before order by turn desc) as own from y
+        window fits as (partition by conv_id order by before range between {budget} preceding and current row))
+    select conv_id, turn, n - own as context_turns, case when n = own then 0 else before - since end as context_words from z"""
 
 
 def section_carry(d: Dialect) -> str:
