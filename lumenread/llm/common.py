@@ -48,7 +48,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Keep Arrow batches small: documents can be very long."""
+    """Keep Arrow batches small, as documents can be very long, and a worker's matrix products to its own core.
+
+    The two limits stay set on the session, as plans are run after this returns.
+    """
+    spark.sparkContext.environment["OPENBLAS_NUM_THREADS"] = "1"
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
