@@ -1,14 +1,18 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
-Documents become pieces of at most the capacity; pieces are packed in supersteps, longest
-first. A superstep takes all pieces of one length at once. The open gaps, range-sorted, are
-swept from the successor of that length upwards; pieces meet gaps in the order of their rank,
-so that no two claim one place; what finds no gap opens new sequences; gaps are updated and
-the next superstep follows. Because lengths are integers up to the capacity, the sorted tables
-of pieces and gaps are kept as runs: pieces of one length and consecutive ranks, sequences of
-one gap and consecutive numbers. There are at most a few runs a length, whatever the input, so
-the sweeps work on a table of proven size while pieces are counted, ranked and given their
-places where they are, in parallel.
+Documents become pieces of at most the capacity; pieces are packed by bulk-synchronous best fit.
+Because lengths are integers up to the capacity, the sorted tables of pieces and gaps are kept as
+runs: pieces of one length and consecutive ranks, sequences of one gap and consecutive numbers.
+Pieces are counted, ranked and given their places where they are, in parallel; of runs there are
+at most a few a length and superstep, whatever the input.
+
+First, pieces longer than half the capacity open a sequence each. Then, in each superstep, the runs
+of unplaced pieces and of gaps are range-partitioned by size; every range is swept from its longest
+pieces down, a piece taking its successor, the smallest gap of the range that holds it. Pieces that
+want the same gaps get them by rank, the longest first; gaps are updated, and what is left goes on
+to the next superstep with ranges twice as wide: a piece's successor is looked for among the
+nearest sizes first, and a gap that a range holds is too small for the pieces of any higher one.
+In the last superstep there is one range; pieces that still find no gap open new sequences there.
 
 Defined results: a null text counts as empty and is its end id alone. Rows that repeat are
 packed as often as they occur. Ties are ordered by doc_id and piece. An empty table gives an
@@ -20,6 +24,8 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +37,10 @@ from .word_merges import PLAIN, WordMerges
 
 CAPACITY = 4096
 END_ID = 1
-#: Groups that pieces of one length are ranked in, so that a common length isn't one task.
-SALTS = 64
+#: Pieces of one length that are ranked together, so that a common length isn't one task.
+RANKED = 1000
+#: Size ranges of the first superstep; each further one has half as many.
+RANGES = 16
 #: Chunks that a worker remembers.
 CACHE = 1_000_000
 
@@ -115,71 +123,126 @@ def pieces_of(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, en
     return common.keyed_texts(docs).mapInArrow(cut(tokenizer_file, capacity, end_id), PIECES)
 
 
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Best fit over runs: (length, first rank, rank after the last, first sequence, pieces a sequence, offset).
+Run = tuple[int, int, int]
 
-    counts has the number of pieces of each length. The piece of rank r in a run goes to
-    sequence first + (r - first rank) // m, at offset + (r - first rank) % m * length.
+
+def sweep(pieces: list[Run], gaps: list[Run], capacity: int = CAPACITY, fresh: int | None = None) -> tuple[list[tuple[int, int, int, int, int, int]], list[Run], list[Run]]:
+    """Best fit of runs of pieces (length, first rank, end rank) into runs of gaps (size, first sequence, end sequence).
+
+    Gives places (length, first rank, end rank, first sequence, pieces a sequence, offset) and the
+    runs that are left. The piece of rank r goes to sequence first + (r - first rank) // m, at
+    offset + (r - first rank) % m * length. With fresh, pieces that find no gap open sequences from that number on.
     """
-    gaps: list[int] = []  # sizes of open gaps, ascending
-    open_: dict[int, list[tuple[int, int]]] = {}  # by gap: runs (first sequence, number)
-    plan: list[tuple[int, int, int, int, int, int]] = []
-    sequences = 0
+    sizes: list[int] = []  # of open gaps, ascending
+    open_: dict[int, list[tuple[int, int]]] = {}  # by gap: runs (first sequence, end)
+    places: list[tuple[int, int, int, int, int, int]] = []
+    left: list[Run] = []
 
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap and n:
+    def leave(gap: int, first: int, end: int) -> None:
+        if gap and first < end:
             if gap not in open_:
-                insort(gaps, gap)
+                insort(sizes, gap)
                 open_[gap] = []
-            open_[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)  # the successor: the smallest gap that holds this length
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = open_[gap].pop()
+            open_[gap].append((first, end))
+
+    for run in sorted(gaps, reverse=True):
+        leave(*run)
+    for length, rank, end in sorted(pieces, key=lambda r: (-r[0], r[1])):
+        while rank < end:
+            at = bisect_left(sizes, length)  # the successor: the smallest gap that holds this length
+            if at < len(sizes):
+                gap = sizes[at]
+                first, stop = open_[gap].pop()
                 if not open_[gap]:
                     del open_[gap]
-                    gaps.pop(at)
+                    sizes.pop(at)
+            elif fresh is None:
+                left.append((length, rank, end))
+                break
             else:
-                gap, n = capacity, -(-left // (capacity // length))
-                first, sequences = sequences, sequences + n
+                gap, first = capacity, fresh
+                fresh = stop = first - (rank - end) // (capacity // length)
             each = gap // length
-            full, more = divmod(min(left, n * each), each)
+            full, more = divmod(min(end - rank, (stop - first) * each), each)
             placed = full * each + more
-            plan.append((length, rank, rank + placed, first, each, capacity - gap))
-            leave(gap - each * length, first, full)
-            leave(gap - more * length, first + full, 1 if more else 0)
-            used = full + bool(more)
-            leave(gap, first + used, n - used)
-            rank, left = rank + placed, left - placed
-    return plan
+            places.append((length, rank, rank + placed, first, each, capacity - gap))
+            leave(gap - each * length, first, first + full)
+            leave(gap - more * length, first + full, first + full + 1 if more else first + full)
+            leave(gap, first + full + bool(more), stop)
+            rank += placed
+    return places, left, [(gap, *run) for gap in sizes for run in open_[gap]]
+
+
+PIECE, GAP, PLACE = 0, 1, 2
+RUNS = "kind int, size long, first long, end long, first_sequence long, each long, offset long"
+
+
+def sweep_ranges(capacity: int, fresh: int | None):
+    """For mapInArrow over the runs of some ranges, range by range: places, and what is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("range", "kind", "size", "first", "end")), strict=True)]
+        out: list[tuple] = []
+        for _, own in groupby(rows, key=lambda r: r[0]):
+            runs: dict[int, list[Run]] = {PIECE: [], GAP: []}
+            for _, kind, *one in own:
+                runs[kind].append(tuple(one))
+            places, left, gaps = sweep(runs[PIECE], runs[GAP], capacity, fresh)
+            out += [(PLACE, *p) for p in places] + [(PIECE, *x, None, None, None) for x in left] + [(GAP, *x, None, None, None) for x in gaps]
+        columns = zip(*out, strict=True) if out else [()] * 7
+        kinds = (pa.int32(), *[pa.int64()] * 6)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in RUNS.split(", ")])
+
+    return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def opened(counts: DataFrame, capacity: int) -> DataFrame:
+    """Runs after the pieces longer than half the capacity opened a sequence each, numbered by length; counts: length, n."""
+    nothing = F.lit(None).cast("long")
+    small = counts.filter(2 * F.col("length") <= capacity)
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a length
+    large = counts.filter(2 * F.col("length") > capacity).withColumn("number", before)
+    zero = F.lit(0).cast("long")
+    rows = [
+        small.select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), zero.alias("first"), F.col("n").alias("end"), nothing.alias("first_sequence"), nothing.alias("each"), nothing.alias("offset")),
+        large.filter(F.col("length") < capacity).select(F.lit(GAP).alias("kind"), (capacity - F.col("length")).alias("size"), F.col("number").alias("first"), (F.col("number") + F.col("n")).alias("end"), nothing, nothing, nothing),
+        large.select(F.lit(PLACE).alias("kind"), F.col("length").alias("size"), zero.alias("first"), F.col("n").alias("end"), F.col("number").alias("first_sequence"), F.lit(1).cast("long").alias("each"), zero.alias("offset"))]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+def places_of(counts: DataFrame, capacity: int = CAPACITY, ranges: int = RANGES) -> DataFrame:
+    """The places of all pieces, as runs, from the number of pieces of each length."""
+    state = common.materialise(opened(counts, capacity), "runs")
+    fresh = counts.filter(2 * F.col("length") > capacity).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = [state.filter(F.col("kind") == PLACE)]
+    while ranges:
+        runs = state.filter(F.col("kind") != PLACE).withColumn("range", F.floor(F.col("size") * ranges / (capacity + 1)).cast("int"))
+        step = runs.repartition("range").sortWithinPartitions("range", "kind", "size", "first")
+        state = common.materialise(step.mapInArrow(sweep_ranges(capacity, fresh if ranges == 1 else None), RUNS), "runs")
+        found.append(state.filter(F.col("kind") == PLACE))
+        ranges //= 2
+    return reduce(DataFrame.unionByName, found).drop("kind")
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, ranges: int = RANGES) -> DataFrame:
     """pieces (with doc_id, piece, length) and the sequence_id and offset of each."""
-    spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    pieces = common.materialise(salted, "pieces")
-    # at most capacity x SALTS rows
-    counted = common.materialise(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = sweep(counts, capacity)
-    schema = "run_length long, first_rank long, end_rank long, first_sequence long, each long, run_offset long"
-    runs = F.broadcast(spark.createDataFrame(plan, schema))
+    pieces = common.materialise(pieces, "pieces")
+    lengths = common.materialise(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")  # at most capacity rows
+    places = F.broadcast(places_of(lengths, capacity, ranges).withColumnRenamed("size", "length"))  # some a length and superstep
+    shares = F.broadcast(lengths.select("length", F.ceil(F.col("n") / RANKED).cast("int").alias("shares")))
+    salted = pieces.join(shares, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), "shares").cast("int")).drop("shares")
+    counted = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    bases = F.broadcast(counted.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base")))
+    bases = counted.select("length", "salt", F.coalesce(before, F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("local", F.row_number().over(within)).join(bases, ["length", "salt"])
+    ranked = salted.withColumn("local", F.row_number().over(within)).join(bases, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("base") + F.col("local") - 1)
-    placed = ranked.join(runs, (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
-    nth = F.col("rank") - F.col("first_rank")
+    placed = ranked.join(places, ["length"]).filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    nth = F.col("rank") - F.col("first")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("first_sequence") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"),
-        (F.col("run_offset") + nth % F.col("each") * F.col("length")).cast("long").alias("offset"))
+        (F.col("offset") + nth % F.col("each") * F.col("length")).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -72,26 +72,61 @@ def test_packing(spark, rows):
     assert all(x <= capacity for x in ends.values())
 
 
+def best_fit_decreasing(sizes, capacity):
+    """One piece after the other: what is left in each sequence."""
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = min((g for g in gaps if g >= s), default=None)
+        if fit is None:
+            gaps.append(capacity - s)
+        else:
+            gaps[gaps.index(fit)] -= s
+    return gaps
+
+
+def laid(places):
+    """Pieces (offset, length) by sequence."""
+    used = {}
+    for length, a, b, first, each, offset in places:
+        for r in range(b - a):
+            used.setdefault(first + r // each, []).append((offset + r % each * length, length))
+    return used
+
+
+def gapless(used, capacity):
+    return all(sum(n for _, n in x) == max(o + n for o, n in x) <= capacity and len({o for o, _ in x}) == len(x) for x in used.values())
+
+
 def test_sweep_is_best_fit_decreasing():
     rng = random.Random(4)
     for _ in range(200):
-        sizes = sorted((rng.randint(1, 60) for _ in range(rng.randint(1, 80))), reverse=True)
-        gaps = []
-        for s in sizes:  # one piece after the other
-            fit = min((g for g in gaps if g >= s), default=None)
-            if fit is None:
-                gaps.append(60 - s)
-            else:
-                gaps[gaps.index(fit)] -= s
-        plan = packing.sweep({s: sizes.count(s) for s in set(sizes)}, 60)
-        used = {}
-        for length, a, b, first, each, offset in plan:
-            for r in range(b - a):
-                used.setdefault(first + r // each, []).append((offset + r % each * length, length))
-        assert sum(map(len, used.values())) == len(sizes)
-        assert all(sum(n for _, n in x) == max(o + n for o, n in x) <= 60 for x in used.values())
-        assert len(used) == len(gaps)
-    assert packing.sweep({}) == []
+        sizes = [rng.randint(1, 60) for _ in range(rng.randint(1, 80))]
+        places, left, gaps = packing.sweep([(s, 0, sizes.count(s)) for s in set(sizes)], [], 60, 0)
+        used = laid(places)
+        assert sum(map(len, used.values())) == len(sizes) and gapless(used, 60) and not left
+        assert len(used) == len(best_fit_decreasing(sizes, 60)) and sum(g * (b - a) for g, a, b in gaps) == 60 * len(used) - sum(sizes)
+    assert packing.sweep([], []) == ([], [], [])
+    # without new sequences what finds no gap is left
+    assert packing.sweep([(5, 0, 3), (9, 0, 1)], [(6, 7, 9)], 60) == ([(5, 0, 2, 7, 1, 54)], [(9, 0, 1), (5, 2, 3)], [(1, 7, 9)])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_supersteps_pack_as_well_as_best_fit_decreasing(spark, seed):
+    rng = random.Random(seed)
+    draw = [lambda: rng.randint(1, 100), lambda: int(100 * rng.random() ** 3) + 1, lambda: rng.choice([34, 51, 26, 17]), lambda: rng.randint(20, 48)][seed]
+    sizes = [draw() for _ in range(3000)]
+    counts = spark.createDataFrame([(s, sizes.count(s)) for s in set(sizes)], "length long, n long")
+    used = laid([(r["size"], r["first"], r["end"], r["first_sequence"], r["each"], r["offset"]) for r in packing.places_of(counts, 100).collect()])
+    assert sorted(n for x in used.values() for _, n in x) == sorted(sizes) and gapless(used, 100)
+    assert len(used) <= 1.01 * len(best_fit_decreasing(sizes, 100)) + 1
+
+
+def test_lengths_are_ranked_in_shares(spark, monkeypatch):
+    """A common length is ranked in several groups, and every piece has a place of its own."""
+    monkeypatch.setattr(packing, "RANKED", 10)
+    rows = [(i, 0, 0, 7 if i % 3 else 4096, i) for i in range(500)]
+    found = [(r["sequence_id"], r["offset"], r["length"]) for r in packing.pack(spark.createDataFrame(rows, packing.PIECES)).collect()]
+    assert len(found) == len(set(found)) == 500 and len({s for s, _, _ in found}) == 168
 
 
 def test_trees_follow_edits():
