@@ -6,18 +6,21 @@ content: each window of LENGTH bytes is owned by the place in it whose KEY bytes
 shows as two sampled suffixes that agree in their KEY leading bytes.
 
 1. Every text gives its sampled suffixes: a hash of the leading bytes, and a 128-bit hash of all
-   bytes that the windows it owns cover. Rows that agree in both are repeats as a whole.
+   bytes that the windows it owns cover. Rows that agree in both are repeats as a whole. Leading
+   bytes that one hashing group already has in several contexts have to be compared anyway, so their
+   suffixes are dealt out by the whole hash, and only word of them goes to their key's task.
 2. Suffixes that agree in the leading bytes but not in all are cut out with their contexts.
    Sampled splitters range-partition them by their leading bytes; a bucket sorts its suffixes by
    multikey quicksort and the left contexts, read backwards, alike; what neighbours share tells
    for each owned window whether it has an equal. Splitters compare KEY bytes and a window's
    owner shares at least these with its equal, so neighbours across a boundary share less than
-   any repeat needs; no repeat is lost there. Leading bytes with more than HOT different
-   contexts are dealt out by window instead and counted.
+   any repeat needs; no repeat is lost there. Leading bytes with more than HOT contexts to
+   compare are dealt out by window instead and counted.
 3. Repeated windows meet their text, are merged to spans and cut out.
 
 Defined results: null text counts as empty and loses nothing. Matches lie inside documents; rows
-that repeat are documents of their own, so both lose what they share. A text shorter than LENGTH
+that repeat are documents of their own, so both lose what they share. Rows of one doc_id, or none, are
+told apart by 128 bits of their texts' hash; such rows with one text lose the same. A text shorter than LENGTH
 bytes stays whole. Other columns, whatever their names, are neither read nor changed.
 """
 
@@ -39,9 +42,10 @@ LENGTH, KEY = 200, 64
 REACH = LENGTH - KEY  # a window's owner starts at most so many bytes after the window
 #: Bytes that are hashed at once, and contexts of one key that one task compares.
 SEGMENT, HOT = 1 << 20, 20_000
-KIND_ASK, KIND_KNOWN = 0, 1
-SUFFIXES = "kind byte, key long, whole binary, many boolean, doc_id long, tag int, at int, first int, last int"
-FOUND = "kind byte, key long, many boolean, hot boolean, doc_id long, tag int, at int, first int, last int"
+#: A row to ask about, one that is known to repeat, one to compare in any case, and word of these to their key.
+KIND_ASK, KIND_KNOWN, KIND_APART, KIND_WORD = 0, 1, 2, 3
+SUFFIXES = "kind byte, key long, whole binary, many boolean, doc_id long, tag binary, at int, first int, last int"
+FOUND = "kind byte, many boolean, doc_id long, tag binary, at int, first int, last int"
 
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -145,14 +149,22 @@ def sample_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             later, earlier = np.concatenate([[False], same]), np.concatenate([same, [False]])
             known, ask = order[later | earlier], order[~later]
             many = earlier[~later]
-            row = np.concatenate([known, ask])
+            # keys with several contexts here
+            asked = key[ask]
+            new_key = np.concatenate([[True], asked[1:] != asked[:-1]])
+            of = np.cumsum(new_key) - 1
+            apart = (np.bincount(of) > 1)[of]
+            word = ask[new_key & apart]
+            row = np.concatenate([known, ask, word])
             to = key[row]
             # what is known already goes anywhere: a key with very many copies isn't one task's
             to[: len(known)] ^= np.arange(len(known)) * np.int64(0x9E3779B97F4A7C1)
+            to[len(known): len(known) + len(ask)] ^= np.where(apart, sums[ask, 0] ^ sums[ask, 1], 0)
+            kind = np.concatenate([np.full(len(known), KIND_KNOWN), np.where(apart, KIND_APART, KIND_ASK), np.full(len(word), KIND_WORD)]).astype(np.int8)
             doc = np.array([d for d, *_ in group])[which[row]]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(np.array([KIND_KNOWN, KIND_ASK], np.int8), [len(known), len(ask)])), pa.array(to),
-                pa.array([None] * len(known) + [whole[i] for i in ask.tolist()], pa.binary()), pa.array(np.concatenate([np.zeros(len(known), bool), many])),
+                pa.array(kind), pa.array(to), pa.array([None] * len(known) + [whole[i] for i in ask.tolist()] + [None] * len(word), pa.binary()),
+                pa.array(np.concatenate([np.zeros(len(known), bool), many, np.zeros(len(word), bool)])),
                 ids.take(pa.array(doc)).cast(pa.int64()), tags.take(pa.array(doc)),
                 *(pa.array((x[row] + offset[row]).astype(np.int32)) for x in (owner, first, last))],
                 names=["kind", "key", "whole", "many", "doc_id", "tag", "at", "first", "last"])
@@ -160,31 +172,34 @@ def sample_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over all suffixes of some keys: known repeats, and contexts that must be compared."""
-    kept = []
-    names = ["kind", "key", "many", "hot", "doc_id", "tag", "at", "first", "last"]
+    kept, told = [], []
+    names = ["kind", "many", "doc_id", "tag", "at", "first", "last"]
     for batch in batches:
-        known = batch.filter(pc.equal(batch.column("kind"), KIND_KNOWN))
+        kind = batch.column("kind")
+        known = batch.filter(pc.equal(kind, KIND_KNOWN))
         if known.num_rows:
-            yield pa.RecordBatch.from_arrays([known.column(c) if c != "hot" else pa.array(np.zeros(known.num_rows, bool)) for c in names], names=names)
-        kept.append(batch.filter(pc.equal(batch.column("kind"), KIND_ASK)))
+            yield known.select(names)
+        told.append(batch.filter(pc.equal(kind, KIND_WORD)).column("key").to_numpy())
+        kept.append(batch.filter(pc.is_in(kind, pa.array([KIND_ASK, KIND_APART], pa.int8()))))
     if not kept or not (table := pa.Table.from_batches(kept)).num_rows:
         return
     table = table.combine_chunks()
     key, many = table["key"].to_numpy(), table["many"].to_numpy()
+    must = (table["kind"].to_numpy() == KIND_APART) | np.isin(key, np.concatenate(told))
     sums = np.frombuffer(b"".join(table["whole"].to_pylist()), np.int64).reshape(-1, 2)
     order = np.lexsort((sums[:, 1], sums[:, 0], key))
-    key, sums = key[order], sums[order]
+    key, sums, must = key[order], sums[order], must[order]
     new_key = np.concatenate([[True], key[1:] != key[:-1]])
     new = new_key | np.concatenate([[True], (sums[1:] != sums[:-1]).any(1)])
     of = np.cumsum(new) - 1
     repeats = (np.bincount(of) > 1) | np.bincount(of, many[order]).astype(bool)
     contexts = np.bincount(np.cumsum(new_key) - 1, new)[np.cumsum(new_key) - 1]
     known = repeats[of]
-    compare = new & (contexts > 1)
+    must = np.bincount(of, must)[of] > 0
+    compare = new & ((contexts > 1) | must)
     for rows, kind in ((np.flatnonzero(known), KIND_KNOWN), (np.flatnonzero(compare), KIND_ASK)):
         part = table.take(pa.array(order[rows]))
-        columns = {c: part[c] for c in names if c in part.column_names} | {
-            "kind": pa.array(np.full(len(rows), kind, np.int8)), "many": pa.array(known[rows]), "hot": pa.array(contexts[rows] > HOT)}
+        columns = {c: part[c] for c in names} | {"kind": pa.array(np.full(len(rows), kind, np.int8)), "many": pa.array(known[rows])}
         yield from pa.table({c: columns[c] for c in names}).to_batches(max_chunksize=50_000)
 
 
@@ -196,17 +211,16 @@ def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = text.encode()
             for x in asked:
                 at = x["at"]
-                rows.append((x["key"], x["many"], x["hot"], doc_id, tag, at, x["first"], x["last"], data[at: at + LENGTH], data[max(0, at - REACH): at]))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 10
-        kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                           names=["key", "many", "hot", "doc_id", "tag", "at", "first", "last", "right", "left"])
+                rows.append((x["many"], doc_id, tag, at, x["first"], x["last"], data[at: at + LENGTH], data[max(0, at - REACH): at]))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+        kinds = (pa.bool_(), pa.int64(), batch.schema.field("tag").type, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["many", "doc_id", "tag", "at", "first", "last", "right", "left"])
         for a in range(0, whole.num_rows, 10_000):
             yield whole.slice(a, 10_000)
 
 
-CONTEXTS = "key long, many boolean, hot boolean, doc_id long, tag int, at int, first int, last int, right binary, left binary"
-SPANS = "doc_id long, tag int, first int, last int"
+CONTEXTS = "many boolean, doc_id long, tag binary, at int, first int, last int, right binary, left binary"
+SPANS = "doc_id long, tag binary, first int, last int"
 
 
 def padded(strings: list[bytes], width: int) -> np.ndarray:
@@ -318,7 +332,7 @@ def dealt_by_window(hot: DataFrame) -> DataFrame:
 
 def tag() -> Column:
     """Tells rows of one doc_id with different texts apart."""
-    return F.hash("text")
+    return F.unhex(F.md5("text"))
 
 
 def same_row(other: DataFrame, docs: DataFrame) -> Column:
@@ -333,14 +347,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = common.materialise(found, "suffixes")
     spans = found.filter(F.col("kind") == KIND_KNOWN).select("doc_id", "tag", "first", "last")
     asked = found.filter(F.col("kind") == KIND_ASK).groupBy(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).agg(
-        F.collect_list(F.struct("key", "many", "hot", "at", "first", "last")).alias("asked"))
-    contexts = common.materialise(
-        docs.join(asked, same_row(asked, docs)).select("doc_id", "tag", "text", "asked").mapInArrow(cut_contexts, CONTEXTS), "contexts")
-    lead = F.substring("right", 1, KEY)
-    calm = contexts.filter(~F.col("hot")).withColumn("lead", lead)
+        F.collect_list(F.struct("many", "at", "first", "last")).alias("asked"))
+    contexts = docs.join(asked, same_row(asked, docs)).select("doc_id", "tag", "text", "asked").mapInArrow(cut_contexts, CONTEXTS)
+    contexts = common.materialise(contexts.withColumn("lead", F.substring("right", 1, KEY)), "contexts")
+    hot = common.materialise(contexts.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("lead"), "hot")
+    calm = contexts
+    if not hot.isEmpty():
+        calm = contexts.join(hot, "lead", "left_anti")
+        spans = spans.unionByName(dealt_by_window(contexts.join(hot, "lead", "left_semi")))
     calm = calm.repartitionByRange(common.sized_partitions(spark, contexts), "lead").sortWithinPartitions("lead")
     spans = spans.unionByName(calm.drop("lead").mapInArrow(compare_bucket, SPANS))
-    spans = spans.unionByName(dealt_by_window(contexts.filter("hot")))
     return spans.groupBy(F.col("doc_id").alias("of_id"), F.col("tag").alias("of_tag")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
