@@ -3,7 +3,9 @@
 Two collections of BANDS bands with ROWS minhash values each are computed. The keys of the
 BANDS x BANDS tables are pairs of a band of the first and a band of the second collection, so
 BANDS squared tables cost 2 x BANDS bands. Documents that share a key are candidates. They are
-dealt out by the first half of the key alone; the second half is compared inside.
+dealt out by the first half of the key alone; the second half is compared inside. Where more than
+CROWD nodes share a first half, they are dealt out by both halves, so that texts that are unlike
+but for one half part again.
 
 In a group, the document most like the others leads; it is paired with all that share a whole
 key with it and whose signatures don't rule out the similarity; what it isn't paired with leads
@@ -47,6 +49,10 @@ GROUP = 1 << 20
 LEAST = 25
 #: Values of the longer signature that pairs across components are held against, and equal ones needed.
 LONG, LONG_LEAST = 256, 159
+#: Nodes that share a first half of a key and are still compared in one group.
+CROWD = 2000
+#: A part with more than this share of the documents is joined by broadcast, so fewer than HOT_SHARE parts are.
+HOT_SHARE = 256
 #: Members that a group's order of leaders is taken from.
 SPREAD = 48
 #: Members of a key that one task compares with as many others.
@@ -193,6 +199,15 @@ class Crossing:
     long: np.ndarray
     bands: np.ndarray
     band: int
+    half: int = -1
+
+    def first_met(self, sig: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
+        """Those of rest that share no earlier table with row i: a first half, or, dealt by both, a second half."""
+        early = (self.bands[rest, : self.band] == self.bands[i, : self.band]).any(1)
+        if self.half > 0:
+            second = slice(BANDS * ROWS, BANDS * ROWS + ROWS * self.half)
+            early |= (sig[rest, second] == sig[i, second]).reshape(len(rest), self.half, ROWS).all(2).any(1)
+        return rest[~early]
 
     def still(self, i: int, rest: np.ndarray) -> np.ndarray:
         return rest[(self.long[rest] == self.long[i]).sum(1) >= LONG_LEAST]
@@ -218,7 +233,7 @@ def all_crossings(sig: np.ndarray, size: np.ndarray, of: Crossing) -> Iterator[t
         rest = np.flatnonzero(of.part[i + 1:] != of.part[i]) + i + 1
         if len(rest):
             rest = of.still(i, rest[alike(sig, size, i, rest)])
-            yield i, rest[~(of.bands[rest, : of.band] == of.bands[i, : of.band]).any(1)]
+            yield i, of.first_met(sig, i, rest)
 
 
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Crossing | None]]:
@@ -233,14 +248,14 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarr
     sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)[order]
     crossing = "part" in table.column_names
     if crossing:
-        part, band = table["part"].to_numpy()[order], table["band"].to_numpy()[order]
+        part, band, half = (table[c].to_numpy()[order] for c in ("part", "band", "half"))
         longer = np.frombuffer(b"".join(table["long"].to_pylist()), np.uint8).reshape(-1, LONG)[order]
         bands = np.concatenate([c.flatten().to_numpy() for c in table["keys"].chunks]).reshape(-1, BANDS)[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.concatenate([starts[1:], [len(key)]])
     large = ends - starts > 1
     for a, b in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
-        of = Crossing(part[a:b], longer[a:b], bands[a:b], int(band[a])) if crossing else None
+        of = Crossing(part[a:b], longer[a:b], bands[a:b], int(band[a]), int(half[a])) if crossing else None
         yield int(key[a]), node[a:b], sig[a:b], size[a:b], of
 
 
@@ -280,15 +295,15 @@ def open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
             parts = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             n = len(parts[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, of.band, np.int32)), *parts], names=["block", "band", "node", "low", "high", "tile"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, of.band, np.int32)), pa.array(np.full(n, of.half, np.int32)), *parts], names=["block", "band", "half", "node", "low", "high", "tile"])
 
 
-BLOCKS = "block long, band int, node long, low int, high int, tile int"
+BLOCKS = "block long, band int, half int, node long, low int, high int, tile int"
 
 
 def confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over members and their texts by block and tiles: confirmed pairs."""
-    names = ("block", "low", "high", "band", "tile", "node", "n_shingles", "sig", "long", "keys", "part")
+    names = ("block", "low", "high", "band", "tile", "node", "n_shingles", "sig", "long", "keys", "half", "part")
     held: list[tuple] = []
     at = None
 
@@ -298,7 +313,7 @@ def confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             return
         size, tile = np.array([r[6] for r in rows]), np.array([r[4] for r in rows])
         sig, longer = (np.frombuffer(b"".join([r[k] for r in rows]), np.uint8).reshape(len(rows), -1) for k in (7, 8))
-        of = Crossing(np.array([r[10] for r in rows]), longer, np.array([r[9] for r in rows]), rows[0][3])
+        of = Crossing(np.array([r[11] for r in rows]), longer, np.array([r[9] for r in rows]), rows[0][3], rows[0][10])
         out = []
         for i, like in all_crossings(sig, size, of):
             if rows[0][1] != rows[0][2]:  # two tiles: pairs inside one are another task's
@@ -379,6 +394,25 @@ def components(links: DataFrame) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct())
 
 
+def crowded_keys(nodes: DataFrame) -> DataFrame | None:
+    """First halves that more than CROWD nodes share; None if there are none."""
+    counted = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = common.materialise(counted.filter(F.col("n") > CROWD).select("key", F.lit(True).alias("crowd")), "crowded")
+    return None if found.isEmpty() else found
+
+
+def halved(rows: DataFrame, crowded: DataFrame | None) -> DataFrame:
+    """Rows by key and half -1; those of a crowded first half once for each second half, with its number and a key of both."""
+    rows = rows.withColumn("half", F.lit(-1))
+    if crowded is None:
+        return rows
+    rows = rows.join(crowded, "key", "left")
+    calm = rows.filter(F.col("crowd").isNull()).drop("crowd")
+    dealt = rows.filter(F.col("crowd")).drop("crowd").withColumn("half", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
+    second = F.expr(f"substring(sig, {BANDS * ROWS + 1} + {ROWS} * half, {ROWS})")
+    return calm.unionByName(dealt.withColumn("key", F.xxhash64("key", "half", second)))
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; docs has doc_id and text (not null)."""
     spark = docs.sparkSession
@@ -390,13 +424,15 @@ def linked(docs: DataFrame) -> DataFrame:
 
     ordered = F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")
 
+    crowded = crowded_keys(nodes)
+
     def keyed(rows: DataFrame) -> DataFrame:
         if "part" not in rows.columns:
-            return rows.select(F.posexplode("keys").alias("band", "key"), "node", "n_shingles", "sig").repartition(parts, "key")
+            return halved(rows.select(F.posexplode("keys").alias("band", "key"), "node", "n_shingles", "sig"), crowded).repartition(parts, "key")
         # only keys whose members are in several components have pairs left
-        slim = rows.select(F.posexplode("keys").alias("band", "key"), "node", "part")
+        slim = halved(rows.select(F.posexplode("keys").alias("band", "key"), "node", "part", "sig"), crowded).drop("sig")
         split = slim.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-        left = slim.join(split, "key").groupBy("node").agg(F.collect_list(F.struct("band", "key")).alias("at"))  # at most BANDS a node
+        left = slim.join(split, "key").groupBy("node").agg(F.collect_list(F.struct("band", "half", "key")).alias("at"))  # at most BANDS squared a node
         return rows.join(left, "node").select(F.explode("at").alias("at"), "node", "n_shingles", "sig", "part", "long", "keys").select("at.*", "node", "n_shingles", "sig", "part", "long", "keys").repartition(parts, "key")
 
     def paired(rows: DataFrame, pairs_of) -> DataFrame:
@@ -426,11 +462,18 @@ def linked(docs: DataFrame) -> DataFrame:
     more = common.materialise(members.mapInArrow(confirm_blocks, "lead long, node long"), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    # a node without links is a component of its own
-    of_node = signed.select("doc_id", "n_shingles", "node").join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    # a node without links is a component of its own; texts without words have no node
+    none = signed.filter(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    of_node = signed.filter(F.col("node").isNotNull()).select("doc_id", "n_shingles", "node").join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
     of_node = common.materialise(of_node, "parts")
-    least = of_node.filter(F.col("part").isNotNull()).groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return of_node.join(least, "part", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = common.materialise(of_node.groupBy("part").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    rows = least.agg(F.sum("n")).first()[0] or 0
+    large = F.broadcast(least.filter(F.col("n") > rows // HOT_SHARE).drop("n"))
+    small = least.filter(F.col("n") <= rows // HOT_SHARE).drop("n")
+    done = of_node.join(large, "part")
+    rest = of_node.join(large.select("part"), "part", "left_anti").join(small, "part")
+    told = done.unionByName(rest).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return told.unionByName(none)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
