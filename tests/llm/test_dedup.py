@@ -144,6 +144,65 @@ def test_near(spark, rows):
     assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()], key=str) == near_brute(rows)
 
 
+@pytest.mark.parametrize("crowd", [1, 3])
+def test_near_with_crowded_keys(spark, monkeypatch, crowd):
+    """First halves that many share are dealt out by both halves; no link is lost by that."""
+    from lumenread.llm import common
+
+    monkeypatch.setattr(minhash_dedup, "CROWD", crowd)
+    rows = [*chains(), *((1000 + i, t, "en", "s", 1) for i, (_, t, *_) in enumerate(repeated()))]
+    dealt, plain = [], minhash_dedup.halved
+    monkeypatch.setattr(minhash_dedup, "halved", lambda rows, crowded: dealt.append(crowded is not None) or plain(rows, crowded))
+    found = minhash_dedup.linked(common.keyed_texts(frame(spark, rows)))
+    assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()], key=str) == near_brute(rows) and all(dealt)
+
+
+def test_unlike_texts_on_one_half_key(spark):
+    """Fifty thousand unlike nodes that share a first half: compared by both halves they are few pairs, found soon."""
+    import time
+
+    from functools import partial
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(0)
+    sig = rng.integers(0, 256, (50_000, minhash_dedup.HASHES), dtype=np.uint8)
+    sig[1] = sig[0]
+    rows = [(i, 100, [7, *rng.integers(1 << 40, 1 << 60, minhash_dedup.BANDS - 1).tolist()], bytearray(s.tobytes())) for i, s in enumerate(sig)]
+    nodes = spark.createDataFrame(rows, "node long, n_shingles long, keys array<long>, sig binary")
+    crowded = minhash_dedup.crowded_keys(nodes)
+    assert [r["key"] for r in crowded.collect()] == [7]
+    began = time.time()
+    keyed = minhash_dedup.halved(nodes.select(F.posexplode("keys").alias("band", "key"), "node", "n_shingles", "sig"), crowded).repartition(8, "key")
+    found = {tuple(sorted(r)) for r in keyed.mapInArrow(partial(minhash_dedup.pair_up, minhash_dedup.led_pairs), "lead long, node long").collect()}
+    assert (0, 1) in found and len(found) < 100 and time.time() - began < 60
+
+
+def test_near_recall_on_graded_copies(spark):
+    """Copies of all degrees of likeness around the threshold: at least 0.9 of the links that brute force finds, by components."""
+    from lumenread.llm import common
+
+    rows = []
+    for family in range(60):
+        words = prose(3000 + family, 200).split(" ")
+        rows.append((len(rows), " ".join(words), "en", "s", 1))
+        for k in range(1, 7):
+            changed = [f"x{family}y{k}z{j}" if j % 200 in range(10, 200, max(7, 60 // k)) else w for j, w in enumerate(words)]
+            rows.append((len(rows), " ".join(changed), "en", "s", 1))
+    found = {r["doc_id"]: r["component_id"] for r in minhash_dedup.linked(common.keyed_texts(frame(spark, rows))).collect()}
+    want = {i: c for i, _, c in near_brute(rows)}
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) > 50 and sum(found[i] == want[i] for i in linked) >= 0.9 * len(linked) and all(found[i] == i for i in want if i not in linked and want[i] == i and i not in want.values())
+
+
+def test_near_very_long_text(spark):
+    from lumenread.llm import common
+
+    words = prose(4000, 60_000).split(" ")
+    rows = [(1, " ".join(words), "en", "s", 1), (2, " ".join([*words[:30_000], "changed", *words[30_001:]]), "en", "s", 1), (3, " ".join(words[:30_000]), "en", "s", 1), (4, "a " * 200_000, "en", "s", 1)]
+    found = minhash_dedup.linked(common.keyed_texts(frame(spark, rows)))
+    assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()], key=str) == near_brute(rows)
+
+
 def test_near_stage(spark):
     docs = clashing(spark)
     kept = minhash_dedup.drop_near_copies(docs)
@@ -178,18 +237,52 @@ def test_suffixes(spark, rows):
     assert sorted([tuple(r) for r in suffix_dedup.digests(clashing(spark, rows)).collect()], key=str) == cut_brute(rows)
 
 
-def test_suffixes_with_hot_keys_and_segments(spark, monkeypatch):
+def test_suffixes_with_hot_keys(spark, monkeypatch):
+    """Leading bytes with many contexts are dealt out by window; some rows repeat as a whole as well."""
     passage = prose(50, 70)
     rows = [(i, prose(200 + i, 30 + i) + " " + passage + " " + prose(300 + i, 20), "en", "s", 1) for i in range(40)]
-    monkeypatch.setattr(suffix_dedup, "HOT", 3)  # the driver's side; settle runs here as well
-    docs = frame(spark, rows)
-    assert sorted([tuple(r) for r in suffix_dedup.digests(docs).collect()], key=str) == cut_brute(rows)
+    rows += [(100 + i, rows[i][1], "en", "s", 1) for i in range(5)]
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    dealt, plain = [], suffix_dedup.dealt_by_window
+    monkeypatch.setattr(suffix_dedup, "dealt_by_window", lambda hot: dealt.append(hot.count()) or plain(hot))
+    assert sorted([tuple(r) for r in suffix_dedup.digests(frame(spark, rows)).collect()], key=str) == cut_brute(rows)
+    assert dealt[0] > 3
+
+
+@pytest.mark.parametrize("size", [1, 3, 1 << 30])
+def test_suffixes_in_any_hashing_groups(spark, monkeypatch, size):
+    """Contexts that a hashing group has several of, one of or none: however texts are grouped, the result is the same."""
     import pyarrow as pa
 
-    # the way of keys with very many contexts, by hand
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows]), "tag": pa.array([0] * 40, pa.int32()), "text": pa.array([r[1] for r in rows])})
-    found = pa.Table.from_batches(list(suffix_dedup.settle(suffix_dedup.sample_suffixes(iter([batch])))))
-    assert any(found["hot"].to_pylist())
+    passage = prose(53, 60)
+    rows = [(i, prose(600 + i % 7, 10 + i % 7) + " " + passage + " " + prose(700 + i % 5, 20), "en", "s", 1) for i in range(30)] + [(50 + i, prose(800 + i, 50), "en", "s", 1) for i in range(5)]
+    spans, asked = defaultdict(list), defaultdict(list)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "tag": pa.array([b""] * len(rows)), "text": [r[1] for r in rows]})
+    sampled = pa.Table.from_batches([x for a in range(0, len(rows), size) for x in suffix_dedup.sample_suffixes(iter([batch.slice(a, size)]))])
+    keys = np.array(sampled["key"]).view(np.uint64) % 3
+    found = [x for k in range(3) for part in suffix_dedup.settle(iter(sampled.filter(pa.array(keys == k)).combine_chunks().to_batches())) for x in part.to_pylist()]
+    for x in found:
+        (spans if x["kind"] == suffix_dedup.KIND_KNOWN else asked)[x["doc_id"]].append(x)
+    texts = dict((r[0], r[1]) for r in rows)
+    ask = pa.RecordBatch.from_pydict({"doc_id": list(asked), "tag": pa.array([b""] * len(asked)), "text": [texts[i] for i in asked], "asked": list(asked.values())})
+    contexts = pa.Table.from_batches(list(suffix_dedup.cut_contexts(iter([ask]))))
+    contexts = contexts.take(pa.array(sorted(range(len(contexts)), key=contexts["right"].to_pylist().__getitem__)))
+    for part in suffix_dedup.compare_bucket(iter(contexts.combine_chunks().to_batches())):
+        for x in part.to_pylist():
+            spans[x["doc_id"]].append(x)
+    want = {r[0]: r[2] for r in cut_brute(rows)}
+    assert {i: len(t.encode()) - len(suffix_dedup.keep_rest(t.encode(), spans.get(i))[0]) for i, t in texts.items()} == want
+
+
+def test_suffixes_of_rows_without_ids(spark):
+    """Rows without an id whose texts share a 32-bit hash lose only what each itself repeats."""
+    from pyspark.sql import functions as F
+
+    passage, head = prose(54, 60), prose(55, 50)
+    many = spark.range(150_000).select(F.concat(F.lit(head + " "), F.col("id").cast("string"), F.lit(" end")).alias("text"))
+    one, two = [r["text"] for r in many.withColumn("h", F.hash("text")).withColumn("n", F.count("text").over(__import__("pyspark").sql.Window.partitionBy("h"))).filter("n > 1").orderBy("h", "text").limit(2).collect()]
+    rows = [(None, one, None, None, None), (None, two, None, None, None), (None, prose(56, 30) + " " + passage, None, None, None), (3, passage, None, None, None), (None, prose(57, 80), None, None, None)]
+    assert sorted([tuple(r) for r in suffix_dedup.digests(frame(spark, rows)).collect()], key=str) == cut_brute(rows)
 
 
 def cut_here(rows):
@@ -197,12 +290,12 @@ def cut_here(rows):
     import pyarrow as pa
 
     texts = [(t or "").encode() for _, t, *_ in rows]
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows]), "tag": pa.array([0] * len(rows), pa.int32()), "text": pa.array([r[1] or "" for r in rows])})
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows]), "tag": pa.array([b""] * len(rows)), "text": pa.array([r[1] or "" for r in rows])})
     found = pa.Table.from_batches(list(suffix_dedup.settle(suffix_dedup.sample_suffixes(iter([batch]))))).to_pylist()
     spans, asked = defaultdict(list), defaultdict(list)
     for x in found:
         (spans if x["kind"] == suffix_dedup.KIND_KNOWN else asked)[x["doc_id"]].append(x)
-    ask = pa.RecordBatch.from_pydict({"doc_id": list(asked), "tag": pa.array([0] * len(asked), pa.int32()), "text": [texts[i].decode() for i in asked], "asked": list(asked.values())})
+    ask = pa.RecordBatch.from_pydict({"doc_id": list(asked), "tag": pa.array([b""] * len(asked)), "text": [texts[i].decode() for i in asked], "asked": list(asked.values())})
     if asked:
         contexts = pa.Table.from_batches(list(suffix_dedup.cut_contexts(iter([ask]))))
         contexts = contexts.take(pa.array(sorted(range(len(contexts)), key=contexts["right"].to_pylist().__getitem__)))
@@ -233,9 +326,9 @@ def test_hot_windows_agree(spark):
     for i, t in enumerate(texts):
         data, at = t.encode(), t.index(passage) + 40
         first, last = max(0, at - suffix_dedup.REACH), at
-        rows.append((1, False, True, i, 0, at, first, last, bytearray(data[at: at + 200]), bytearray(data[max(0, at - suffix_dedup.REACH): at])))
+        rows.append((False, i, bytearray(), at, first, last, bytearray(data[at: at + 200]), bytearray(data[max(0, at - suffix_dedup.REACH): at])))
     found = suffix_dedup.dealt_by_window(spark.createDataFrame(rows, suffix_dedup.CONTEXTS)).collect()
-    plain = suffix_dedup.repeated_windows([bytes(r[8]) for r in rows], [bytes(r[9]) for r in rows], np.array([r[5] for r in rows]), np.array([r[6] for r in rows]), np.array([r[7] for r in rows]))
+    plain = suffix_dedup.repeated_windows([bytes(r[6]) for r in rows], [bytes(r[7]) for r in rows], np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.array([r[5] for r in rows]))
     assert sorted((r["doc_id"], r["first"]) for r in found) == sorted(plain)
 
 
