@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,3 +69,15 @@ class SuffixSegments:
             fits = word.endswith(ending) & (F.length(word) >= self.stem + len(ending))
             out = F.when(fits, F.array(F.left(word, F.length(word) - len(ending)), F.lit(ending))).otherwise(out)
         return out
+
+
+def first_reply(prompt: str, models: list[Callable[[str], str | None]]) -> str | None:
+    """The first model's reply that isn't empty; a model that fails is passed over."""
+    for model in models:
+        try:
+            reply = model(prompt)
+        except Exception:  # noqa: BLE001  any failure of an outside service
+            continue
+        if reply and reply.strip():
+            return reply.strip()
+    return None

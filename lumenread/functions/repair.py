@@ -8,9 +8,10 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; null stays null."""
     return text.map(lambda t: unicodedata.normalize("NFC", t) if t is not None else None)
@@ -42,4 +43,14 @@ def merged(words: list[str], known: Iterable[str], longest: int = 4) -> list[str
 
 def merge_words(words: Column, lexicon: frozenset[str], longest: int = 4) -> Column:
     """Column form of merged(); the lexicon travels with the plan, so it has to be a word list of known size."""
-    return F.udf(lambda w: merged(list(w), lexicon, longest) if w is not None else None, "array<string>")(words)
+    return F.pandas_udf(lambda rows: rows.map(lambda w: merged(list(w), lexicon, longest) if w is not None else None), "array<string>")(words)
+
+
+def has_script(text: Column, first: int, last: int) -> Column:
+    """Whether a text has a letter of a script, given by its first and last code point."""
+    return text.rlike(f"[\\x{{{first:x}}}-\\x{{{last:x}}}]")
+
+
+def bare_signs(text: Column) -> Column:
+    """Whether a text starts with a combining sign, which no word does."""
+    return text.rlike(r"^[\p{Mn}\p{Mc}]")

@@ -12,6 +12,33 @@ from pyspark.sql import functions as F
 from lumenread.sources import tables
 
 
+def next_greater(values: np.ndarray) -> np.ndarray:
+    """The place of the first later value that is greater, in one pass with a stack; -1 if there is none."""
+    out, open_ = np.full(len(values), -1), []
+    for k, value in enumerate(values.tolist()):
+        while open_ and values[open_[-1]] < value:
+            out[open_.pop()] = k
+        open_.append(k)
+    return out
+
+
+def with_next_forward(fixations: DataFrame, keys: Sequence[str], order: str, word: str) -> DataFrame:
+    """fixations with next_forward: the order of the first later fixation on a later word, null if there is none.
+
+    One pass over each reader's (and text's) fixations, so its memory is that of one trial.
+    """
+    kinds = dict(fixations.dtypes)
+
+    def run(trial: pd.DataFrame) -> pd.DataFrame:
+        trial = trial.sort_values(order, kind="stable", ignore_index=True)
+        at = next_greater(trial[word].to_numpy())
+        places = trial[order].to_numpy()
+        return trial.assign(next_forward=pd.array([places[k] if k >= 0 else None for k in at], "Int64"))
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in fixations.columns) + ", next_forward long"
+    return fixations.groupBy(*keys).applyInPandas(run, schema)
+
+
 def reading_measures(fixations: DataFrame, keys: Sequence[str] = ("user_id",), order: str = "i", word: str = "w", duration: str = "d") -> DataFrame:
     """First fixation, first pass, time before the eye moves on, and total time of each word and reader.
 
@@ -20,18 +47,13 @@ def reading_measures(fixations: DataFrame, keys: Sequence[str] = ("user_id",), o
     fpd, rpd, td, n_fix.
     """
     keys = list(keys)
-    in_order = Window.partitionBy(*keys).orderBy(order)
     slim = fixations.select(*keys, F.col(order).alias("i"), F.col(word).alias("w"), F.col(duration).alias("d"))
+    slim = with_next_forward(slim, keys, "i", "w")
     in_order = Window.partitionBy(*keys).orderBy("i")
     broken = F.when(F.lag("w").over(in_order) == F.col("w"), 0).otherwise(1)
     runs = slim.withColumn("brk", broken).withColumn("run", F.sum("brk").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     of_word = Window.partitionBy(*keys, "w")
-    runs = runs.withColumn("first_i", F.min("i").over(of_word)).withColumn("first_run", F.min("run").over(of_word))
-    words = runs.filter("i = first_i").select(*keys, "w", "first_i")
-    later = slim.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("i").alias("later_i"), F.col("w").alias("later_w"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    ahead = words.join(later, [*same, F.col("later_i") > F.col("first_i"), F.col("later_w") > F.col("w")]).groupBy(*keys, "w").agg(F.min("later_i").alias("fwd"))
-    told = runs.join(ahead, [*keys, "w"], "left")
+    told = runs.withColumn("first_i", F.min("i").over(of_word)).withColumn("first_run", F.min("run").over(of_word)).withColumn("fwd", F.min_by("next_forward", "i").over(of_word))
     pick = lambda condition: F.sum(F.when(condition, F.col("d")).otherwise(0.0))
     return told.groupBy(*keys, F.col("w").alias("wnum")).agg(
         pick(F.col("i") == F.col("first_i")).alias("ffd"), pick(F.col("run") == F.col("first_run")).alias("fpd"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\(|\)|[^\s()]+")
@@ -101,21 +102,69 @@ def head_depths(heads: list[int], root_depth: int = 0) -> list[int]:
 def tree_table(trees: DataFrame, text: str = "text") -> DataFrame:
     """One row a rule of each tree in a column of treebank text: tree, lhs, rhs."""
 
-    @F.udf("array<struct<tree:int,lhs:string,rhs:string>>")
-    def rules(value: str | None) -> list:
+    def of(value: str | None) -> list:
         out = []
         for k, one in enumerate(split_trees(value or "")):
             node = parse(one)
-            out += [(k, a, b) for a, b in productions(node)] if node else []
+            out += [{"tree": k, "lhs": a, "rhs": b} for a, b in productions(node)] if node else []
         return out
 
+    @F.pandas_udf("array<struct<tree:int,lhs:string,rhs:string>>")
+    def rules(values: pd.Series) -> pd.Series:
+        return values.map(of)
+
     return trees.select(F.explode(rules(text)).alias("r")).select("r.*")
 
 
+def tree_files(spark: SparkSession, path: str, suffix: str = ".mrg") -> DataFrame:
+    """file, place and text of every tree of the treebank files in archives."""
+    from lumenread.sources import readers
+
+    split = F.pandas_udf(lambda texts: texts.map(lambda t: list(split_trees(t))), "array<string>")
+    found = readers.zip_members(spark, path, suffix).select(F.col("member").alias("file"), split(F.decode("content", "UTF-8")).alias("trees"))
+    return found.select("file", F.posexplode("trees").alias("place", "text"))
+
+
+def decision_lines(trees: DataFrame, command: list[str], known: DataFrame | None = None, key: str = "id", text: str = "text") -> DataFrame:
+    """key and output of an external tool that reads a text on its standard input; known answers aren't asked again."""
+    todo = trees if known is None else trees.join(known.select(key), key, "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import subprocess
+
+        for frame in frames:
+            answers = [subprocess.run(command, input=t, capture_output=True, text=True, timeout=60, check=True).stdout for t in frame[text]]
+            yield pd.DataFrame({key: frame[key], "output": answers})
+
+    asked = todo.select(key, text).mapInPandas(run, f"{key} {dict(trees.dtypes)[key]}, output string")
+    return asked if known is None else asked.unionByName(known.select(key, "output"))
+
+
+#: Kinds of parser decisions that a word's surprisal adds up: fixed values.
+COSTLY = ("F", "P", "J", "A", "B")
+
+
+def stream_surprisal(decisions: DataFrame, table: DataFrame, unseen: float = 1e-6, longest: int = 50) -> DataFrame:
+    """sentence, wnum, surprisal from a decision stream (sentence, step, kind, pred, resp) and a table (pred, resp, p).
+
+    Decisions of the costly kinds add their -ln p to the word whose W comes next; sentences of more words are left out.
+    """
+    told = decisions.join(table, ["pred", "resp"], "left").withColumn("p", F.coalesce("p", F.lit(unseen)))
+    order = Window.partitionBy("sentence").orderBy("step")
+    is_word = F.when(F.col("kind") == "W", 1).otherwise(0)
+    told = told.withColumn("wnum", F.sum(is_word).over(order) - is_word + 1).withColumn("words", F.sum(is_word).over(Window.partitionBy("sentence")))
+    cost = F.when(F.col("kind").isin(*COSTLY), -F.log("p")).otherwise(0.0)
+    found = told.filter((F.col("words") <= longest) & (F.col("wnum") <= F.col("words"))).groupBy("sentence", "wnum").agg(F.sum(cost).alias("surprisal"))
+    return found
+
+
+def one_line(node: tuple) -> str:
+    """A tree on one line, its labels without function tags."""
+    return written(node)
+
+
 def rule_probabilities(rules: DataFrame) -> DataFrame:
     """Natural log of each rule's share of its left side."""
-    from pyspark.sql import Window
-
     counted = rules.groupBy("lhs", "rhs").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("log_p", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("lhs"))))
 
@@ -129,7 +178,15 @@ def sentence_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_probabilities(tree_table(sentence_trees(spark, sf_dir)))
+    return rule_probabilities(tree_table(sentence_trees(spark, sf_dir))).withColumn("log_p", F.round("log_p", 9))
 
 
+TREE_RULES_SQL = r"""
+with w as (select item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) as word, unnest(range(len(regexp_extract_all(lower(text), '\p{L}+')))) as k from benchmark),
+t as (select item_id, k, word, case when length(word) <= 3 then 'D' else 'N' end as tag from w),
+r as (select tag as lhs, word as rhs from t union all select 'S' as lhs, string_agg(tag, ' ' order by k) as rhs from t group by item_id),
+c as (select lhs, rhs, count(*) as n from r group by lhs, rhs)
+select lhs, rhs, n, round(ln(n / sum(n) over (partition by lhs)), 9) as log_p from c
+"""
 QUERIES = {"tree_rules": tree_rules}
+ORACLE = {"tree_rules": TREE_RULES_SQL}

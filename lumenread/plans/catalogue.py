@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from lumenread.operators import trees
-from lumenread.plans import gaze, learning, statistics, text
+from lumenread.plans import extras, gaze, learning, statistics, text
 
-MODULES = (gaze, text, statistics, learning)
+MODULES = (gaze, text, statistics, learning, extras)
 
 
 def queries() -> dict:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
     for module in MODULES:
         found |= {name: q.oracle() for name, q in module.QUERIES.items()}
         found |= {name: q.oracle() for name, (_, q) in module.FRAMES.items() if q is not None}
-    return found
+    return found | trees.ORACLE

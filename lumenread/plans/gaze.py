@@ -10,7 +10,7 @@ MEASURES = """
 b as (select *, case when lag(w) over (partition by user_id order by i) = w then 0 else 1 end as brk from {fix}),
 r as (select *, sum(brk) over (partition by user_id order by i rows unbounded preceding) as run from b),
 f as (select user_id, w, min(i) as first_i, min(run) as first_run from r group by user_id, w),
-g as (select f.user_id, f.w, min(x.i) as fwd from f join {fix} x on x.user_id = f.user_id and x.i > f.first_i and x.w > f.w group by f.user_id, f.w),
+g as (select f.user_id, f.w, x.next_forward as fwd from f join {nxt} x on x.user_id = f.user_id and x.i = f.first_i),
 m as (select f.user_id, f.w,
     sum(case when r.i = f.first_i then r.d else 0 end) as ffd,
     sum(case when r.run = f.first_run then r.d else 0 end) as fpd,
@@ -55,8 +55,7 @@ def first_pass_runs(d: Dialect) -> str:
 
 
 def regression_forward(d: Dialect) -> str:
-    return """select a.user_id, a.i, a.w as wnum, min(b.i) as next_forward from {fix} a left join {fix} b
-    on a.user_id = b.user_id and b.i > a.i and b.w > a.w group by a.user_id, a.i, a.w"""
+    return "select user_id, i, w as wnum, next_forward from {nxt}"
 
 
 def lag_lead_context(d: Dialect) -> str:
@@ -104,9 +103,10 @@ def launch_distance(d: Dialect) -> str:
 
 
 def interval_join(d: Dialect) -> str:
-    return """with s as (select user_id, i as sid, t as on_t, lead(t) over (partition by user_id order by i) as off_t from {fix} where w = 0)
-    select s.user_id, s.sid, count(x.i) as samples, round(coalesce(sum(x.d), 0), 4) as duration from s join {fix} x
-    on x.user_id = s.user_id and x.t >= s.on_t and x.t < s.off_t where s.off_t is not null group by s.user_id, s.sid"""
+    """Samples of each interval from one event on word 0 to the next: a sample's is the last that began by its time."""
+    return """with s as (select user_id, i as sid, lead(t) over (partition by user_id order by i) as off_t from {fix} where w = 0),
+    x as (select user_id, d, max(case when w = 0 then i end) over (partition by user_id order by t range between unbounded preceding and current row) as sid from {fix})
+    select x.user_id, x.sid, count(*) as samples, round(sum(x.d), 4) as duration from x join s on s.user_id = x.user_id and s.sid = x.sid where s.off_t is not null group by x.user_id, x.sid"""
 
 
 def nearest_box(d: Dialect) -> str:
@@ -116,10 +116,14 @@ def nearest_box(d: Dialect) -> str:
     select user_id, i, l as line, round(dist, 6) as dist, case when dist <= 30 then cast(floor(x / 60) as bigint) else -1 end as box from c where rn = 1"""
 
 
-def drift_offset(d: Dialect) -> str:
-    return f"""with a as (select user_id, i, t from {{fix}} where w = 3)
-    select a.user_id, a.i, count(x.d) as n, round(case when count(x.d) >= 2 then {d.pct('x.d', 0.5)} else 0 end, 6) as offset_y from a left join {{fix}} x
-    on x.user_id = a.user_id and x.t between a.t - 86400 and a.t and x.w <> 0 group by a.user_id, a.i"""
+def drift_offset(d: Dialect, seconds: float = 86400, least: int = 2) -> str:
+    """The median of the valid samples in some time before each anchor, applied from some samples on."""
+    frame = f"over (partition by user_id order by t range between {seconds}e0 preceding and current row)"
+    if d.spark:
+        x = f"select user_id, i, t, w, array_sort(filter(collect_list(case when w <> 0 then d end) {frame}, x -> x is not null)) as a from {{fix}}"
+        middle = "case when size(a) % 2 = 1 then a[cast((size(a) - 1) / 2 as int)] else (a[cast(size(a) / 2 - 1 as int)] + a[cast(size(a) / 2 as int)]) / 2 end"
+        return f"with x as ({x}) select user_id, i, cast(size(a) as bigint) as n, round(case when size(a) >= {least} then {middle} else 0 end, 6) as offset_y from x where w = 3"
+    return f"""with x as (select user_id, i, t, w, count(case when w <> 0 then d end) {frame} as n, quantile_cont(case when w <> 0 then d end, 0.5) {frame} as m from {{fix}}) select user_id, i, n, round(case when n >= {least} then m else 0 end, 6) as offset_y from x where w = 3"""
 
 
 def sentence_windows(d: Dialect) -> str:

@@ -273,18 +273,23 @@ def text_pairs(d: Dialect) -> str:
         from wishes a join ranked b on b.lang = a.lang and b.nth = a.wish where b.grade <> a.grade)"""
 
 
-def ranker_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranker without intercept, fitted on several sets of features: weights, scales and accuracy."""
-    pairs = SqlQuery(lambda d: f"with {text_pairs(d)} select * from pairs")(spark, sf_dir)
+def ranked(spark: SparkSession, sf_dir: str, sets: dict[str, list[str]]) -> DataFrame:
+    pairs = SqlQuery(lambda d: f"with {text_pairs(d)} select * from pairs")(spark, sf_dir).persist()  # read in every step of every fit
     out = []
-    for name, features in PAIR_FEATURES.items():
+    for name, features in sets.items():
         weights, scales = learn.pair_ranker(pairs, features, "y")
         z = sum((F.lit(float(w / s)) * F.col(c) for w, s, c in zip(weights, scales, features, strict=True)), F.lit(0.0))
         right = float(pairs.agg(F.avg(F.when((z > 0) == (F.col("y") == 1), 1.0).otherwise(0.0))).first()[0])
         out += [(name, c, round(float(w), 5), round(float(s), 6), round(right, 6)) for c, w, s in zip(features, weights, scales, strict=True)]
+    pairs.unpersist()
     return spark.createDataFrame(out, "features string, term string, weight double, scale double, accuracy double")
 
 
+def ranker_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranker without intercept, fitted on several sets of features: weights, scales and accuracy."""
+    return ranked(spark, sf_dir, PAIR_FEATURES)
+
+
 def ranker_sql(d: Dialect, name: str, features: list[str], tag: str) -> tuple[str, str]:
     scaled = ", ".join(f"r.{c} / s_{c} as {c}" for c in features)
     scales = ", ".join(f"stddev_pop({c}) + 1e-9 as s_{c}" for c in features)
@@ -304,7 +309,7 @@ def ranker_sets_sql(d: Dialect) -> str:
 
 
 def pair_ranker_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranker_sets(spark, sf_dir).filter("features = 'all'").drop("features")
+    return ranked(spark, sf_dir, {"all": PAIR_FEATURES["all"]}).drop("features")
 
 
 def pair_ranker_fit_sql(d: Dialect) -> str:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +32,25 @@ class SqlQuery:
             text = text.replace(f"{{{{{name}}}}}", f"{{{name}}}")
         return spark.sql(text, **frames)
 
+    def on(self, frames: Mapping[str, DataFrame], columns: Mapping[str, str] | None = None, **parameters) -> DataFrame:
+        """The query over frames of one's own, by the relations' names.
+
+        columns names the own column that plays each part, such as {"user_id": "reader", "d": "rt"};
+        parts that come out carry the own name again. Parameters go to the query's text.
+        """
+        columns = dict(columns or {})
+        text = self.text(SPARK, **parameters)
+        missing = [n for n in self.used(text) if n not in frames]
+        if missing:
+            raise ValueError(f"relations without a frame: {', '.join(missing)}")
+        cast = {n: frame.withColumnsRenamed({own: part for part, own in columns.items() if own in frame.columns and part not in frame.columns}) for n, frame in frames.items() if n in self.used(text)}
+        text = text.replace("{", "{{").replace("}", "}}")
+        for name in cast:
+            text = text.replace(f"{{{{{name}}}}}", f"{{{name}}}")
+        spark = next(iter(cast.values())).sparkSession
+        found = spark.sql(text, **cast)
+        return found.withColumnsRenamed({part: own for part, own in columns.items() if part in found.columns})
+
     def oracle(self) -> str:
         text = self.text(DUCK)
         parts = [f"{name}_ as ({tables.DERIVED_SQL[name]})" for name in self.used(text) if name in tables.DERIVED]

@@ -47,9 +47,17 @@ def group_split(d: Dialect) -> str:
     return f"select source, case when {d.uniform("'group'", 'source')} < 0.2 then 'test' else 'train' end as split, count(*) as docs from {{documents}} group by source"
 
 
+def in_order(rows: str, by: str, bucket: str, order: str, out: str) -> str:
+    """Relations that number rows from 1 in an order, within by: places in buckets that follow the order plus the rows of the buckets before."""
+    return f"""{out}_b as (select r.*, cast({bucket} as bigint) as bucket from {rows} r), {out}_c as (select {by}, bucket, count(*) as n from {out}_b group by {by}, bucket),
+    {out}_o as (select {by}, bucket, coalesce(sum(n) over (partition by {by} order by bucket rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over (partition by {by}) as size from {out}_c),
+    {out} as (select b.*, cast(o.before + row_number() over (partition by b.{by}, b.bucket order by {order}) as bigint) as nth, o.size from {out}_b b join {out}_o o on o.{by} = b.{by} and o.bucket = b.bucket)"""
+
+
 def seeded_group_split(d: Dialect) -> str:
-    return f"""with g as (select distinct user_id from {{events}}), r as (select user_id, row_number() over (order by {d.uniform("'42'", 'user_id')}, user_id) as rn, count(*) over () as n from g)
-    select user_id, case when rn <= floor(n * 0.6) then 'train' when rn <= floor(n * 0.8) then 'dev' else 'test' end as split from r"""
+    u = d.uniform("'42'", "user_id")
+    return f"""with g as (select user_id, 1 as one, {u} as u from {{events}} group by user_id), {in_order("g", "one", "floor(u * 1024)", "u, user_id", "r")}
+    select user_id, case when nth <= floor(size * 0.6) then 'train' when nth <= floor(size * 0.8) then 'dev' else 'test' end as split from r"""
 
 
 def hash_sample(d: Dialect) -> str:
@@ -63,11 +71,11 @@ def participant_order(d: Dialect) -> str:
 
 
 def latin_square(d: Dialect) -> str:
-    return "with x as (select item_id, row_number() over (order by item_id) as n from {benchmark}) select item_id, list, (n + list) % 4 as condition from x cross join " + d.series("0", "3", "list")
+    return f"""with i as (select item_id, 1 as one from {{benchmark}}), {in_order("i", "one", "floor(item_id / 4096e0)", "item_id", "x")} select item_id, list, (nth + list) % 4 as condition from x cross join {d.series("0", "3", "list")}"""
 
 
 def batches(d: Dialect) -> str:
-    return "select doc_id, cast(floor((row_number() over (partition by lang order by doc_id) - 1) / 16e0) as bigint) as batch, lang from {documents}"
+    return f"""with i as (select doc_id, lang from {{documents}}), {in_order("i", "lang", "floor(doc_id / 4096e0)", "doc_id", "x")} select doc_id, cast(floor((nth - 1) / 16e0) as bigint) as batch, lang from x"""
 
 
 def graded_pairs(d: Dialect) -> str:
@@ -154,10 +162,20 @@ def percentile_ci(d: Dialect) -> str:
     round({d.pct('d', 0.75)} - {d.pct('d', 0.25)}, 6) as iqr from {{fix}} group by event_type"""
 
 
+def quantiles(relation: str, column: str, shares: list[str], out: str) -> str:
+    """Relations that give exact quantiles of a column as q0, q1..: a histogram of whole numbers finds the ranks' buckets, only their rows are ordered."""
+    value = lambda p, up: f"max(case when nth = floor({p} * (total - 1)){up} then x end)"
+    part = lambda p: f"({p} * (max(total) - 1) - floor({p} * (max(total) - 1)))"
+    picks = ", ".join(f"{value(p, '')} + {part(p)} * coalesce({value(p, ' + 1')} - {value(p, '')}, 0) as q{k}" for k, p in enumerate(shares))
+    near = " or ".join(f"(floor({p} * (total - 1)) + 1 >= before and floor({p} * (total - 1)) < before + n)" for p in shares)
+    return f"""{out}_h as (select floor({column}) as bucket, count(*) as n from {relation} where {column} is not null group by floor({column})),
+    {out}_c as (select bucket, n, coalesce(sum(n) over (order by bucket rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over () as total from {out}_h), {out}_k as (select * from {out}_c where {near}),
+    {out}_r as (select r.{column} as x, k.total, k.before + row_number() over (partition by k.bucket order by r.{column}) - 1 as nth from {relation} r join {out}_k k on floor(r.{column}) = k.bucket), {out} as (select {picks} from {out}_r)"""
+
+
 def tertile_bands(d: Dialect) -> str:
-    return f"""with e as (select {d.pct('d', '1/3e0')} as a, {d.pct('d', '2/3e0')} as b from {{fix}})
-    select case when d <= a then 'low' when d <= b then 'mid' else 'high' end as band, count(*) as n, round(avg(d), 6) as mean_d from {{fix}} cross join e
-    group by case when d <= a then 'low' when d <= b then 'mid' else 'high' end""" if d.spark else """with e as (select quantile_cont(d, 1/3e0) as a, quantile_cont(d, 2/3e0) as b from {fix})
+    return f"""with {quantiles("{fix}", "d", ["(1 / 3e0)", "(2 / 3e0)"], "e")}, b as (select d, case when d <= q0 then 'low' when d <= q1 then 'mid' else 'high' end as band from {{fix}} cross join e)
+    select band, count(*) as n, round(avg(d), 6) as mean_d from b group by band""" if d.spark else """with e as (select quantile_cont(d, 1/3e0) as a, quantile_cont(d, 2/3e0) as b from {fix})
     select case when d <= a then 'low' when d <= b then 'mid' else 'high' end as band, count(*) as n, round(avg(d), 6) as mean_d from {fix} cross join e
     group by case when d <= a then 'low' when d <= b then 'mid' else 'high' end"""
 
@@ -253,7 +271,7 @@ def validation_summary(d: Dialect) -> str:
 
 
 def standardise(d: Dialect) -> str:
-    return "select vec_id, k, round((x - avg(x) over (partition by k)) / nullif(stddev_pop(x) over (partition by k), 0), 5) as z from {dims}"
+    return "with s as (select k, avg(x) as m, stddev_pop(x) as s from {dims} group by k) select d.vec_id, d.k, round((d.x - s.m) / nullif(s.s, 0), 5) as z from {dims} d join s on s.k = d.k"
 
 
 def ols_single(d: Dialect) -> str:
@@ -262,7 +280,8 @@ def ols_single(d: Dialect) -> str:
 
 
 def mean_imputation(d: Dialect) -> str:
-    return "select s_suppkey, round(coalesce(case when s_suppkey % 7 = 0 then null else s_acctbal end, avg(case when s_suppkey % 7 = 0 then null else s_acctbal end) over ()), 4) as balance from {supplier}"
+    return """with x as (select s_suppkey, case when s_suppkey % 7 = 0 then null else s_acctbal end as x from {supplier}), m as (select avg(x) as m from x)
+    select s_suppkey, round(coalesce(x, m), 4) as balance from x cross join m"""
 
 
 def linear_scorer(d: Dialect) -> str:

@@ -7,11 +7,14 @@ from lumenread.plans.query import SqlQuery
 
 #: Adjacent pairs within a document, with unigram counts and the vocabulary's size.
 PAIRS = """
-seq as (select doc_id, pos, word, lag(word) over (partition by doc_id order by pos) as prev, lead(word) over (partition by doc_id order by pos) as next from {tok}),
 uni as (select word, count(*) as c from {tok} group by word),
-bi as (select prev as w1, word as w2, count(*) as c from seq where prev is not null group by prev, word),
+bi as (select prev as w1, word as w2, count(*) as c from {seq} where prev is not null group by prev, word),
 v as (select count(*) as vocabulary, sum(c) as total from uni)
 """
+#: What each pair of neighbours costs, once a pair: every token is joined with it by both words.
+COSTS = PAIRS + """,
+cost as (select bi.w1, bi.w2, ln((bi.c + 1e0) / (a.c + v.vocabulary)) as fwd, ln((bi.c + 1e0) / (b.c + v.vocabulary)) as bwd from bi join uni a on a.word = bi.w1 join uni b on b.word = bi.w2 cross join v)
+"""
 
 
 def unigram(d: Dialect) -> str:
@@ -23,11 +26,13 @@ def bigram(d: Dialect) -> str:
 
 
 def bigram_across(d: Dialect) -> str:
-    """Pairs of the whole token stream, across documents too."""
-    edges = "select doc_id, min(pos) as a, max(pos) as b from {tok} group by doc_id"
-    return f"""with {PAIRS}, e as ({edges}), ends as (select e.doc_id, f.word as first_word, l.word as last_word from e
-        join {{tok}} f on f.doc_id = e.doc_id and f.pos = e.a join {{tok}} l on l.doc_id = e.doc_id and l.pos = e.b),
-    s as (select last_word as w1, lead(first_word) over (order by doc_id) as w2 from ends),
+    """Pairs of the whole token stream, across documents too.
+
+    A document's next one is looked up in its block of ids, the last one's in the blocks' first ones.
+    """
+    return f"""with {PAIRS}, ends as (select doc_id, cast(floor(doc_id / 4096e0) as bigint) as block, max(case when prev is null then word end) as first_word, max(case when next is null then word end) as last_word from {{seq}} group by doc_id),
+    heads as (select block, first_word, row_number() over (partition by block order by doc_id) as rn from ends), blocks as (select block, lead(first_word) over (order by block) as next_word from heads where rn = 1),
+    s as (select e.last_word as w1, coalesce(lead(e.first_word) over (partition by e.block order by e.doc_id), b.next_word) as w2 from ends e join blocks b on b.block = e.block),
     x as (select w1, w2, c from bi union all select w1, w2, 1 as c from s where w2 is not null)
     select w1, w2, cast(sum(c) as bigint) as n from x group by w1, w2"""
 
@@ -38,16 +43,12 @@ def cond_prob(d: Dialect) -> str:
 
 def transition_probs(d: Dialect) -> str:
     """Smoothed log probability of each word given the one before and given the one after."""
-    return f"""with {PAIRS}
-    select s.doc_id, s.pos, round(case when s.prev is null then ln(1e0 / v.vocabulary) else ln((coalesce(f.c, 0) + 1e0) / (p.c + v.vocabulary)) end, 6) as fwd,
-    round(case when s.next is null then ln(1e0 / v.vocabulary) else ln((coalesce(b.c, 0) + 1e0) / (n.c + v.vocabulary)) end, 6) as bwd
-    from seq s cross join v left join bi f on f.w1 = s.prev and f.w2 = s.word left join uni p on p.word = s.prev
-    left join bi b on b.w1 = s.word and b.w2 = s.next left join uni n on n.word = s.next"""
+    return f"""with {COSTS} select s.doc_id, s.pos, round(case when s.prev is null then ln(1e0 / v.vocabulary) else f.fwd end, 6) as fwd, round(case when s.next is null then ln(1e0 / v.vocabulary) else b.bwd end, 6) as bwd
+    from {{seq}} s cross join v left join cost f on f.w1 = s.prev and f.w2 = s.word left join cost b on b.w1 = s.word and b.w2 = s.next"""
 
 
 def lexical_surprisal(d: Dialect) -> str:
-    return f"""with {PAIRS}, x as (select s.doc_id, case when s.prev is null then 0e0 else -ln((coalesce(b.c, 0) + 1e0) / (u.c + v.vocabulary)) end as h
-    from seq s cross join v left join bi b on b.w1 = s.prev and b.w2 = s.word left join uni u on u.word = s.prev)
+    return f"""with {COSTS}, x as (select s.doc_id, coalesce(-c.fwd, 0e0) as h from {{seq}} s left join cost c on c.w1 = s.prev and c.w2 = s.word)
     select doc_id, count(*) as n_words, round(avg(h), 6) as mean_surprisal, round(max(h), 6) as max_surprisal, round(sum(h), 4) as sum_surprisal from x group by doc_id"""
 
 
@@ -59,9 +60,9 @@ def next_entropy(d: Dialect) -> str:
 def entropy_reduction(d: Dialect) -> str:
     return f"""with {PAIRS}, p as (select w1, c / cast(sum(c) over (partition by w1) as double) as p from bi),
     h as (select w1, -sum(p * ln(p)) as h from p group by w1),
-    x as (select s.doc_id, s.pos, coalesce(h.h, ln(cast(v.vocabulary as double))) as h from seq s cross join v left join h on h.w1 = s.word),
-    y as (select *, lag(h) over (partition by doc_id order by pos) as before from x)
-    select doc_id, count(*) as n, round(sum(coalesce(greatest(0e0, before - h), 0)), 4) as reduction from y group by doc_id"""
+    k as (select u.word, coalesce(h.h, ln(cast(v.vocabulary as double))) as h from uni u cross join v left join h on h.w1 = u.word),
+    fall as (select bi.w1, bi.w2, greatest(0e0, a.h - b.h) as fall from bi join k a on a.word = bi.w1 join k b on b.word = bi.w2)
+    select s.doc_id, count(*) as n, round(sum(coalesce(f.fall, 0)), 4) as reduction from {{seq}} s left join fall f on f.w1 = s.prev and f.w2 = s.word group by s.doc_id"""
 
 
 def word_frequency_log(d: Dialect) -> str:
@@ -197,8 +198,8 @@ def punct_tokens(d: Dialect) -> str:
 
 def pos_pair_model(d: Dialect) -> str:
     """Token classes as tags: add-one smoothed transitions over the full grid of classes."""
-    tag = "case when length(word) <= 2 then 'short' when length(word) <= 5 then 'mid' when length(word) <= 9 then 'long' else 'very' end"
-    return f"""with t as (select doc_id, pos, {tag} as tag from {{tok}}), s as (select tag, lag(tag) over (partition by doc_id order by pos) as prev from t),
+    tag = "case when word is null then null when length(word) <= 2 then 'short' when length(word) <= 5 then 'mid' when length(word) <= 9 then 'long' else 'very' end"
+    return f"""with s as (select {tag} as tag, {tag.replace("word", "prev")} as prev from {{seq}}), t as (select tag from s group by tag),
     g as (select a.tag as t1, b.tag as t2 from (select distinct tag from t) a cross join (select distinct tag from t) b),
     c as (select prev as t1, tag as t2, count(*) as n from s where prev is not null group by prev, tag)
     select g.t1, g.t2, coalesce(c.n, 0) as n, round(ln((coalesce(c.n, 0) + 1e0) / (sum(coalesce(c.n, 0)) over (partition by g.t1) + count(*) over (partition by g.t1))), 6) as log_p
@@ -206,8 +207,8 @@ def pos_pair_model(d: Dialect) -> str:
 
 
 def pos_surprisal(d: Dialect) -> str:
-    tag = "case when length(word) <= 2 then 'short' when length(word) <= 5 then 'mid' when length(word) <= 9 then 'long' else 'very' end"
-    return f"""with t as (select doc_id, pos, {tag} as tag from {{tok}}), s as (select doc_id, pos, tag, lag(tag) over (partition by doc_id order by pos) as prev from t),
+    tag = "case when word is null then null when length(word) <= 2 then 'short' when length(word) <= 5 then 'mid' when length(word) <= 9 then 'long' else 'very' end"
+    return f"""with s as (select doc_id, {tag} as tag, {tag.replace("word", "prev")} as prev from {{seq}}),
     c as (select prev, tag, count(*) as n from s where prev is not null group by prev, tag),
     p as (select prev, tag, n / cast(sum(n) over (partition by prev) as double) as p from c)
     select s.doc_id, round(sum(case when s.prev is null then 0 else -ln(greatest(coalesce(p.p, 0), 1e-12)) end), 4) as pos_surprisal from s left join p on p.prev = s.prev and p.tag = s.tag group by s.doc_id"""

@@ -32,6 +32,23 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "lang", (F.col("pos0") + 1).cast("long").alias("pos"), "word")
 
 
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tokens with the words before and after each, from the text's own array of words."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))
+    at = lambda k: F.try_element_at(F.col("words"), k)
+    three = F.transform(F.sequence(F.lit(1), F.size("words")), lambda k: F.struct(
+        k.cast("long").alias("pos"), at(k).alias("word"), F.when(k > 1, at(F.greatest(k - 1, F.lit(1)))).alias("prev"), F.when(k < F.size("words"), at(k + 1)).alias("next")))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("words")).filter(F.size("words") > 0)
+    return rows.select("doc_id", "lang", F.explode(three).alias("t")).select("doc_id", "lang", "t.*")
+
+
+def forward_fixations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fixations with next_forward, the first later fixation on a later word."""
+    from lumenread.operators.gaze import with_next_forward
+
+    return with_next_forward(fixations(spark, sf_dir).select("user_id", "i", "w"), ["user_id"], "i", "w")
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trimmed non-empty parts of documents between sentence ends and line ends."""
     parts = F.split(F.regexp_replace("text", r"\n", ". "), SENTENCE_END)
@@ -48,13 +65,18 @@ def dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("k", "x0")).select("vec_id", "label", "k", F.col("x0").cast("double").alias("x"))
 
 
-DERIVED = {"fix": fixations, "tok": tokens, "sent": sentences, "lex": lexicon, "dims": dimensions}
+DERIVED = {"fix": fixations, "nxt": forward_fixations, "tok": tokens, "seq": neighbours, "sent": sentences, "lex": lexicon, "dims": dimensions}
+
+FIX_SQL = f"""select user_id, row_number() over (partition by user_id order by ts, event_id) as i,
+        {DUCK.json_int("props", "k")} % {WORDS} as w, value as d, {DUCK.seconds("ts")} as t, event_type, event_id from events"""
+TOK_SQL = f"""select doc_id, lang, unnest(generate_series(1, len(words))) as pos, unnest(words) as word from (
+        select doc_id, lang, regexp_extract_all(lower(text), '{LETTERS}') as words from documents)"""
 
 DERIVED_SQL = {
-    "fix": f"""select user_id, row_number() over (partition by user_id order by ts, event_id) as i,
-        {DUCK.json_int("props", "k")} % {WORDS} as w, value as d, {DUCK.seconds("ts")} as t, event_type, event_id from events""",
-    "tok": f"""select doc_id, lang, unnest(generate_series(1, len(words))) as pos, unnest(words) as word from (
-        select doc_id, lang, regexp_extract_all(lower(text), '{LETTERS}') as words from documents)""",
+    "nxt": f"select a.user_id, a.i, a.w, min(b.i) as next_forward from ({FIX_SQL}) a left join ({FIX_SQL}) b on b.user_id = a.user_id and b.i > a.i and b.w > a.w group by a.user_id, a.i, a.w",
+    "seq": f"select doc_id, lang, pos, word, lag(word) over (partition by doc_id order by pos) as prev, lead(word) over (partition by doc_id order by pos) as next from ({TOK_SQL})",
+    "fix": FIX_SQL,
+    "tok": TOK_SQL,
     "sent": f"""select doc_id, lang, sid, trim(raw) as sentence from (
         select doc_id, lang, unnest(generate_series(1, len(parts))) as sid, unnest(parts) as raw from (
         select doc_id, lang, regexp_split_to_array(regexp_replace(text, '\\n', '. ', 'g'), '{SENTENCE_END}') as parts from documents)) where trim(raw) <> ''""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -66,3 +66,14 @@ def on_screen(samples: DataFrame, width: float, height: float, margin: float = 0
 def event_counts(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Events of each type in tumbling windows (not part of the reading pipeline; handy for logs)."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sample_source(spark: SparkSession, path: str, rows_a_trigger: int = 1000) -> DataFrame:
+    """Live samples (key, t, x, y, valid, reason) from the JSON files that a tracker drops into a folder."""
+    schema = "key long, t double, x double, y double, valid boolean, reason string"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, rows_a_trigger // 1000)).json(path)
+
+
+def valid_samples(samples: DataFrame) -> DataFrame:
+    """Samples that the tracker calls valid, with why others weren't counted elsewhere."""
+    return samples.filter(F.col("valid") & F.col("x").isNotNull() & F.col("y").isNotNull())
