@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, STRIDE = 64, 32
-#: Bound of the training sample: labelled documents of each class.
-SAMPLE_DOCS = 1500
-STEPS, REFRESH, BATCH_DOCS, RATE = 300, 60, 32, 0.012
+#: Bounds of the training sample, of each class: labelled documents, and characters of all of them.
+SAMPLE_DOCS, SAMPLE_CHARS = 1500, 2_000_000
+STEPS, REFRESH, BATCH_DOCS, RATE = 300, 100, 32, 0.012
 #: Folds that label scores are taken over, share of embeddings dropped, and their decay a step.
 FOLDS, DROPPED, DECAY = 5, 0.3, 2e-3
 HIDDEN, DIM, WORDS, GRAMS, TOLD = 8, 12, 1 << 13, 1 << 14, 1 << 18
@@ -102,14 +102,33 @@ def label_scores(held: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.clip((held[1] - expected) / np.sqrt(expected + 1) / 3, -3, 3).astype(np.float32)
 
 
-def inputs(model: dict, words: list[str], drop: np.random.Generator | None = None) -> tuple[np.ndarray, tuple]:
+class Described:
+    """Words by the hashes of what they are made of."""
+
+    def __init__(self, own: np.ndarray, grams: np.ndarray, starts: np.ndarray):
+        self.own, self.grams, self.starts = own, grams, starts
+        self.counts = np.diff(np.append(starts, len(grams)))
+
+    def take(self, ids: np.ndarray) -> Described:
+        counts = self.counts[ids]
+        starts = np.cumsum(counts) - counts
+        at = np.arange(int(counts.sum())) + np.repeat(self.starts[ids] - starts, counts)
+        return Described(self.own[ids], self.grams[at], starts)
+
+    def told(self, model: dict) -> np.ndarray:
+        """What labels say of each word: of itself, and at most and on average of its n-grams."""
+        told = model["told_gram"][self.grams % TOLD]
+        return np.stack([model["told_word"][self.own % TOLD], np.maximum.reduceat(told, self.starts), np.add.reduceat(told, self.starts) / self.counts], 1)
+
+
+def inputs(model: dict, words: Described | list[str], told: np.ndarray | None = None, drop: np.random.Generator | None = None) -> tuple[np.ndarray, tuple]:
     """What each word adds to the gates, and what the way back needs."""
-    own, grams, starts = features(words)
-    counts = np.diff(np.concatenate([starts, [len(grams)]])).astype(np.float32)
-    told = model["told_gram"][grams % TOLD]
-    told = np.stack([model["told_word"][own % TOLD], np.maximum.reduceat(told, starts), np.add.reduceat(told, starts) / counts], 1)
-    own, grams = own % WORDS, grams % GRAMS
-    mean = np.add.reduceat(model["gram"][grams], starts, axis=0) / counts[:, None]
+    if isinstance(words, list):
+        words = Described(*features(words))
+    if told is None:
+        told = words.told(model)
+    own, grams, counts = words.own % WORDS, words.grams % GRAMS, words.counts.astype(np.float32)
+    mean = np.add.reduceat(model["gram"][grams], words.starts, axis=0) / counts[:, None]
     learned = np.concatenate([model["word"][own], mean], 1)
     keep = None if drop is None else (drop.random((len(own), 2)) >= DROPPED).repeat(DIM, 1) / np.float32(1 - DROPPED)
     if keep is not None:
@@ -198,6 +217,10 @@ def input_gradients(model: dict, kept: tuple, d_gates: np.ndarray) -> dict:
     return {"inp": joined.T @ d_gates, "bias": d_gates.sum(0), "word": d_word, "gram": d_gram}
 
 
+def words_of(text: str) -> list[str]:
+    return text.lower().split() or [""]
+
+
 def window_starts(n: int) -> list[int]:
     """Starts of the windows that cover n words."""
     return list(range(0, max(1, n - STRIDE), STRIDE))
@@ -213,58 +236,61 @@ def laid_out(index: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 class Sample:
     """Labelled documents as words, and what labels say of words by the fold that is left out."""
 
-    def __init__(self, samples: list[tuple[int, list[str]]]):
+    def __init__(self, samples: list[tuple[int, str]]):
         self.labels = np.array([label for label, _ in samples])
-        self.words = [words or [""] for _, words in samples]
-        self.starts = [np.array(window_starts(len(words))) for words in self.words]
+        known: dict[str, int] = {}
+        self.docs = [np.array([known.setdefault(w, len(known)) for w in words_of(text)], np.int32) for _, text in samples]
+        self.words = Described(*features(list(known)))
+        self.starts = [np.array(window_starts(len(d))) for d in self.docs]
         # by label in turn, so that every fold has its share of each
         self.folds = np.empty(len(samples), np.int64)
         for k in (0, 1):
             self.folds[self.labels == k] = np.arange((self.labels == k).sum()) % FOLDS
         held = {name: np.zeros((FOLDS, 2, TOLD), np.float32) for name in COUNTED}
         sizes = np.zeros((FOLDS, 2))
-        for label, fold, words in zip(self.labels, self.folds, self.words, strict=True):
-            own, grams, _ = features(list(dict.fromkeys(words)))
-            for name, hashes in zip(COUNTED, (own, grams), strict=True):
+        for label, fold, doc in zip(self.labels, self.folds, self.docs, strict=True):
+            own = self.words.take(np.unique(doc))
+            for name, hashes in zip(COUNTED, (own.own, own.grams), strict=True):
                 held[name][fold, label, np.unique(hashes % TOLD)] += 1
             sizes[fold, label] += 1
-        self.told = {name: label_scores(x.sum(0), sizes.sum(0)) for name, x in held.items()}
+        self.model = {name: label_scores(x.sum(0), sizes.sum(0)) for name, x in held.items()}
         self.others = [{name: label_scores(x.sum(0) - x[f], sizes.sum(0) - sizes[f]) for name, x in held.items()} for f in range(FOLDS)]
+        self.told = [self.words.told(others) for others in self.others]
 
     def first_windows(self) -> np.ndarray:
         """The start of each document's window that holds the word of which labels say most."""
-        out = np.zeros(len(self.words), np.int64)
-        for d, words in enumerate(self.words):
-            own, grams, starts = features(words)
-            told = self.others[self.folds[d]]
-            at = int(np.argmax(told["told_word"][own % TOLD] + np.maximum.reduceat(told["told_gram"][grams % TOLD], starts)))
-            out[d] = self.starts[d][min(len(self.starts[d]) - 1, at // STRIDE)]
-        return out
+        most = [told[:, 0] + told[:, 1] for told in self.told]
+        at = [int(np.argmax(most[f][d])) for f, d in zip(self.folds, self.docs, strict=True)]
+        return np.array([starts[min(len(starts) - 1, k // STRIDE)] for k, starts in zip(at, self.starts, strict=True)])
 
     def deciding_windows(self, model: dict) -> np.ndarray:
         """The start of each document's window with the largest logit."""
-        out = np.zeros(len(self.words), np.int64)
-        for fold in range(FOLDS):
-            scorer = Scorer(model | self.others[fold])
-            for d in np.flatnonzero(self.folds == fold).tolist():
-                best = -np.inf
-                for a, words in parts_of(self.words[d], SPAN):
-                    starts = np.array(window_starts(len(words)))
-                    logits = scorer.logits(words, starts, np.full(len(starts), len(words)))
-                    if logits.max() > best:
-                        best, out[d] = logits.max(), a + starts[logits.argmax()]
+        out = np.zeros(len(self.docs), np.int64)
+        for fold, told in enumerate(self.told):
+            gates = inputs(model, self.words, told)[0]
+            mine = np.flatnonzero(self.folds == fold)
+            for part in np.array_split(mine, max(1, sum(len(self.docs[d]) for d in mine) // SPAN)):
+                if not len(part):
+                    continue
+                sizes, windows = np.array([len(self.docs[d]) for d in part]), np.array([len(self.starts[d]) for d in part])
+                begin = np.cumsum(sizes) - sizes
+                index, starts = np.concatenate([self.docs[d] for d in part]), np.concatenate([self.starts[d] + a for d, a in zip(part, begin, strict=True)])
+                ends = np.repeat(begin + sizes, windows)
+                logits = np.concatenate([forward(model, gates, *laid_out(index, starts[a:a + 1024], ends[a:a + 1024])) for a in range(0, len(starts), 1024)])
+                for d, a, b, first in zip(part, np.cumsum(windows) - windows, np.cumsum(windows), begin, strict=True):
+                    out[d] = starts[a + int(logits[a:b].argmax())] - first
         return out
 
 
-def train(samples: list[tuple[int, list[str]]], steps: int = STEPS, seed: int = 7) -> dict | None:
-    """A model from (label, words) of documents; None without both labels."""
+def train(samples: list[tuple[int, str]], steps: int = STEPS, seed: int = 7) -> dict | None:
+    """A model from (label, text) of documents; None without both labels."""
     if not {0, 1} <= {label for label, _ in samples}:
         return None
     sample, rng, model = Sample(samples), np.random.default_rng(seed), fresh_model(seed)
     kinds = [np.flatnonzero(sample.labels == k) for k in (0, 1)]
     trained = [k for k in model if k not in COUNTED]
     moments = {k: (np.zeros_like(model[k]), np.zeros_like(model[k])) for k in trained}
-    deciding = sample.first_windows()
+    deciding, size, all_told = sample.first_windows(), len(sample.words.own), np.concatenate(sample.told)
     for step in range(1, steps + 1):
         if step > 1 and step % REFRESH == 1:
             deciding = sample.deciding_windows(model)
@@ -273,32 +299,18 @@ def train(samples: list[tuple[int, list[str]]], steps: int = STEPS, seed: int =
         begin = deciding[chosen]
         for j in np.flatnonzero((truth == 0) & (rng.random(len(chosen)) < 0.5)).tolist():
             begin[j] = rng.choice(sample.starts[chosen[j]])
-        windows = [sample.words[d][a: a + WINDOW] for d, a in zip(chosen.tolist(), begin.tolist(), strict=True)]
         # a document's words are told of by the other folds, so words are apart by fold
-        index, gates, kept_in = [None] * len(windows), [], []
-        size = 0
-        for fold in range(FOLDS):
-            mine = np.flatnonzero(sample.folds[chosen] == fold).tolist()
-            if not mine:
-                continue
-            words: dict[str, int] = {}
-            for j in mine:
-                index[j] = [size + words.setdefault(w, len(words)) for w in windows[j]]
-            g, kept = inputs(model | sample.others[fold], list(words), rng)
-            gates.append(g)
-            kept_in.append((size, size + len(words), kept))
-            size += len(words)
-        gates = np.concatenate(gates)
-        sizes = np.array([len(x) for x in index])
-        ends = np.cumsum(sizes)
-        places, mask = laid_out(np.concatenate(index), ends - sizes, ends)
+        windows = [sample.folds[d] * size + sample.docs[d][a: a + WINDOW] for d, a in zip(chosen, begin, strict=True)]
+        words, flat = np.unique(np.concatenate(windows), return_inverse=True)
+        told = all_told[words]
+        gates, kept_in = inputs(model, sample.words.take(words % size), told, rng)
+        ends = np.cumsum([len(x) for x in windows])
+        places, mask = laid_out(flat, ends - [len(x) for x in windows], ends)
         kept: dict = {}
         logits = forward(model, gates, places, mask, kept)
         slope = ((sigmoid(logits) - truth) / len(chosen)).astype(np.float32)
         grad, d_gates = backward(model, gates, places, kept, slope)
-        for a, b, part in kept_in:
-            for name, g in input_gradients(model, part, d_gates[a:b]).items():
-                grad[name] = grad[name] + g if name in grad else g
+        grad |= input_gradients(model, kept_in, d_gates)
         rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
         for k in trained:
             first, second = moments[k]
@@ -307,7 +319,7 @@ def train(samples: list[tuple[int, list[str]]], steps: int = STEPS, seed: int =
             model[k] -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
         for k in ("word", "gram"):
             model[k] *= 1 - DECAY
-    return model | sample.told
+    return model | sample.model
 
 
 def parts_of(words: list[str], most: int) -> Iterator[tuple[int, list[str]]]:
@@ -352,7 +364,7 @@ class Scorer:
             spans.clear()
 
         for d, text in enumerate(texts):
-            for _, piece in parts_of(text.lower().split() or [""], SPAN):
+            for _, piece in parts_of(words_of(text), SPAN):
                 if len(words) + len(piece) > SPAN:
                     flush()
                 spans.append((d, len(words), len(words) + len(piece)))
@@ -380,17 +392,25 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, list[str]]]:
-    """Label and words of at most SAMPLE_DOCS labelled documents of each class, whole texts."""
+def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
+    """Label and text of labelled documents, whole texts: of each class the first by hash that fit the bounds."""
     spark = docs.sparkSession
     told = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    told = told.withColumn("order", F.xxhash64(F.col("doc_id"), F.lit(11)))
-    ids = [(r["doc_id"], r["toxic"]) for k in (0, 1) for r in told.filter(F.col("toxic") == k).orderBy("order").limit(SAMPLE_DOCS).collect()]
+    keyed = common.keyed_texts(docs)
+    order = F.xxhash64(F.col("doc_id"), F.lit(11))
+    sizes = keyed.select("doc_id", F.length("text").alias("size")).join(told, "doc_id").groupBy("doc_id", "toxic").agg(F.sum("size").alias("size")).withColumn("order", order)
+    ids = []
+    for k in (0, 1):
+        left = SAMPLE_CHARS
+        for r in sizes.filter(F.col("toxic") == k).orderBy("order").limit(SAMPLE_DOCS).collect():
+            if r["size"] <= left:
+                left -= r["size"]
+                ids.append((r["doc_id"], k))
     if not ids:
         return []
     chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))  # at most 2 x SAMPLE_DOCS rows
-    rows = common.keyed_texts(docs).join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
-    return [(r["toxic"], r["text"].lower().split()) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    rows = keyed.join(chosen, "doc_id").select("doc_id", "text", "toxic").collect()
+    return [(r["toxic"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
 def scoring(shared, names: list[str]):
