@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ SEED, BLOCK = 23, 1024
 #: Texts that walk side by side, and how many bytes of them.
 GROUP, GROUP_BYTES = 4096, 24 << 20
 BANDS, BAND_NOTES = 12, 6
+#: Fewer texts than these walk one by one; rows sampled for each partition's bounds.
+FEW, SAMPLED = 6, 200
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -48,11 +51,16 @@ def priorities(first: int, n: int) -> np.ndarray:
     return np.where(x == 0, 63, np.log2(np.maximum(low, 1).astype(np.float64))).astype(np.int64)
 
 
-def moves(block: int) -> np.ndarray:
+@lru_cache(64)
+def move_bits(block: int) -> np.ndarray:
     """The random bit of each step of a block and character class; class 0, the end, never moves."""
     bits = np.unpackbits(np.random.default_rng((SEED, block)).integers(0, 256, (BLOCK, 32), dtype=np.uint8), axis=1)
     bits[:, 0] = 0
-    return bits.astype(np.int64)
+    return bits
+
+
+def moves(block: int) -> np.ndarray:
+    return move_bits(block).astype(np.int64)
 
 
 def classes(text: str) -> np.ndarray:
@@ -65,6 +73,25 @@ def level_of(n_chars: int) -> int:
     return max(0, (2 * n_chars // LEAST).bit_length() - 1)
 
 
+def walk_on(data: np.ndarray, at: int, block: int, level: int, notes: np.ndarray, kept: int) -> None:
+    """One text's walk from a place on, at the beginning of a block, to its end; kept notes are there already."""
+    raw = data.tobytes() if len(data) < 1 << 20 else memoryview(data)
+    while raw[at]:
+        bits, marks = move_bits(block), np.flatnonzero(priorities(block * BLOCK, BLOCK) >= level).tolist()
+        rows = [r.tobytes() for r in bits]
+        j = 0
+        for mark in (*marks, BLOCK):
+            for row in rows[j:mark]:
+                at += row[raw[at]]
+            if mark < BLOCK:
+                if kept < len(notes):
+                    notes[kept] = raw[at]
+                kept += 1
+                at += rows[mark][raw[at]]
+            j = mark + 1
+        block += 1
+
+
 def fingerprints(texts: list[str]) -> list[str]:
     """Level as two hex digits, then a hex digit a note."""
     if not texts:
@@ -89,7 +116,11 @@ def fingerprints(texts: list[str]) -> list[str]:
     spans = split()
     block = 0
     while len(lane):
-        go, rank = moves(block), priorities(block * BLOCK, BLOCK).tolist()
+        if len(lane) < FEW:  # single long texts: step by step is faster than side by side
+            for k, place in zip(lane.tolist(), at.tolist(), strict=True):
+                walk_on(data, place, block, int(levels[k]), notes[k], int(kept[levels[k]]))
+            break
+        go, rank = move_bits(block), priorities(block * BLOCK, BLOCK).tolist()
         for j in range(BLOCK):
             here = data[at]
             top = rank[j]
@@ -194,25 +225,45 @@ def walk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(ahead if ahead is not None else held[0][1])
 
 
+def buckets_of(cuts: list[tuple[int, int]]):
+    """A column function: how many cuts (at, head) are at most a row's."""
+    cut_at, cut_head = (np.array(c, np.int64) for c in (zip(*cuts, strict=True) if cuts else ((), ())))
+
+    @F.pandas_udf("int")
+    def bucket(at: pd.Series, head: pd.Series) -> pd.Series:
+        own, heads = at.to_numpy(np.int64), head.to_numpy(np.int64)
+        low, high = np.searchsorted(cut_at, own, side="left"), np.searchsorted(cut_at, own, side="right")
+        out = low.copy()
+        for k in np.unique(low[low < high]).tolist():  # rows with an id that is itself a bound
+            rows = np.flatnonzero((low == k) & (low < high))
+            out[rows] += np.searchsorted(cut_head[k: high[rows[0]]], heads[rows], side="right")
+        return pd.Series(out.astype(np.int32))
+
+    return bucket
+
+
 def in_order(docs: DataFrame) -> DataFrame:
-    """docs by doc_id over partitions, each followed by the row (look) that comes after its last one."""
+    """docs by doc_id over partitions, each followed by the row (look) that comes after its last one.
+
+    Bounds are quantiles of a sample, by id and then by the first bytes of the text, so rows without an
+    id, or with one id, are dealt to as many partitions as they need.
+    """
     spark = docs.sparkSession
-    keyed = common.keyed_texts(docs).withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    first = F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0")
+    keyed = common.keyed_texts(docs).withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long"))
+    keyed = keyed.withColumn("head", F.coalesce(F.conv(first, 16, 10).cast("long"), F.lit(0).cast("long")))
     parts = common.sized_partitions(spark, docs)
-    cuts = keyed.approxQuantile("at", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    cuts = np.unique(np.array(cuts, np.float64))
-
-    @F.pandas_udf("int")
-    def bucket(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, at.to_numpy(np.int64).astype(np.float64), side="right").astype(np.int32))
-
-    dealt = keyed.withColumn("bucket", bucket("at"))
-    heads = sorted((r["bucket"], r["head"]) for r in keyed.select("at").withColumn("bucket", bucket("at")).groupBy("bucket").agg(F.min("at").alias("head")).collect())
-    # one row a partition: the head of each is also looked at by the partition before it
-    ahead = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]
-    ahead = F.broadcast(spark.createDataFrame(ahead, "at long, bucket int"))
-    looked = keyed.join(ahead, "at").withColumn("look", F.lit(True))
-    every = dealt.withColumn("look", F.lit(False)).unionByName(looked)
+    share = min(1.0, parts * SAMPLED / max(1, docs.count()))
+    some = sorted((r["at"], r["head"]) for r in keyed.select("at", "head").sample(share, seed=SEED).collect())  # about parts x SAMPLED rows
+    cuts = sorted({some[k * len(some) // parts] for k in range(1, parts)}) if some else []
+    bucket = buckets_of(cuts)
+    dealt = keyed.withColumn("bucket", bucket("at", "head"))
+    # the first row of each partition is also looked at by the one before it
+    heads = common.materialise(dealt.groupBy("bucket").agg(F.min(F.struct("at", "text", "doc_id")).alias("r")).select("bucket", "r.*"), "heads")
+    present = sorted(r["bucket"] for r in heads.select("bucket").collect())  # a row a partition
+    before = F.broadcast(spark.createDataFrame([(b, present[k - 1]) for k, b in enumerate(present)], "bucket int, target int"))
+    looked = heads.join(before, "bucket").select("doc_id", "text", "at", F.col("target").alias("bucket"), F.lit(True).alias("look"))
+    every = dealt.select("doc_id", "text", "at", "bucket", F.lit(False).alias("look")).unionByName(looked)
     return every.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("look", "at", "text").select("doc_id", "text", "look")
 
 
@@ -252,22 +303,45 @@ def band_keys(print_: str) -> list[str]:
     return out or [print_]
 
 
+def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over different fingerprints (node, fingerprint): node and the hash of each of its band keys."""
+    for batch in batches:
+        nodes, keys = [], []
+        for node, print_ in zip(batch.column("node").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True):
+            own = {xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in band_keys(print_)}
+            nodes += [node] * len(own)
+            keys += own
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.int64())], names=["node", "key"])
+
+
 def near_copies(prints: DataFrame, least: float = 0.75) -> DataFrame:
     """(doc_id, lead_id, near): every two candidates whose likeness is at least so high, lead_id the smaller.
 
     Equal fingerprints are one candidate, that of the smallest doc_id, and their other rows are pairs with
-    it. All different fingerprints of a band are compared, so pairs grow with the square of their number.
+    it. Of all different fingerprints that share a band every two are compared, none left out, so pairs
+    grow with the square of the number of different near copies in a group. Null doc_ids are in no pair.
     """
     firsts = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
-    copies = prints.join(firsts.withColumnRenamed("doc_id", "lead_id"), "fingerprint").filter("doc_id > lead_id")
+    firsts = common.materialise(firsts.withColumn("node", F.xxhash64("fingerprint", "doc_id")), "prints")
+    copies = prints.join(firsts.select("fingerprint", F.col("doc_id").alias("lead_id")), "fingerprint").filter("doc_id > lead_id")
     copies = copies.select("doc_id", "lead_id", F.lit(1.0).alias("near")).distinct()
-    keys = F.udf(band_keys, "array<string>")
-    banded = firsts.withColumn("key", F.explode(F.array_distinct(keys("fingerprint"))))
-    leads = banded.select("key", F.col("doc_id").alias("lead_id"), F.col("fingerprint").alias("lead_print"))
-    pairs = banded.join(leads, "key").filter("doc_id > lead_id").drop("key").distinct()
-    near = F.pandas_udf(lambda a, b: pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)]), "double")
-    verified = pairs.withColumn("near", near("fingerprint", "lead_print")).filter(F.col("near") >= least)
-    return verified.select("doc_id", "lead_id", "near").unionByName(copies)
+    keys = common.materialise(firsts.select("node", "fingerprint").mapInArrow(banded, "node long, key long"), "bands")
+    pairs = keys.join(keys.select("key", F.col("node").alias("other")), "key").filter("node < other").select("node", "other").distinct()
+    one = firsts.select("node", F.col("doc_id").alias("a"), F.col("fingerprint").alias("print_a"))
+    two = firsts.select(F.col("node").alias("other"), F.col("doc_id").alias("b"), F.col("fingerprint").alias("print_b"))
+
+    @F.pandas_udf("double")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    verified = pairs.join(one, "node").join(two, "other").withColumn("near", near("print_a", "print_b")).filter(F.col("near") >= least)
+    ordered = verified.select(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("lead_id"), "near")
+    return ordered.unionByName(copies)
+
+
+def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents by bands of their fingerprints, each pair verified."""
+    return near_copies(common.materialise(prints_of(common.read(spark, sf_dir, "documents")), "prints"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

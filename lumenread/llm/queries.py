@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_masked_lm": masked_lm.query,
         "op3_edit_counts": edit_counts.query,
         "op4_edit_prints": edit_prints.query,
+        "edit_near_copies": edit_prints.near_query,
         "op5_best_fit_packing": packing.query,
         "op6_toxicity": toxicity.query,
         "op7_exact_dedup": exact_dedup.query,

@@ -30,7 +30,37 @@ def test_walks():
     assert near > 0.85 > 0.4 > far and edit_prints.likeness(prints[0], prints[1]) == 1
 
 
-@pytest.mark.parametrize("rows", [cases(), cases()[:1], [], repeated()], ids=["cases", "single", "empty", "repeated"])
+def test_walks_one_by_one(monkeypatch):
+    """Texts that walk alone, from the start or after others have ended, have the fingerprints that they have side by side."""
+    texts = [prose(70 + k, n) for k, n in enumerate((3, 40, 900, 2500))] + [""]
+    monkeypatch.setattr(edit_prints, "FEW", 0)
+    plain = edit_prints.fingerprints(texts)
+    for few in (1, 2, 4, 100):
+        monkeypatch.setattr(edit_prints, "FEW", few)
+        assert edit_prints.fingerprints(texts) == plain == [walked(t) for t in texts]
+
+
+def test_very_long_text_walks_soon():
+    import time
+
+    began = time.time()
+    print_, = edit_prints.fingerprints([prose(90, 100) * 2000])
+    assert time.time() - began < 20 and edit_prints.LEAST <= len(print_) - 2 <= edit_prints.MOST
+
+
+def test_buckets_by_id_and_text():
+    import pandas as pd
+
+    cuts = sorted([(1, 5), (3, 0), (3, 7), (3, 9), (8, 2)])
+    rows = [(a, h) for a in range(10) for h in range(12)]
+    found = edit_prints.buckets_of(cuts).func(pd.Series([a for a, _ in rows]), pd.Series([h for _, h in rows])).tolist()
+    assert found == [sum(c <= r for c in cuts) for r in rows]
+
+
+ONE_ID = [(None if i % 3 else 7, prose(1000 + i, 3 + i % 9), None, None, None) for i in range(120)]
+
+
+@pytest.mark.parametrize("rows", [cases(), cases()[:1], [], repeated(), ONE_ID], ids=["cases", "single", "empty", "repeated", "one id"])
 def test_edit_print_rows(spark, rows):
     found = [tuple(r) for r in edit_prints.in_order(clashing(spark, rows)).mapInArrow(edit_prints.walk_rows, edit_prints.SCHEMA).collect()]
     order = sorted(((-(1 << 63) if i is None else i, t or "", i) for i, t, *_ in rows), key=lambda x: x[:2])
@@ -130,6 +160,40 @@ def test_quality(spark):
     assert kneser_ney.classify(clashing(spark, []), some).count() == 0
 
 
+def test_quality_decisions_by_hand(spark):
+    """Means, quantiles, judged perplexities and decisions from scored rows, in plain Python; ties at the threshold stay."""
+    rng = np.random.default_rng(6)
+    rows = [(i, ["en", "fr", None, "rare"][i % 4 if i % 40 else 3], n := int(rng.integers(0, 200)), -float(n * rng.uniform(3, 9)) if n else None) for i in range(400)]
+    rows = [(i, lang if lang != "rare" or i % 40 == 0 else "en", n, x) for i, lang, n, x in rows]
+    scored = spark.createDataFrame([(i, lang, n, x, float(np.exp(-x / n)) if n else None) for i, lang, n, x in rows], "doc_id long, lang string, n_words long, log_prob double, perplexity double")
+    trusted = [r for r in rows if r[0] % 2 == 0 and r[2]]
+    found = {r["doc_id"]: r for r in kneser_ney.decide(scored, spark.createDataFrame([(r[0],) for r in rows if r[0] % 2 == 0], "doc_id long")).collect()}
+    of = lambda lang: [r for r in trusted if r[1] == lang]
+    mean = lambda own: sum(-r[3] for r in own) / sum(r[2] for r in own)
+    usual = lambda lang: mean(of(lang) if len(of(lang)) >= kneser_ney.FEW else trusted)
+    judge = lambda r: float(np.exp((-r[3] + kneser_ney.PRIOR * usual(r[1])) / (r[2] + kneser_ney.PRIOR)))
+    def limit(lang):
+        own = sorted(map(judge, of(lang) if len(of(lang)) >= kneser_ney.FEW else trusted))
+        return own[int(np.ceil(kneser_ney.LEAVE * len(own))) - 1] * kneser_ney.SLACK
+
+    assert len(found) == 400 and {len(of(x)) >= kneser_ney.FEW for x in ("en", "fr", "rare")} == {True, False}
+    for r in rows:
+        row = found[r[0]]
+        assert np.isclose(row["threshold"], limit(r[1])) and (row["judged"] is None) == (r[2] == 0)
+        assert row["kept"] == (r[2] == 0 or row["judged"] <= row["threshold"])
+        assert r[2] == 0 or np.isclose(row["judged"], judge(r))
+
+
+def test_quality_reads_long_trusted_texts(spark, monkeypatch):
+    """Of a long trusted text some characters in a row are read, not always the first."""
+    monkeypatch.setattr(kneser_ney, "LONGEST", 500)
+    rows = [(i, prose(i, 400), "en", "s", 1) for i in range(60)]
+    read, plain = [], kneser_ney.fit
+    monkeypatch.setattr(kneser_ney, "fit", lambda trusted: read.extend(r["text"] for r in trusted.collect()) or plain(trusted))
+    kneser_ney.classify(frame(spark, rows), spark.createDataFrame([(i,) for i in range(60)], "doc_id long")).count()
+    assert len(read) > 30 and all(len(t) == 500 and any(t in r[1] for r in rows) for t in read) and sum(any(r[1].startswith(t) for r in rows) for t in read) < 5
+
+
 def test_quality_parts_junk(spark):
     good = [(i, prose(1, 300)[i % 40:] + " " + prose(i, 4), "en", "s", 1) for i in range(200)]
     junk = [(1000 + i, " | ".join(prose(5000 + i, 60).split()), "en", "s", 1) for i in range(10)]
@@ -166,6 +230,8 @@ def test_masked_model():
     every = [masked_lm.log_probabilities(model, np.array([3, w, 5]), masked_lm.neighbours(np.array([3, w, 5]), np.array([3])))[1] for w in range(0, masked_lm.EDGE)]
     assert np.isclose(np.exp(every).sum(), 1)
     assert np.array_equal(masked_lm.packed(masked_lm.unpacked(masked_lm.packed(masked_lm.fresh()))), masked_lm.packed(masked_lm.fresh()))
+    large = {k: v * 300 for k, v in model.items()}  # logits that have no exponential
+    assert np.isfinite(masked_lm.log_probabilities(large, ids, around)).all() and all(np.isfinite(g).all() for g in masked_lm.gradients(large, ids, around).values())
 
 
 def test_masked_scores(spark):
@@ -186,10 +252,13 @@ def test_masked_scores(spark):
     assert masked_lm.pseudo_likelihood(clashing(spark, [])).count() == 0
 
 
-def test_masked_rare_words(spark):
-    """A rare word has its share of its bucket, so the probabilities of all words sum to 1."""
+@pytest.mark.parametrize("told", [masked_lm.TOLD, 700, 0])
+def test_masked_rare_words(spark, monkeypatch, told):
+    """A rare word has its share of its bucket, so the probabilities of all words sum to 1; whether tasks are told or ask."""
     from collections import Counter
 
+    monkeypatch.setattr(masked_lm, "TOLD", told)
+
     rows = [*repeated(), *((100 + i, prose(900 + i, 800), "en", "s", 1) for i in range(10))]
     docs = common.keyed_texts(clashing(spark, rows))
     counted = masked_lm.word_counts(docs)
@@ -315,13 +384,24 @@ def test_toxicity_forward_word_by_word():
 
 def test_toxicity_tells_by_other_folds():
     """Words that one document holds alone tell nothing of it; words that many toxic ones hold do."""
-    samples = [(int(k < 20), ["common", f"own{k}", *(["slur"] if k < 20 else [])]) for k in range(60)]
+    samples = [(int(k < 20), f"common own{k} " + "slur" * (k < 20)) for k in range(60)]
     made = toxicity.Sample(samples)
     of = lambda told, w: told["told_word"][toxicity.features([w])[0][0] % toxicity.TOLD]
     for k in range(60):
         told = made.others[made.folds[k]]
         assert of(told, f"own{k}") == 0 and abs(of(told, "common")) < 0.1 and of(told, "slur") > 0.8
-    assert of(made.told, "slur") >= of(made.others[0], "slur")
+    assert of(made.model, "slur") >= of(made.others[0], "slur")
+    # every document's deciding window is the one with its own largest logit
+    model = toxicity.fresh_model() | made.model
+    found = made.deciding_windows(model)
+    assert len(found) == 60 and not found.any()
+    long = toxicity.Sample([(k % 2, " ".join([f"w{i % 50}" for i in range(40 + 90 * k)] + ["slur"] * (k % 2))) for k in range(12)])
+    for d, at in enumerate(long.deciding_windows(model)):
+        words = [f"w{i % 50}" for i in range(40 + 90 * d)] + ["slur"] * (d % 2)
+        scorer = toxicity.Scorer(model | long.others[long.folds[d]])
+        starts = np.array(toxicity.window_starts(len(words)))
+        logits = scorer.logits(words, starts, np.full(len(starts), len(words)))
+        assert logits[starts.tolist().index(at)] >= logits.max() - 1e-5
 
 
 def test_toxicity_tie_and_labels(spark):
@@ -330,7 +410,7 @@ def test_toxicity_tie_and_labels(spark):
     assert [(r["score"], r["predicted"]) for r in toxicity.score(frame(spark, rows), model).collect()] == [(0.5, 1)] * 2
     labels = spark.createDataFrame([(1, 0), (1, 1), (1, None), (2, 0)], "doc_id long, toxic int")
     told = {i: t for i, t in ((1, 1), (2, 0)) if zlib.crc32(str(i).encode()) % 5}
-    assert sorted(toxicity.sample(frame(spark, rows), labels)) == sorted((t, [rows[i - 1][1]]) for i, t in told.items())
+    assert sorted(toxicity.sample(frame(spark, rows), labels)) == sorted((t, rows[i - 1][1]) for i, t in told.items())
 
 
 def toxic_rows(n):
