@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -151,16 +152,21 @@ def counter_of(rank_file: str, pattern: str) -> Counter:
     return common.kept(("counter", rank_file, pattern), lambda: Counter(rank_file, pattern))
 
 
-def follow(docs: DataFrame, edits: Column, rank_file: str, pattern: str) -> DataFrame:
-    """Counts of each text before and after its edits (an array of start, end and text)."""
+def follow(docs: DataFrame, edits: Column, rank_file: str, pattern: str, stored: bool = False) -> DataFrame:
+    """Counts of each text before and after its edits (an array of start, end and text).
+
+    With stored, docs are rows of trees(): no text is split or encoded but for what its edits touch.
+    """
     common.bound_batches(docs.sparkSession)
+    leaves = ["chars", "tokens"] if stored else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(rank_file, pattern)
         for batch in batches:
             rows = []
-            for doc_id, text, steps in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "edits")), strict=True):
-                tree = TokenTree(text, counter)
+            kept = zip(*(batch.column(c) for c in leaves), strict=True) if leaves else repeat(None)
+            for doc_id, text, steps, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "edits")), kept, strict=False):
+                tree = TokenTree(text, counter, None if own is None else tuple(x.values.to_numpy().astype(np.int64) for x in own))
                 before = len(text), tree.n_leaves, tree.n_tokens
                 again = [tree.edit(s["start"], s["end"], s["text"]) for s in steps or ()]
                 rows.append((doc_id, *before, len(tree.text), tree.n_tokens, len(again), sum(again)))
@@ -168,12 +174,12 @@ def follow(docs: DataFrame, edits: Column, rank_file: str, pattern: str) -> Data
             names = [part.split(" ")[0] for part in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    rows = docs.select("doc_id", common.text_or_empty().alias("text"), edits.cast(EDITS).alias("edits"))
+    rows = docs.select("doc_id", common.text_or_empty().alias("text"), edits.cast(EDITS).alias("edits"), *leaves)
     return rows.mapInArrow(run, SCHEMA)
 
 
 def trees(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """The leaves of each text's tree, to be kept beside it: characters and tokens of its pre-tokens."""
+    """Each text with its tree's leaves, to be kept: characters and tokens of its pre-tokens. follow() reads them back."""
     common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +187,10 @@ def trees(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         for ids, texts in common.documents_of(batches):
             leaves = [counter.leaves(counter.pattern.findall(t)) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), *(pa.array([x[k] for x in leaves], pa.list_(pa.int64())) for k in (0, 1))], names=["doc_id", "chars", "tokens"])
+                [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), *(pa.array([x[k].astype(np.int32) for x in leaves], pa.list_(pa.int32())) for k in (0, 1))],
+                names=["doc_id", "text", "chars", "tokens"])
 
-    return common.keyed_texts(docs).mapInArrow(run, "doc_id long, chars array<long>, tokens array<long>")
+    return common.keyed_texts(docs).mapInArrow(run, "doc_id long, text string, chars array<int>, tokens array<int>")
 
 
 def three_edits() -> Column:

@@ -159,4 +159,6 @@ def test_edit_counts(spark, rows):
         want.append((i, n, len(counter.encoding.encode_ordinary(text)), len(new), len(counter.encoding.encode_ordinary(new))))
         assert piece is not None
     assert sorted([(r["doc_id"], r["n_chars"], r["n_tokens"], r["edited_chars"], r["edited_tokens"]) for r in found], key=str) == sorted(want, key=str)
-    assert edit_counts.trees(clashing(spark, rows), RANKS, public_tokenizers.PATTERN).count() == len(rows)
+    kept = edit_counts.trees(clashing(spark, rows), RANKS, public_tokenizers.PATTERN)
+    again = edit_counts.follow(kept, edit_counts.three_edits(), RANKS, public_tokenizers.PATTERN, stored=True).collect()
+    assert kept.count() == len(rows) and sorted(map(str, again)) == sorted(map(str, found))
