@@ -106,4 +106,5 @@ def detect_fixations(samples: DataFrame, key: str, spread: float, gap: float, le
 
 def idt_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = tables.fixations(spark, sf_dir).select("user_id", "t", (F.col("w") * 10.0).alias("x"), F.col("d").alias("y"))
-    return detect_fixations(samples, "user_id", spread=80.0, gap=3 * 86400.0, least=60.0)
+    found = detect_fixations(samples, "user_id", spread=80.0, gap=3 * 86400.0, least=60.0)
+    return found.select("user_id", "fxno", *[F.round(c, k).alias(c) for c, k in (("start_t", 3), ("end_t", 3), ("x", 6), ("y", 6))], "samples")

@@ -120,19 +120,25 @@ def pair_ranker(pairs: DataFrame, features: Sequence[str], label: str) -> tuple[
     return logistic(scaled, features, "y", intercept=False), scales
 
 
-def vectors_of_pairs(pairs: DataFrame, left: str, right: str, label_first: str, slots: int = 60) -> DataFrame:
-    """Both orders of each pair: two arrays of predicted times, cut or padded with 0 to slots, joined; label 1 if the harder is first."""
+def vectors_of_pairs(pairs: DataFrame, left: str, right: str, label_first: str, slots: int = 60, sums: tuple[str, str] | None = None) -> DataFrame:
+    """Both orders of each pair: two arrays of predicted times, cut or padded with 0 to slots, then both lengths, both means
+    and, if asked for, both surprisal sums; label 1 if the harder is first. A pair typed by hand is a frame of one row."""
 
     def padded(c: str) -> Column:
         return F.slice(F.concat(F.col(c), F.array_repeat(F.lit(0.0), slots)), 1, slots)
 
-    def stats(c: str) -> list[Column]:
-        size = F.size(c)
-        return [size.cast("double"), F.when(size > 0, F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / size).otherwise(0.0)]
+    def size(c: str) -> Column:
+        return F.size(c).cast("double")
 
-    one = pairs.select(F.concat(padded(left), padded(right), F.array(*stats(left), *stats(right))).alias("vector"), F.col(label_first).cast("int").alias("label"))
-    two = pairs.select(F.concat(padded(right), padded(left), F.array(*stats(right), *stats(left))).alias("vector"), (1 - F.col(label_first).cast("int")).alias("label"))
-    return one.unionByName(two)
+    def mean(c: str) -> Column:
+        return F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)).otherwise(0.0)
+
+    def vector(one: str, two: str, extra: tuple[str, ...]) -> Column:
+        return F.concat(padded(one), padded(two), F.array(size(one), size(two), mean(one), mean(two), *[F.col(c).cast("double") for c in extra]))
+
+    first = pairs.select(vector(left, right, sums or ()).alias("vector"), F.col(label_first).cast("int").alias("label"))
+    second = pairs.select(vector(right, left, tuple(reversed(sums or ()))).alias("vector"), (1 - F.col(label_first).cast("int")).alias("label"))
+    return first.unionByName(second)
 
 
 def squared_hinge(rows: DataFrame, features: Sequence[str], label: str, penalty: float = 1.0, steps: int = 30) -> np.ndarray:

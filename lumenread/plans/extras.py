@@ -147,6 +147,48 @@ def ptb_tokens(d: Dialect) -> str:
     return f"with x as (select doc_id, sid, {tricky} as sentence from {{sent}} where length(sentence) < 200) select doc_id, sid, {treebank(d, 'sentence')} as tokens from x"
 
 
+#: Marks before and after a word, and the code of the first closing one: fixed values.
+OPENING, CLOSING, CODES = "\"'‘“([", ".,;:?!\"'’”)]", {".": 1, ",": 2, ";": 3, ":": 4, "?": 5, "!": 6}
+
+
+def mark_codes(d: Dialect) -> str:
+    """Each word without its marks, how many open and close it, the code of the first closing one, how often the bare word occurs and its column."""
+    quote = lambda x: x.replace("'", "''")
+    core = f"trim(leading '{quote(OPENING)}' from token)" if d.spark else f"ltrim(token, '{quote(OPENING)}')"
+    bare = f"trim(trailing '{quote(CLOSING)}' from core)" if d.spark else f"rtrim(core, '{quote(CLOSING)}')"
+    code = "case " + " ".join(f"when closing like '{k}%' then {v}" for k, v in CODES.items()) + " else 0 end"
+    return f"""with {typed(d)}, c as (select item_id, id, token, {core} as core from typed), b as (select *, {bare} as bare from c), m as (select *, substr(core, length(bare) + 1) as closing from b)
+    select item_id, id, bare, length(token) - length(core) as omarks, length(closing) as emarks, {code} as punct, count(*) over (partition by bare) as txfr, cast(coalesce(sum(length(token) + 1) over (partition by item_id order by id rows between unbounded preceding and 1 preceding), 0) as int) as initial from m"""
+
+
+def rule_pairs(d: Dialect) -> str:
+    """Adjacent tags in the distinct rules of trees, each rule once, add-one smoothed over all pairs of tags."""
+    tag = "case when length(word) <= 3 then 'DT' when word like '%er' then 'JJ' else 'NN' end"
+    joined = "array_join(transform(array_sort(collect_list(struct(id, tag))), x -> x.tag), ' ')" if d.spark else "string_agg(tag, ' ' order by id)"
+    parts = "posexplode(split(rule, ' ')) as (k, tag)" if d.spark else "unnest(range(len(string_split(rule, ' ')))) as k, unnest(string_split(rule, ' ')) as tag"
+    return f"""with {typed(d)}, t as (select item_id, cast(floor(id / 4e0) as int) as clause, id, {tag} as tag from typed where word <> ''), r as (select {joined} as rule from t group by item_id, clause), u as (select rule, row_number() over (order by rule) as nth from (select distinct rule from r) q),
+    s as (select nth, {parts} from u), p as (select tag as t1, lead(tag) over (partition by nth order by k) as t2 from s), c as (select t1, t2, count(*) as n from p where t2 is not null group by t1, t2), tags as (select distinct tag from s), g as (select a.tag as t1, b.tag as t2 from tags a cross join tags b)
+    select g.t1, g.t2, coalesce(c.n, 0) as n, round(ln((coalesce(c.n, 0) + 1e0) / (sum(coalesce(c.n, 0)) over (partition by g.t1) + count(*) over (partition by g.t1))), 6) as log_p from g left join c on c.t1 = g.t1 and c.t2 = g.t2"""
+
+
+def eligible(d: Dialect) -> str:
+    """Sentences of 10 to 30 words without digits, brackets, quotes, calls or an inner stop, and without a word that most others lack letters of."""
+    s = chr(92)
+    words = d.count_matches("sentence", s + "S+")
+    return f"""with x as (select doc_id, sid, sentence, {words} as words, {d.count_matches("sentence", "(^| )[^ " + s + "p{L}]+")} as odd from {{sent}})
+    select doc_id, sid, words from x where words between 10 and 30 and odd = 0 and not {d.matches('sentence', '[0-9(){}<>"“”|#$%&*!?]')} and not {d.matches('sentence', '[.].')}"""
+
+
+def plain_sentences(d: Dialect) -> str:
+    """Sentences without bullet, number, speaker and quotes, on one line."""
+    s = chr(92)
+    speaker = "case when sid % 7 = 1 then concat('Anna: ', sentence) when sid % 7 = 2 then concat('12) ', sentence) when sid % 7 = 3 then concat('- ', sentence) else sentence end"
+    step = d.replace(speaker, s + "s+", " ")
+    for pattern in ("^ *[-•*] +", "^ *[0-9]+[.)] *", "^ *" + s + "p{L}+: +", '[“”"«»]'):
+        step = d.replace(step, pattern, "")
+    return f"select doc_id, sid, trim({step}) as sentence from {{sent}}"
+
+
 def visual_angle(d: Dialect) -> str:
     return "select user_id, i, round(degrees(atan2(d / 10e0, 60e0)), 6) as angle, round(degrees(atan2(2e0 * w, 60e0)), 6) as offset_angle from {fix}"
 
@@ -460,7 +502,7 @@ def whitelist_tags(d: Dialect) -> str:
 
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
-    word_rows, session_relabel, aligned_join, subword_first, subword_last, subword_marked, sentence_means, participant_summary, word_means, tagging_accuracy, any_overlap, ptb_tokens,
+    word_rows, session_relabel, aligned_join, subword_first, subword_last, subword_marked, sentence_means, participant_summary, word_means, tagging_accuracy, any_overlap, ptb_tokens, mark_codes, rule_pairs, eligible, plain_sentences,
     visual_angle, date_stamps, feature_pairs, left_corner_surprisal, cpt_lines, typed_features, explanation, profile_verdict, fixated_only, threshold_grid, landmarks, word_wrap, simulated_log,
     truth_agreement, question_scoring, word_features, lexical_row, tag_alignment, region_words, item_table, score_table, pair_cards, surprisal_or_mean, simplification_summary, landing_place,
     pos_surprisal_sentence, latest_session, line_places, word_places, coverage_shares, stable_features, reader_checks, sentence_quality, clean_rules, deduped_pairs, drift_median, whitelist_tags)}

@@ -197,6 +197,22 @@ def session_choice(d: Dialect) -> str:
     select user_id, event_type, round(last_t, 3) as last_t, n from r where rn = 1"""
 
 
+def idt_oracle(d: Dialect, spread: float = 80, gap: float = 3 * 86400, least: float = 60) -> str:
+    """The growing window as a relation that steps sample by sample: a window of samples a to b is extended, or closed and the next one begun."""
+    wider = "greatest(r.hx, n.x) - least(r.lx, n.x) + greatest(r.hy, n.y) - least(r.ly, n.y)"
+    grows = f"(n.i is not null and n.t - r.tb <= {gap} and {wider} <= {spread})"
+    done = f"(r.tb - r.ta + r.usual >= {least})"
+    pick = lambda grown, begun: f"case when {grows} then {grown} else {begun} end"
+    return f"""with recursive s as (select user_id, i, t, w * 10e0 as x, d as y from {{fix}}), gaps as (select user_id, t - lag(t) over (partition by user_id order by i) as g from s),
+    u as (select user_id, coalesce(quantile_cont(g, 0.5), 0) as usual from gaps group by user_id),
+    r as (select s.user_id, u.usual, s.i as a, s.i as b, s.x as lx, s.x as hx, s.y as ly, s.y as hy, s.t as ta, s.t as tb, cast(null as bigint) as fa, cast(null as bigint) as fb from s join u on u.user_id = s.user_id where s.i = 1
+    union all select r.user_id, r.usual, {pick('r.a', 'p.i')}, {pick('n.i', 'p.i')}, {pick('least(r.lx, n.x)', 'p.x')}, {pick('greatest(r.hx, n.x)', 'p.x')}, {pick('least(r.ly, n.y)', 'p.y')}, {pick('greatest(r.hy, n.y)', 'p.y')},
+        {pick('r.ta', 'p.t')}, {pick('n.t', 'p.t')}, case when not {grows} and {done} then r.a end, case when not {grows} and {done} then r.b end
+        from r left join s n on n.user_id = r.user_id and n.i = r.b + 1 left join s p on p.user_id = r.user_id and p.i = case when {done} then r.b + 1 else r.a + 1 end where r.a is not null),
+    f as (select user_id, fa, fb, row_number() over (partition by user_id order by fa) as fxno from r where fa is not null)
+    select f.user_id, f.fxno, round(min(s.t), 3) as start_t, round(max(s.t), 3) as end_t, round(avg(s.x), 6) as x, round(avg(s.y), 6) as y, count(*) as samples from f join s on s.user_id = f.user_id and s.i between f.fa and f.fb group by f.user_id, f.fxno"""
+
+
 QUERIES = {name: SqlQuery(f) for name, f in {
     "measures_avg_all": measures_avg_all, "measures_avg_good": measures_avg_good, "skip_rate": skip_rate, "first_pass_runs": first_pass_runs,
     "regression_forward": regression_forward, "lag_lead_context": lag_lead_context, "running_median3": running_median3, "blink_gaps": blink_gaps,
@@ -206,4 +222,4 @@ QUERIES = {name: SqlQuery(f) for name, f in {
     "skipped_words": skipped_words, "landing_position": landing_position, "depth_flags": depth_flags, "session_choice": session_choice,
 }.items()}
 
-FRAMES = {"reading_measures": (gaze.reading_measures_query, SqlQuery(measures_oracle)), "idt_fixations": (gaze.idt_query, None)}
+FRAMES = {"reading_measures": (gaze.reading_measures_query, SqlQuery(measures_oracle)), "idt_fixations": (gaze.idt_query, SqlQuery(idt_oracle))}

@@ -355,12 +355,13 @@ def padded_pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = times.select(F.col("user_id").alias("r1"), "a", "total")
     right = times.select(F.col("user_id").alias("r2"), F.col("a").alias("b"), F.col("total").alias("other"))
     both = pairs.join(left, "r1").join(right, "r2").withColumn("harder", (F.col("total") > F.col("other")).cast("int"))
-    vectors = learn.vectors_of_pairs(both, "a", "b", "harder")
+    vectors = learn.vectors_of_pairs(both, "a", "b", "harder", sums=("total", "other"))
     v = F.col("vector")
     return vectors.select(
         "label", F.size(v).alias("width"), F.round(F.aggregate(F.slice(v, 1, 60), F.lit(0.0), lambda x, y: x + y), 4).alias("left_sum"),
         F.round(F.aggregate(F.slice(v, 61, 60), F.lit(0.0), lambda x, y: x + y), 4).alias("right_sum"), F.round(v[0], 4).alias("left_first"), F.round(v[60], 4).alias("right_first"),
-        v[120].alias("left_words"), F.round(v[121], 6).alias("left_mean"), v[122].alias("right_words"), F.round(v[123], 6).alias("right_mean"))
+        v[120].alias("left_words"), F.round(v[122], 6).alias("left_mean"), v[121].alias("right_words"), F.round(v[123], 6).alias("right_mean"),
+        F.round(v[124], 4).alias("left_total"), F.round(v[125], 4).alias("right_total"))
 
 
 def reader_pairs(d: Dialect) -> str:
@@ -374,10 +375,10 @@ def padded_pair_vectors_sql(d: Dialect) -> str:
     cut = pairs.rindex("select r1, b.user_id")
     return f"""with {MEASURES}, {pairs[:cut].rstrip().rstrip(",")}, drawn as ({pairs[cut:]}),
     t as (select user_id, count(*) as n, sum(ffd) as s, sum(td) as total, arg_min(ffd, w) as f from m group by user_id),
-    v as (select case when a.total > b.total then 1 else 0 end as label, a.n as an, a.s as as_, a.f as af, b.n as bn, b.s as bs, b.f as bf from drawn join t a on a.user_id = r1 join t b on b.user_id = r2),
-    e as (select * from v union all select 1 - label as label, bn as an, bs as as_, bf as af, an as bn, as_ as bs, af as bf from v)
-    select label, 124 as width, round(as_, 4) as left_sum, round(bs, 4) as right_sum, round(af, 4) as left_first, round(bf, 4) as right_first, cast(an as double) as left_words, round(as_ / an, 6) as left_mean,
-    cast(bn as double) as right_words, round(bs / bn, 6) as right_mean from e"""
+    v as (select case when a.total > b.total then 1 else 0 end as label, a.n as an, a.s as as_, a.f as af, b.n as bn, b.s as bs, b.f as bf, a.total as at_, b.total as bt from drawn join t a on a.user_id = r1 join t b on b.user_id = r2),
+    e as (select * from v union all select 1 - label as label, bn as an, bs as as_, bf as af, an as bn, as_ as bs, af as bf, bt as at_, at_ as bt from v)
+    select label, 126 as width, round(as_, 4) as left_sum, round(bs, 4) as right_sum, round(af, 4) as left_first, round(bf, 4) as right_first, cast(an as double) as left_words, round(as_ / an, 6) as left_mean,
+    cast(bn as double) as right_words, round(bs / bn, 6) as right_mean, round(at_, 4) as left_total, round(bt, 4) as right_total from e"""
 
 
 QUERIES: dict = {}

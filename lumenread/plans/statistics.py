@@ -158,19 +158,26 @@ def leave_one_out(d: Dialect) -> str:
 
 
 def percentile_ci(d: Dialect) -> str:
+    if d.spark:
+        return f"""with {quantiles("{fix}", "d", ["0.025e0", "0.5e0", "0.975e0", "0.75e0", "0.25e0"], "q", "event_type")}
+    select event_type, cast(n as bigint) as n, round(q0, 6) as low, round(q1, 6) as median, round(q2, 6) as high, round(q3 - q4, 6) as iqr from q"""
     return f"""select event_type, count(*) as n, round({d.pct('d', 0.025)}, 6) as low, round({d.pct('d', 0.5)}, 6) as median, round({d.pct('d', 0.975)}, 6) as high,
     round({d.pct('d', 0.75)} - {d.pct('d', 0.25)}, 6) as iqr from {{fix}} group by event_type"""
 
 
-def quantiles(relation: str, column: str, shares: list[str], out: str) -> str:
-    """Relations that give exact quantiles of a column as q0, q1..: a histogram of whole numbers finds the ranks' buckets, only their rows are ordered."""
+def quantiles(relation: str, column: str, shares: list[str], out: str, by: str | None = None) -> str:
+    """Relations that give exact quantiles of a column as q0, q1.., by a column if asked for, and n.
+
+    A histogram of whole numbers finds the buckets that the ranks fall into; only rows of these are ordered.
+    """
     value = lambda p, up: f"max(case when nth = floor({p} * (total - 1)){up} then x end)"
     part = lambda p: f"({p} * (max(total) - 1) - floor({p} * (max(total) - 1)))"
     picks = ", ".join(f"{value(p, '')} + {part(p)} * coalesce({value(p, ' + 1')} - {value(p, '')}, 0) as q{k}" for k, p in enumerate(shares))
     near = " or ".join(f"(floor({p} * (total - 1)) + 1 >= before and floor({p} * (total - 1)) < before + n)" for p in shares)
-    return f"""{out}_h as (select floor({column}) as bucket, count(*) as n from {relation} where {column} is not null group by floor({column})),
-    {out}_c as (select bucket, n, coalesce(sum(n) over (order by bucket rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over () as total from {out}_h), {out}_k as (select * from {out}_c where {near}),
-    {out}_r as (select r.{column} as x, k.total, k.before + row_number() over (partition by k.bucket order by r.{column}) - 1 as nth from {relation} r join {out}_k k on floor(r.{column}) = k.bucket), {out} as (select {picks} from {out}_r)"""
+    own, listed, same, parted = (f"r.{by}, ", f"{by}, ", f" and k.{by} = r.{by}", f"partition by {by} ") if by else ("", "", "", "")
+    return f"""{out}_h as (select {listed}floor({column}) as bucket, count(*) as n from {relation} where {column} is not null group by {listed}floor({column})),
+    {out}_c as (select {listed}bucket, n, coalesce(sum(n) over ({parted}order by bucket rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over ({parted.strip()}) as total from {out}_h), {out}_k as (select * from {out}_c where {near}),
+    {out}_r as (select {own}r.{column} as x, k.total, k.before + row_number() over (partition by {own.replace("r.", "k.")}k.bucket order by r.{column}) - 1 as nth from {relation} r join {out}_k k on floor(r.{column}) = k.bucket{same}), {out} as (select {listed}max(total) as n, {picks} from {out}_r {f"group by {by}" if by else ""})"""
 
 
 def tertile_bands(d: Dialect) -> str:

@@ -238,6 +238,33 @@ def ngrams(spark: SparkSession, path: str, order: int = 2) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("nullValue", "\u0000").option("emptyValue", "").option("nanValue", "\u0000").csv(path)
 
 
+def corpus_lines(spark: SparkSession, path: str, pattern: str = r"\p{L}+") -> DataFrame:
+    """file, line and the words of a script in the third of at least three tab-separated fields."""
+    rows = lines(spark, path).withColumn("f", F.split("text", "\t")).filter(F.size("f") >= 3)
+    return rows.select("file", "line", F.regexp_extract_all(F.col("f")[2], F.lit(pattern), F.lit(0)).alias("words"))
+
+
+def paged_json(spark: SparkSession, fetch: Callable[[int], str | None], pages: int, cache: str, schema: str) -> DataFrame:
+    """Rows of a paged service: fetch gives a page's JSON array, or nothing past the end; pages are kept and fetched once."""
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            found = [(int(k), fetch(int(k))) for k in frame["page"]]
+            yield pd.DataFrame([x for x in found if x[1]], columns=["page", "body"])
+
+    kinds = "page long, body string"
+    wanted = spark.range(1, pages + 1).withColumnRenamed("id", "page")
+    try:
+        wanted = wanted.join(spark.read.schema(kinds).parquet(cache).select("page"), "page", "left_anti")
+    except AnalysisException:  # nothing kept yet
+        pass
+    wanted.mapInPandas(run, kinds).write.mode("append").parquet(cache)
+    kept = spark.read.schema(kinds).parquet(cache)
+    return kept.select("page", F.explode(F.from_json("body", f"array<struct<{schema}>>")).alias("r")).select("page", "r.*")
+
+
 def asked_once(items_: DataFrame, answers: str, ask: Callable, schema: str, key: str = "id") -> DataFrame:
     """Answers to items from a store that grows: only items without an answer are asked, and their answers appended.
 

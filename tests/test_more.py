@@ -105,6 +105,18 @@ def test_candidates_and_cached_answers(spark, tmp_path):
     assert providers.first_reply("x", [boom, lambda p: " ", lambda p: f" {p}! "]) == "x!" and providers.first_reply("x", [boom]) is None
 
 
+def test_paged_and_corpus_lines(spark, tmp_path):
+    def service(text):
+        return lambda page: json.dumps([{"id": page * 10 + k, "name": text} for k in range(2)]) if page <= 3 else None
+
+    first = readers.paged_json(spark, service("a"), 2, str(tmp_path / "pages"), "id: long, name: string")
+    assert sorted(r["id"] for r in first.collect()) == [10, 11, 20, 21]
+    again = readers.paged_json(spark, service("b"), 5, str(tmp_path / "pages"), "id: long, name: string")
+    assert sorted((r["id"], r["name"]) for r in again.collect()) == [(10, "a"), (11, "a"), (20, "a"), (21, "a"), (30, "b"), (31, "b")]
+    (tmp_path / "c.tsv").write_text("1\tx\tthe cat 12 sat\nshort\tline\n")
+    assert [list(r["words"]) for r in readers.corpus_lines(spark, f"{tmp_path}/c.tsv").collect()] == [["the", "cat", "sat"]]
+
+
 def test_norms_take_the_last_by_order(spark):
     rows = spark.createDataFrame([("cat", 4.0, 2), ("Cat", 5.5, 1), ("dog", None, 1)], "w string, a double, nth int")
     assert [tuple(r) for r in readers.acquisition_norms(rows, "a", None, ["a"], "w", ["nth"]).collect()] == [("cat", 4.0, 0.0)]
