@@ -43,8 +43,8 @@ FOLDS, DROPPED, DECAY = 5, 0.3, 2e-3
 HIDDEN, DIM, WORDS, GRAMS, TOLD = 8, 12, 1 << 13, 1 << 14, 1 << 18
 GRAM_SIZES = (3, 5)
 PUNCTUATION = ".,;:!?\"'()[]{}|*%&$#<>-"
-#: Words that a worker remembers, and words that it reads at once.
-TABLE, SPAN = 200_000, 48_000
+#: Words that a worker remembers, words that it reads at once, and words that are described at once.
+TABLE, SPAN, CHUNK = 200_000, 48_000, 8192
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ COUNTED = ("told_word", "told_gram")
 
 def label_scores(held: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """By bucket, from (label, bucket) numbers of documents that hold it: toxic ones beyond chance, in deviations."""
-    expected = held.sum(0) * (sizes[1] / max(1, sizes.sum()))
+    expected = held.sum(0).astype(np.float32) * (sizes[1] / max(1, sizes.sum()))
     return np.clip((held[1] - expected) / np.sqrt(expected + 1) / 3, -3, 3).astype(np.float32)
 
 
@@ -109,6 +109,14 @@ class Described:
         self.own, self.grams, self.starts = own, grams, starts
         self.counts = np.diff(np.append(starts, len(grams)))
 
+    @classmethod
+    def of(cls, words: list[str]) -> Described:
+        """Described some at a time, as what it takes in between is many times as large."""
+        parts = [features(words[a: a + CHUNK]) for a in range(0, max(1, len(words)), CHUNK)]
+        before = np.cumsum([0, *(len(grams) for _, grams, _ in parts[:-1])])
+        own, grams = (np.concatenate([p[k].astype(np.int32) for p in parts]) for k in (0, 1))  # hashes have 24 bits
+        return cls(own, grams, np.concatenate([starts + b for (_, _, starts), b in zip(parts, before, strict=True)]))
+
     def take(self, ids: np.ndarray) -> Described:
         counts = self.counts[ids]
         starts = np.cumsum(counts) - counts
@@ -118,13 +126,14 @@ class Described:
     def told(self, model: dict) -> np.ndarray:
         """What labels say of each word: of itself, and at most and on average of its n-grams."""
         told = model["told_gram"][self.grams % TOLD]
-        return np.stack([model["told_word"][self.own % TOLD], np.maximum.reduceat(told, self.starts), np.add.reduceat(told, self.starts) / self.counts], 1)
+        mean = np.add.reduceat(told, self.starts) / self.counts.astype(told.dtype)
+        return np.stack([model["told_word"][self.own % TOLD], np.maximum.reduceat(told, self.starts), mean], 1)
 
 
 def inputs(model: dict, words: Described | list[str], told: np.ndarray | None = None, drop: np.random.Generator | None = None) -> tuple[np.ndarray, tuple]:
     """What each word adds to the gates, and what the way back needs."""
     if isinstance(words, list):
-        words = Described(*features(words))
+        words = Described.of(words)
     if told is None:
         told = words.told(model)
     own, grams, counts = words.own % WORDS, words.grams % GRAMS, words.counts.astype(np.float32)
@@ -240,34 +249,39 @@ class Sample:
         self.labels = np.array([label for label, _ in samples])
         known: dict[str, int] = {}
         self.docs = [np.array([known.setdefault(w, len(known)) for w in words_of(text)], np.int32) for _, text in samples]
-        self.words = Described(*features(list(known)))
+        self.words = Described.of(list(known))
         self.starts = [np.array(window_starts(len(d))) for d in self.docs]
         # by label in turn, so that every fold has its share of each
         self.folds = np.empty(len(samples), np.int64)
         for k in (0, 1):
             self.folds[self.labels == k] = np.arange((self.labels == k).sum()) % FOLDS
-        held = {name: np.zeros((FOLDS, 2, TOLD), np.float32) for name in COUNTED}
+        held = {name: np.zeros((FOLDS, 2, TOLD), np.uint16) for name in COUNTED}
         sizes = np.zeros((FOLDS, 2))
         for label, fold, doc in zip(self.labels, self.folds, self.docs, strict=True):
             own = self.words.take(np.unique(doc))
             for name, hashes in zip(COUNTED, (own.own, own.grams), strict=True):
                 held[name][fold, label, np.unique(hashes % TOLD)] += 1
             sizes[fold, label] += 1
-        self.model = {name: label_scores(x.sum(0), sizes.sum(0)) for name, x in held.items()}
-        self.others = [{name: label_scores(x.sum(0) - x[f], sizes.sum(0) - sizes[f]) for name, x in held.items()} for f in range(FOLDS)]
-        self.told = [self.words.told(others) for others in self.others]
+        total = {name: x.sum(0, dtype=np.int32) for name, x in held.items()}
+        self.model = {name: label_scores(x, sizes.sum(0)) for name, x in total.items()}
+        self.others = [{name: label_scores(total[name] - x[f], sizes.sum(0) - sizes[f]) for name, x in held.items()} for f in range(FOLDS)]
+        self.told = np.empty((FOLDS, len(self.words.own), 3), np.float32)
+        for f, others in enumerate(self.others):
+            self.told[f] = self.words.told(others)
 
     def first_windows(self) -> np.ndarray:
         """The start of each document's window that holds the word of which labels say most."""
-        most = [told[:, 0] + told[:, 1] for told in self.told]
-        at = [int(np.argmax(most[f][d])) for f, d in zip(self.folds, self.docs, strict=True)]
+        most = self.told[:, :, 0] + self.told[:, :, 1]
+        at = [int(np.argmax(most[f, d])) for f, d in zip(self.folds, self.docs, strict=True)]
         return np.array([starts[min(len(starts) - 1, k // STRIDE)] for k, starts in zip(at, self.starts, strict=True)])
 
     def deciding_windows(self, model: dict) -> np.ndarray:
         """The start of each document's window with the largest logit."""
-        out = np.zeros(len(self.docs), np.int64)
+        out, gates = np.zeros(len(self.docs), np.int64), np.empty((len(self.words.own), 6 * HIDDEN), np.float32)
         for fold, told in enumerate(self.told):
-            gates = inputs(model, self.words, told)[0]
+            for a in range(0, len(gates), CHUNK):
+                ids = np.arange(a, min(len(gates), a + CHUNK))
+                gates[ids] = inputs(model, self.words.take(ids), told[ids])[0]
             mine = np.flatnonzero(self.folds == fold)
             for part in np.array_split(mine, max(1, sum(len(self.docs[d]) for d in mine) // SPAN)):
                 if not len(part):
@@ -290,7 +304,7 @@ def train(samples: list[tuple[int, str]], steps: int = STEPS, seed: int = 7) ->
     kinds = [np.flatnonzero(sample.labels == k) for k in (0, 1)]
     trained = [k for k in model if k not in COUNTED]
     moments = {k: (np.zeros_like(model[k]), np.zeros_like(model[k])) for k in trained}
-    deciding, size, all_told = sample.first_windows(), len(sample.words.own), np.concatenate(sample.told)
+    deciding, size, all_told = sample.first_windows(), len(sample.words.own), sample.told.reshape(-1, 3)
     for step in range(1, steps + 1):
         if step > 1 and step % REFRESH == 1:
             deciding = sample.deciding_windows(model)
