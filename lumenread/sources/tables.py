@@ -35,11 +35,11 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tokens with the words before and after each, from the text's own array of words."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))
-    at = lambda k: F.try_element_at(F.col("words"), k)
-    three = F.transform(F.sequence(F.lit(1), F.size("words")), lambda k: F.struct(
-        k.cast("long").alias("pos"), at(k).alias("word"), F.when(k > 1, at(F.greatest(k - 1, F.lit(1)))).alias("prev"), F.when(k < F.size("words"), at(k + 1)).alias("next")))
     rows = read(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("words")).filter(F.size("words") > 0)
-    return rows.select("doc_id", "lang", F.explode(three).alias("t")).select("doc_id", "lang", "t.*")
+    none = F.array(F.lit(None).cast("string"))
+    before, after = F.concat(none, F.slice("words", F.lit(1), F.size("words") - 1)), F.concat(F.slice("words", F.lit(2), F.size("words")), none)
+    zipped = F.arrays_zip(F.col("words").alias("word"), before.alias("prev"), after.alias("next"))
+    return rows.select("doc_id", "lang", F.posexplode(zipped).alias("pos0", "t")).select("doc_id", "lang", (F.col("pos0") + 1).cast("long").alias("pos"), "t.word", "t.prev", "t.next")
 
 
 def forward_fixations(spark: SparkSession, sf_dir: str) -> DataFrame:
