@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import edit_counts, edit_prints, exact_dedup, kneser_ney, masked_lm, minhash_dedup, packing, piece_codec, suffix_dedup, toxicity
+from . import byte_codec, edit_counts, edit_prints, exact_dedup, kneser_ney, masked_lm, minhash_dedup, packing, piece_codec, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_minhash_dedup": minhash_dedup.query,
         "op9_piece_codec": piece_codec.query,
         "op10_suffix_dedup": suffix_dedup.query,
+        "op11_byte_codec": byte_codec.query,
     }
 
 
