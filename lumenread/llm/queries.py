@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_codec, edit_counts, edit_prints, exact_dedup, kneser_ney, masked_lm, minhash_dedup, packing, piece_codec, suffix_dedup, toxicity, turn_repair
+from . import byte_codec, edit_counts, edit_prints, exact_dedup, kneser_ney, masked_lm, minhash_dedup, packing, piece_codec, schema_rewrite, suffix_dedup, toxicity, turn_repair
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_piece_codec": piece_codec.query,
         "op10_suffix_dedup": suffix_dedup.query,
         "op11_byte_codec": byte_codec.query,
+        "op12_schema_rewrite": schema_rewrite.query,
         "op13_turn_repair": turn_repair.query,
     }
 
