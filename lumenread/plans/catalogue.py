@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from lumenread.operators import trees
+from lumenread.operators import depths, trees
 from lumenread.plans import extras, gaze, learning, statistics, text
 
 MODULES = (gaze, text, statistics, learning, extras)
+#: Modules whose queries are made of operators; their SQL is written apart.
+BUILT = (trees, depths)
 
 
 def queries() -> dict:
     found: dict = {}
     for module in MODULES:
         found |= module.QUERIES | {name: frame for name, (frame, _) in module.FRAMES.items()}
-    return found | trees.QUERIES
+    for module in BUILT:
+        found |= module.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
@@ -20,4 +24,6 @@ def oracle_sql() -> dict[str, str]:
     for module in MODULES:
         found |= {name: q.oracle() for name, q in module.QUERIES.items()}
         found |= {name: q.oracle() for name, (_, q) in module.FRAMES.items() if q is not None}
-    return found | trees.ORACLE
+    for module in BUILT:
+        found |= module.ORACLE
+    return found

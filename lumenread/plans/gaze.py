@@ -186,7 +186,7 @@ def depth_flags(d: Dialect) -> str:
     return """with x as (select user_id, i, w as depth, lag(w) over (partition by user_id order by i) as p from {fix})
     select user_id, i, coalesce(depth - p, 0) as depth_diff,
     case when p is not null and depth <> p then 1 else 0 end as h1, case when p is not null and depth > p then 1 else 0 end as h2,
-    case when p is not null and depth < p then 1 else 0 end as h3, case when p is not null and depth < p and depth = 0 then 1 else 0 end as h4, 0 as h5,
+    case when p is not null and depth < p then 1 else 0 end as h3, case when p is not null and depth = 0 then 1 else 0 end as h4, 0 as h5,
     case when p is not null and depth - p >= 2 then 1 else 0 end as h6, case when p is not null and p - depth >= 2 then 1 else 0 end as h7,
     case when p is not null and depth = p then 1 else 0 end as h8 from x"""
 

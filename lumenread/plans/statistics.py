@@ -410,13 +410,6 @@ def heads(d: Dialect) -> str:
     return HEADS.replace("{items}", items)
 
 
-def tree_depth(d: Dialect, root_depth: int = 1) -> str:
-    """Depth of each word in its item's dependency tree, by a recursive relation; the root counts root_depth."""
-    return f"""with recursive {heads(d)}, t as (select item_id, id, {root_depth} as depth from heads where head = 0
-    union all select h.item_id, h.id, t.depth + 1 as depth from heads h join t on h.item_id = t.item_id and h.head = t.id)
-    select item_id, count(*) as words, max(depth) as depth, round(avg(depth), 6) as mean_depth from t group by item_id"""
-
-
 def dep_distance(d: Dialect) -> str:
     return f"""with {heads(d)} select item_id, count(*) as n, round(avg(abs(id - head)), 6) as mean_distance from heads where head > 0 group by item_id"""
 
@@ -432,5 +425,5 @@ QUERIES = {f.__name__: SqlQuery(f) for f in (
     cluster_bootstrap_diff, pair_bootstrap, threshold_search, pair_vectors, pair_score, feature_stability, per_target_error, validation_summary, standardise,
     ols_single, mean_imputation, linear_scorer, reader_qc, calibration_selection, two_level_mean, mode_vote, survey_unpivot, side_mapping, item_means,
     answer_clamp, override_join, default_lookup, semi_split, anti_seen, first_wins, last_wins, nearest_level, level_profile, confusion_by_label,
-    ablation_groups, tumbling, sessions, tree_depth, dep_distance, score_change)}
+    ablation_groups, tumbling, sessions, dep_distance, score_change)}
 FRAMES: dict = {}

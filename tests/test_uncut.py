@@ -93,15 +93,6 @@ def test_contexts_of_any_length(spark):
             assert found[c, t] == (n, used)
 
 
-def test_trees_of_any_depth(spark):
-    words = ["a" * k for k in range(1, 41)] + ["b", "bb", "b"]
-    found = operators.run("tree_depth", {"benchmark": spark.createDataFrame([(1, " ".join(words)), (2, "one")], "item_id long, text string")}).collect()
-    head = [next((j for j in range(i + 1, len(words)) if len(words[j]) > len(words[i])), None) for i in range(len(words))]
-    depth = lambda i: 1 if head[i] is None else 1 + depth(head[i])
-    depths = [depth(i) for i in range(len(words))]
-    assert {r["item_id"]: (r["words"], r["depth"], r["mean_depth"]) for r in found} == {1: (43, max(depths), round(sum(depths) / 43, 6)), 2: (1, 1, 1.0)}
-
-
 def test_quantiles_over_buckets(spark):
     rng = np.random.default_rng(4)
     rows = [(k, int(i), float(x)) for k in ("a", "b", "c") for i, x in enumerate(rng.choice([rng.normal(0, 50, 301), rng.integers(0, 4, 301)][k == "b"], 301 if k != "c" else 1))]
