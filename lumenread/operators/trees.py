@@ -67,12 +67,13 @@ def written(node: tuple) -> str:
     return f"({label} {inside})" if isinstance(inside, str) else f"({label} {' '.join(map(written, inside))})"
 
 
-def productions(node: tuple) -> Iterator[tuple[str, str]]:
+def productions(node: tuple) -> Iterator[tuple[str, str, bool]]:
+    """Left side, right side and whether that is a word."""
     label, inside = node
     if isinstance(inside, str):
-        yield label, inside
+        yield label, inside, True
         return
-    yield label, " ".join(c[0] for c in inside)
+    yield label, " ".join(c[0] for c in inside), False
     for child in inside:
         yield from productions(child)
 
@@ -100,16 +101,16 @@ def head_depths(heads: list[int], root_depth: int = 0) -> list[int]:
 
 
 def tree_table(trees: DataFrame, text: str = "text") -> DataFrame:
-    """One row a rule of each tree in a column of treebank text: tree, lhs, rhs."""
+    """One row a rule of each tree in a column of treebank text: tree, lhs, rhs, and whether the right side is a word."""
 
     def of(value: str | None) -> list:
         out = []
         for k, one in enumerate(split_trees(value or "")):
             node = parse(one)
-            out += [{"tree": k, "lhs": a, "rhs": b} for a, b in productions(node)] if node else []
+            out += [{"tree": k, "lhs": a, "rhs": b, "lexical": c} for a, b, c in productions(node)] if node else []
         return out
 
-    @F.pandas_udf("array<struct<tree:int,lhs:string,rhs:string>>")
+    @F.pandas_udf("array<struct<tree:int,lhs:string,rhs:string,lexical:boolean>>")
     def rules(values: pd.Series) -> pd.Series:
         return values.map(of)
 
@@ -169,24 +170,20 @@ def rule_probabilities(rules: DataFrame) -> DataFrame:
     return counted.withColumn("log_p", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("lhs"))))
 
 
-def sentence_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A right-branching bracket tree for each benchmark item, to run the tree operators on."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    tag = lambda w: F.concat(F.lit("("), F.when(F.length(w) <= 3, "D").otherwise("N"), F.lit(" "), w, F.lit(")"))
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return items.select("item_id", F.concat(F.lit("(S "), F.array_join(F.transform(words, tag), " "), F.lit(")")).alias("text"))
+def rule_tag_pairs(rules: DataFrame) -> DataFrame:
+    """t1, t2, n and log_p of adjacent tags in the right sides of distinct rules (lhs, rhs).
 
-
-def tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_probabilities(tree_table(sentence_trees(spark, sf_dir))).withColumn("log_p", F.round("log_p", 9))
-
-
-TREE_RULES_SQL = r"""
-with w as (select item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) as word, unnest(range(len(regexp_extract_all(lower(text), '\p{L}+')))) as k from benchmark),
-t as (select item_id, k, word, case when length(word) <= 3 then 'D' else 'N' end as tag from w),
-r as (select tag as lhs, word as rhs from t union all select 'S' as lhs, string_agg(tag, ' ' order by k) as rhs from t group by item_id),
-c as (select lhs, rhs, count(*) as n from r group by lhs, rhs)
-select lhs, rhs, n, round(ln(n / sum(n) over (partition by lhs)), 9) as log_p from c
-"""
-QUERIES = {"tree_rules": tree_rules}
-ORACLE = {"tree_rules": TREE_RULES_SQL}
+    Tags are the left sides of lexical rules. A pair's share is (its count + 1) / (all occurrences of
+    its first tag in the rules + the number of tags that occur); every two such tags have one.
+    """
+    distinct = rules.select("lhs", "rhs", "lexical").distinct()
+    tags = distinct.filter("lexical").select(F.col("lhs").alias("tag")).distinct()
+    names = tags.agg(F.sort_array(F.collect_set("tag")).alias("names"))  # labels, few by nature
+    kept = distinct.select("lhs", "rhs").distinct().crossJoin(F.broadcast(names)).select(F.filter(F.split("rhs", " "), lambda p: F.array_contains("names", p)).alias("kept"))
+    uni = kept.select(F.explode("kept").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("total"))
+    shifted = F.arrays_zip(F.slice("kept", F.lit(1), F.size("kept") - 1).alias("t1"), F.slice("kept", F.lit(2), F.size("kept")).alias("t2"))
+    two = kept.filter(F.size("kept") > 1).select(F.explode(shifted).alias("z")).groupBy("z.t1", "z.t2").agg(F.count(F.lit(1)).alias("n"))
+    size = uni.agg(F.count(F.lit(1)).alias("tags"))
+    grid = uni.withColumnRenamed("tag", "t1").crossJoin(uni.select(F.col("tag").alias("t2"))).crossJoin(size)
+    n = F.coalesce("n", F.lit(0))
+    return grid.join(two, ["t1", "t2"], "left").select("t1", "t2", n.alias("n"), F.log((n + 1.0) / (F.col("total") + F.col("tags"))).alias("log_p"))

@@ -98,17 +98,6 @@ def word_means(d: Dialect) -> str:
     select w as wnum, count(*) as n_fixated, cast(sum(s.kept) as bigint) as n_kept, round(1 - sum(s.kept) / cast(max(readers) as double), 6) as skip_rate, round(avg(case when s.kept = 1 then td end), 1) as td, round(avg(case when s.kept = 1 then shortest end), 1) as shortest from s cross join n group by w"""
 
 
-def tagged(d: Dialect) -> str:
-    """Words with a gold class by length and a guess by ending."""
-    guess = "case when word like '%tion' or word like '%ble' then 'long' when word like 'th%' then 'mid' when word in ('a', 'of', 'in', 'is', 'to', 'on', 'at', 'as', 'by') then 'short' else 'mid' end"
-    return f"{typed(d)}, tags as (select item_id, id, word, case when length(word) <= 2 then 'short' when length(word) <= 6 then 'mid' else 'long' end as gold, {guess} as guess from typed where word <> '')"
-
-
-def tagging_accuracy(d: Dialect) -> str:
-    return f"""with {tagged(d)}, g as (select item_id, id, gold from tags), p as (select item_id, id, guess from tags)
-    select gold, count(*) as n, round(avg(case when gold = guess then 1e0 else 0e0 end), 6) as accuracy, sum(case when guess = 'mid' then 1 else 0 end) as fallback from g join p on p.item_id = g.item_id and p.id = g.id group by gold"""
-
-
 def any_overlap(d: Dialect) -> str:
     """Items that hold any of some words."""
     words = "('the', 'idiot', 'with', 'nowhere')"
@@ -161,16 +150,6 @@ def mark_codes(d: Dialect) -> str:
     select item_id, id, bare, length(token) - length(core) as omarks, length(closing) as emarks, {code} as punct, count(*) over (partition by bare) as txfr, cast(coalesce(sum(length(token) + 1) over (partition by item_id order by id rows between unbounded preceding and 1 preceding), 0) as int) as initial from m"""
 
 
-def rule_pairs(d: Dialect) -> str:
-    """Adjacent tags in the distinct rules of trees, each rule once, add-one smoothed over all pairs of tags."""
-    tag = "case when length(word) <= 3 then 'DT' when word like '%er' then 'JJ' else 'NN' end"
-    joined = "array_join(transform(array_sort(collect_list(struct(id, tag))), x -> x.tag), ' ')" if d.spark else "string_agg(tag, ' ' order by id)"
-    parts = "posexplode(split(rule, ' ')) as (k, tag)" if d.spark else "unnest(range(len(string_split(rule, ' ')))) as k, unnest(string_split(rule, ' ')) as tag"
-    return f"""with {typed(d)}, t as (select item_id, cast(floor(id / 4e0) as int) as clause, id, {tag} as tag from typed where word <> ''), r as (select {joined} as rule from t group by item_id, clause), u as (select rule, row_number() over (order by rule) as nth from (select distinct rule from r) q),
-    s as (select nth, {parts} from u), p as (select tag as t1, lead(tag) over (partition by nth order by k) as t2 from s), c as (select t1, t2, count(*) as n from p where t2 is not null group by t1, t2), tags as (select distinct tag from s), g as (select a.tag as t1, b.tag as t2 from tags a cross join tags b)
-    select g.t1, g.t2, coalesce(c.n, 0) as n, round(ln((coalesce(c.n, 0) + 1e0) / (sum(coalesce(c.n, 0)) over (partition by g.t1) + count(*) over (partition by g.t1))), 6) as log_p from g left join c on c.t1 = g.t1 and c.t2 = g.t2"""
-
-
 def eligible(d: Dialect) -> str:
     """Sentences of 10 to 30 words without digits, brackets, quotes, calls or an inner stop, and without a word that most others lack letters of."""
     s = chr(92)
@@ -418,13 +397,6 @@ def landing_place(d: Dialect) -> str:
     select user_id, i, oblp, greatest(0, least(wlen, oblp - omarks)) as wdlp, start_x + oblp as xpos from y"""
 
 
-def pos_surprisal_sentence(d: Dialect) -> str:
-    """Tag surprisal within sentences: a first word by its tag's own share, a pair that was never seen -ln 1e-12 at most."""
-    return f"""with {tagged(d)}, s as (select item_id, id, coalesce(gold, 'NN') as tag, lag(gold) over (partition by item_id order by id) as prev from tags), u as (select tag, count(*) / cast(sum(count(*)) over () as double) as p from s group by tag),
-    c as (select prev, tag, count(*) as n from s where prev is not null and item_id % 2 = 0 group by prev, tag), p as (select prev, tag, n / cast(sum(n) over (partition by prev) as double) as p from c)
-    select s.item_id, s.id, s.tag, round(case when s.prev is null then -ln(greatest(u.p, 1e-12)) else -ln(greatest(coalesce(p.p, 0), 1e-12)) end, 6) as surprisal from s join u on u.tag = s.tag left join p on p.prev = s.prev and p.tag = s.tag"""
-
-
 def latest_session(d: Dialect) -> str:
     """All rows of the latest session, or of the one asked for; a session that isn't there is an error."""
     fail = "raise_error('no session')" if d.spark else "error('no session')"
@@ -502,8 +474,8 @@ def whitelist_tags(d: Dialect) -> str:
 
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
-    word_rows, session_relabel, aligned_join, subword_first, subword_last, subword_marked, sentence_means, participant_summary, word_means, tagging_accuracy, any_overlap, ptb_tokens, mark_codes, rule_pairs, eligible, plain_sentences,
+    word_rows, session_relabel, aligned_join, subword_first, subword_last, subword_marked, sentence_means, participant_summary, word_means, any_overlap, ptb_tokens, mark_codes, eligible, plain_sentences,
     visual_angle, date_stamps, feature_pairs, left_corner_surprisal, cpt_lines, typed_features, explanation, profile_verdict, fixated_only, threshold_grid, landmarks, word_wrap, simulated_log,
     truth_agreement, question_scoring, word_features, lexical_row, tag_alignment, region_words, item_table, score_table, pair_cards, surprisal_or_mean, simplification_summary, landing_place,
-    pos_surprisal_sentence, latest_session, line_places, word_places, coverage_shares, stable_features, reader_checks, sentence_quality, clean_rules, deduped_pairs, drift_median, whitelist_tags)}
+    latest_session, line_places, word_places, coverage_shares, stable_features, reader_checks, sentence_quality, clean_rules, deduped_pairs, drift_median, whitelist_tags)}
 FRAMES: dict = {}

@@ -196,16 +196,6 @@ def punct_tokens(d: Dialect) -> str:
     return f"select doc_id, sid, trim({d.replace(spaced, s + 's+', ' ')}) as tokenised from {{sent}}"
 
 
-def pos_pair_model(d: Dialect) -> str:
-    """Token classes as tags: add-one smoothed transitions over the full grid of classes."""
-    tag = "case when word is null then null when length(word) <= 2 then 'short' when length(word) <= 5 then 'mid' when length(word) <= 9 then 'long' else 'very' end"
-    return f"""with s as (select {tag} as tag, {tag.replace("word", "prev")} as prev from {{seq}}), t as (select tag from s group by tag),
-    g as (select a.tag as t1, b.tag as t2 from (select distinct tag from t) a cross join (select distinct tag from t) b),
-    c as (select prev as t1, tag as t2, count(*) as n from s where prev is not null group by prev, tag)
-    select g.t1, g.t2, coalesce(c.n, 0) as n, round(ln((coalesce(c.n, 0) + 1e0) / (sum(coalesce(c.n, 0)) over (partition by g.t1) + count(*) over (partition by g.t1))), 6) as log_p
-    from g left join c on c.t1 = g.t1 and c.t2 = g.t2"""
-
-
 def pos_surprisal(d: Dialect) -> str:
     tag = "case when word is null then null when length(word) <= 2 then 'short' when length(word) <= 5 then 'mid' when length(word) <= 9 then 'long' else 'very' end"
     return f"""with s as (select doc_id, {tag} as tag, {tag.replace("word", "prev")} as prev from {{seq}}),
@@ -253,6 +243,6 @@ def number_cascade(d: Dialect) -> str:
 QUERIES = {f.__name__: SqlQuery(f) for f in (
     unigram, bigram, bigram_across, cond_prob, transition_probs, lexical_surprisal, next_entropy, entropy_reduction, word_frequency_log, sentence_split,
     sentence_length, word_stats, punct_marks, html_tokens, page_words, clean_sentences, verse_filter, latin_share, known_word_ratio, normalise_sentence,
-    complex_eligible, stimulus_filter, text_mean_features, context_budget, section_carry, mark_split, punct_tokens, pos_pair_model, pos_surprisal,
+    complex_eligible, stimulus_filter, text_mean_features, context_budget, section_carry, mark_split, punct_tokens, pos_surprisal,
     vocabulary_growth, lookup_tiers, top_words, ordered_unique, turn_concat, number_cascade)}
 FRAMES: dict = {}

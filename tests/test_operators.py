@@ -52,10 +52,10 @@ def test_group_folds_keep_groups(spark):
 def test_trees():
     text = "( (S (NP-SBJ (D the) (N cat)) (VP (V sat) (P on) (N it))) ) ((X (-NONE- *)))"
     parsed = [trees.parse(t) for t in trees.split_trees(text)]
-    assert len(parsed) == 2 and ("S", "NP VP") in list(trees.productions(parsed[0]))
+    assert len(parsed) == 2 and ("S", "NP VP", False) in list(trees.productions(parsed[0]))
     assert trees.written(trees.binarised(trees.parse("(A (B b) (C c) (D d))"))) == "(A (B b) (A (C c) (D d)))"
     assert [w for _, w, _ in trees.leaves(parsed[0])] == ["the", "cat", "sat", "on", "it"]
-    assert ("-NONE-", "*") in list(trees.productions(parsed[1]))
+    assert ("-NONE-", "*", True) in list(trees.productions(parsed[1]))
     assert trees.parse("((A a)") is None and list(trees.split_trees("")) == []
 
 
