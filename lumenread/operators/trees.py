@@ -141,24 +141,6 @@ def decision_lines(trees: DataFrame, command: list[str], known: DataFrame | None
     return asked if known is None else asked.unionByName(known.select(key, "output"))
 
 
-#: Kinds of parser decisions that a word's surprisal adds up: fixed values.
-COSTLY = ("F", "P", "J", "A", "B")
-
-
-def stream_surprisal(decisions: DataFrame, table: DataFrame, unseen: float = 1e-6, longest: int = 50) -> DataFrame:
-    """sentence, wnum, surprisal from a decision stream (sentence, step, kind, pred, resp) and a table (pred, resp, p).
-
-    Decisions of the costly kinds add their -ln p to the word whose W comes next; sentences of more words are left out.
-    """
-    told = decisions.join(table, ["pred", "resp"], "left").withColumn("p", F.coalesce("p", F.lit(unseen)))
-    order = Window.partitionBy("sentence").orderBy("step")
-    is_word = F.when(F.col("kind") == "W", 1).otherwise(0)
-    told = told.withColumn("wnum", F.sum(is_word).over(order) - is_word + 1).withColumn("words", F.sum(is_word).over(Window.partitionBy("sentence")))
-    cost = F.when(F.col("kind").isin(*COSTLY), -F.log("p")).otherwise(0.0)
-    found = told.filter((F.col("words") <= longest) & (F.col("wnum") <= F.col("words"))).groupBy("sentence", "wnum").agg(F.sum(cost).alias("surprisal"))
-    return found
-
-
 def one_line(node: tuple) -> str:
     """A tree on one line, its labels without function tags."""
     return written(node)

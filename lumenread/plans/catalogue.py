@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lumenread.operators import depths, tagger
+from lumenread.operators import depths, leftcorner, tagger
 from lumenread.plans import extras, gaze, learning, statistics, text
 
 MODULES = (gaze, text, statistics, learning, extras)
 #: Modules whose queries are made of operators; their SQL is written apart.
-BUILT = (depths, tagger)
+BUILT = (depths, tagger, leftcorner)
 
 
 def queries() -> dict:

@@ -188,27 +188,6 @@ def feature_pairs(d: Dialect) -> str:
     return f"with x as ({x}) select m['Flag'] as flag, m['Line'] as line, count(*) as n, cast(sum(case when m['Status'] in ('F', 'X') then 1 else 0 end) as bigint) as marked from x group by m['Flag'], m['Line']"
 
 
-def decisions(d: Dialect) -> str:
-    """A parser's decisions word by word: a fork always, others by the word's form, then the word itself, with conditional probabilities of the kinds."""
-    kinds = [("F", "true", 0), ("P", "length(word) > 3", 1), ("J", "length(word) > 5", 2), ("A", "word like 't%'", 3), ("B", "word like '%n'", 4), ("W", "true", 5)]
-    rows = " union all ".join(f"select item_id, id, {k} as part, '{t}' as kind, length(word) % 4 as about from typed where word <> '' and {c}" for t, c, k in kinds)
-    return f"""{typed(d)}, steps as ({rows}), seen as (select kind, about, count(*) as n from steps group by kind, about), cpt as (select kind, about, n / cast(sum(n) over (partition by about) as double) as p from seen where not (kind = 'B' and about = 0))"""
-
-
-def left_corner_surprisal(d: Dialect, longest: int = 50) -> str:
-    """A word's surprisal: what its decisions cost up to it, a decision that the table lacks costing -ln 1e-6; longer sentences are skipped."""
-    return f"""with {decisions(d)}, told as (select s.item_id, s.id, s.part, s.kind, coalesce(c.p, 1e-6) as p, sum(case when s.kind = 'W' then 1 else 0 end) over (partition by s.item_id order by s.id, s.part) - case when s.kind = 'W' then 1 else 0 end as word,
-        sum(case when s.kind = 'W' then 1 else 0 end) over (partition by s.item_id) as words from steps s left join cpt c on c.kind = s.kind and c.about = s.about)
-    select item_id, cast(word + 1 as int) as wnum, round(sum(case when kind in ('F', 'P', 'J', 'A', 'B') then -ln(p) else 0 end), 6) as surprisal, sum(case when p = 1e-6 then 1 else 0 end) as unseen from told where words <= {longest} group by item_id, word"""
-
-
-def cpt_lines(d: Dialect) -> str:
-    """Conditional probabilities written 'pred : resp = p' and read back."""
-    number = "cast({0} as double)"
-    get = (lambda g: f"regexp_extract(line, r'^(\\S+) : (\\S+) = ([0-9.eE-]+)$', {g})") if d.spark else (lambda g: f"regexp_extract(line, '^(\\S+) : (\\S+) = ([0-9.eE-]+)$', {g})")
-    return f"with {decisions(d)}, l as (select concat('k', cast(about as {'string' if d.spark else 'varchar'}), ' : ', kind, ' = ', cast(cast(round(p, 6) as decimal(8,6)) as {'string' if d.spark else 'varchar'})) as line from cpt) select {get(1)} as pred, {get(2)} as resp, {number.format(get(3))} as p from l"
-
-
 def typed_features(d: Dialect) -> str:
     """A typed sentence's features, its n-grams looked up in the counts of the documents, its words in their tree."""
     return f"""with {PAIRS}, {heads(d)}, lex_ as (select item_id, id, word, lag(word) over (partition by item_id order by id) as prev, lead(word) over (partition by item_id order by id) as next from heads),
@@ -475,7 +454,7 @@ def whitelist_tags(d: Dialect) -> str:
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
     word_rows, session_relabel, aligned_join, subword_first, subword_last, subword_marked, sentence_means, participant_summary, word_means, any_overlap, ptb_tokens, mark_codes, eligible, plain_sentences,
-    visual_angle, date_stamps, feature_pairs, left_corner_surprisal, cpt_lines, typed_features, explanation, profile_verdict, fixated_only, threshold_grid, landmarks, word_wrap, simulated_log,
+    visual_angle, date_stamps, feature_pairs, typed_features, explanation, profile_verdict, fixated_only, threshold_grid, landmarks, word_wrap, simulated_log,
     truth_agreement, question_scoring, word_features, lexical_row, tag_alignment, region_words, item_table, score_table, pair_cards, surprisal_or_mean, simplification_summary, landing_place,
     latest_session, line_places, word_places, coverage_shares, stable_features, reader_checks, sentence_quality, clean_rules, deduped_pairs, drift_median, whitelist_tags)}
 FRAMES: dict = {}
