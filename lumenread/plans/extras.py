@@ -42,44 +42,6 @@ def aligned_join(d: Dialect) -> str:
     select c_nationkey, count(*) as n, max(case when joined = orders and keys = orders then 1 else 0 end) as aligned from (select j.*, count(*) over () as joined from j) q cross join n group by c_nationkey"""
 
 
-def pieces(d: Dialect, size: int = 3) -> str:
-    """Texts cut into pieces of size characters whatever the words, each with its surprisal under the pieces' own frequencies."""
-    flat = d.replace("trim(lower(text))", chr(92) + "s+", " ")
-    count = f"cast(ceil(length(flat) / {size}e0) as int)"
-    series = f"explode(sequence(0, {count} - 1))" if d.spark else f"unnest(range({count}))"
-    return f"""flat as (select item_id, {flat} as flat from {{benchmark}}), cut as (select item_id, flat, {series} as k from flat where length(flat) > 0),
-    piece as (select item_id, k, {size} * k as a, least({size} * k + {size}, length(flat)) as b, substr(flat, {size} * k + 1, {size}) as piece from cut),
-    freq as (select piece, count(*) as n, sum(count(*)) over () as total from piece group by piece), cost as (select p.*, -ln(f.n / cast(f.total as double)) as s from piece p join freq f on f.piece = p.piece),
-    spans as (select item_id, id, word, cast(coalesce(sum(length(word) + 1) over (partition by item_id order by id rows between unbounded preceding and 1 preceding), 0) as int) as a, cast(sum(length(word) + 1) over (partition by item_id order by id) - 1 as int) as b
-        from ({blank_words(d)}) q)"""
-
-
-def blank_words(d: Dialect) -> str:
-    if d.spark:
-        return "select item_id, nth + 1 as id, word from (select item_id, posexplode(split(flat, ' ')) as (nth, word) from flat) z where word <> ''"
-    return "select item_id, unnest(generate_series(1, len(string_split(flat, ' ')))) as id, unnest(string_split(flat, ' ')) as word from flat where flat <> ''"
-
-
-def subword_first(d: Dialect) -> str:
-    """Surprisal of words from pieces that overlap them: a piece over a boundary belongs to the word that its first letter is in."""
-    return f"""with {pieces(d)} select w.item_id, w.id, w.word, count(c.k) as pieces, round(coalesce(sum(c.s), 0), 6) as surprisal from spans w left join cost c
-    on c.item_id = w.item_id and c.a + case when substr(c.piece, 1, 1) = ' ' then 1 else 0 end >= w.a and c.a + case when substr(c.piece, 1, 1) = ' ' then 1 else 0 end < w.b group by w.item_id, w.id, w.word"""
-
-
-def subword_last(d: Dialect) -> str:
-    """Surprisal of words from pieces, each credited to the word that its last character (or the blank it is) follows."""
-    return f"""with {pieces(d)} select w.item_id, w.id, w.word, count(c.k) as pieces, round(coalesce(sum(c.s), 0), 6) as surprisal from spans w left join cost c
-    on c.item_id = w.item_id and c.b - 1 >= w.a and c.b - 1 <= w.b group by w.item_id, w.id, w.word"""
-
-
-def subword_marked(d: Dialect, slots: int = 20) -> str:
-    """Bits by word where a piece that follows a blank starts a word, cut or padded with 0 to a number of slots; nothing gives zeros."""
-    filled = "case when sum(w.s) is null then 0 else round(sum(w.s) / ln(2e0), 6) end"
-    return f"""with {pieces(d)}, marked as (select item_id, k, s, sum(case when k = 0 or piece like ' %' or piece like '% %' then 1 else 0 end) over (partition by item_id order by k) as word from cost),
-    w as (select item_id, word, sum(s) as s from marked group by item_id, word), slots as {d.series('1', str(slots), 'slot')}, items as (select item_id from {{benchmark}})
-    select i.item_id, cast(s.slot as int) as slot, {filled} as bits from items i cross join slots s left join w on w.item_id = i.item_id and w.word = s.slot group by i.item_id, s.slot"""
-
-
 def sentence_means(d: Dialect) -> str:
     """Reading times of sentences over readers, and how many answered right."""
     return """with s as (select user_id, cast(floor((i - 1) / 10.0) as bigint) as sid, sum(d) as total, count(*) as n, min(case when event_type = 'error' then 0 else 1 end) as right_ from {fix} group by user_id, cast(floor((i - 1) / 10.0) as bigint))
@@ -453,7 +415,7 @@ def whitelist_tags(d: Dialect) -> str:
 
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
-    word_rows, session_relabel, aligned_join, subword_first, subword_last, subword_marked, sentence_means, participant_summary, word_means, any_overlap, ptb_tokens, mark_codes, eligible, plain_sentences,
+    word_rows, session_relabel, aligned_join, sentence_means, participant_summary, word_means, any_overlap, ptb_tokens, mark_codes, eligible, plain_sentences,
     visual_angle, date_stamps, feature_pairs, typed_features, explanation, profile_verdict, fixated_only, threshold_grid, landmarks, word_wrap, simulated_log,
     truth_agreement, question_scoring, word_features, lexical_row, tag_alignment, region_words, item_table, score_table, pair_cards, surprisal_or_mean, simplification_summary, landing_place,
     latest_session, line_places, word_places, coverage_shares, stable_features, reader_checks, sentence_quality, clean_rules, deduped_pairs, drift_median, whitelist_tags)}
