@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lumenread.functions.dialect import Dialect
+from lumenread.functions.treebank import tokenised_sql
 from lumenread.plans.gaze import drift_offset
 from lumenread.plans.query import SqlQuery
 from lumenread.plans.statistics import DRAWS, draws_of, heads
@@ -69,33 +70,10 @@ def any_overlap(d: Dialect) -> str:
     return f"select item_id, case when list_has_any(string_split(lower(text), ' '), {listed}) then 1 else 0 end as found, len(list_intersect(string_split(lower(text), ' '), {listed})) as kinds from {{benchmark}}"
 
 
-#: Treebank tokenisation as ordered replacements (pattern, replacement): fixed values.
-TREEBANK = (
-    ('^"', "`` "), ('([ ([{<])"', "$1 `` "), ("[.][.][.]", " ... "), ("([,;:@#$%&])", " $1 "), ("([^.])([.])([])}>\"']*)[ ]*$", "$1 $2$3 "), ("([?!])", " $1 "),
-    ("([][(){}<>])", " $1 "), ("--", " -- "), ('"', " '' "), ("([^'])' ", "$1 ' "), ("'([sSmMdD]) ", " '$1 "), ("'(ll|LL|re|RE|ve|VE) ", " '$1 "), ("(n't|N'T) ", " $1 "),
-    (" ([Cc])annot ", " $1an not "), (" ([Gg])onna ", " $1on na "), (" ([Gg])otta ", " $1ot ta "), (" ([Ll])emme ", " $1em me "), (" '([Tt])(is|was) ", " '$1 $2 "))
-BRACKETS = (("(", "-LRB-"), (")", "-RRB-"), ("[", "-LSB-"), ("]", "-RSB-"), ("{", "-LCB-"), ("}", "-RCB-"))
-
-
-def treebank(d: Dialect, text: str) -> str:
-    quoted = lambda x: x.replace("'", "''")
-    out = text
-    for k, (pattern, new) in enumerate(TREEBANK):
-        if k == 9:
-            out = f"concat(' ', {out}, ' ')"
-        if d.spark:
-            out = f"regexp_replace({out}, '{quoted(pattern.replace('[][', '[' + chr(92) * 2 + ']' + chr(92) * 2 + '[').replace('([ ([{', '([ (' + chr(92) * 2 + '[{').replace('([])', '([' + chr(92) * 2 + '])'))}', '{quoted(new)}')"
-        else:
-            out = f"regexp_replace({out}, '{quoted(pattern.replace('[][', '[' + chr(92) + ']' + chr(92) + '[').replace('([ ([{', '([ (' + chr(92) + '[{').replace('([])', '([' + chr(92) + '])'))}', '{quoted(new.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2').replace('$3', chr(92) + '3'))}', 'g')"
-    for sign, name in BRACKETS:
-        out = f"replace({out}, '{sign}', '{name}')"
-    return f"trim({d.replace(out, ' +', ' ')})"
-
-
 def ptb_tokens(d: Dialect) -> str:
     """Sentences with brackets, quotes, marks and contractions as tokens of their own."""
-    tricky = "case when sid % 5 = 1 then concat(replace(sentence, ' ', ' don''t (it''s) '), '.') when sid % 5 = 2 then concat('\"', sentence, '\" he''ll [cannot] say...') else sentence end"
-    return f"with x as (select doc_id, sid, {tricky} as sentence from {{sent}} where length(sentence) < 200) select doc_id, sid, {treebank(d, 'sentence')} as tokens from x"
+    tricky = "case when sid % 5 = 1 then concat(replace(sentence, ' ', ' don''t (it''s) '), '.') when sid % 5 = 2 then concat('\"', sentence, '\" he''ll [cannot] say 1,000, more''n I wanna...') else sentence end"
+    return f"with x as (select doc_id, sid, {tricky} as sentence from {{sent}}) select doc_id, sid, {tokenised_sql(d, 'sentence')} as tokens from x"
 
 
 #: Marks before and after a word, and the code of the first closing one: fixed values.

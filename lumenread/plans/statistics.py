@@ -28,14 +28,30 @@ def graded_sentences(d: Dialect) -> str:
     from {sent} s join {documents} d on d.doc_id = s.doc_id)"""
 
 
-def drawn_pairs(d: Dialect, draws: int = 1, least_gap: int = 2) -> str:
-    """Pairs of an easier and a harder sentence at least least_gap grades apart: every sentence draws from all
-    sentences of each harder grade, with replacement; pairs that were drawn twice are one."""
-    return f"""{graded_sentences(d)}, {numbered(d, "graded", "grade", "doc_id, sid", "ranked")},
-    wishes as (select a.doc_id, a.sid, a.grade, a.words, a.chars, z.grade as other, cast(1 + floor({d.uniform("'pair'", "a.doc_id", "a.sid", "z.grade", "t.draw")} * z.size) as bigint) as wish
-        from graded a join ranked_s z on z.grade >= a.grade + {least_gap} cross join {d.series("1", str(draws), "draw")} t),
-    pairs as (select distinct w.doc_id as doc_a, w.sid as sid_a, b.doc_id as doc_b, b.sid as sid_b, w.grade as grade_a, b.grade as grade_b, w.words as words_a, b.words as words_b, w.chars as chars_a, b.chars as chars_b
-        from wishes w join ranked b on b.grade = w.other and b.nth = w.wish)"""
+#: Shares of a hundred that are the test's, and grades that a pair is apart at least.
+TEST_SHARE, LEAST_GAP = 20, 2
+
+
+def split_sentences(d: Dialect) -> str:
+    """Graded sentences with the split of their document: the crc32 of grade and document, mod 100, below the test's share."""
+    if d.spark:
+        return f"""{graded_sentences(d)}, sided as (select *, case when crc32(concat_ws('-', cast(grade as string), cast(doc_id as string))) % 100 < {TEST_SHARE} then 'test' else 'train' end as split from graded)"""
+    table = "list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"
+    return f"""{graded_sentences(d)}, tab as (select {table} as t), named as (select distinct doc_id, grade, concat(grade, '-', doc_id) as s from graded),
+    sums as (select doc_id, grade, xor(list_reduce([4294967295::bigint] || list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc from named cross join tab),
+    sided as (select g.*, case when x.crc % 100 < {TEST_SHARE} then 'test' else 'train' end as split from graded g join sums x on x.doc_id = g.doc_id and x.grade = g.grade)"""
+
+
+def drawn_pairs(d: Dialect, draws: int = 1, least_gap: int = LEAST_GAP) -> str:
+    """Pairs of an easier and a harder sentence at least least_gap grades apart and of one split: documents are split
+    first, then every sentence draws from all sentences of each harder grade in its own split, with replacement;
+    pairs that were drawn twice are one."""
+    return f"""{split_sentences(d)}, keyed as (select *, concat(split, grade) as side from sided), {numbered(d, "keyed", "side", "doc_id, sid", "ranked")},
+    sides as (select distinct side, split, grade from keyed), sizes as (select s.split, s.grade, s.side, z.size from sides s join ranked_s z on z.side = s.side),
+    wishes as (select a.doc_id, a.sid, a.grade, a.split, a.words, a.chars, z.side as other, cast(1 + floor({d.uniform("'pair'", "a.doc_id", "a.sid", "z.grade", "t.draw")} * z.size) as bigint) as wish
+        from sided a join sizes z on z.split = a.split and z.grade >= a.grade + {least_gap} cross join {d.series("1", str(draws), "draw")} t),
+    pairs as (select distinct w.doc_id as doc_a, w.sid as sid_a, b.doc_id as doc_b, b.sid as sid_b, w.grade as grade_a, b.grade as grade_b, w.words as words_a, b.words as words_b, w.chars as chars_a, b.chars as chars_b, w.split as split
+        from wishes w join ranked b on b.side = w.other and b.nth = w.wish)"""
 
 
 def hash_split(d: Dialect) -> str:
@@ -78,17 +94,20 @@ def batches(d: Dialect) -> str:
     return f"""with i as (select doc_id, lang from {{documents}}), {in_order("i", "lang", "floor(doc_id / 4096e0)", "doc_id", "x")} select doc_id, cast(floor((nth - 1) / 16e0) as bigint) as batch, lang from x"""
 
 
-def graded_pairs(d: Dialect) -> str:
-    """Pairs of sentences at least two grades apart, split by the easier one's document."""
-    return f"""with {drawn_pairs(d)}
-    select doc_a, sid_a, doc_b, sid_b, grade_a, grade_b, grade_b - grade_a as gap, case when {d.uniform("'page'", 'doc_a')} < 0.2 then 'test' else 'train' end as split from pairs"""
+def graded_pairs(d: Dialect, least_gap: int = LEAST_GAP) -> str:
+    """Pairs of sentences of one split, some grades apart; flipped by chance, with which side is harder and whether their words are about as many."""
+    flip = f"{d.uniform(chr(39) + 'flip' + chr(39), 'doc_a', 'sid_a', 'doc_b', 'sid_b')} < 0.5"
+    side = lambda a, b: f"case when flip then {b} else {a} end"
+    return f"""with {drawn_pairs(d, least_gap=least_gap)}, f as (select *, {flip} as flip from pairs)
+    select {side('doc_a', 'doc_b')} as doc_a, {side('sid_a', 'sid_b')} as sid_a, {side('doc_b', 'doc_a')} as doc_b, {side('sid_b', 'sid_a')} as sid_b, {side('grade_a', 'grade_b')} as grade_a, {side('grade_b', 'grade_a')} as grade_b,
+    case when flip then 'a' else 'b' end as harder, grade_b - grade_a as gap, case when abs(words_a - words_b) <= 1 then 1 else 0 end as length_matched, split from f"""
 
 
 def pair_baseline_accuracy(d: Dialect) -> str:
     """Direction from the training pairs, ties half right, on the test pairs."""
-    return f"""with {drawn_pairs(d)}, k as (select sign(chars_b - chars_a) as delta, {d.uniform("'page'", 'doc_a')} as u from pairs),
-    w as (select case when avg(delta) >= 0 then 1 else -1 end as direction from k where u >= 0.2)
-    select count(*) as n, round(avg(case when delta = 0 then 0.5e0 when delta * direction > 0 then 1e0 else 0e0 end), 6) as accuracy, max(direction) as direction from k cross join w where u < 0.2"""
+    return f"""with {drawn_pairs(d)}, k as (select sign(chars_b - chars_a) as delta, split from pairs),
+    w as (select case when avg(delta) >= 0 then 1 else -1 end as direction from k where split = 'train')
+    select count(*) as n, round(avg(case when delta = 0 then 0.5e0 when delta * direction > 0 then 1e0 else 0e0 end), 6) as accuracy, max(direction) as direction from k cross join w where split = 'test'"""
 
 
 def counted_pairs(d: Dialect) -> str:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -40,23 +41,26 @@ def test_all_sentences_are_matched(texts):
     assert found == {k: (len(v), round(sum(v) / len(v), 6)) for k, v in hits.items()}
 
 
-def test_pairs_are_drawn_from_all_sentences(texts):
+def test_pairs_are_drawn_from_all_sentences_of_a_split(texts):
     frames, rows = texts
     known = {(i, k): (g, w, c) for i, k, g, w, c in rows}
-    grades = sorted({r[2] for r in rows})
-    found = [tuple(r) for r in operators.run("graded_pairs", frames).collect()]
-    partners = defaultdict(list)
-    for doc_a, sid_a, doc_b, sid_b, low, high, gap, _ in found:
-        assert known[doc_a, sid_a][0] == low and known[doc_b, sid_b][0] == high and gap == high - low >= 2
-        partners[doc_a, sid_a].append(high)
-    # one partner from each harder grade for every sentence, whatever its document and place
-    assert all(sorted(partners[i, k]) == [h for h in grades if h >= g + 2] for i, k, g, _, _ in rows)
-    drawn = {(f[2], f[3]) for f in found if f[5] == grades[-1]}
-    assert len(drawn) > 0.5 * sum(r[2] == grades[-1] for r in rows) and any(f[3] > 3 for f in found)
-    split = defaultdict(set)
-    for f in found:
-        split[f[0]].add(f[7])
-    assert all(len(s) == 1 for s in split.values())
+    side = {i: "test" if zlib.crc32(f"{g}-{i}".encode()) % 100 < 20 else "train" for i, _, g, _, _ in rows}
+    found = operators.run("graded_pairs", frames).collect()
+    partners, harder = defaultdict(list), set()
+    for r in found:
+        a, b = (r["doc_a"], r["sid_a"]), (r["doc_b"], r["sid_b"])
+        easy, hard = (a, b) if r["harder"] == "b" else (b, a)
+        assert known[a][0] == r["grade_a"] and known[b][0] == r["grade_b"] and r["gap"] == known[hard][0] - known[easy][0] >= 2
+        assert r["length_matched"] == (abs(known[a][1] - known[b][1]) <= 1)
+        # no document is on both sides of the split
+        assert side[a[0]] == side[b[0]] == r["split"]
+        partners[easy].append(known[hard][0])
+        harder.add(r["harder"])
+    assert harder == {"a", "b"} and {r["split"] for r in found} == {"train", "test"}
+    # one partner from each harder grade of its own split for every sentence, whatever its document and place
+    grades = {s: sorted({r[2] for r in rows if side[r[0]] == s}) for s in ("train", "test")}
+    assert all(sorted(partners[i, k]) == [h for h in grades[side[i]] if h >= g + 2] for i, k, g, _, _ in rows)
+    assert {r["gap"] for r in operators.run("graded_pairs", frames, least_gap=4).collect()} == {r["gap"] for r in found if r["gap"] >= 4}
 
 
 def test_every_two_readers(spark):
