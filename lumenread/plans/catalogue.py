@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lumenread.operators import depths, leftcorner, subwords, tagger
+from lumenread.operators import boxes, depths, leftcorner, sliding, subwords, tagger
 from lumenread.plans import extras, gaze, learning, statistics, text
 
 MODULES = (gaze, text, statistics, learning, extras)
 #: Modules whose queries are made of operators; their SQL is written apart.
-BUILT = (depths, tagger, leftcorner, subwords)
+BUILT = (depths, tagger, leftcorner, subwords, sliding, boxes)
 
 
 def queries() -> dict:

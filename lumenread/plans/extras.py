@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from lumenread.functions.dialect import Dialect
 from lumenread.functions.treebank import tokenised_sql
-from lumenread.plans.gaze import drift_offset
 from lumenread.plans.query import SqlQuery
-from lumenread.plans.statistics import DRAWS, draws_of, heads
+from lumenread.plans.statistics import DRAWS, draws_of, heads, threshold_fits
 from lumenread.plans.text import PAIRS
 
 #: Endings that a word is cut at, the longest first, and the letters that its stem keeps at least: fixed values.
@@ -172,6 +171,8 @@ def fixated_only(d: Dialect) -> str:
 
 def threshold_grid(d: Dialect) -> str:
     """The threshold of 0, 5 to 150 with the best fit."""
+    if d.spark:
+        return f"with {threshold_fits('20e0 * w', 5, 30)} select cast(th as int) as th, round(r2, 6) as r2, row_number() over (order by round(r2, 9) desc, th) as place from fits"
     return f"""with x as (select d as y, 20e0 * w as p from {{fix}}), m as (select avg(y) as m from x),
     t as (select 5 * th as th, 1 - sum((y - case when p < 5 * th then 0 else p end) * (y - case when p < 5 * th then 0 else p end)) / sum((y - m) * (y - m)) as r2 from x cross join m cross join {d.series('0', '30', 'th')} g group by th)
     select cast(th as int) as th, round(r2, 6) as r2, row_number() over (order by round(r2, 9) desc, th) as place from t"""
@@ -377,11 +378,6 @@ def deduped_pairs(d: Dialect) -> str:
     select conv_id, turn, row_number() over (partition by conv_id order by turn) as place, (select count(*) from k k2 where k2.kept = 0) as dropped from k where kept = 1"""
 
 
-def drift_median(d: Dialect) -> str:
-    """The median of what came in the half day before each anchor, applied from five samples on."""
-    return drift_offset(d, 43200, 5)
-
-
 def whitelist_tags(d: Dialect) -> str:
     """Leaf tags of bracket trees in order, those of a list only."""
     tree = "concat('(S ', {join}, ')')"
@@ -396,5 +392,5 @@ QUERIES = {f.__name__: SqlQuery(f) for f in (
     word_rows, session_relabel, aligned_join, sentence_means, participant_summary, word_means, any_overlap, ptb_tokens, mark_codes, eligible, plain_sentences,
     visual_angle, date_stamps, feature_pairs, typed_features, explanation, profile_verdict, fixated_only, threshold_grid, landmarks, word_wrap, simulated_log,
     truth_agreement, question_scoring, word_features, lexical_row, tag_alignment, region_words, item_table, score_table, pair_cards, surprisal_or_mean, simplification_summary, landing_place,
-    latest_session, line_places, word_places, coverage_shares, stable_features, reader_checks, sentence_quality, clean_rules, deduped_pairs, drift_median, whitelist_tags)}
+    latest_session, line_places, word_places, coverage_shares, stable_features, reader_checks, sentence_quality, clean_rules, deduped_pairs, whitelist_tags)}
 FRAMES: dict = {}

@@ -78,16 +78,6 @@ def blink_gaps(d: Dialect) -> str:
     from b where valid = 0 group by user_id, island having max(coalesce(next_t, end_t)) - min(t) >= 60"""
 
 
-def rolling_blink(d: Dialect) -> str:
-    if d.spark:
-        window = "collect_list(d) over (partition by user_id order by i rows between 89 preceding and current row)"
-        median = "(case when size(a) % 2 = 1 then element_at(s, cast(size(s) div 2 + 1 as int)) else (element_at(s, cast(size(s) div 2 as int)) + element_at(s, cast(size(s) div 2 + 1 as int))) / 2 end)"
-        return f"""with x as (select user_id, i, d, {window} as a from {{fix}}), y as (select *, array_sort(a) as s from x)
-        select user_id, i, cast(size(a) as bigint) as frames, case when size(a) >= 15 and d < 0.6 * {median} then 1 else 0 end as blink from y"""
-    return """select user_id, i, count(*) over w90 as frames, case when count(*) over w90 >= 15 and d < 0.6 * quantile_cont(d, 0.5) over w90 then 1 else 0 end as blink
-    from {fix} window w90 as (partition by user_id order by i rows between 89 preceding and current row)"""
-
-
 def visits(d: Dialect) -> str:
     return """with h as (select user_id, i, t, d, case when w < 6 then w else -1 end as hit from {fix}),
     b as (select *, case when lag(hit) over (partition by user_id order by i) = hit then 0 else 1 end as brk from h),
@@ -109,23 +99,6 @@ def interval_join(d: Dialect) -> str:
     select x.user_id, x.sid, count(*) as samples, round(sum(x.d), 4) as duration from x join s on s.user_id = x.user_id and s.sid = x.sid where s.off_t is not null group by x.user_id, x.sid"""
 
 
-def nearest_box(d: Dialect) -> str:
-    lines = f"(select l, 40e0 * l + 20 as cy from {d.series('0', '4', 'l')} q)"
-    return f"""with p as (select user_id, i, d as y, (w * 37 + 5) * 1e0 as x from {{fix}}),
-    c as (select p.user_id, p.i, p.x, b.l, abs(p.y - b.cy) as dist, row_number() over (partition by p.user_id, p.i order by abs(p.y - b.cy), b.l) as rn from p cross join {lines} b)
-    select user_id, i, l as line, round(dist, 6) as dist, case when dist <= 30 then cast(floor(x / 60) as bigint) else -1 end as box from c where rn = 1"""
-
-
-def drift_offset(d: Dialect, seconds: float = 86400, least: int = 2) -> str:
-    """The median of the valid samples in some time before each anchor, applied from some samples on."""
-    frame = f"over (partition by user_id order by t range between {seconds}e0 preceding and current row)"
-    if d.spark:
-        x = f"select user_id, i, t, w, array_sort(filter(collect_list(case when w <> 0 then d end) {frame}, x -> x is not null)) as a from {{fix}}"
-        middle = "case when size(a) % 2 = 1 then a[cast((size(a) - 1) / 2 as int)] else (a[cast(size(a) / 2 - 1 as int)] + a[cast(size(a) / 2 as int)]) / 2 end"
-        return f"with x as ({x}) select user_id, i, cast(size(a) as bigint) as n, round(case when size(a) >= {least} then {middle} else 0 end, 6) as offset_y from x where w = 3"
-    return f"""with x as (select user_id, i, t, w, count(case when w <> 0 then d end) {frame} as n, quantile_cont(case when w <> 0 then d end, 0.5) {frame} as m from {{fix}}) select user_id, i, n, round(case when n >= {least} then m else 0 end, 6) as offset_y from x where w = 3"""
-
-
 def sentence_windows(d: Dialect) -> str:
     return """with e as (select user_id, i, t, case when w = 0 then 'on' when w = 7 then 'off' end as kind from {fix}),
     o as (select *, max(case when kind = 'on' then t end) over (partition by user_id order by i rows between unbounded preceding and 1 preceding) as on_t from e),
@@ -204,20 +177,20 @@ def idt_oracle(d: Dialect, spread: float = 80, gap: float = 3 * 86400, least: fl
     done = f"(r.tb - r.ta + r.usual >= {least})"
     pick = lambda grown, begun: f"case when {grows} then {grown} else {begun} end"
     return f"""with recursive s as (select user_id, i, t, w * 10e0 as x, d as y from {{fix}}), gaps as (select user_id, t - lag(t) over (partition by user_id order by i) as g from s),
-    u as (select user_id, coalesce(quantile_cont(g, 0.5), 0) as usual from gaps group by user_id),
+    u as (select user_id, quantile_cont(g, 0.5) as usual from gaps group by user_id having count(*) > 1),
     r as (select s.user_id, u.usual, s.i as a, s.i as b, s.x as lx, s.x as hx, s.y as ly, s.y as hy, s.t as ta, s.t as tb, cast(null as bigint) as fa, cast(null as bigint) as fb from s join u on u.user_id = s.user_id where s.i = 1
     union all select r.user_id, r.usual, {pick('r.a', 'p.i')}, {pick('n.i', 'p.i')}, {pick('least(r.lx, n.x)', 'p.x')}, {pick('greatest(r.hx, n.x)', 'p.x')}, {pick('least(r.ly, n.y)', 'p.y')}, {pick('greatest(r.hy, n.y)', 'p.y')},
         {pick('r.ta', 'p.t')}, {pick('n.t', 'p.t')}, case when not {grows} and {done} then r.a end, case when not {grows} and {done} then r.b end
         from r left join s n on n.user_id = r.user_id and n.i = r.b + 1 left join s p on p.user_id = r.user_id and p.i = case when {done} then r.b + 1 else r.a + 1 end where r.a is not null),
     f as (select user_id, fa, fb, row_number() over (partition by user_id order by fa) as fxno from r where fa is not null)
-    select f.user_id, f.fxno, round(min(s.t), 3) as start_t, round(max(s.t), 3) as end_t, round(avg(s.x), 6) as x, round(avg(s.y), 6) as y, count(*) as samples from f join s on s.user_id = f.user_id and s.i between f.fa and f.fb group by f.user_id, f.fxno"""
+    select f.user_id, f.fxno, round(min(s.t), 3) as start_t, round(max(s.t) + max(u.usual), 3) as end_t, round(quantile_cont(s.x, 0.5), 6) as x, round(quantile_cont(s.y, 0.5), 6) as y, count(*) as samples from f join u on u.user_id = f.user_id join s on s.user_id = f.user_id and s.i between f.fa and f.fb group by f.user_id, f.fxno"""
 
 
 QUERIES = {name: SqlQuery(f) for name, f in {
     "measures_avg_all": measures_avg_all, "measures_avg_good": measures_avg_good, "skip_rate": skip_rate, "first_pass_runs": first_pass_runs,
     "regression_forward": regression_forward, "lag_lead_context": lag_lead_context, "running_median3": running_median3, "blink_gaps": blink_gaps,
-    "rolling_blink": rolling_blink, "visits": visits, "launch_distance": launch_distance, "interval_join": interval_join, "nearest_box": nearest_box,
-    "drift_offset": drift_offset, "sentence_windows": sentence_windows, "layout_positions": layout_positions, "sample_interval": sample_interval,
+    "visits": visits, "launch_distance": launch_distance, "interval_join": interval_join,
+    "sentence_windows": sentence_windows, "layout_positions": layout_positions, "sample_interval": sample_interval,
     "gaze_quality": gaze_quality, "fixation_noise": fixation_noise, "outlier_keep": outlier_keep, "zscore_reader": zscore_reader, "trim_3sd": trim_3sd,
     "skipped_words": skipped_words, "landing_position": landing_position, "depth_flags": depth_flags, "session_choice": session_choice,
 }.items()}

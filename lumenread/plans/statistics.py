@@ -257,8 +257,19 @@ def pair_bootstrap(d: Dialect, draws: int = DRAWS) -> str:
     select count(acc) as draws, round({d.pct('acc', 0.025)}, 6) as low, round({d.pct('acc', 0.975)}, 6) as high from m"""
 
 
+def threshold_fits(prediction: str, step: int, steps: int) -> str:
+    """fits (th, r2) of all thresholds from 0, step apart: rows are summed up by the first threshold above their prediction,
+    and running sums over these few rows give what is lost by skipping (below) and by predicting (from there on)."""
+    return f"""x as (select d as y, {prediction} as p from {{fix}}), h as (select cast(least({steps} + 1, greatest(0, floor(p / {step}e0) + 1)) as int) as k, sum(y * y) as skipped, sum((y - p) * (y - p)) as told, count(*) as n, sum(y) as sy from x group by k),
+    g as (select k, coalesce(skipped, 0) as skipped, coalesce(told, 0) as told, n, sy from (select explode(sequence(0, {steps} + 1)) as k) s left join h using (k)),
+    r as (select k, sum(skipped) over (order by k) as below, sum(told) over (order by k desc) - told as above, sum(skipped) over () - sum(sy) over () * sum(sy) over () / sum(n) over () as spread from g),
+    fits as (select {step} * k as th, 1 - (below + above) / spread as r2 from r where k <= {steps})"""
+
+
 def threshold_search(d: Dialect) -> str:
     """Predictions below a threshold count as skips; the threshold with the best fit, if better than none."""
+    if d.spark:
+        return f"with {threshold_fits('20e0 * w', 1, 150)}, placed as (select *, row_number() over (order by round(r2, 9) desc, th) as rn from fits) select cast(th as bigint) as th, round(r2, 6) as r2 from placed where rn = 1"
     return f"""with x as (select d as y, 20e0 * w as p from {{fix}}), m as (select avg(y) as m from x),
     t as (select th, 1 - sum((y - case when p < th then 0 else p end) * (y - case when p < th then 0 else p end)) / sum((y - m) * (y - m)) as r2 from x cross join m cross join {d.series('0', '150', 'th')} group by th),
     r as (select *, row_number() over (order by round(r2, 9) desc, th) as rn from t)
@@ -323,7 +334,7 @@ def reader_qc(d: Dialect) -> str:
 
 def calibration_selection(d: Dialect) -> str:
     return f"""with x as (select vec_id, label, x as openness, row_number() over (partition by label order by vec_id) as n from {{dims}} where k = 0),
-    m as (select label, {d.pct('abs(openness)', 0.5)} as med from x where n > 3 group by label)
+    m as (select label, {d.pct('abs(openness)', 0.5)} as med from x group by label)
     select x.label, count(*) as kept, sum(case when abs(openness) < 0.6 * med then 1 else 0 end) as blinks from x join m on m.label = x.label where n > 3 group by x.label"""
 
 
