@@ -2,41 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenread.sources import tables
 
 
-def next_greater(values: np.ndarray) -> np.ndarray:
-    """The place of the first later value that is greater, in one pass with a stack; -1 if there is none."""
-    out, open_ = np.full(len(values), -1), []
-    for k, value in enumerate(values.tolist()):
-        while open_ and values[open_[-1]] < value:
-            out[open_.pop()] = k
-        open_.append(k)
-    return out
-
-
 def with_next_forward(fixations: DataFrame, keys: Sequence[str], order: str, word: str) -> DataFrame:
     """fixations with next_forward: the order of the first later fixation on a later word, null if there is none.
 
-    One pass over each reader's (and text's) fixations, so its memory is that of one trial.
+    Rows are dealt by reader (and text) and read from the last to the first: those that could still be
+    somebody's next are a stack of rising words, so a task holds no more than one row a word. A null
+    word has no next and is nobody's.
     """
     kinds = dict(fixations.dtypes)
 
-    def run(trial: pd.DataFrame) -> pd.DataFrame:
-        trial = trial.sort_values(order, kind="stable", ignore_index=True)
-        at = next_greater(trial[word].to_numpy())
-        places = trial[order].to_numpy()
-        return trial.assign(next_forward=pd.array([places[k] if k >= 0 else None for k in at], "Int64"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, ahead = object(), []
+        for batch in batches:
+            found = []
+            own = zip(*(batch.column(k).to_pylist() for k in keys), strict=True) if keys else ((),) * batch.num_rows
+            for key, at, w in zip(own, batch.column(order).to_pylist(), batch.column(word).to_pylist(), strict=True):
+                if key != of:
+                    of, ahead = key, []
+                if w is None:
+                    found.append(None)
+                    continue
+                while ahead and ahead[-1][0] <= w:
+                    ahead.pop()
+                found.append(ahead[-1][1] if ahead else None)
+                ahead.append((w, at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "next_forward"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in fixations.columns) + ", next_forward long"
-    return fixations.groupBy(*keys).applyInPandas(run, schema)
+    dealt = fixations.repartition(*keys) if keys else fixations.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, F.col(order).desc()).mapInArrow(run, schema)
 
 
 def reading_measures(fixations: DataFrame, keys: Sequence[str] = ("user_id",), order: str = "i", word: str = "w", duration: str = "d") -> DataFrame:
@@ -65,6 +70,41 @@ def reading_measures_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "wnum", *[F.round(c, 4).alias(c) for c in ("ffd", "fpd", "rpd", "td")], "n_fix")
 
 
+#: Fixations that last longer (ms) are noise; standard deviations above a reader's mean that a measure may be.
+TOO_LONG, OUTLIER_SD = 1200.0, 3.0
+MEASURES = ("ffd", "fpd", "rpd", "td")
+
+
+def labelled_noise(fixations: DataFrame, on_text: Column, duration: str = "d", longest: float = TOO_LONG) -> DataFrame:
+    """fixations with noise: too_long, off_text or nothing. Only fixations without it count in measures."""
+    return fixations.withColumn("noise", F.when(F.col(duration) > longest, "too_long").when(~F.coalesce(on_text, F.lit(False)), "off_text").otherwise(""))
+
+
+def with_outliers(words: DataFrame, reader: str, good: str, deviations: float = OUTLIER_SD) -> DataFrame:
+    """words (one row a reader, sentence and word, with the four measures and n_fix) with outlier (the measures beyond their limit) and keep.
+
+    A measure's limit is the mean and some population standard deviations of the reader's fixated words
+    in good sentences; only such words can be outliers, and only words of good sentences are kept.
+    """
+    pooled = F.col(good) & (F.col("n_fix") > 0)
+    limits = words.filter(pooled).groupBy(F.col(reader).alias("__reader")).agg(*((F.avg(m) + deviations * F.stddev_pop(m)).alias(f"__{m}") for m in MEASURES))
+    joined = words.join(limits, words[reader].eqNullSafe(limits["__reader"]), "left")
+    high = F.concat_ws(", ", *(F.when(pooled & (F.col(m) > F.col(f"__{m}")), m.upper()) for m in MEASURES))
+    told = joined.withColumn("outlier", high).withColumn("keep", F.when(F.col(good) & (F.col("outlier") == ""), 1).otherwise(0))
+    return told.select(*words.columns, "outlier", "keep")
+
+
+def outlier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of readers' sentences (20 events each), measured without noise: which are outliers and which are kept."""
+    fix = tables.fixations(spark, sf_dir).withColumn("sid", F.floor((F.col("i") - 1) / 20).cast("long"))
+    fix = labelled_noise(fix, F.col("w") < 6)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    sentences = fix.groupBy("user_id", "sid").agg(((share(F.col("event_type") != "error") >= 0.7) & (share(F.col("w") >= 6) <= 0.5) & (F.sum(F.when(F.col("noise") == "", 1).otherwise(0)) > 0)).alias("good"))
+    words = reading_measures(fix.filter("noise = ''"), ("user_id", "sid")).join(sentences, ["user_id", "sid"])
+    found = with_outliers(words, "user_id", "good")
+    return found.select("user_id", "sid", "wnum", F.when(F.col("good"), 1).otherwise(0).alias("sentence_ok"), "outlier", "keep")
+
+
 def dispersion_fixations(t: np.ndarray, x: np.ndarray, y: np.ndarray, spread: float, gap: float, least: float) -> list[tuple[int, int]]:
     """First and last sample of each fixation: the longest window from a start whose spread stays in bounds.
 

@@ -38,8 +38,9 @@ def session_relabel(d: Dialect) -> str:
 
 def aligned_join(d: Dialect) -> str:
     """Orders with their customers under another key name, and whether every order found exactly one."""
-    return """with j as (select o.o_orderkey, c.c_custkey, c.c_nationkey from {orders} o join {customer} c on o.o_custkey = c.c_custkey), n as (select count(*) as orders, count(distinct o_orderkey) as keys from {orders})
-    select c_nationkey, count(*) as n, max(case when joined = orders and keys = orders then 1 else 0 end) as aligned from (select j.*, count(*) over () as joined from j) q cross join n group by c_nationkey"""
+    return """with j as (select o.o_orderkey, c.c_custkey, c.c_nationkey from {orders} o join {customer} c on o.o_custkey = c.c_custkey), n as (select count(*) as orders, count(distinct o_orderkey) as keys from {orders}),
+    t as (select c_nationkey, count(*) as n from j group by c_nationkey), a as (select sum(n) as joined from t)
+    select c_nationkey, t.n, case when joined = orders and keys = orders then 1 else 0 end as aligned from t cross join a cross join n"""
 
 
 def sentence_means(d: Dialect) -> str:
@@ -241,15 +242,15 @@ def stems(d: Dialect) -> str:
 
 def word_features(d: Dialect) -> str:
     """Each word's core, parts, what its stem and ending cost, and whether it is marked or non-finite, with its place."""
-    return f"""with {typed(d)}, {stems(d)}, s as (select stem, count(*) as n, sum(count(*)) over () as total from parts group by stem), e as (select ending, count(*) as n, sum(count(*)) over () as total from parts group by ending)
+    return f"""with {typed(d)}, {stems(d)}, every as (select count(*) as total from parts), s as (select stem, n, total from (select stem, count(*) as n from parts group by stem) q cross join every), e as (select ending, n, total from (select ending, count(*) as n from parts group by ending) q cross join every)
     select p.item_id, p.id, p.core, p.stem, p.ending, case when p.ending = '' then 1 else 2 end as morphs, round(-ln(s.n / cast(s.total as double)), 6) as stem_surprisal, round(-ln(e.n / cast(e.total as double)), 6) as ending_surprisal,
     case when p.ending <> '' then 1 else 0 end as marked, case when p.ending in ('ing', 'ed') then 1 else 0 end as non_finite, round(ln(s.n / cast(s.total as double) + 1e-9), 6) as lemma_freq, count(*) over (partition by p.item_id) as n_words from parts p join s on s.stem = p.stem join e on e.ending = p.ending"""
 
 
 def lexical_row(d: Dialect) -> str:
     """A feature row of a word that only its letters and frequency fill; what contexts would tell is 0."""
-    return f"""with {typed(d)}, u as (select word, count(*) as c from typed where word <> '' group by word) select t.item_id, t.id, length(t.word) as wlen, round(ln(u.c / cast(sum(u.c) over () as double) + 1e-9), 6) as freq, 0e0 as fwd, 0e0 as bwd, 0e0 as surprisal, 0e0 as entropy, 0 as depth
-    from typed t join u on u.word = t.word"""
+    return f"""with {typed(d)}, u as (select word, count(*) as c from typed where word <> '' group by word), every as (select sum(cast(c as double) * c) as total from u) select t.item_id, t.id, length(t.word) as wlen, round(ln(u.c / every.total + 1e-9), 6) as freq, 0e0 as fwd, 0e0 as bwd, 0e0 as surprisal, 0e0 as entropy, 0 as depth
+    from typed t join u on u.word = t.word cross join every"""
 
 
 def tag_alignment(d: Dialect) -> str:
@@ -343,9 +344,14 @@ def coverage_shares(d: Dialect) -> str:
 
 
 def stable_features(d: Dialect) -> str:
-    """Each feature's spread within and between targets, and its correlation with the targets' places."""
-    return """with t as (select *, label % 3 as tx, cast(floor(label / 3e0) as int) as ty from {dims}), g as (select k, label, avg(x) as m, var_samp(x) as v from t group by k, label), c as (select k, corr(x, tx) as rx, corr(x, ty) as ry from t group by k)
-    select g.k, round(sqrt(avg(g.v)), 6) as within_sd, round(stddev_samp(g.m), 6) as between_sd, round(max(c.rx), 6) as r_x, round(max(c.ry), 6) as r_y from g join c on c.k = g.k group by g.k"""
+    """Each feature's population spread within and between targets, and how its targets' means go with the targets' places."""
+    places = "label % 3 as tx, cast(floor(label / 3e0) as int) as ty"
+    if d.spark:
+        return f"""with g as (select k, label, {places}, avg(x) as m, var_pop(x) as v from {{dims}} group by k, label)
+    select k, round(sqrt(avg(v)), 6) as within_sd, round(stddev_pop(m), 6) as between_sd, round(stddev_pop(m) / nullif(sqrt(avg(v)), 0), 6) as ratio, round(corr(m, tx), 6) as r_x, round(corr(m, ty), 6) as r_y from g group by k"""
+    r = lambda t: f"round((avg(m * {t}) - avg(m) * avg({t})) / (sqrt(avg(m * m) - avg(m) * avg(m)) * sqrt(avg({t} * {t}) - avg({t}) * avg({t}))), 6)"
+    return f"""with c as (select *, x - avg(x) over (partition by k, label) as off_ from {{dims}}), g as (select k, label, {places}, avg(x) as m, avg(off_ * off_) as v from c group by k, label), o as (select *, m - avg(m) over (partition by k) as dm from g)
+    select k, round(sqrt(avg(v)), 6) as within_sd, round(sqrt(avg(dm * dm)), 6) as between_sd, round(sqrt(avg(dm * dm) / avg(v)), 6) as ratio, {r('tx')} as r_x, {r('ty')} as r_y from o group by k"""
 
 
 def reader_checks(d: Dialect) -> str:

@@ -292,14 +292,25 @@ def pair_score(d: Dialect) -> str:
 
 
 def feature_stability(d: Dialect) -> str:
-    return """with g as (select k, label, avg(x) as m, var_samp(x) as v from {dims} group by k, label)
-    select k, round(sqrt(avg(v)), 6) as within_sd, round(stddev_samp(m), 6) as between_sd, round(stddev_samp(m) / nullif(sqrt(avg(v)), 0), 6) as ratio from g group by k"""
+    """Each feature's spread within targets and between their means, population spreads both."""
+    if d.spark:
+        return """with g as (select k, label, avg(x) as m, var_pop(x) as v from {dims} group by k, label)
+    select k, round(sqrt(avg(v)), 6) as within_sd, round(stddev_pop(m), 6) as between_sd, round(stddev_pop(m) / nullif(sqrt(avg(v)), 0), 6) as ratio from g group by k"""
+    return """with c as (select *, x - avg(x) over (partition by k, label) as off_ from {dims}), g as (select k, label, avg(x) as m, avg(off_ * off_) as v from c group by k, label), o as (select *, m - avg(m) over (partition by k) as dm from g)
+    select k, round(sqrt(sum(v) / count(*)), 6) as within_sd, round(sqrt(sum(dm * dm) / count(*)), 6) as between_sd, round(sqrt(sum(dm * dm) / nullif(sum(v), 0)), 6) as ratio from o group by k"""
 
 
 def per_target_error(d: Dialect) -> str:
-    return f"""with p as (select a.label, a.x - 0.1 as ex, b.x + 0.1 as ey from {{dims}} a join {{dims}} b on a.vec_id = b.vec_id and a.k = 0 and b.k = 1), e as (select *, sqrt(ex * ex + ey * ey) as err from p)
-    select label, round(avg(ex), 6) as bias_x, round(avg(ey), 6) as bias_y, round(stddev_samp(ex), 6) as precision_x, round(avg(err), 6) as mean_err,
-    round({d.pct('err', 0.5)}, 6) as median_err, round({d.pct('err', 0.9)}, 6) as p90_err, case when label between 1 and 3 then 'inner' else 'edge' end as place from e group by label"""
+    """Predictions of each target against it: errors by axis and as lengths, the mean prediction's bias, spreads around it."""
+    points = "select a.label, a.x as px, b.x as py, 0.1e0 as tx, -0.1e0 as ty from {dims} a join {dims} b on a.vec_id = b.vec_id and a.k = 0 and b.k = 1"
+    if d.spark:
+        return f"""with e as (select *, sqrt((px - tx) * (px - tx) + (py - ty) * (py - ty)) as err from ({points}) p)
+    select label, count(*) as samples, round(avg(px), 6) as mean_pred_x, round(avg(py), 6) as mean_pred_y, round(avg(abs(px - tx)), 6) as mae_x, round(avg(abs(py - ty)), 6) as mae_y, round(avg(err), 6) as mean_error, round({d.pct('err', 0.5)}, 6) as median_error,
+    round(sqrt(power(avg(px) - max(tx), 2) + power(avg(py) - max(ty), 2)), 6) as bias, round(stddev_pop(px), 6) as sd_x, round(stddev_pop(py), 6) as sd_y, case when label between 1 and 3 then 'inner' else 'edge' end as place from e group by label"""
+    return f"""with p as ({points}), s as (select label, list(px) as xs, list(py) as ys, list(sqrt(pow(px - tx, 2) + pow(py - ty, 2))) as es, max(tx) as tx, max(ty) as ty from p group by label),
+    m as (select *, list_avg(xs) as mx, list_avg(ys) as my from s)
+    select label, len(xs) as samples, round(mx, 6) as mean_pred_x, round(my, 6) as mean_pred_y, round(list_avg(list_transform(xs, lambda v: abs(v - tx))), 6) as mae_x, round(list_avg(list_transform(ys, lambda v: abs(v - ty))), 6) as mae_y, round(list_avg(es), 6) as mean_error, round(list_median(es), 6) as median_error,
+    round(sqrt(pow(mx - tx, 2) + pow(my - ty, 2)), 6) as bias, round(sqrt(list_avg(list_transform(xs, lambda v: pow(v - mx, 2)))), 6) as sd_x, round(sqrt(list_avg(list_transform(ys, lambda v: pow(v - my, 2)))), 6) as sd_y, case when label in (1, 2, 3) then 'inner' else 'edge' end as place from m"""
 
 
 def validation_summary(d: Dialect) -> str:

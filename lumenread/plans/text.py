@@ -66,7 +66,7 @@ def entropy_reduction(d: Dialect) -> str:
 
 
 def word_frequency_log(d: Dialect) -> str:
-    return f"with {PAIRS} select l.word, round(ln(coalesce(u.c, 0) / cast(max(v.total) over () as double) + 1e-9), 6) as log_freq from {{lex}} l cross join v left join uni u on u.word = l.word"
+    return f"with {PAIRS} select l.word, round(ln(coalesce(u.c, 0) / cast(v.total as double) + 1e-9), 6) as log_freq from {{lex}} l cross join v left join uni u on u.word = l.word"
 
 
 def sentence_split(d: Dialect) -> str:

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lumenread.operators.gaze import dispersion_fixations
-
 FRAMES, ACTIVE = 90, 15
 
 
@@ -32,27 +30,6 @@ def blink_filter(samples: DataFrame, ratio: float = 0.6) -> DataFrame:
         step, "key long, t double, value double, blink boolean", "last array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def fixation_stream(samples: DataFrame, spread: float, gap: float, least: float) -> DataFrame:
-    """key, start_t, end_t, samples of fixations; a trial's samples are held until its row with off comes."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [list(x) for x in state.get] if state.exists else [[], [], []]
-        for part in sorted(parts, key=lambda p: p["t"].min()):
-            for row in part.sort_values("t", kind="stable").itertuples():
-                if not row.off:
-                    for column, value in zip(held, (row.t, row.x, row.y), strict=True):
-                        column.append(float(value))
-                    continue
-                t, x, y = (pd.Series(c, dtype=float).to_numpy() for c in held)
-                found = [(key[0], t[a], t[b], b - a + 1) for a, b in dispersion_fixations(t, x, y, spread, gap, least)]
-                held = [[], [], []]
-                yield pd.DataFrame(found, columns=["key", "start_t", "end_t", "samples"])
-        state.update(tuple(held))
-
-    return samples.select("key", "t", "x", "y", "off").groupBy("key").applyInPandasWithState(
-        step, "key long, start_t double, end_t double, samples long", "t array<double>, x array<double>, y array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 def uploads(rows: DataFrame, late: str = "1 day") -> DataFrame:
     """Uploads without retries: one row of (pid, practice, sid) within the time that a retry may come late."""
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["pid", "practice", "sid"])

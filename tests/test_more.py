@@ -34,11 +34,12 @@ def test_operators_on_own_columns(spark):
         operators.run("nothing", {})
 
 
-def test_next_greater():
-    rng = np.random.default_rng(3)
-    for n in (0, 1, 40):
-        x = rng.integers(0, 9, n)
-        assert gaze.next_greater(x).tolist() == [next((j for j in range(i + 1, n) if x[j] > x[i]), -1) for i in range(n)]
+def test_next_forward(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(u), i, None if rng.random() < 0.1 else int(rng.integers(0, 5))) for u in (1, 2, 3) for i in range(40)]
+    found = {(r["u"], r["i"]): r["next_forward"] for r in gaze.with_next_forward(spark.createDataFrame(rows, "u long, i long, w long"), ["u"], "i", "w").collect()}
+    for u, i, w in rows:
+        assert found[u, i] == (None if w is None else next((j for v, j, x in rows if v == u and j > i and x is not None and x > w), None))
 
 
 def test_workbooks_and_archives(spark, tmp_path):

@@ -93,21 +93,6 @@ def test_survey_and_sinks(spark):
     assert [r["line"] for r in sinks.word_ordered_lines(words, fixations).collect()] == ["the 1 0 -99", "cat 2 200 1"]
 
 
-def test_streaming_matches_batch(spark, tmp_path):
-    from lumenread.streaming import gaze as streaming
-
-    rows = [(k, float(i) * 20, 1.0 if i < 6 else 90.0, 0.0, i == 12) for k in (1, 2) for i in range(13)]
-    source = spark.createDataFrame(rows, "key long, t double, x double, y double, off boolean")
-    source.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
-    query = streaming.fixation_stream(stream, 10, 50, 80).writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(60)
-    found = sorted(tuple(r) for r in spark.table("found").collect())
-    assert found == [(k, a, b, 6) for k in (1, 2) for a, b in ((0.0, 100.0), (120.0, 220.0))]
-    with pytest.raises(Exception):  # noqa: B017
-        spark.sql("select no_such_column from found").collect()
-
-
 def test_repair(spark):
     from lumenread.functions import repair
 
