@@ -166,32 +166,6 @@ def test_decision_lines(spark):
     assert trees.one_line(trees.parse("(S-TMP=2 (NP-SBJ (D the))\n (V go))")) == "(S (NP (D the)) (V go))"
 
 
-def test_segmenter(spark):
-    words = ["walking", "walking", "walked", "walked", "talking", "talking", "talked", "talked", "rare"]
-    counts = segment.word_counts(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, word string"))
-    assert {r["word"]: r["n"] for r in counts.collect()} == {"walking": 2, "walked": 2, "talking": 2, "talked": 2}
-    assert segment.word_counts(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, word string"), 2).count() == 1
-    costs = segment.part_costs(counts)
-    worst = max(costs.values()) + 10
-
-    def brute(word):
-        best = math.inf
-        for cuts in itertools.product((0, 1), repeat=len(word) - 1):
-            parts, start = [], 0
-            for k, c in enumerate(cuts, 1):
-                if c:
-                    parts.append(word[start:k])
-                    start = k
-            parts.append(word[start:])
-            best = min(best, sum(costs.get(p, worst if len(p) == 1 else math.inf) for p in parts))
-        return best
-
-    for word in ("walking", "talked", "xwalk", "z"):
-        assert np.isclose(sum(costs.get(p, worst) for p in segment.cheapest(word, costs)), brute(word)) and "".join(segment.cheapest(word, costs)) == word
-    split = spark.createDataFrame([("talked",), (None,)], "word string").select(segment.segments(F.col("word"), costs)).collect()
-    assert "".join(split[0][0]) == "talked" and split[1][0] is None
-
-
 def test_models_saved_and_folds(spark, tmp_path):
     learn.save_model(spark, str(tmp_path / "m"), "ridge", {"intercept": 1.0, "a": 2.0}, {"a": 4.0})
     kind, terms, scales = learn.load_model(spark, str(tmp_path / "m"))
