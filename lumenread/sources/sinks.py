@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,20 +93,6 @@ def write_workbook(path: str, sheets: dict[str, DataFrame], most: int = 1_000_00
         file.write(workbook(rows))
 
 
-def append_rows(stream: DataFrame, path: str, checkpoint: str, keys: list[str], longest: int = 49_000):
-    """A stream's rows appended to a sheet-like table that is made when it isn't there: cells cut, rows known by key not again."""
-
-    def append(rows: DataFrame, batch: int) -> None:
-        rows = truncated(rows, longest).dropDuplicates(keys)
-        try:
-            rows = rows.join(rows.sparkSession.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-        except AnalysisException:  # no table yet
-            pass
-        rows.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
-
-
 def write_results(path: str, results: DataFrame, calibration: DataFrame, participants: DataFrame) -> None:
     """Results, and the calibration rows of the participants among them only."""
     results.write.mode("overwrite").parquet(f"{path}/results")

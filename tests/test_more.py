@@ -85,35 +85,15 @@ def test_folders_maps_and_parallel_files(spark, tmp_path):
     assert [(r["sentence"], r["attributes"]) for r in readers.conllu_comments(spark, f"{tmp_path}/a.conllu").collect()] == [(0, {"sent_id": "s1", "text": "a = b"})]
 
 
-def test_candidates_and_cached_answers(spark, tmp_path):
+def test_candidates(spark, tmp_path):
     rows = [("c1", 1, bytearray(b"<html>"), "Class 3"), ("c1", 2, bytearray(b"%PDF-1"), "class 4"), ("c1", 3, bytearray(b"%PDF-1"), "Class 3 book"), ("c2", 1, bytearray(b"%PDF"), "x")]
     frame = spark.createDataFrame(rows, "key string, nth int, content binary, front string").withColumn("want", F.lit("class 3"))
     assert [(r["key"], r["nth"]) for r in readers.first_valid(frame, "key", ["nth"], names="want").collect()] == [("c1", 3)]
-    asked = str(tmp_path / "answers")
-    items = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
-
-    def answering(salt):
-        def ask(frames):
-            for frame in frames:
-                yield frame.assign(answer=frame["text"] + salt)[["id", "answer"]]
-        return ask
-
-    one = readers.asked_once(items, asked, answering("1"), "id long, answer string")
-    assert sorted(tuple(r) for r in one.collect()) == [(1, "a1"), (2, "b1")]
-    more = items.union(spark.createDataFrame([(3, "c")], "id long, text string"))
-    assert sorted(tuple(r) for r in readers.asked_once(more, asked, answering("2"), "id long, answer string").collect()) == [(1, "a1"), (2, "b1"), (3, "c2")]
     boom = lambda p: 1 / 0
     assert providers.first_reply("x", [boom, lambda p: " ", lambda p: f" {p}! "]) == "x!" and providers.first_reply("x", [boom]) is None
 
 
-def test_paged_and_corpus_lines(spark, tmp_path):
-    def service(text):
-        return lambda page: json.dumps([{"id": page * 10 + k, "name": text} for k in range(2)]) if page <= 3 else None
-
-    first = readers.paged_json(spark, service("a"), 2, str(tmp_path / "pages"), "id: long, name: string")
-    assert sorted(r["id"] for r in first.collect()) == [10, 11, 20, 21]
-    again = readers.paged_json(spark, service("b"), 5, str(tmp_path / "pages"), "id: long, name: string")
-    assert sorted((r["id"], r["name"]) for r in again.collect()) == [(10, "a"), (11, "a"), (20, "a"), (21, "a"), (30, "b"), (31, "b")]
+def test_corpus_lines(spark, tmp_path):
     (tmp_path / "c.tsv").write_text("1\tx\tthe cat 12 sat\nshort\tline\n")
     assert [list(r["words"]) for r in readers.corpus_lines(spark, f"{tmp_path}/c.tsv").collect()] == [["the", "cat", "sat"]]
 
@@ -148,18 +128,6 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["place"] for r in key.collect()) == list(range(1, 501)) and set(form.columns) == {"item_id", "place"}
 
 
-def test_append_sink_and_sample_source(spark, tmp_path):
-    from lumenread.streaming import gaze as streaming
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.json").write_text('{"key": 1, "t": 0.5, "x": 1, "y": 2, "valid": true}\n{"key": 1, "t": 0.6, "valid": false, "reason": "blink"}\n{"key": 1, "t": 0.5, "x": 1, "y": 2, "valid": true}\n')
-    rows = streaming.valid_samples(streaming.sample_source(spark, str(tmp_path / "in"))).withColumn("note", F.lit("x" * 60_000))
-    for turn in (1, 2):
-        sinks.append_rows(rows, str(tmp_path / "out"), str(tmp_path / f"cp{turn}"), ["key", "t"]).trigger(availableNow=True).start().awaitTermination(60)
-    found = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert [(r["key"], r["t"], len(r["note"])) for r in found] == [(1, 0.5, 49_000)]
-
-
 def test_decision_lines(spark):
     asked = trees.decision_lines(spark.createDataFrame([(1, "(S a)"), (2, "(S b)")], "id long, text string"), ["tr", "a-z", "A-Z"], spark.createDataFrame([(1, "known")], "id long, output string"))
     assert sorted(tuple(r) for r in asked.collect()) == [(1, "known"), (2, "(S B)")]

@@ -121,10 +121,6 @@ def test_providers(spark):
 
 
 def test_more_readers(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("pid,practice,sid,rt_ms\np1,false,1,10\np1,true,1,5\n")
-    (tmp_path / "b.json").write_text('{"pid": "p1", "practice": false, "sid": 1, "rt_ms": 99, "extra": 1}\n{"pid": "p2", "practice": false, "sid": 1, "rt_ms": 7}')
-    found = sorted((r["pid"], r["practice"], r["sid"], r["rt_ms"]) for r in readers.trials(spark, [f"{tmp_path}/a.csv"], [f"{tmp_path}/b.json"]).collect())
-    assert found == [("p1", False, "1", 10.0), ("p1", True, "1", 5.0), ("p2", False, "1", 7.0)]
     frame = spark.createDataFrame([("a | b c|d",)], "regions string")
     assert list(readers.items(frame).first()["parts"]) == ["a", "b c", "d"]
     with pytest.raises(Exception, match="empty region"):
