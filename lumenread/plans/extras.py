@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lumenread.functions.dialect import Dialect
 from lumenread.functions.treebank import tokenised_sql
-from lumenread.plans.query import SqlQuery
-from lumenread.plans.statistics import DRAWS, draws_of, heads, threshold_fits
+from lumenread.operators.resample import resampled
+from lumenread.plans.query import FrameQuery, SqlQuery
+from lumenread.plans.statistics import DRAWS, draws_of, heads, interval, ratio, threshold_fits
 from lumenread.plans.text import PAIRS
 
 #: Endings that a word is cut at, the longest first, and the letters that its stem keeps at least: fixed values.
@@ -312,6 +316,19 @@ def simplification_summary(d: Dialect, draws: int = DRAWS) -> str:
     select count(*) as pairs, round(avg(case when fall > 0 then 1e0 else 0e0 end), 6) as easier, round(avg(fall), 6) as mean_fall, round(max(low), 6) as low, round(max(high), 6) as high, round(avg(wa), 6) as words_before, round(avg(wb), 6) as words_after, sum(case when sb > sa then 1 else 0 end) as splits, cast(sum(same) as bigint) as copies from p cross join i"""
 
 
+def simplification_interval(frames: dict, draws: int = DRAWS) -> DataFrame:
+    turns = frames["conversations"].filter("turn < 2 and text is not null").select("conv_id", "turn", "text", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("words"), F.length("text").alias("chars"), F.size(F.regexp_extract_all("text", F.lit("[.!?]"), F.lit(0))).alias("stops"))
+    both = turns.filter("turn = 0").alias("a").join(turns.filter("turn = 1").alias("b"), "conv_id")
+    pairs = both.select("conv_id", F.col("a.words").alias("wa"), F.col("b.words").alias("wb"), (F.col("a.chars") - F.col("b.chars")).alias("fall"), (F.col("b.stops") > F.col("a.stops")).cast("int").alias("split"), (F.col("a.text") == F.col("b.text")).cast("int").alias("same"))
+    drawn = resampled(pairs, [("drop", ["conv_id"])], ["fall"], draws=draws).select(ratio("fall").alias("m"))
+    low, high = interval(F.col("m"), 0.025, 0.975)
+    mean = lambda x: F.round(F.avg(x), 6)
+    whole = pairs.agg(
+        F.count(F.lit(1)).alias("pairs"), mean(F.when(F.col("fall") > 0, 1.0).otherwise(0.0)).alias("easier"), mean("fall").alias("mean_fall"), mean("wa").alias("words_before"), mean("wb").alias("words_after"),
+        F.sum("split").alias("splits"), F.sum("same").alias("copies"))
+    return whole.crossJoin(drawn.agg(low.alias("low"), high.alias("high")))
+
+
 def landing_place(d: Dialect) -> str:
     """Letter that a fixation lands on, in the box with its marks and in the bare word, and its column: 0 left of the box."""
     return """with x as (select user_id, i, w + 3 as olen, 1 as omarks, w + 1 as wlen, 10 * w as start_x, (d - 5) / 100e0 as share from {fix}), y as (select *, case when share < 0 then 0 else least(olen, cast(floor(share * olen) as int) + 1) end as oblp from x)
@@ -397,6 +414,7 @@ def whitelist_tags(d: Dialect) -> str:
 QUERIES = {f.__name__: SqlQuery(f) for f in (
     word_rows, session_relabel, aligned_join, sentence_means, participant_summary, word_means, any_overlap, ptb_tokens, mark_codes, eligible, plain_sentences,
     visual_angle, date_stamps, feature_pairs, typed_features, explanation, profile_verdict, fixated_only, threshold_grid, landmarks, word_wrap, simulated_log,
-    truth_agreement, question_scoring, word_features, lexical_row, tag_alignment, region_words, item_table, score_table, pair_cards, surprisal_or_mean, simplification_summary, landing_place,
+    truth_agreement, question_scoring, word_features, lexical_row, tag_alignment, region_words, item_table, score_table, pair_cards, surprisal_or_mean, landing_place,
     latest_session, line_places, word_places, coverage_shares, stable_features, reader_checks, sentence_quality, clean_rules, deduped_pairs, whitelist_tags)}
+QUERIES["simplification_summary"] = FrameQuery(simplification_summary, simplification_interval, ("conversations",))
 FRAMES: dict = {}

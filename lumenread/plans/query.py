@@ -15,6 +15,14 @@ from lumenread.sources import tables
 KNOWN = {*tables.DERIVED, *tables.TABLES}
 
 
+def played(needed: list[str], frames: Mapping[str, DataFrame], columns: Mapping[str, str]) -> dict[str, DataFrame]:
+    """The needed frames, with own columns under the names of the parts that they play."""
+    missing = [n for n in needed if n not in frames]
+    if missing:
+        raise ValueError(f"relations without a frame: {', '.join(missing)}")
+    return {n: frames[n].withColumnsRenamed({own: part for part, own in columns.items() if own in frames[n].columns and part not in frames[n].columns}) for n in needed}
+
+
 @dataclass(frozen=True)
 class SqlQuery:
     """A query that is SQL over relations written {name}."""
@@ -40,10 +48,7 @@ class SqlQuery:
         """
         columns = dict(columns or {})
         text = self.text(SPARK, **parameters)
-        missing = [n for n in self.used(text) if n not in frames]
-        if missing:
-            raise ValueError(f"relations without a frame: {', '.join(missing)}")
-        cast = {n: frame.withColumnsRenamed({own: part for part, own in columns.items() if own in frame.columns and part not in frame.columns}) for n, frame in frames.items() if n in self.used(text)}
+        cast = played(self.used(text), frames, columns)
         text = text.replace("{", "{{").replace("}", "}}")
         for name in cast:
             text = text.replace(f"{{{{{name}}}}}", f"{{{name}}}")
@@ -61,3 +66,23 @@ class SqlQuery:
         if head:
             return f"with {head[1] or ''}{', '.join(parts)}, {body[head.end():]}"
         return f"with {', '.join(parts)} {body}"
+
+
+@dataclass(frozen=True)
+class FrameQuery(SqlQuery):
+    """A query that is made of frames; its SQL, written apart, is the oracle's."""
+
+    made: Callable[..., DataFrame]
+    needs: tuple[str, ...]
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.made({name: tables.DERIVED[name](spark, sf_dir) if name in tables.DERIVED else tables.read(spark, sf_dir, name) for name in self.needs})
+
+    def used(self, text: str) -> list[str]:
+        """The relations of the SQL, which is the oracle's alone, or those of the frames."""
+        return [n for n in self.needs] if text == self.text(SPARK) else super().used(text)
+
+    def on(self, frames: Mapping[str, DataFrame], columns: Mapping[str, str] | None = None, **parameters) -> DataFrame:
+        columns = dict(columns or {})
+        found = self.made(played(list(self.needs), frames, columns), **parameters)
+        return found.withColumnsRenamed({part: own for part, own in columns.items() if part in found.columns})

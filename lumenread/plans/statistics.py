@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from lumenread.functions.dialect import Dialect
-from lumenread.plans.query import SqlQuery
+from lumenread.operators.resample import resampled
+from lumenread.plans.query import FrameQuery, SqlQuery
 
 #: Average ranks, as Spearman's coefficient takes them.
 RANK = "rank() over (partition by {g} order by {x}) + (count(*) over (partition by {g}, {x}) - 1) / 2e0"
@@ -257,6 +261,41 @@ def pair_bootstrap(d: Dialect, draws: int = DRAWS) -> str:
     select count(acc) as draws, round({d.pct('acc', 0.025)}, 6) as low, round({d.pct('acc', 0.975)}, 6) as high from m"""
 
 
+def interval(statistic: Column, *shares: float) -> list[Column]:
+    return [F.round(F.percentile(statistic, q), 6) for q in shares]
+
+
+def ratio(value: str, times: str = "times") -> Column:
+    """A sum over another; null where nothing was drawn."""
+    return F.col(value) / F.when(F.col(times) != 0, F.col(times))
+
+
+def mean_interval(frames: dict, draws: int = DRAWS) -> DataFrame:
+    units = frames["labels"].select("doc_id", "quality").join(frames["documents"].select("doc_id", "lang"), "doc_id")
+    means = resampled(units, [("b", ["doc_id"])], ["quality"], ["lang"], draws).select("lang", ratio("quality").alias("m"))
+    low, median, high = interval(F.col("m"), 0.025, 0.5, 0.975)
+    return means.groupBy("lang").agg(F.count("m").alias("draws"), low.alias("low"), median.alias("median"), high.alias("high"))
+
+
+def difference_interval(frames: dict, draws: int = DRAWS) -> DataFrame:
+    low = F.col("w") < 4
+    pick = lambda on, x: F.sum(F.when(on, x).otherwise(0.0))
+    readers = frames["fix"].groupBy("user_id").agg(pick(low, F.col("d")).alias("sa"), pick(low, F.lit(1.0)).alias("na"), pick(~low, F.col("d")).alias("sb"), pick(~low, F.lit(1.0)).alias("nb"))
+    found = resampled(readers, [("c", ["user_id"])], ["sa", "na", "sb", "nb"], draws=draws).select((ratio("sa", "na") - ratio("sb", "nb")).alias("m"))
+    first, last = interval(F.col("m"), 0.025, 0.975)
+    return found.agg(F.count("m").alias("draws"), first.alias("low"), last.alias("high"), F.round(F.avg(F.when(F.col("m") <= 0, 1.0).when(F.col("m") > 0, 0.0)), 6).alias("p"))
+
+
+def pair_interval(frames: dict, draws: int = DRAWS) -> DataFrame:
+    means = frames["fix"].groupBy("user_id", "w").agg(F.avg("d").alias("x"))
+    after = means.select("user_id", (F.col("w") - 1).alias("w"), F.col("x").alias("y"))
+    hit = F.when(F.col("y") > F.col("x"), 1.0).when(F.col("y") == F.col("x"), 0.5).otherwise(0.0)
+    pairs = means.join(after, ["user_id", "w"]).select("user_id", F.col("w").alias("wa"), (F.col("w") + 1).alias("wb"), hit.alias("hit"))
+    found = resampled(pairs, [("p", ["user_id", "wa"]), ("p", ["user_id", "wb"])], ["hit"], draws=draws).select(ratio("hit").alias("m"))
+    low, high = interval(F.col("m"), 0.025, 0.975)
+    return found.agg(F.count("m").alias("draws"), low.alias("low"), high.alias("high"))
+
+
 def threshold_fits(prediction: str, step: int, steps: int) -> str:
     """fits (th, r2) of all thresholds from 0, step apart: rows are summed up by the first threshold above their prediction,
     and running sums over these few rows give what is lost by skipping (below) and by predicting (from there on)."""
@@ -462,9 +501,12 @@ def score_change(d: Dialect) -> str:
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
     hash_split, group_split, seeded_group_split, hash_sample, participant_order, latin_square, batches, graded_pairs, pair_baseline_accuracy, length_matched,
-    gap_accuracy, pearson, spearman, partial_spearman, r2_identity, pairwise_agreement, leave_one_out, percentile_ci, tertile_bands, bootstrap_mean, bootstrap_spearman,
-    cluster_bootstrap_diff, pair_bootstrap, threshold_search, pair_vectors, pair_score, feature_stability, per_target_error, validation_summary, standardise,
+    gap_accuracy, pearson, spearman, partial_spearman, r2_identity, pairwise_agreement, leave_one_out, percentile_ci, tertile_bands, bootstrap_spearman,
+    threshold_search, pair_vectors, pair_score, feature_stability, per_target_error, validation_summary, standardise,
     ols_single, mean_imputation, linear_scorer, reader_qc, calibration_selection, two_level_mean, mode_vote, survey_unpivot, side_mapping, item_means,
     answer_clamp, override_join, default_lookup, semi_split, anti_seen, first_wins, last_wins, nearest_level, level_profile, confusion_by_label,
     ablation_groups, tumbling, sessions, dep_distance, score_change)}
+QUERIES |= {
+    "bootstrap_mean": FrameQuery(bootstrap_mean, mean_interval, ("labels", "documents")), "cluster_bootstrap_diff": FrameQuery(cluster_bootstrap_diff, difference_interval, ("fix",)),
+    "pair_bootstrap": FrameQuery(pair_bootstrap, pair_interval, ("fix",))}
 FRAMES: dict = {}
