@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable
 
@@ -17,21 +18,32 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t) if t is not None else None)
 
 
-def single_signs(text: Column, signs: str) -> Column:
-    """Composed text in which a doubled sign is one, and blanks before a sign are gone."""
-    out = F.regexp_replace(nfc(text), f"([{signs}])\\1+", "$1")
+def single_signs(text: Column, signs: str, stop: str | None = None, letters: str | None = None) -> Column:
+    """Composed text in which a doubled sign is one, and blanks before a sign are gone.
+
+    stop is a sign that ends a letter: two of them and a doubled one of letters are one of each, other two are one.
+    """
+    out = nfc(text)
+    if stop is not None:
+        out = F.regexp_replace(out, f"{stop}{stop}([{letters}])\\1", f"{stop}$1") if letters else out
+        out = F.regexp_replace(out, f"{stop}{stop}", stop)
+    out = F.regexp_replace(out, f"([{signs}])\\1+", "$1")
     out = F.regexp_replace(out, f"\\s+([{signs}])", "$1")
     return F.regexp_replace(out, " ", " ")
 
 
-def merged(words: list[str], known: Iterable[str], longest: int = 4) -> list[str]:
-    """Words with runs of up to longest joined where the whole is known and some part isn't; the longest run first."""
+def merged(words: list[str], known: Iterable[str], longest: int = 4, script: str = r"[^\W\d_]+") -> list[str]:
+    """Words with runs of up to longest joined where the whole is known and some part isn't; the longest run first.
+
+    Only words of the script are joined: a mark or a number ends a run.
+    """
+    word = re.compile(script)
     known = known if isinstance(known, (set, frozenset)) else frozenset(known)
     out, at = [], 0
     while at < len(words):
         for n in range(min(longest, len(words) - at), 1, -1):
             run = words[at: at + n]
-            if "".join(run) in known and any(w not in known for w in run):
+            if all(map(word.fullmatch, run)) and "".join(run) in known and any(w not in known for w in run):
                 out.append("".join(run))
                 at += n
                 break
@@ -41,9 +53,9 @@ def merged(words: list[str], known: Iterable[str], longest: int = 4) -> list[str
     return out
 
 
-def merge_words(words: Column, lexicon: frozenset[str], longest: int = 4) -> Column:
+def merge_words(words: Column, lexicon: frozenset[str], longest: int = 4, script: str = r"[^\W\d_]+") -> Column:
     """Column form of merged(); the lexicon travels with the plan, so it has to be a word list of known size."""
-    return F.pandas_udf(lambda rows: rows.map(lambda w: merged(list(w), lexicon, longest) if w is not None else None), "array<string>")(words)
+    return F.pandas_udf(lambda rows: rows.map(lambda w: merged(list(w), lexicon, longest, script) if w is not None else None), "array<string>")(words)
 
 
 def has_script(text: Column, first: int, last: int) -> Column:

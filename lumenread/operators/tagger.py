@@ -228,9 +228,36 @@ def tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.rule_probabilities(trees.tree_table(page_trees(spark, sf_dir))).withColumn("log_p", F.round("log_p", 9))
 
 
+def tree_binary_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the pages' trees in binary form, with how often they are used."""
+
+    @F.pandas_udf("string")
+    def binary(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: trees.written(trees.binarised(trees.parse(t))))
+
+    rules = trees.tree_table(page_trees(spark, sf_dir).select(binary("text").alias("text")))
+    return rules.filter("not lexical").groupBy("lhs", "rhs").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the pages' leaves by their depth, with how often and how many different words."""
+
+    @F.pandas_udf("array<struct<tag:string,word:string,depth:int>>")
+    def leaves(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"tag": a, "word": b, "depth": c} for a, b, c in trees.leaves(trees.parse(t))])
+
+    found = page_trees(spark, sf_dir).select(F.explode(leaves("text")).alias("l")).select("l.*")
+    return found.groupBy("tag", "depth").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("word").alias("words"))
+
+
+#: A node of n children has n - 2 rules that nest the rest and one of its last two; one of one or two children keeps its own.
+BINARY_SQL = """with c as (select lhs, string_split(rhs, ' ') as x from (select 'C' as lhs, rhs from cl union all select element as lhs, string_agg('C', ' ') as rhs from cl group by page_id, block, part, element) q),
+z as (select lhs, unnest(case when len(x) <= 2 then [array_to_string(x, ' ')] else list_transform(x[:-3], lambda y: concat(y, ' ', lhs)) || [concat(x[-2], ' ', x[-1])] end) as rhs from c)"""
 TREE_RULES_SQL = f"with {RULES_SQL}, c as (select lhs, rhs, count(*) as n from r group by lhs, rhs) select lhs, rhs, n, round(ln(n / sum(n) over (partition by lhs)), 9) as log_p from c"
 
-QUERIES = {"pos_pair_model": pos_pair_model, "tagging_accuracy": tagging_accuracy, "pos_surprisal_sentence": pos_surprisal_sentence, "rule_pairs": rule_pairs, "tree_rules": tree_rules}
+QUERIES = {"tree_binary_rules": tree_binary_rules, "tree_leaves": tree_leaves, "pos_pair_model": pos_pair_model, "tagging_accuracy": tagging_accuracy, "pos_surprisal_sentence": pos_surprisal_sentence, "rule_pairs": rule_pairs, "tree_rules": tree_rules}
 ORACLE = {
     name: text.replace("{mark}", f"({tables.MARK_SQL})")
-    for name, text in {"pos_pair_model": POS_PAIR_SQL, "tagging_accuracy": TAGGING_SQL, "pos_surprisal_sentence": POS_SENTENCE_SQL, "rule_pairs": f"with {PAIRS_SQL} select t1, t2, n, round(log_p, 9) as log_p from lp", "tree_rules": TREE_RULES_SQL}.items()}
+    for name, text in {"pos_pair_model": POS_PAIR_SQL, "tagging_accuracy": TAGGING_SQL, "pos_surprisal_sentence": POS_SENTENCE_SQL, "rule_pairs": f"with {PAIRS_SQL} select t1, t2, n, round(log_p, 9) as log_p from lp", "tree_rules": TREE_RULES_SQL,
+        "tree_binary_rules": f"with {RULES_SQL}, {BINARY_SQL[5:]} select lhs, rhs, count(*) as n from z group by lhs, rhs",
+        "tree_leaves": "select tag, cast(2 as int) as depth, count(*) as n, count(distinct token) as words from {mark} group by tag"}.items()}

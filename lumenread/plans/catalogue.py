@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from lumenread.functions import segment
-from lumenread.operators import boxes, depths, forest, leftcorner, sliding, subwords, tagger
+from lumenread.operators import boxes, depths, forest, leftcorner, orders, sliding, subwords, tagger
 from lumenread.plans import extras, gaze, learning, statistics, text
 
 MODULES = (gaze, text, statistics, learning, extras)
 #: Modules whose queries are made of operators; their SQL is written apart.
-BUILT = (depths, tagger, leftcorner, subwords, sliding, boxes, forest, segment)
+BUILT = (depths, tagger, leftcorner, subwords, sliding, boxes, forest, segment, orders)
 
 
 def queries() -> dict:

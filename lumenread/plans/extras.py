@@ -94,12 +94,28 @@ def mark_codes(d: Dialect) -> str:
     select item_id, id, bare, length(token) - length(core) as omarks, length(closing) as emarks, {code} as punct, count(*) over (partition by bare) as txfr, cast(coalesce(sum(length(token) + 1) over (partition by item_id order by id rows between unbounded preceding and 1 preceding), 0) as int) as initial from m"""
 
 
-def eligible(d: Dialect) -> str:
-    """Sentences of 10 to 30 words without digits, brackets, quotes, calls or an inner stop, and without a word that most others lack letters of."""
+#: Parts of words that a broken one leaves behind, letters that begin no word, and what is left out besides: values of the query.
+FRAGMENTS, NO_START, LEFT_OUT = ("tion", "ment", "ung", "ción", "ble"), "ßñç", ("idiot", "license")
+
+
+def eligible(d: Dialect, low: int = 10, high: int = 30) -> str:
+    """Sentences of the hardest level of their language with 10 to 30 words that end in their only stop, without digits, brackets or quotes,
+    words left out, and broken words: a word after the first that begins as no word does, or is a known fragment. Of equal sentences the first stays."""
     s = chr(92)
-    words = d.count_matches("sentence", s + "S+")
-    return f"""with x as (select doc_id, sid, sentence, {words} as words, {d.count_matches("sentence", "(^| )[^ " + s + "p{L}]+")} as odd from {{sent}})
-    select doc_id, sid, words from x where words between 10 and 30 and odd = 0 and not {d.matches('sentence', '[0-9(){}<>"“”|#$%&*!?]')} and not {d.matches('sentence', '[.].')}"""
+    words = d.count_matches("whole", s + "S+")
+    odd = "[0-9=(){}<>" + s + "[" + s + "]" + '"“”‘’]'
+    level = "cast(floor(ln(o.n_chars + 1e0)) as int)"
+    joined = f"select s.doc_id, s.sid, concat(s.sentence, '.') as whole, s.sentence, {level} as grade, max({level}) over (partition by o.lang) as hardest from {{sent}} s join {{documents}} o on o.doc_id = s.doc_id"
+    if d.spark:
+        listed = ", ".join(f"'{f}'" for f in FRAGMENTS)
+        rest = f"slice(regexp_extract_all(lower(sentence), r'{s}p{{L}}+', 0), 2, greatest(0, size(regexp_extract_all(lower(sentence), r'{s}p{{L}}+', 0)) - 1))"
+        broken = f"exists({rest}, w -> w in ({listed}) or substr(w, 1, 1) in ({', '.join(repr(c) for c in NO_START)}))"
+    else:
+        rest = f"regexp_extract_all(lower(sentence), '{s}p{{L}}+')[2:]"
+        broken = f"len(list_filter({rest}, lambda w: list_contains([{', '.join(repr(f) for f in FRAGMENTS)}], w) or contains('{NO_START}', substr(w, 1, 1)))) > 0"
+    left_out = " or ".join(f"lower(sentence) like '%{x}%'" for x in LEFT_OUT)
+    return f"""with x as ({joined}), y as (select * from x where grade = hardest and {words} between {low} and {high} and not {d.matches('sentence', '[.?!]')} and not {d.matches('sentence', odd)} and not ({left_out}) and not ({broken}))
+    select min(doc_id) as doc_id, whole as sentence, count(*) as copies from y group by whole"""
 
 
 def plain_sentences(d: Dialect) -> str:
@@ -251,6 +267,18 @@ def word_features(d: Dialect) -> str:
     case when p.ending <> '' then 1 else 0 end as marked, case when p.ending in ('ing', 'ed') then 1 else 0 end as non_finite, round(ln(s.n / cast(s.total as double) + 1e-9), 6) as lemma_freq, count(*) over (partition by p.item_id) as n_words from parts p join s on s.stem = p.stem join e on e.ending = p.ending"""
 
 
+def text_morphology(d: Dialect) -> str:
+    """A text's morphology over its words: parts a word, what stems and endings cost, marked words, lemma frequency, non-finite forms."""
+    if d.spark:
+        return f"with w as ({word_features(d)}) select item_id, count(*) as words, round(avg(morphs), 6) as morphs, round(avg(stem_surprisal), 5) as stem_surprisal, round(avg(case when ending <> '' then ending_surprisal end), 5) as ending_surprisal, round(avg(marked), 6) as marked, round(avg(lemma_freq), 5) as lemma_freq, cast(sum(non_finite) as bigint) as non_finite from w group by item_id"
+    ends = ", ".join(f"'{e}'" for e in ENDINGS)
+    return f"""with t as (select item_id, unnest(list_filter(list_transform(regexp_split_to_array(trim(text), '\\s+'), lambda x: regexp_replace(lower(x), '[.,]', '', 'g')), lambda x: x <> '')) as core from {{benchmark}}),
+    p as (select item_id, core, list_filter([{ends}], lambda e: ends_with(core, e) and length(core) >= length(e) + {STEM})[1] as e from t), s as (select item_id, coalesce(e, '') as ending, case when e is null then core else core[1:length(core) - length(e)] end as stem from p),
+    c as (select *, count(*) over (partition by stem) as ns, count(*) over (partition by ending) as ne, count(*) over () as total from s)
+    select item_id, count(*) as words, round(avg(case when ending = '' then 1e0 else 2e0 end), 6) as morphs, round(avg(round(-ln(ns / cast(total as double)), 6)), 5) as stem_surprisal, round(avg(case when ending <> '' then round(-ln(ne / cast(total as double)), 6) end), 5) as ending_surprisal, round(avg((ending <> '')::int), 6) as marked,
+    round(avg(round(ln(ns / cast(total as double) + 1e-9), 6)), 5) as lemma_freq, cast(sum((ending in ('ing', 'ed'))::int) as bigint) as non_finite from c group by item_id"""
+
+
 def lexical_row(d: Dialect) -> str:
     """A feature row of a word that only its letters and frequency fill; what contexts would tell is 0."""
     return f"""with {typed(d)}, u as (select word, count(*) as c from typed where word <> '' group by word), every as (select sum(cast(c as double) * c) as total from u) select t.item_id, t.id, length(t.word) as wlen, round(ln(u.c / every.total + 1e-9), 6) as freq, 0e0 as fwd, 0e0 as bwd, 0e0 as surprisal, 0e0 as entropy, 0 as depth
@@ -414,7 +442,7 @@ def whitelist_tags(d: Dialect) -> str:
 QUERIES = {f.__name__: SqlQuery(f) for f in (
     word_rows, session_relabel, aligned_join, sentence_means, participant_summary, word_means, any_overlap, ptb_tokens, mark_codes, eligible, plain_sentences,
     visual_angle, date_stamps, feature_pairs, typed_features, explanation, profile_verdict, fixated_only, threshold_grid, landmarks, word_wrap, simulated_log,
-    truth_agreement, question_scoring, word_features, lexical_row, tag_alignment, region_words, item_table, score_table, pair_cards, surprisal_or_mean, landing_place,
+    truth_agreement, question_scoring, word_features, text_morphology, lexical_row, tag_alignment, region_words, item_table, score_table, pair_cards, surprisal_or_mean, landing_place,
     latest_session, line_places, word_places, coverage_shares, stable_features, reader_checks, sentence_quality, clean_rules, deduped_pairs, whitelist_tags)}
 QUERIES["simplification_summary"] = FrameQuery(simplification_summary, simplification_interval, ("conversations",))
 FRAMES: dict = {}

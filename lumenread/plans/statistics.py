@@ -85,11 +85,6 @@ def hash_sample(d: Dialect) -> str:
     select lang, doc_id, rn from r where rn <= 25"""
 
 
-def participant_order(d: Dialect) -> str:
-    return f"""with x as (select distinct user_id, event_type from {{events}})
-    select user_id, event_type, row_number() over (partition by user_id order by {d.uniform('user_id', 'event_type')}, event_type) as place from x"""
-
-
 def latin_square(d: Dialect) -> str:
     return f"""with i as (select item_id, 1 as one from {{benchmark}}), {in_order("i", "one", "floor(item_id / 4096e0)", "item_id", "x")} select item_id, list, (nth + list) % 4 as condition from x cross join {d.series("0", "3", "list")}"""
 
@@ -500,7 +495,7 @@ def score_change(d: Dialect) -> str:
 
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
-    hash_split, group_split, seeded_group_split, hash_sample, participant_order, latin_square, batches, graded_pairs, pair_baseline_accuracy, length_matched,
+    hash_split, group_split, seeded_group_split, hash_sample, latin_square, batches, graded_pairs, pair_baseline_accuracy, length_matched,
     gap_accuracy, pearson, spearman, partial_spearman, r2_identity, pairwise_agreement, leave_one_out, percentile_ci, tertile_bands, bootstrap_spearman,
     threshold_search, pair_vectors, pair_score, feature_stability, per_target_error, validation_summary, standardise,
     ols_single, mean_imputation, linear_scorer, reader_qc, calibration_selection, two_level_mean, mode_vote, survey_unpivot, side_mapping, item_means,

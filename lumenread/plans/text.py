@@ -135,6 +135,18 @@ def known_word_ratio(d: Dialect) -> str:
     from {tok} t left join {lex} l on l.word = t.word group by t.doc_id"""
 
 
+def usable_pages(d: Dialect, contents: str = "license", least_words: int = 20, least_known: float = 0.6) -> str:
+    """Pages of books (documents of a source) after the book's first that holds the heading of its contents, with words enough and known ones enough."""
+    share = "avg(case when l.word is null then 0e0 else 1e0 end)"
+    if d.spark:
+        return f"""with w as (select o.source, t.doc_id, count(*) as words, {share} as known, max(case when t.word = '{contents}' then 1 else 0 end) as heading from {{tok}} t join {{documents}} o on o.doc_id = t.doc_id left join {{lex}} l on l.word = t.word group by o.source, t.doc_id),
+    p as (select *, min(case when heading = 1 then doc_id end) over (partition by source) as contents from w)
+    select source, doc_id, words, round(known, 6) as known, coalesce(contents, -1) as contents, case when doc_id > coalesce(contents, -1) and words >= {least_words} and known >= {least_known} then 1 else 0 end as usable from p"""
+    return f"""with t as (select source, doc_id, regexp_extract_all(lower(text), '\\p{{L}}+') as ws from documents), c as (select source, min(doc_id) as contents from t where list_contains(ws, '{contents}') group by source), k as (select list(word) as ks from {{lex}}),
+    n as (select source, doc_id, len(ws) as words, len(list_filter(ws, lambda w: list_contains(ks, w))) as hits from t cross join k where len(ws) > 0)
+    select n.source, doc_id, words, round(hits / cast(words as double), 6) as known, coalesce(contents, -1) as contents, case when doc_id > coalesce(contents, -1) and words >= {least_words} and hits / cast(words as double) >= {least_known} then 1 else 0 end as usable from n left join c on c.source = n.source"""
+
+
 def normalise_sentence(d: Dialect) -> str:
     s = chr(92)
     step = d.replace("sentence", s + "s+", " ")
@@ -161,17 +173,17 @@ def text_mean_features(d: Dialect) -> str:
     select doc_id, count(*) as n_sentences, round(avg(words), 6) as words, round(avg(chars / cast(greatest(words, 1) as double)), 6) as word_len, round(avg(commas), 6) as commas from x group by doc_id"""
 
 
-def context_budget(d: Dialect, budget: int = 120) -> str:
-    """Earlier turns, latest first, that fit a budget of words; the first that overflows ends the context.
+def context_budget(d: Dialect, budget: int = 120, turns: int = 5) -> str:
+    """The last turns before each, at most some of them, that fit a budget of words; the first that overflows ends the context.
 
     Turns from b on fit before turn n if the words before n less those before b are within the budget: a range of running sums.
     """
     s = chr(92)
     return f"""with x as (select conv_id, turn, {d.count_matches('text', s + 'S+')} as words from {{conversations}}),
     y as (select conv_id, turn, words, cast(coalesce(sum(words) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as bigint) as before from x),
-    z as (select conv_id, turn, before, count(*) over fits as n, min(before) over fits as since, row_number() over (partition by conv_id, before order by turn desc) as own from y
+    z as (select conv_id, turn, before, count(*) over fits as n, min(before) over fits as since, row_number() over (partition by conv_id, before order by turn desc) as own, before - coalesce(lag(before, {turns}) over (partition by conv_id order by turn), 0) as lately from y
         window fits as (partition by conv_id order by before range between {budget} preceding and current row))
-    select conv_id, turn, n - own as context_turns, case when n = own then 0 else before - since end as context_words from z"""
+    select conv_id, turn, least(n - own, {turns}) as context_turns, case when n = own then 0 else least(before - since, lately) end as context_words from z"""
 
 
 def section_carry(d: Dialect) -> str:
@@ -242,7 +254,7 @@ def number_cascade(d: Dialect) -> str:
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
     unigram, bigram, bigram_across, cond_prob, transition_probs, lexical_surprisal, next_entropy, entropy_reduction, word_frequency_log, sentence_split,
-    sentence_length, word_stats, punct_marks, html_tokens, page_words, clean_sentences, verse_filter, latin_share, known_word_ratio, normalise_sentence,
+    sentence_length, word_stats, punct_marks, html_tokens, page_words, clean_sentences, verse_filter, latin_share, known_word_ratio, usable_pages, normalise_sentence,
     complex_eligible, stimulus_filter, text_mean_features, context_budget, section_carry, mark_split, punct_tokens, pos_surprisal,
     vocabulary_growth, lookup_tiers, top_words, ordered_unique, turn_concat, number_cascade)}
 FRAMES: dict = {}
