@@ -19,6 +19,7 @@ Rows that repeat are rows of their own. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,9 +36,12 @@ LEAST, MOST = 192, 1024
 SEED, BLOCK = 23, 1024
 #: Texts that walk side by side, and how many bytes of them.
 GROUP, GROUP_BYTES = 4096, 24 << 20
-BANDS, BAND_NOTES = 12, 6
-#: Fewer texts than these walk one by one; rows sampled for each partition's bounds.
-FEW, SAMPLED = 6, 200
+#: Notes of a band at least, the likeness that bands are made for, and the share of pairs just as like that no band may find.
+BAND_NOTES, LIKE, MISSED = 6, 0.75, 0.1
+#: Share of notes that texts without a relation have in common, and keys of theirs that can meet; both measured, see README.
+BY_CHANCE, MEETINGS = 0.13, 400
+#: Fewer texts than these walk one by one; partitions at most, and rows sampled for each one's bounds: what the driver sorts.
+FEW, MOST_PARTS, SAMPLED = 6, 2048, 200
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -252,7 +256,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     first = F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0")
     keyed = common.keyed_texts(docs).withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long"))
     keyed = keyed.withColumn("head", F.coalesce(F.conv(first, 16, 10).cast("long"), F.lit(0).cast("long")))
-    parts = common.sized_partitions(spark, docs)
+    parts = min(MOST_PARTS, common.sized_partitions(spark, docs))  # a task streams its rows, however many
     share = min(1.0, parts * SAMPLED / max(1, docs.count()))
     some = sorted((r["at"], r["head"]) for r in keyed.select("at", "head").sample(share, seed=SEED).collect())  # about parts x SAMPLED rows
     cuts = sorted({some[k * len(some) // parts] for k in range(1, parts)}) if some else []
@@ -288,30 +292,50 @@ def extents(n: int) -> list[int]:
     return [e for e in rungs if 0.65 * n - 1 <= e <= n]
 
 
+def bands_for(texts: int) -> tuple[int, int]:
+    """Notes of a band and bands for a number of different texts.
+
+    A band is as long as it takes for a text to meet few others by chance, and as few whatever their number; there
+    are as many bands as it takes for texts of likeness LIKE to share one but for MISSED of them.
+    """
+    notes = max(BAND_NOTES, math.ceil(math.log(max(1, texts) * MEETINGS) / -math.log(BY_CHANCE) - 0.5))
+    return notes, math.ceil(-math.log(MISSED) / LIKE**notes)
+
+
 @lru_cache(None)
-def band_places(extent: int, band: int) -> np.ndarray:
-    return np.sort(np.random.default_rng((SEED, extent, band)).choice(extent, BAND_NOTES, replace=False))
+def band_places(extent: int, band: int, notes: int) -> np.ndarray:
+    return np.sort(np.random.default_rng((SEED, extent, band)).choice(extent, min(notes, extent), replace=False))
 
 
-def band_keys(print_: str) -> list[str]:
-    """Keys of BANDS bands of notes from all over the fingerprint, at its level and at the next coarser one."""
+def band_keys(print_: str, notes: int, bands: int) -> list[str]:
+    """Keys of bands of notes from all over the fingerprint, at its level and at the next coarser one."""
     own = int(print_[:2], 16)
     out = []
     for level in (own, own + 1):
-        notes = notes_at(print_, level)
-        out += [f"{level}.{e}.{band}." + notes[band_places(e, band)].tobytes().decode() for e in extents(len(notes)) for band in range(BANDS)]
+        noted = notes_at(print_, level)
+        out += [f"{level}.{e}.{band}." + noted[band_places(e, band, notes)].tobytes().decode() for e in extents(len(noted)) for band in range(bands)]
     return out or [print_]
 
 
-def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def banded(notes: int, bands: int):
     """For mapInArrow over different fingerprints (node, fingerprint): node and the hash of each of its band keys."""
-    for batch in batches:
-        nodes, keys = [], []
-        for node, print_ in zip(batch.column("node").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True):
-            own = {xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in band_keys(print_)}
-            nodes += [node] * len(own)
-            keys += own
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.int64())], names=["node", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, print_ in zip(batch.column("node").to_pylist(), batch.column("fingerprint").to_pylist(), strict=True):
+                own = {xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in band_keys(print_, notes, bands)}
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(own), pa.int64()), pa.array([*own], pa.int64())], names=["node", "key"])
+
+    return run
+
+
+def candidates(firsts: DataFrame) -> DataFrame:
+    """(node, other): every two different fingerprints (node, fingerprint) that share a band."""
+    notes, bands = bands_for(firsts.count())
+    keys = firsts.select("node", "fingerprint").mapInArrow(banded(notes, bands), "node long, key long")
+    # most keys are one text's and go at once; only those that texts share are kept
+    keys = common.materialise(keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1").select("node", "key"), "bands")
+    return keys.join(keys.select("key", F.col("node").alias("other")), "key").filter("node < other").select("node", "other").distinct()
 
 
 def near_copies(prints: DataFrame, least: float = 0.75) -> DataFrame:
@@ -325,8 +349,7 @@ def near_copies(prints: DataFrame, least: float = 0.75) -> DataFrame:
     firsts = common.materialise(firsts.withColumn("node", F.xxhash64("fingerprint", "doc_id")), "prints")
     copies = prints.join(firsts.select("fingerprint", F.col("doc_id").alias("lead_id")), "fingerprint").filter("doc_id > lead_id")
     copies = copies.select("doc_id", "lead_id", F.lit(1.0).alias("near")).distinct()
-    keys = common.materialise(firsts.select("node", "fingerprint").mapInArrow(banded, "node long, key long"), "bands")
-    pairs = keys.join(keys.select("key", F.col("node").alias("other")), "key").filter("node < other").select("node", "other").distinct()
+    pairs = candidates(firsts)
     one = firsts.select("node", F.col("doc_id").alias("a"), F.col("fingerprint").alias("print_a"))
     two = firsts.select(F.col("node").alias("other"), F.col("doc_id").alias("b"), F.col("fingerprint").alias("print_b"))
 

@@ -95,6 +95,23 @@ def test_near_prints_against_all_pairs(spark):
     assert len(want) >= 9 and sorted(found) == sorted(want)
 
 
+def test_bands_lengthen_with_the_texts():
+    """Meetings by chance for each text stay few whatever the number of texts, and the bands' recall at the threshold stays."""
+    chance = []
+    for k in range(2, 12):
+        notes, bands = edit_prints.bands_for(10**k)
+        assert 1 - (1 - edit_prints.LIKE**notes) ** bands >= 1 - edit_prints.MISSED - 0.01
+        chance.append(10**k * bands * 6 * edit_prints.BY_CHANCE**notes)
+    assert max(chance) < 2 and edit_prints.bands_for(0)[0] == edit_prints.BAND_NOTES
+
+
+def test_near_prints_of_none_without_ids_and_beside_other_columns(spark):
+    assert edit_prints.near_copies(edit_prints.prints_of(frame(spark, []))).count() == 0
+    rows = [(None, prose(3, 80), None, None, None), (None, prose(3, 80), None, None, None), (7, prose(3, 80), None, None, None), (8, prose(3, 80), None, None, None), (9, None, None, None, None), (10, "", None, None, None)]
+    found = sorted((r["doc_id"], r["lead_id"]) for r in edit_prints.near_copies(edit_prints.prints_of(clashing(spark, rows))).collect())
+    assert found == [(8, 7), (10, 9)]
+
+
 def test_word_hashes_in_any_grouping():
     texts = [(t or "").encode() for _, t, *_ in cases()]
     together, upto = words.word_hashes(texts)
