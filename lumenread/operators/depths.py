@@ -21,18 +21,27 @@ from pyspark.sql import functions as F
 ROUNDS = 62
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df from a table in the folder that the cluster shares, so that what made it isn't needed again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; a temporary one only on one machine without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import atexit
+        import shutil
         import tempfile
 
-        folder = f"file://{tempfile.mkdtemp(prefix='lumenread-depths-')}"
+        local = tempfile.mkdtemp(prefix="lumenread-tables-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = f"file://{local}"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/lumenread-{uuid.uuid4().hex}-depths"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df from a table in the shared folder, so that what made it isn't needed again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lumenread-{uuid.uuid4().hex}-table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -94,12 +94,18 @@ def with_outliers(words: DataFrame, reader: str, good: str, deviations: float =
     return told.select(*words.columns, "outlier", "keep")
 
 
-def outlier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of readers' sentences (20 events each), measured without noise: which are outliers and which are kept."""
+def sentence_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The log by sentences of 20 events with noise named, and whether each reader's sentence (user_id, sid) is good."""
     fix = tables.fixations(spark, sf_dir).withColumn("sid", F.floor((F.col("i") - 1) / 20).cast("long"))
     fix = labelled_noise(fix, F.col("w") < 6)
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    sentences = fix.groupBy("user_id", "sid").agg(((share(F.col("event_type") != "error") >= 0.7) & (share(F.col("w") >= 6) <= 0.5) & (F.sum(F.when(F.col("noise") == "", 1).otherwise(0)) > 0)).alias("good"))
+    good = (share(F.col("event_type") != "error") >= 0.7) & (share(F.col("w") >= 6) <= 0.5) & (F.sum(F.when(F.col("noise") == "", 1).otherwise(0)) > 0)
+    return fix, fix.groupBy("user_id", "sid").agg(good.alias("good"))
+
+
+def outlier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of readers' sentences, measured without noise: which are outliers and which are kept."""
+    fix, sentences = sentence_parts(spark, sf_dir)
     words = reading_measures(fix.filter("noise = ''"), ("user_id", "sid")).join(sentences, ["user_id", "sid"])
     found = with_outliers(words, "user_id", "good")
     return found.select("user_id", "sid", "wnum", F.when(F.col("good"), 1).otherwise(0).alias("sentence_ok"), "outlier", "keep")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from lumenread.functions import segment
-from lumenread.operators import boxes, depths, forest, leftcorner, orders, sliding, subwords, tagger
+from lumenread.operators import boxes, depths, forest, leftcorner, merged, orders, sliding, subwords, tagger
 from lumenread.plans import extras, gaze, learning, statistics, text
+from lumenread.streaming import queries as streams
 
 MODULES = (gaze, text, statistics, learning, extras)
 #: Modules whose queries are made of operators; their SQL is written apart.
-BUILT = (depths, tagger, leftcorner, subwords, sliding, boxes, forest, segment, orders)
+BUILT = (depths, tagger, leftcorner, subwords, sliding, boxes, forest, segment, orders, merged)
 
 
 def queries() -> dict:
@@ -17,7 +18,7 @@ def queries() -> dict:
         found |= module.QUERIES | {name: frame for name, (frame, _) in module.FRAMES.items()}
     for module in BUILT:
         found |= module.QUERIES
-    return found
+    return found | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,6 @@ from lumenread.functions.treebank import tokenised_sql
 from lumenread.operators.resample import resampled
 from lumenread.plans.query import FrameQuery, SqlQuery
 from lumenread.plans.statistics import DRAWS, draws_of, heads, interval, ratio, threshold_fits
-from lumenread.plans.text import PAIRS
 
 #: Endings that a word is cut at, the longest first, and the letters that its stem keeps at least: fixed values.
 ENDINGS, STEM = ("tion", "ing", "ble", "ed", "er", "es", "ly", "s"), 3
@@ -150,8 +149,10 @@ def feature_pairs(d: Dialect) -> str:
 
 def typed_features(d: Dialect) -> str:
     """A typed sentence's features, its n-grams looked up in the counts of the documents, its words in their tree."""
-    return f"""with {PAIRS}, {heads(d)}, lex_ as (select item_id, id, word, lag(word) over (partition by item_id order by id) as prev, lead(word) over (partition by item_id order by id) as next from heads),
-    ent as (select b.w1, -sum(b.c / cast(u.c2 as double) * ln(b.c / cast(u.c2 as double))) as h from bi b join (select w1, sum(c) as c2 from bi group by w1) u on u.w1 = b.w1 join (select distinct word from heads) k on k.word = b.w1 group by b.w1),
+    counts = """kw as (select distinct word from heads), uni as (select word, count(*) as c from {tok} group by word),
+    bi as (select s.prev as w1, s.word as w2, count(*) as c from {seq} s join kw on kw.word = s.prev group by s.prev, s.word), v as (select count(*) as vocabulary, sum(c) as total from uni)"""  # only pairs that begin with a typed word
+    return f"""with {heads(d)}, {counts}, lex_ as (select item_id, id, word, lag(word) over (partition by item_id order by id) as prev, lead(word) over (partition by item_id order by id) as next from heads),
+    ent as (select b.w1, -sum(b.c / cast(u.c2 as double) * ln(b.c / cast(u.c2 as double))) as h from bi b join (select w1, sum(c) as c2 from bi group by w1) u on u.w1 = b.w1 group by b.w1),
     depth_ as (select h.item_id, h.id, count(g.id) as depth from heads h left join heads g on g.item_id = h.item_id and g.id > h.id and h.head > 0 and g.id <= h.head group by h.item_id, h.id),
     one as (select l.item_id, l.id, l.word, length(l.word) as len, coalesce(f.c, 0) as n, ln(coalesce(f.c, 0) / cast(v.total as double) + 1e-9) as log_freq,
         case when l.prev is null then ln(1e0 / v.vocabulary) else ln((coalesce(fw.c, 0) + 1e0) / (coalesce(p.c, 0) + v.vocabulary)) end as fwd, case when l.next is null then ln(1e0 / v.vocabulary) else ln((coalesce(bw.c, 0) + 1e0) / (coalesce(n.c, 0) + v.vocabulary)) end as bwd,

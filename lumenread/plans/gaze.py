@@ -128,16 +128,23 @@ def fixation_noise(d: Dialect, longest: float = gaze.TOO_LONG) -> str:
     return f"""with x as (select d, case when d > {longest} then 'too_long' when w >= 6 then 'off_text' else 'ok' end as label from {{fix}}) select label, count(*) as n, round(sum(d), 3) as duration, round(max(d), 6) as longest from x group by label"""
 
 
-def outlier_oracle(d: Dialect) -> str:
-    """Words of readers' sentences, measured without noise, beside their reader's limits."""
-    flag = lambda m: f"case when ok and {m} > l{m} then '{m.upper()}' end"
-    return f"""with e as (select *, (i - 1) // 20 as sid from {{fix}}), q as (select user_id, sid, avg((event_type <> 'error')::int) >= 0.7 and avg((w >= 6)::int) <= 0.5 and count(case when d <= 1200 and w < 6 then 1 end) > 0 as ok from e group by user_id, sid),
+#: Sentences of 20 events (q), their words' measures without noise (p), and each reader's limits (l).
+OUTLIERS = f"""with e as (select *, (i - 1) // 20 as sid from {{fix}}), q as (select user_id, sid, avg((event_type <> 'error')::int) >= 0.7 and avg((w >= 6)::int) <= 0.5 and count(case when d <= 1200 and w < 6 then 1 end) > 0 as ok from e group by user_id, sid),
     s as (select user_id, sid, i, w, d from e where d <= 1200 and w < 6), n as (select a.user_id, a.sid, a.i, a.w, a.d, (select min(b.i) from s b where b.user_id = a.user_id and b.sid = a.sid and b.i > a.i and b.w > a.w) as fwd,
         (select max(b.i) from s b where b.user_id = a.user_id and b.sid = a.sid and b.i < a.i and b.w <> a.w) as broken from s a),
     f as (select *, min(i) over (partition by user_id, sid, w) as i1 from n), g as (select *, max(case when i = i1 then coalesce(broken, -1) end) over (partition by user_id, sid, w) as run, max(case when i = i1 then fwd end) over (partition by user_id, sid, w) as out_ from f),
     m as (select user_id, sid, w, sum(case when i = i1 then d else 0 end) as ffd, sum(case when coalesce(broken, -1) = run then d else 0 end) as fpd, sum(case when out_ is null or i < out_ then d else 0 end) as rpd, sum(d) as td from g group by user_id, sid, w),
-    p as (select m.*, q.ok from m join q on q.user_id = m.user_id and q.sid = m.sid), l as (select user_id, {", ".join(f"avg({m}) + 3 * stddev_pop({m}) as l{m}" for m in gaze.MEASURES)} from p where ok group by user_id)
-    select p.user_id, p.sid, p.w as wnum, ok::int as sentence_ok, concat_ws(', ', {", ".join(map(flag, gaze.MEASURES))}) as outlier, case when ok and not ({" or ".join(f"{m} > l{m}" for m in gaze.MEASURES)}) then 1 else 0 end as keep from p left join l on l.user_id = p.user_id"""
+    p as (select m.*, q.ok from m join q on q.user_id = m.user_id and q.sid = m.sid), l as (select user_id, {", ".join(f"avg({m}) + 3 * stddev_pop({m}) as l{m}" for m in gaze.MEASURES)} from p where ok group by user_id)"""
+
+
+def outlier_tests() -> list[str]:
+    return [f"{m} > l{m}" for m in gaze.MEASURES]
+
+
+def outlier_oracle(d: Dialect) -> str:
+    """Words of readers' sentences, measured without noise, beside their reader's limits."""
+    named = ", ".join(f"case when ok and {t} then '{m.upper()}' end" for m, t in zip(gaze.MEASURES, outlier_tests(), strict=True))
+    return f"{OUTLIERS} select p.user_id, p.sid, p.w as wnum, ok::int as sentence_ok, concat_ws(', ', {named}) as outlier, case when ok and not ({' or '.join(outlier_tests())}) then 1 else 0 end as keep from p left join l on l.user_id = p.user_id"
 
 
 def zscore_reader(d: Dialect) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenread.operators import merged
 from lumenread.sources.sheets import workbook
 
 SKIPPED = -99
@@ -68,17 +69,17 @@ def write_session(path: str, words: DataFrame, events: DataFrame) -> None:
     word_lines(words).orderBy("wnum").select("line").coalesce(1).write.mode("overwrite").text(f"{path}/layout")
 
 
-def write_corpus(path: str, fixations: DataFrame, sentences: DataFrame, kept: DataFrame) -> None:
-    """A merged corpus: each reader's fixations, participants, word and sentence means over kept readers, tokenised sentences."""
-    good = fixations.join(kept.select("reader"), "reader", "left_semi")
-    fixations.write.mode("overwrite").partitionBy("reader").parquet(f"{path}/readers")
-    people = fixations.groupBy("reader").agg(F.count(F.lit(1)).alias("fixations"), F.round(F.sum("d"), 3).alias("total")).join(kept.select("reader", F.lit(True).alias("kept")), "reader", "left")
-    people.withColumn("kept", F.coalesce("kept", F.lit(False))).write.mode("overwrite").parquet(f"{path}/participants")
-    per_word = good.groupBy("sid", "wnum", "reader").agg(F.sum("d").alias("td"), F.min_by("d", "t").alias("ffd"))
-    per_word.groupBy("sid", "wnum").agg(F.count(F.lit(1)).alias("readers"), F.round(F.avg("td"), 1).alias("td"), F.round(F.avg("ffd"), 1).alias("ffd")).write.mode("overwrite").parquet(f"{path}/word_means")
-    per_word.groupBy("sid", "reader").agg(F.sum("td").alias("total")).groupBy("sid").agg(F.count(F.lit(1)).alias("readers"), F.round(F.avg("total"), 1).alias("total")).write.mode("overwrite").parquet(f"{path}/sentence_means")
+def write_corpus(path: str, words: DataFrame, sentences: DataFrame, texts: DataFrame) -> None:
+    """A merged corpus: each reader's words, participants, word and sentence means of what is kept, tokenised texts (sid, sentence).
+
+    words and sentences are as merged.word_means and merged.sentence_means take them.
+    """
+    words.write.mode("overwrite").partitionBy("reader").parquet(f"{path}/readers")
+    merged.participants(sentences).write.mode("overwrite").parquet(f"{path}/participants")
+    merged.word_means(words).write.mode("overwrite").parquet(f"{path}/word_means")
+    merged.sentence_means(sentences, words).write.mode("overwrite").parquet(f"{path}/sentence_means")
     spaced = F.trim(F.regexp_replace(F.regexp_replace("sentence", r"([.,;:!?])", " $1 "), r"\s+", " "))
-    sentences.select("sid", spaced.alias("tokens")).write.mode("overwrite").parquet(f"{path}/sentences")
+    texts.select("sid", spaced.alias("tokens")).write.mode("overwrite").parquet(f"{path}/sentences")
 
 
 def write_workbook(path: str, sheets: dict[str, DataFrame], most: int = 1_000_000) -> None:

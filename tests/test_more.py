@@ -113,11 +113,17 @@ def test_sinks(spark, tmp_path):
     assert [x.split() for x in one] == [["the", "1", "150", "2"], ["cat", "2", "200", "1"], ["-99", "3", "0", "0"]]
     assert [x.split()[0] for x in (r[0] for r in spark.read.text(f"{tmp_path}/s/events/reader=r1").collect())] == ["cat", "-99", "the"]
     assert spark.read.text(f"{tmp_path}/s/layout").count() == 3
-    log = spark.createDataFrame([("r1", 1, 1, 1.0, 100.0), ("r1", 1, 1, 2.0, 50.0), ("r2", 1, 1, 1.0, 80.0), ("r3", 1, 1, 1.0, 999.0)], "reader string, sid int, wnum int, t double, d double")
-    kept = spark.createDataFrame([("r1",), ("r2",)], "reader string")
-    sinks.write_corpus(str(tmp_path / "c"), log, spark.createDataFrame([(1, "Hi, you.")], "sid int, sentence string"), kept)
-    assert tuple(spark.read.parquet(f"{tmp_path}/c/word_means").first()) == (1, 1, 2, 115.0, 90.0)
-    assert spark.read.parquet(f"{tmp_path}/c/sentences").first()["tokens"] == "Hi , you ." and spark.read.parquet(f"{tmp_path}/c/participants").filter("kept").count() == 2
+    # r1 kept, r2's second word is an outlier, r3 skipped it, r4's sentence isn't good
+    seen = [("r1", 1, 1, 100.0, 1, True, 1), ("r1", 1, 2, 50.0, 2, True, 1), ("r2", 1, 1, 80.0, 1, True, 1), ("r2", 1, 2, 999.0, 3, True, 0), ("r3", 1, 1, 60.0, 1, True, 1), ("r3", 1, 2, 0.0, 0, True, 1), ("r4", 1, 1, 7.0, 1, False, 0), ("r4", 1, 2, 7.0, 1, False, 0)]
+    log = spark.createDataFrame(seen, "reader string, sid int, wnum int, td double, n_fix int, good boolean, keep int").selectExpr("*", "td as ffd", "td as fpd", "td as rpd")
+    read = spark.createDataFrame([("r1", 1, 900.0, True, 1), ("r2", 1, 1100.0, True, 0), ("r3", 1, 400.0, True, None), ("r4", 1, 10.0, False, 0)], "reader string, sid int, time double, good boolean, correct int")
+    sinks.write_corpus(str(tmp_path / "c"), log, read, spark.createDataFrame([(1, "Hi, you.")], "sid int, sentence string"))
+    means = {r["wnum"]: (r["n_good"], r["n_kept"], r["skip_rate"], r["td"]) for r in spark.read.parquet(f"{tmp_path}/c/word_means").collect()}
+    assert means == {1: (3, 3, 0.0, 80.0), 2: (3, 1, 0.333, 50.0)}
+    one = spark.read.parquet(f"{tmp_path}/c/sentence_means").first()
+    assert (one["n_readers"], one["n_good"], one["time"], one["accuracy"], one["td"]) == (4, 3, 800.0, 0.333, 72.5)
+    assert spark.read.parquet(f"{tmp_path}/c/sentences").first()["tokens"] == "Hi , you ." and spark.read.parquet(f"{tmp_path}/c/participants").filter("accuracy is null").first()["reader"] == "r3"
+    assert spark.read.parquet(f"{tmp_path}/c/readers").count() == 8
     people = spark.createDataFrame([("p1",)], "pid string")
     rows = spark.createDataFrame([("p1", 1), ("test", 2)], "pid string, x int")
     sinks.write_results(str(tmp_path / "r"), rows, rows, people)
