@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from lumenread.functions import segment
+from lumenread.functions import landmarks, segment
 from lumenread.operators import boxes, depths, forest, leftcorner, merged, orders, sliding, subwords, tagger
 from lumenread.plans import extras, gaze, learning, statistics, text
 from lumenread.streaming import queries as streams
 
 MODULES = (gaze, text, statistics, learning, extras)
 #: Modules whose queries are made of operators; their SQL is written apart.
-BUILT = (depths, tagger, leftcorner, subwords, sliding, boxes, forest, segment, orders, merged)
+BUILT = (depths, tagger, leftcorner, subwords, sliding, boxes, forest, segment, orders, merged, landmarks)
 
 
 def queries() -> dict:

@@ -200,16 +200,6 @@ def threshold_grid(d: Dialect) -> str:
     select cast(th as int) as th, round(r2, 6) as r2, row_number() over (order by round(r2, 9) desc, th) as place from t"""
 
 
-def landmarks(d: Dialect) -> str:
-    """Ratios of distances between landmarks (pairs of numbers), projections of corners, head proxies and quality."""
-    at = (lambda k: f"embedding[{k}]") if d.spark else (lambda k: f"embedding[{k + 1}]")
-    dist = lambda p, q: f"sqrt(power({at(2 * p)} - {at(2 * q)}, 2) + power({at(2 * p + 1)} - {at(2 * q + 1)}, 2))"
-    ratio = lambda p: f"({dist(p + 1, p + 5)} + {dist(p + 2, p + 4)}) / nullif(2 * {dist(p, p + 3)}, 0)"
-    corner = lambda p: f"(({at(2 * p + 12)} - {at(2 * p)}) * ({at(2 * p + 6)} - {at(2 * p)}) + ({at(2 * p + 13)} - {at(2 * p + 1)}) * ({at(2 * p + 7)} - {at(2 * p + 1)})) / nullif(power({dist(p, p + 3)}, 2), 0)"
-    columns = {"open_left": ratio(0), "open_right": ratio(6), "corner_left": corner(0), "corner_right": corner(6), "roll": f"degrees(atan2({at(13)} - {at(1)}, {at(12)} - {at(0)}))", "span": dist(0, 9), "nose_x": f"({at(24)} - {at(0)}) / nullif({at(18)} - {at(0)}, 0)", "openness": f"({ratio(0)} + {ratio(6)}) / 2"}
-    return "select vec_id, " + ", ".join(f"round(cast({v} as double), 3) as {k}" for k, v in columns.items()) + " from (select vec_id, " + ("transform(embedding, x -> cast(x as double))" if d.spark else "list_transform(embedding, lambda x: cast(x as double))") + " as embedding from {embeddings}) e"
-
-
 def word_wrap(d: Dialect, width: int = 60) -> str:
     """Greedy lines of at most width characters: the first word that doesn't fit starts the next line."""
     if d.spark:
@@ -442,7 +432,7 @@ def whitelist_tags(d: Dialect) -> str:
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
     word_rows, session_relabel, aligned_join, sentence_means, participant_summary, word_means, any_overlap, ptb_tokens, mark_codes, eligible, plain_sentences,
-    visual_angle, date_stamps, feature_pairs, typed_features, explanation, profile_verdict, fixated_only, threshold_grid, landmarks, word_wrap, simulated_log,
+    visual_angle, date_stamps, feature_pairs, typed_features, explanation, profile_verdict, fixated_only, threshold_grid, word_wrap, simulated_log,
     truth_agreement, question_scoring, word_features, text_morphology, lexical_row, tag_alignment, region_words, item_table, score_table, pair_cards, surprisal_or_mean, landing_place,
     latest_session, line_places, word_places, coverage_shares, stable_features, reader_checks, sentence_quality, clean_rules, deduped_pairs, whitelist_tags)}
 QUERIES["simplification_summary"] = FrameQuery(simplification_summary, simplification_interval, ("conversations",))
