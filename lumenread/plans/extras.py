@@ -402,15 +402,31 @@ def sentence_quality(d: Dialect) -> str:
     select user_id, cast(sid as bigint) as sid, round(valid, 6) as valid, round(off_text, 6) as off_text, on_word, too_long, concat_ws('; ', case when valid < 0.7 then 'low valid share' end, case when off_text > 0.5 then 'off text' end, case when on_word = 0 then 'no word' end) as reasons from q"""
 
 
-def clean_rules(d: Dialect) -> str:
-    """The rules that a sentence breaks, in order: words, broken characters, a sign at the start, exercise marks, fragments, foreign letters, other tokens."""
+#: Words of one or two letters that are whole, and endings of sentences that tell a pupil what to do: values of the query.
+SHORT_WORDS = "a an as at be by de di do du el en er es et he ha id if il im in is it je la le lo me my no of oh ok on or ou qu sa se si so su te to tu un up us we y yo zu".split()
+INSTRUCTIONS = ("schreibe", "write", "lisez", "escribe")
+
+
+def clean_rules(d: Dialect, low: int = 4, high: int = 40) -> str:
+    """The rules that a sentence breaks, in order: words, broken characters, a sign without its letter at the start, impossible sequences,
+    exercise marks, an instruction at the end, fragments (short words that aren't on the list), words that begin as none does, foreign letters, other tokens."""
     s = chr(92)
-    words, short = d.count_matches("sentence", s + "S+"), d.count_matches("sentence", "(^| )" + s + "p{L}{1,2}( |$)")
-    latin, letters = d.count_matches("sentence", "[A-Za-z]"), d.count_matches("sentence", s + "p{L}+")
-    marks = d.matches("sentence", "[_|#*%&]{2}|[.]{3}|[0-9]+[)]")
-    return f"""with x as (select doc_id, sid, sentence, {words} as words, {short} as short, {latin} as latin, {letters} as letters from {{sent}})
-    select doc_id, sid, concat_ws('; ', case when words not between 4 and 40 then 'length' end, case when {d.matches('sentence', '�')} then 'broken' end, case when {d.matches('sentence', '^[^' + s + 'p{L}' + s + 'p{N}]')} then 'start' end, case when {marks} then 'exercise' end,
-    case when {d.matches('sentence', '(schreibe|write|lisez|escribe)$')} then 'instruction' end, case when short > 0.5 * words then 'fragments' end, case when latin < 0.5 * length(sentence) then 'letters' end, case when letters < 0.8 * words then 'tokens' end) as broken from x"""
+    words, letters = d.count_matches("sentence", s + "S+"), d.count_matches("sentence", s + "p{L}+")
+    foreign = f"({d.count_matches('sentence', s + 'p{L}')} - {d.count_matches('sentence', '[A-Za-zÀ-ɏ]')})"
+    triple = "|".join(3 * c for c in "abcdefghijklmnopqrstuvwxyz")
+    runs = f"regexp_extract_all(lower(sentence), {'r' if d.spark else ''}'{s}p{{L}}+'{', 0' if d.spark else ''})"
+    listed = ", ".join(f"'{w}'" for w in SHORT_WORDS)
+    starts = ", ".join(f"'{c}'" for c in NO_START)
+    if d.spark:
+        some = lambda test: f"exists(runs, w -> {test})"
+    else:
+        some = lambda test: f"len(list_filter(runs, lambda w: {test})) > 0"
+    rules = {
+        "length": f"words not between {low} and {high}", "broken": d.matches("sentence", "\ufffd"), "start": d.matches("sentence", "^" + s + "p{M}"), "sequence": d.matches("lower(sentence)", triple),
+        "exercise": d.matches("sentence", "[_|#*%&]{2}|[.]{3}|[0-9]+[)]"), "instruction": d.matches("lower(sentence)", f"({'|'.join(INSTRUCTIONS)})[.!]?$"),
+        "fragments": some(f"length(w) <= 2 and w not in ({listed})"), "initial": some(f"substr(w, 1, 1) in ({starts})"), "letters": "others > 0.1 * length(sentence)", "tokens": "letters < 0.8 * words"}
+    broken = ", ".join(f"case when {test} then '{name}' end" for name, test in rules.items())
+    return f"with x as (select doc_id, sid, sentence, {words} as words, {letters} as letters, {foreign} as others, {runs} as runs from {{sent}}) select doc_id, sid, concat_ws('; ', {broken}) as broken from x"
 
 
 def deduped_pairs(d: Dialect) -> str:

@@ -71,3 +71,12 @@ def test_usable_pages(spark):
     lex = spark.createDataFrame([(w,) for w in words.split()], "word string")
     found = {r["doc_id"]: r["usable"] for r in operators.run("usable_pages", {"tok": tok, "documents": documents, "lex": lex}).collect()}
     assert found == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 1}
+
+
+def test_clean_rules(spark):
+    cases = {
+        "One two three four": "", "Too short": "length", "a \ufffd with it on": "broken", "\u0301a with it on": "start", "This is sooo it too": "sequence", "Fill in __ it on": "exercise", "Now you may write": "instruction",
+        "This is a cx word": "fragments", "This ßword is it on": "initial", "слово one it two": "letters", "1 2 3 one two": "tokens", " ".join(["word"] * 41): "length"}
+    sent = spark.createDataFrame([(k, 1, t) for k, t in enumerate(cases)], "doc_id long, sid long, sentence string")
+    found = {r["doc_id"]: r["broken"] for r in operators.run("clean_rules", {"sent": sent}).collect()}
+    assert [found[k] for k in range(len(cases))] == list(cases.values())
