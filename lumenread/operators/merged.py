@@ -23,8 +23,13 @@ def _count(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
+def _tenths(x: Column) -> Column:
+    """One decimal, the same whatever order a sum was made in: what the order changes is rounded away first."""
+    return F.round(F.round(x, 6), 1)
+
+
 def _means() -> list[Column]:
-    return [F.round(F.avg(F.when(_kept(), F.col(m))), 1).alias(m) for m in gaze.MEASURES]
+    return [_tenths(F.avg(F.when(_kept(), F.col(m)))).alias(m) for m in gaze.MEASURES]
 
 
 def word_means(words: DataFrame) -> DataFrame:
@@ -36,7 +41,7 @@ def word_means(words: DataFrame) -> DataFrame:
 
 def sentence_means(sentences: DataFrame, words: DataFrame) -> DataFrame:
     """Each sentence's readers, the good ones and their mean time, the kept words' means, and the share of right answers."""
-    read = sentences.groupBy("sid").agg(F.count(F.lit(1)).alias("n_readers"), _count(F.col("good")).alias("n_good"), F.round(F.avg(F.when(F.col("good"), F.col("time"))), 1).alias("time"), F.round(F.avg("correct"), 3).alias("accuracy"))
+    read = sentences.groupBy("sid").agg(F.count(F.lit(1)).alias("n_readers"), _count(F.col("good")).alias("n_good"), _tenths(F.avg(F.when(F.col("good"), F.col("time")))).alias("time"), F.round(F.avg("correct"), 3).alias("accuracy"))
     return read.join(words.groupBy("sid").agg(*_means()), "sid", "left")
 
 
@@ -76,14 +81,14 @@ def _oracle() -> dict[str, str]:
     """Written apart: the words' rules as for outliers, then plain sums."""
     ctes = OUTLIERS.replace("{fix}", f"({tables.FIX_SQL})")
     high = " or ".join(outlier_tests())
-    means = ", ".join(f"round(avg(case when kept then {m} end), 1) as {m}" for m in gaze.MEASURES)
+    means = ", ".join(f"round(round(avg(case when kept then {m} end), 6), 1) as {m}" for m in gaze.MEASURES)
     words = f"""{ctes}, k as (select p.*, p.ok and not ({high}) as kept from p left join l on l.user_id = p.user_id), grid as (select q.*, unnest(range(6)) as w from q),
     a as (select g.user_id, g.sid, g.w, g.ok, coalesce(k.kept, false) as kept, k.w is not null as fixated, {", ".join(f"k.{m}" for m in gaze.MEASURES)} from grid g left join k on k.user_id = g.user_id and k.sid = g.sid and k.w = g.w)"""
     read = f"{ctes}, s_ as (select e.user_id, e.sid, sum(e.d) as t, case when count(*) = 20 then 1 - max((e.event_type = 'error')::int) end as correct, any_value(q.ok) as ok from e join q on q.user_id = e.user_id and q.sid = e.sid group by e.user_id, e.sid)"
     both = words + ", " + read[len(ctes) + 2:]
     return {
         "corpus_words": f"{words} select sid, cast(w as int) as wnum, count(case when ok then 1 end) as n_good, count(case when kept then 1 end) as n_kept, round(1 - count(case when ok and fixated then 1 end) / nullif(count(case when ok then 1 end), 0), 3) as skip_rate, {means} from a group by sid, w",
-        "corpus_sentences": f"{both}, r as (select sid, count(*) as n_readers, count(case when ok then 1 end) as n_good, round(avg(case when ok then t end), 1) as time, round(avg(correct), 3) as accuracy from s_ group by sid) select r.*, {means} from r join a on a.sid = r.sid group by all",
+        "corpus_sentences": f"{both}, r as (select sid, count(*) as n_readers, count(case when ok then 1 end) as n_good, round(round(avg(case when ok then t end), 6), 1) as time, round(avg(correct), 3) as accuracy from s_ group by sid) select r.*, {means} from r join a on a.sid = r.sid group by all",
         "corpus_participants": f"{read} select user_id as reader, count(*) as sentences, count(case when ok then 1 end) as good, round(avg(correct), 3) as accuracy from s_ group by user_id"}
 
 
