@@ -38,8 +38,8 @@ SEED, BLOCK = 23, 1024
 GROUP, GROUP_BYTES = 4096, 24 << 20
 #: Notes of a band at least, the likeness that bands are made for, and the share of pairs just as like that no band may find.
 BAND_NOTES, LIKE, MISSED = 6, 0.75, 0.1
-#: Share of notes that texts without a relation have in common, and keys of theirs that can meet; both measured, see README.
-BY_CHANCE, MEETINGS = 0.13, 400
+#: Share of notes that texts without a relation have in common (measured), rungs of theirs that can meet, and how many others a text may meet by chance.
+BY_CHANCE, RUNGS, MET = 0.13, 6, 1.0
 #: Fewer texts than these walk one by one; partitions at most, and rows sampled for each one's bounds: what the driver sorts.
 FEW, MOST_PARTS, SAMPLED = 6, 2048, 200
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -298,8 +298,12 @@ def bands_for(texts: int) -> tuple[int, int]:
     A band is as long as it takes for a text to meet few others by chance, and as few whatever their number; there
     are as many bands as it takes for texts of likeness LIKE to share one but for MISSED of them.
     """
-    notes = max(BAND_NOTES, math.ceil(math.log(max(1, texts) * MEETINGS) / -math.log(BY_CHANCE) - 0.5))
-    return notes, math.ceil(-math.log(MISSED) / LIKE**notes)
+    notes = BAND_NOTES
+    while True:
+        bands = math.ceil(-math.log(MISSED) / LIKE**notes)
+        if texts * RUNGS * bands * BY_CHANCE**notes <= MET:
+            return notes, bands
+        notes += 1
 
 
 @lru_cache(None)

@@ -101,8 +101,10 @@ def test_bands_lengthen_with_the_texts():
     for k in range(2, 12):
         notes, bands = edit_prints.bands_for(10**k)
         assert 1 - (1 - edit_prints.LIKE**notes) ** bands >= 1 - edit_prints.MISSED - 0.01
-        chance.append(10**k * bands * 6 * edit_prints.BY_CHANCE**notes)
-    assert max(chance) < 2 and edit_prints.bands_for(0)[0] == edit_prints.BAND_NOTES
+        chance.append(10**k * bands * edit_prints.RUNGS * edit_prints.BY_CHANCE**notes)
+    assert max(chance) <= 1 and edit_prints.bands_for(0)[0] == edit_prints.BAND_NOTES
+    # the sizes that were measured
+    assert [edit_prints.bands_for(n) for n in (927, 9296, 50_000, 236_000)] == [(6, 13), (7, 18), (8, 23), (9, 31)]
 
 
 def test_near_prints_of_none_without_ids_and_beside_other_columns(spark):
