@@ -147,6 +147,19 @@ select item_id, count(*) as words, max(depth) as depth, round(avg(depth), 6) as
 """
 
 
+def dep_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each item that have a head, and how far it is on average."""
+    heads = item_heads(spark, sf_dir).filter("head > 0")
+    return heads.groupBy(F.col("tree").alias("item_id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("node") - F.col("head"))), 6).alias("mean_distance"))
+
+
+DISTANCE_SQL = r"""
+with w as (select item_id, unnest(range(len(x))) + 1 as id, length(unnest(x)) as n from (select item_id, regexp_extract_all(lower(text), '\p{L}+') as x from benchmark)),
+h as (select a.item_id, a.id, min(b.id) as head from w a join w b on b.item_id = a.item_id and b.id > a.id and b.n > a.n group by a.item_id, a.id)
+select item_id, count(*) as n, round(avg(head - id), 6) as mean_distance from h group by item_id
+"""
+
+
 def master_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients by their distance from the record that they were merged into in the end; a client that is its own master is a root."""
     clients = spark.read.parquet(f"{sf_dir}/clients.parquet")
@@ -175,5 +188,5 @@ p as (select depth as d, lag(depth) over (partition by item_id order by id) as b
 f as (select case when b is null then [0, 0, 0, 0, 0, 0, 0, 0] else [(d <> b)::int, (d > b)::int, (d < b)::int, (d = 0)::int, 0, (d > b + 1)::int, (b > d + 1)::int, (d = b)::int] end as f from p)
 select f[1] as h1, f[2] as h2, f[3] as h3, f[4] as h4, f[5] as h5, f[6] as h6, f[7] as h7, f[8] as h8, count(*) as n from f group by all
 """
-QUERIES = {"tree_depth": tree_depth, "master_depths": master_depths, "tree_depth_flags": page_depth_flags}
-ORACLE = {"tree_depth": TREE_DEPTH_SQL, "master_depths": MASTER_DEPTHS_SQL, "tree_depth_flags": DEPTH_FLAGS_SQL}
+QUERIES = {"tree_depth": tree_depth, "dep_distance": dep_distance, "master_depths": master_depths, "tree_depth_flags": page_depth_flags}
+ORACLE = {"tree_depth": TREE_DEPTH_SQL, "dep_distance": DISTANCE_SQL, "master_depths": MASTER_DEPTHS_SQL, "tree_depth_flags": DEPTH_FLAGS_SQL}

@@ -485,10 +485,6 @@ def heads(d: Dialect) -> str:
     return HEADS.replace("{items}", items)
 
 
-def dep_distance(d: Dialect) -> str:
-    return f"""with {heads(d)} select item_id, count(*) as n, round(avg(abs(id - head)), 6) as mean_distance from heads where head > 0 group by item_id"""
-
-
 def score_change(d: Dialect) -> str:
     return """with s as (select a.vec_id, a.x as before_x, b.x as after_x from {dims} a join {dims} b on a.vec_id = b.vec_id and a.k = 0 and b.k = 1)
     select count(*) as n, round(avg(after_x - before_x), 6) as mean_change, round(avg(case when after_x < before_x then 1e0 else 0e0 end), 6) as easier, sum(case when after_x = before_x then 1 else 0 end) as unchanged from s"""
@@ -500,7 +496,7 @@ QUERIES = {f.__name__: SqlQuery(f) for f in (
     threshold_search, pair_vectors, pair_score, feature_stability, per_target_error, validation_summary, standardise,
     ols_single, mean_imputation, linear_scorer, reader_qc, calibration_selection, two_level_mean, mode_vote, survey_unpivot, side_mapping, item_means,
     answer_clamp, override_join, default_lookup, semi_split, anti_seen, first_wins, last_wins, nearest_level, level_profile, confusion_by_label,
-    ablation_groups, tumbling, sessions, dep_distance, score_change)}
+    ablation_groups, tumbling, sessions, score_change)}
 QUERIES |= {
     "bootstrap_mean": FrameQuery(bootstrap_mean, mean_interval, ("labels", "documents")), "cluster_bootstrap_diff": FrameQuery(cluster_bootstrap_diff, difference_interval, ("fix",)),
     "pair_bootstrap": FrameQuery(pair_bootstrap, pair_interval, ("fix",))}

@@ -22,11 +22,6 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def truncated(rows: DataFrame, longest: int = 49_000) -> DataFrame:
-    """Rows for sheets, whose cells hold so many characters."""
-    return rows.select(*[F.substring(c, 1, longest).alias(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes])
-
-
 def answer_key(items: DataFrame, seed: str, item: str = "item_id") -> tuple[DataFrame, DataFrame]:
     """Shuffled form and its key: place and side of each item by a documented hash.
 
