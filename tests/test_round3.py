@@ -15,3 +15,9 @@ def test_trees_deeper_than_calls():
     assert [(w, d) for _, w, d in trees.leaves(trees.parse(binary))][-2:] == [(f"w{n - 2}", n - 1), (f"w{n - 1}", n - 1)]
     assert trees.binarised(trees.parse(binary)) is not None
     assert trees.written(trees.binarised(trees.parse("(A (B b) (C) (D d) (E (F f)))"))) == "(A (B b) (A (C ) (A (D d) (E (F f)))))"
+
+
+def test_readers_with_a_log_of_nothing(spark):
+    rows = [(1, i, float(d)) for i, d in enumerate([3, 5, 0, 8])] + [(2, i, float(d)) for i, d in enumerate([3, 5, 8])] + [(3, 1, 0.0)]
+    found = {r["user_id"]: (r["n"], r["trimmed"], r["mean_log"]) for r in operators.run("trim_3sd", {"fix": spark.createDataFrame(rows, "user_id long, i long, d double")}).collect()}
+    assert found == {1: (4, 0, -math.inf), 2: (3, 0, round(sum(math.log(d) for d in (3, 5, 8)) / 3, 6)), 3: (1, 0, None)}
