@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenread.functions.dialect import Dialect
+from lumenread.operators import agreement
 from lumenread.operators.resample import resampled
 from lumenread.plans.query import FrameQuery, SqlQuery
 
@@ -153,16 +154,9 @@ def r2_identity(d: Dialect) -> str:
 
 
 def pairwise_agreement(d: Dialect) -> str:
-    """Spearman's coefficient of every two readers over the words both read, then its mean by the first reader.
-
-    Words are few, so readers meet by word and a block of the first reader's id: as many tasks as blocks share a word.
-    """
-    blocks = 64
+    """Spearman's coefficient of every two readers over the words both read, then its mean by the first reader."""
     rank = "rank() over (partition by r1, r2 order by {0}) + (count(*) over (partition by r1, r2, {0}) - 1) / 2e0"
-    if d.spark:
-        pairs = f"select a.user_id as r1, b.user_id as r2, a.td as x, b.td as y from m a join (select m.*, explode(sequence(0, {blocks - 1})) as block from m) b on b.w = a.w and b.block = pmod(hash(a.user_id), {blocks}) and a.user_id < b.user_id"
-    else:
-        pairs = "select a.user_id as r1, b.user_id as r2, a.td as x, b.td as y from m a join m b on b.w = a.w and a.user_id < b.user_id"
+    pairs = "select a.user_id as r1, b.user_id as r2, a.td as x, b.td as y from m a join m b on b.w = a.w and a.user_id < b.user_id"
     return f"""with m as (select user_id, w, sum(d) as td from {{fix}} group by user_id, w), q as ({pairs}),
     k as (select r1, r2, {rank.format("x")} as rx, {rank.format("y")} as ry from q),
     p as (select r1, r2, count(*) as n, case when stddev_pop(rx) = 0 or stddev_pop(ry) = 0 then null else corr(rx, ry) end as r from k group by r1, r2 having count(*) >= 3)
@@ -492,12 +486,12 @@ def score_change(d: Dialect) -> str:
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
     hash_split, group_split, seeded_group_split, hash_sample, latin_square, batches, graded_pairs, pair_baseline_accuracy, length_matched,
-    gap_accuracy, pearson, spearman, partial_spearman, r2_identity, pairwise_agreement, leave_one_out, percentile_ci, tertile_bands, bootstrap_spearman,
+    gap_accuracy, pearson, spearman, partial_spearman, r2_identity, leave_one_out, percentile_ci, tertile_bands, bootstrap_spearman,
     threshold_search, pair_vectors, pair_score, feature_stability, per_target_error, validation_summary, standardise,
     ols_single, mean_imputation, linear_scorer, reader_qc, calibration_selection, two_level_mean, mode_vote, survey_unpivot, side_mapping, item_means,
     answer_clamp, override_join, default_lookup, semi_split, anti_seen, first_wins, last_wins, nearest_level, level_profile, confusion_by_label,
     ablation_groups, tumbling, sessions, score_change)}
 QUERIES |= {
     "bootstrap_mean": FrameQuery(bootstrap_mean, mean_interval, ("labels", "documents")), "cluster_bootstrap_diff": FrameQuery(cluster_bootstrap_diff, difference_interval, ("fix",)),
-    "pair_bootstrap": FrameQuery(pair_bootstrap, pair_interval, ("fix",))}
+    "pair_bootstrap": FrameQuery(pair_bootstrap, pair_interval, ("fix",)), "pairwise_agreement": FrameQuery(pairwise_agreement, agreement.mean_agreement, ("fix",))}
 FRAMES: dict = {}

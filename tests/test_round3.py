@@ -2,8 +2,10 @@
 
 import math
 
+import numpy as np
+
 from lumenread import operators
-from lumenread.operators import trees
+from lumenread.operators import agreement, trees
 
 
 def test_trees_deeper_than_calls():
@@ -21,3 +23,30 @@ def test_readers_with_a_log_of_nothing(spark):
     rows = [(1, i, float(d)) for i, d in enumerate([3, 5, 0, 8])] + [(2, i, float(d)) for i, d in enumerate([3, 5, 8])] + [(3, 1, 0.0)]
     found = {r["user_id"]: (r["n"], r["trimmed"], r["mean_log"]) for r in operators.run("trim_3sd", {"fix": spark.createDataFrame(rows, "user_id long, i long, d double")}).collect()}
     assert found == {1: (4, 0, -math.inf), 2: (3, 0, round(sum(math.log(d) for d in (3, 5, 8)) / 3, 6)), 3: (1, 0, None)}
+
+
+def test_readers_meet_by_sets_of_words(spark, monkeypatch):
+    monkeypatch.setattr(agreement, "BLOCK", 5)
+    rng = np.random.default_rng(5)
+    words = ([0, 1, 2, 3, 4], [0, 1, 2, 3], [2, 3, 4], [0, 1], [1, 2, 4, 5, 6])
+    rows = [(u, w, None if (u + w) % 11 == 0 else float(rng.integers(1, 5))) for u in range(24) for w in words[u % len(words)]] + [(None, 1, 1.0), (3, None, 2.0)]
+    rows += [(30, w, 7.0) for w in range(5)]  # one whose ranks are all equal
+    schema = "user_id long, w int, d double"
+    made = operators.run("pairwise_agreement", {"fix": spark.createDataFrame(rows, schema)})
+    found = {r["user_id"]: (r["pairs"], r["mean_r"], r["mean_overlap"]) for r in made.collect()}
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("create table fix (user_id bigint, w int, d double)")
+    con.executemany("insert into fix values (?, ?, ?)", rows)
+    from lumenread.functions.dialect import DUCK
+    from lumenread.plans import statistics
+
+    want = con.execute(statistics.pairwise_agreement(DUCK).replace("{fix}", "fix")).fetchall()
+    assert found.keys() == {r[0] for r in want} and len(want) > 10
+    for user, pairs, mean, overlap in want:
+        assert found[user][0] == pairs and np.isclose(found[user][2], overlap) and (found[user][1] is None) == (mean is None)
+        assert mean is None or np.isclose(found[user][1], mean, atol=1.1e-6)
+    # no more rows leave a step than readers times sets of words, whatever the number of pairs
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "user_id#" in plan and not any("<" in line and "Join" in line for line in plan.splitlines())
