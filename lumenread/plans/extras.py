@@ -105,6 +105,9 @@ def eligible(d: Dialect, low: int = 10, high: int = 30) -> str:
     odd = "[0-9=(){}<>" + s + "[" + s + "]" + '"“”‘’]'
     level = "cast(floor(ln(o.n_chars + 1e0)) as int)"
     joined = f"select s.doc_id, s.sid, concat(s.sentence, '.') as whole, s.sentence, {level} as grade, max({level}) over (partition by o.lang) as hardest from {{sent}} s join {{documents}} o on o.doc_id = s.doc_id"
+    if d.spark:  # a language is one task's in a window: its hardest level is aggregated and joined
+        joined = f"""select s.doc_id, s.sid, concat(s.sentence, '.') as whole, s.sentence, o.grade, h.hardest from {{sent}} s join (select doc_id, lang, {level} as grade from {{documents}} o) o on o.doc_id = s.doc_id
+            join (select o.lang, max({level}) as hardest from {{documents}} o left semi join (select distinct doc_id from {{sent}}) t on t.doc_id = o.doc_id group by o.lang) h on h.lang <=> o.lang and h.hardest = o.grade"""
     if d.spark:
         listed = ", ".join(f"'{f}'" for f in FRAGMENTS)
         rest = f"slice(regexp_extract_all(lower(sentence), r'{s}p{{L}}+', 0), 2, greatest(0, size(regexp_extract_all(lower(sentence), r'{s}p{{L}}+', 0)) - 1))"

@@ -50,3 +50,13 @@ def test_readers_meet_by_sets_of_words(spark, monkeypatch):
     # no more rows leave a step than readers times sets of words, whatever the number of pairs
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "user_id#" in plan and not any("<" in line and "Join" in line for line in plan.splitlines())
+
+
+def test_hardest_level_without_a_task_a_language(spark):
+    docs = spark.createDataFrame([(1, "en", 10), (2, "en", 5000), (3, None, 5000), (4, "en", 10**6)], "doc_id long, lang string, n_chars long")
+    text = "one two three four five six seven eight nine ten {}"
+    sent = spark.createDataFrame([(1, 1, text.format("a")), (2, 1, text.format("b")), (2, 2, text.format("c")), (3, 1, text.format("c"))], "doc_id long, sid long, sentence string")
+    made = operators.run("eligible", {"sent": sent, "documents": docs})
+    # a document without a sentence is no level; no language is a level's own
+    assert sorted((r["doc_id"], r["sentence"][-3:], r["copies"]) for r in made.collect()) == [(2, " b.", 1), (2, " c.", 2)]
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
