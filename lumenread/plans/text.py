@@ -30,6 +30,12 @@ def bigram_across(d: Dialect) -> str:
 
     A document's next one is looked up in its block of ids, the last one's in the blocks' first ones.
     """
+    if d.spark:  # ends come from the two rows a document that have them, and pairs are added up once
+        return """with ends as (select doc_id, cast(floor(doc_id / 4096e0) as bigint) as block, max(case when prev is null then word end) as first_word, max(case when next is null then word end) as last_word from {seq} where prev is null or next is null group by doc_id),
+    heads as (select block, first_word, row_number() over (partition by block order by doc_id) as rn from ends), blocks as (select block, lead(first_word) over (order by block) as next_word from heads where rn = 1),
+    s as (select e.last_word as w1, coalesce(lead(e.first_word) over (partition by e.block order by e.doc_id), b.next_word) as w2 from ends e join blocks b on b.block = e.block),
+    x as (select prev as w1, word as w2 from {seq} where prev is not null union all select w1, w2 from s where w2 is not null)
+    select w1, w2, count(*) as n from x group by w1, w2"""
     return f"""with {PAIRS}, ends as (select doc_id, cast(floor(doc_id / 4096e0) as bigint) as block, max(case when prev is null then word end) as first_word, max(case when next is null then word end) as last_word from {{seq}} group by doc_id),
     heads as (select block, first_word, row_number() over (partition by block order by doc_id) as rn from ends), blocks as (select block, lead(first_word) over (order by block) as next_word from heads where rn = 1),
     s as (select e.last_word as w1, coalesce(lead(e.first_word) over (partition by e.block order by e.doc_id), b.next_word) as w2 from ends e join blocks b on b.block = e.block),

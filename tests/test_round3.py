@@ -60,3 +60,12 @@ def test_hardest_level_without_a_task_a_language(spark):
     # a document without a sentence is no level; no language is a level's own
     assert sorted((r["doc_id"], r["sentence"][-3:], r["copies"]) for r in made.collect()) == [(2, " b.", 1), (2, " c.", 2)]
     assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_across_documents_are_added_up_once(spark):
+    rows = [(1, "a", None, "b"), (1, "b", "a", "a"), (1, "a", "b", "b"), (1, "b", "a", None), (7, "c", None, None), (9000, "a", None, "b"), (9000, "b", "a", None)]
+    made = operators.run("bigram_across", {"seq": spark.createDataFrame(rows, "doc_id long, word string, prev string, next string")})
+    assert {(r["w1"], r["w2"]): r["n"] for r in made.collect()} == {("a", "b"): 3, ("b", "a"): 1, ("b", "c"): 1, ("c", "a"): 1}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # first and last words are looked for in the rows that have them, and there is one sum by pair
+    assert "isnull(prev" in plan and sum("Aggregate [w1" in line or "Aggregate [prev" in line for line in plan.splitlines()) == 1
