@@ -8,7 +8,9 @@ the shortest code is kept. At first every substring that two word types hold is
 used as often as it is there.
 
 Types and their substrings are rows: prices are joined to the substrings, splits are made word by word,
-uses are summed up. A round's splits are written and read back. Nothing but sums goes to the driver.
+uses are summed up. A round's splits are written and read back. Nothing but sums goes to the driver:
+prices grow with the vocabulary, and their files look small enough to be broadcast when they are millions, so
+joins with them are told to sort and merge.
 
 Defined results: null and empty words have no parts. Words seen less than SEEN times aren't learned
 from but can be split. Letters that no part covers are parts of their own, at the price of a part
@@ -74,7 +76,7 @@ class Segmenter:
 
 def _split(types: DataFrame, prices: DataFrame, worst: float) -> DataFrame:
     """word, n and parts of word types, each by the prices of its own substrings."""
-    priced = types.filter("word <> ''").select("word", "n", F.explode(substrings(F.col("word"))).alias("part")).join(prices.select("part", "price"), "part").groupBy("word").agg(F.collect_list(F.struct("part", "price")).alias("known"))
+    priced = types.filter("word <> ''").select("word", "n", F.explode(substrings(F.col("word"))).alias("part")).join(prices.select("part", "price").hint("merge"), "part").groupBy("word").agg(F.collect_list(F.struct("part", "price")).alias("known"))
 
     @F.pandas_udf("array<string>")
     def parts(words: pd.Series, known: pd.Series) -> pd.Series:
@@ -83,7 +85,7 @@ def _split(types: DataFrame, prices: DataFrame, worst: float) -> DataFrame:
 
         return pd.Series([one(w, k) for w, k in zip(words, known, strict=True)])
 
-    return types.join(priced, "word", "left").select("word", "n", parts("word", "known").alias("parts"))
+    return types.join(priced.hint("merge"), "word", "left").select("word", "n", parts("word", "known").alias("parts"))
 
 
 def _letters(counts: DataFrame) -> tuple[DataFrame, float, float]:

@@ -5,6 +5,7 @@ import math
 import numpy as np
 
 from lumenread import operators
+from lumenread.functions import segment
 from lumenread.operators import agreement, trees
 
 
@@ -69,3 +70,10 @@ def test_pairs_across_documents_are_added_up_once(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     # first and last words are looked for in the rows that have them, and there is one sum by pair
     assert "isnull(prev" in plan and sum("Aggregate [w1" in line or "Aggregate [prev" in line for line in plan.splitlines()) == 1
+
+
+def test_prices_of_parts_are_not_sent_to_all(spark):
+    counts = spark.createDataFrame([("walking", 3), ("walked", 2), ("talking", 4)], "word string, n long")
+    model = segment.train(counts, 1)
+    plan = model.split(counts)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
