@@ -58,7 +58,7 @@ class SqlQuery:
 
     def oracle(self) -> str:
         text = self.text(DUCK)
-        parts = [f"{name}_ as ({tables.DERIVED_SQL[name]})" for name in self.used(text) if name in tables.DERIVED]
+        parts = [f"{name}_ as ({tables.DERIVED_SQL[name]})" for name in SqlQuery.used(self, text) if name in tables.DERIVED]
         body = re.sub(r"\{(\w+)\}", lambda m: f"{m[1]}_" if m[1] in tables.DERIVED else m[1] if m[1] in KNOWN else m[0], text).strip()
         if not parts:
             return body

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from lumenread.functions.dialect import Dialect
-from lumenread.plans.query import SqlQuery
+from lumenread.operators import transitions
+from lumenread.plans.query import FrameQuery, SqlQuery
 
 #: Adjacent pairs within a document, with unigram counts and the vocabulary's size.
 PAIRS = """
@@ -259,8 +260,9 @@ def number_cascade(d: Dialect) -> str:
 
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
-    unigram, bigram, bigram_across, cond_prob, transition_probs, lexical_surprisal, next_entropy, entropy_reduction, word_frequency_log, sentence_split,
+    unigram, bigram, bigram_across, cond_prob, lexical_surprisal, next_entropy, entropy_reduction, word_frequency_log, sentence_split,
     sentence_length, word_stats, punct_marks, html_tokens, page_words, clean_sentences, verse_filter, latin_share, known_word_ratio, usable_pages, normalise_sentence,
     complex_eligible, stimulus_filter, text_mean_features, context_budget, section_carry, mark_split, punct_tokens, pos_surprisal,
     vocabulary_growth, lookup_tiers, top_words, ordered_unique, turn_concat, number_cascade)}
+QUERIES["transition_probs"] = FrameQuery(transition_probs, transitions.transitions, ("documents",))
 FRAMES: dict = {}

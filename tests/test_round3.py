@@ -1,6 +1,7 @@
 """What the review of round 3 found."""
 
 import math
+from collections import Counter
 
 import numpy as np
 
@@ -77,3 +78,20 @@ def test_prices_of_parts_are_not_sent_to_all(spark):
     model = segment.train(counts, 1)
     plan = model.split(counts)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
+
+
+def test_costs_of_words_in_one_exchange_by_word(spark):
+    docs = [(1, "a a a a b a c"), (2, "B c d, e"), (2, "a b"), (None, "q"), (4, None), (5, "..."), (6, "c a b c a b")]
+    texts = [(i, [w.strip(",.").lower() for w in t.split() if w.strip(",.")]) for i, t in docs if t]
+    words, pairs = Counter(w for _, t in texts for w in t), Counter(p for _, t in texts for p in zip(t, t[1:]))
+    v = len(words)
+    want = [(i, k + 1, round(math.log((pairs[t[k - 1], t[k]] + 1) / (words[t[k - 1]] + v)) if k else math.log(1 / v), 6),
+             round(math.log((pairs[t[k], t[k + 1]] + 1) / (words[t[k + 1]] + v)) if k + 1 < len(t) else math.log(1 / v), 6)) for i, t in texts for k in range(len(t))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for share in (1, 5, 12, 10**6):  # no word, some words, words and pairs, all are frequent
+        found = [tuple(r) for r in operators.run("transition_probs", {"documents": frame}, share=share).collect()]
+        assert sorted(found, key=str) == sorted(want, key=str)
+    nothing = operators.run("transition_probs", {"documents": frame.filter("doc_id in (4, 5)")})
+    assert nothing.collect() == []
+    plan = operators.run("transition_probs", {"documents": frame})._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
