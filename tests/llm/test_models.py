@@ -213,6 +213,30 @@ def test_quality_reads_long_trusted_texts(spark, monkeypatch):
     assert len(read) > 30 and all(len(t) == 500 and any(t in r[1] for r in rows) for t in read) and sum(any(r[1].startswith(t) for r in rows) for t in read) < 5
 
 
+def test_quality_counts_all_trusted_text(spark, monkeypatch):
+    """Every trusted document that thresholds aren't taken from is counted, whole, whatever their number and length."""
+    rows = [(i, prose(i % 7, 3) + f" w{i}", "en", "s", 1) for i in range(1500)] + [(1500, prose(3, 9000), "en", "s", 1)]
+    read, plain = [], kneser_ney.fit
+    monkeypatch.setattr(kneser_ney, "fit", lambda trusted: read.extend(r["text"] for r in trusted.collect()) or plain(trusted))
+    kneser_ney.classify(frame(spark, rows), spark.createDataFrame([(r[0],) for r in rows], "doc_id long"))
+    assert sorted(read) == sorted(r[1] for r in rows if zlib.crc32(str(r[0]).encode()) % 5)
+
+
+def test_quality_joins_rare_grams(spark, monkeypatch):
+    """Sums are the same whether tasks know all n-grams or most are joined; copies and repeated rows as well."""
+    rows = [(i // 2, prose(i % 20, 5 + i % 30), "en", "s", 1) for i in range(80)] + [(90, None, "fr", "s", 0), (91, "", None, "s", 0), (92, "so new", None, "s", 0)]
+    docs, ids = frame(spark, rows), spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    key = lambda r: (r["doc_id"], r["n_words"], r["log_prob"] or 0)
+    whole = sorted(kneser_ney.classify(docs, ids).collect(), key=key)
+    for head in (0, 60):
+        monkeypatch.setattr(kneser_ney, "HEAD", head)
+        found = sorted(kneser_ney.classify(docs, ids).collect(), key=key)
+        assert len(found) == len(whole) == 83
+        for a, b in zip(found, whole, strict=True):
+            assert (a["doc_id"], a["lang"], a["n_words"], a["kept"]) == (b["doc_id"], b["lang"], b["n_words"], b["kept"])
+            assert np.isclose(a["log_prob"] or 0, b["log_prob"] or 0, rtol=1e-9) and np.isclose(a["threshold"], b["threshold"], rtol=1e-9)
+
+
 def test_quality_parts_junk(spark):
     good = [(i, prose(1, 300)[i % 40:] + " " + prose(i, 4), "en", "s", 1) for i in range(200)]
     junk = [(1000 + i, " | ".join(prose(5000 + i, 60).split()), "en", "s", 1) for i in range(10)]
