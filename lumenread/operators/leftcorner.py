@@ -112,10 +112,11 @@ def decision_table(bracketed: DataFrame, *key: str, text: str = "text") -> DataF
     return found.select(*key, "step", "d.kind", "d.pred", "d.resp")
 
 
-def conditional(steps: DataFrame) -> DataFrame:
-    """pred, resp, n and p: each response's share of its predictor's decisions."""
-    counted = steps.groupBy("pred", "resp").agg(F.count(F.lit(1)).alias("n"))
-    totals = steps.groupBy("pred").agg(F.count(F.lit(1)).alias("total"))
+def conditional(steps: DataFrame, times: str | None = None) -> DataFrame:
+    """pred, resp, n and p: each response's share of its predictor's decisions; times says how often a row counts."""
+    number = F.count(F.lit(1)) if times is None else F.sum(times)
+    counted = steps.groupBy("pred", "resp").agg(number.alias("n"))
+    totals = steps.groupBy("pred").agg(number.alias("total"))
     return counted.join(totals, "pred").select("pred", "resp", "n", (F.col("n") / F.col("total")).alias("p"))
 
 
@@ -150,19 +151,31 @@ def read_lines(lines: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- queries over the sentences of pages
 
-def page_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision_table(tagger.page_trees(spark, sf_dir), *tagger.KEY)
+def shape_steps(shapes: DataFrame) -> DataFrame:
+    """Decisions of shapes (text: a tree without words, and other columns, which are kept)."""
+    return decision_table(shapes, *shapes.columns)
 
 
 def left_corner_surprisal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each token of all pages costs by the decisions of four fifths of them."""
-    steps = written(page_steps(spark, sf_dir))  # read three times
-    return surprisal(steps, conditional(steps.filter(tagger.TRAIN)), *tagger.KEY)
+    """What each token of all pages costs by the decisions of four fifths of them.
+
+    Costs don't depend on the words, so each shape of tree is parsed once, with how many sentences have it.
+    """
+    sentences = tagger.page_trees(spark, sf_dir, words=False).select(*tagger.KEY, "text")
+    shapes = sentences.groupBy("text").agg(F.sum(F.when(F.expr(tagger.TRAIN), 1).otherwise(0)).alias("times"))
+    steps = written(shape_steps(shapes))  # read three times
+    costs = surprisal(steps, conditional(steps.filter("times > 0"), "times"), "text")
+    told = written(costs.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("wnum", "surprisal", "unseen"))).alias("costs")))
+    return sentences.join(told, "text").select(*tagger.KEY, F.explode("costs").alias("c")).select(*tagger.KEY, "c.wnum", "c.surprisal", "c.unseen")
 
 
 def cpt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conditional table of all pages, written as lines and read back."""
-    return read_lines(lines_of(conditional(page_steps(spark, sf_dir)))).withColumn("p", F.round("p", 9))
+    """The conditional table of all pages, written as lines and read back; words from the leaves, other decisions from each shape of tree once."""
+    shapes = tagger.page_trees(spark, sf_dir, words=False).groupBy("text").agg(F.count(F.lit(1)).alias("times"))
+    leaves = tagger.page_tags(spark, sf_dir).select(F.explode(F.arrays_zip(F.col("tags").alias("tag"), F.col("tokens").alias("token"))).alias("l"))
+    words = leaves.groupBy(F.concat(F.lit("W "), "l.tag").alias("pred"), F.col("l.token").alias("resp")).agg(F.count(F.lit(1)).alias("times"))
+    steps = written(shape_steps(shapes).filter("kind <> 'W'").groupBy("pred", "resp").agg(F.sum("times").alias("times")).unionByName(words))
+    return read_lines(lines_of(conditional(steps, "times"))).withColumn("p", F.round("p", 9))
 
 
 #: Written apart: the trees have two levels, so each token's decisions follow from its clause and its place in it.

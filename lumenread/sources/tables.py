@@ -79,8 +79,12 @@ def marked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(text, "<")).alias("block", "chunk"))
     element = F.regexp_extract(F.lower("chunk"), TAG, 1)
     inside = F.regexp_replace(F.regexp_replace("chunk", "^[/!a-zA-Z][^>]*>", ""), "([.!?])", "$1\n")
-    parts = blocks.select("page_id", "block", F.when(element == "", "text").otherwise(element).alias("element"), F.posexplode(F.split(inside, "\n")).alias("part", "piece"))
-    return parts.select("page_id", "block", "part", "element", F.regexp_extract_all(F.lower("piece"), F.lit(MARKED), F.lit(0)).alias("tokens")).filter(F.size("tokens") > 0)
+    # a column that is exploded out of an array of one is computed once a row; else it would be once more for each part and token that it is used with
+    once = lambda x: F.explode(F.array(x))
+    named = blocks.select("page_id", "block", once(F.struct(F.when(element == "", "text").otherwise(element).alias("element"), F.split(inside, "\n").alias("pieces"))).alias("b"))
+    parts = named.select("page_id", "block", "b.element", F.posexplode("b.pieces").alias("part", "piece"))
+    found = parts.select("page_id", "block", "part", "element", once(F.regexp_extract_all(F.lower("piece"), F.lit(MARKED), F.lit(0))).alias("tokens"))
+    return found.filter(F.size("tokens") > 0)
 
 
 def marked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
