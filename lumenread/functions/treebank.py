@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,15 +69,45 @@ def tokenised(text: Column) -> Column:
     return F.rtrim(text)
 
 
+#: Rules from one to before another, and what a text has to hold for any of them to change it: fixed values.
+#: The group of apostrophes reads quotes that the rule for " makes, so it asks for that as well.
+GROUPS = (
+    (0, 3, "contains({0}, '\"') or contains({0}, '``')"),
+    (3, 4, None),
+    (4, 5, "{0} rlike '[;:@#$%&]'"),
+    (5, 7, None),
+    (7, 15, "{0} rlike '[?!(){{}}<>\\\\[\\\\]]'"),
+    (15, 18, None),
+    (18, 36, "contains({0}, '\"') or contains({0}, '''')"),
+    (36, 46, "{0} rlike '(annot|''ye|imme|onna|otta|emme|ore''n|''[Tt]is|''[Tt]was|anna) '"),
+    (46, 48, None),
+)
+
+
+def rule_sql(text: str, pattern: str, new: str) -> str:
+    """One rule in Spark's SQL; what stands for itself is replaced without a pattern."""
+    quoted = lambda x: x.replace("'", "''")
+    if pattern in ("$", "^", "^ *"):  # at an end there is one place to replace
+        return {"$": f"concat({text}, ' ')", "^": f"concat(' ', {text})", "^ *": f"ltrim({text})"}[pattern]
+    if not re.search(r"(?<!\\)[.()\[\]{}+*^$|?]", pattern):
+        return f"replace({text}, '{quoted(re.sub(r'\\(.)', r'\1', pattern))}', '{quoted(new)}')"
+    pattern = pattern.replace("[])}", "[\\])}").replace("\\", "\\\\")
+    return f"regexp_replace({text}, '{quoted(pattern)}', '{quoted(new)}')"
+
+
 def tokenised_sql(d: Dialect, text: str) -> str:
-    """The same as SQL."""
+    """The same as SQL. In Spark's a group of rules is passed over by texts that none of them changes."""
+    if d.spark:
+        for k, (first, end, holds) in enumerate(GROUPS):
+            inner = name = f"t{k}" if holds else text
+            for rule in RULES[first:end]:
+                inner = rule_sql(inner, *rule)
+            # a name for what came before, as it is read more than once
+            text = f"element_at(transform(array({text}), {name} -> case when {holds.format(name)} then {inner} else {name} end), 1)" if holds else inner
+        return f"rtrim({text})"
     quoted = lambda x: x.replace("'", "''")
     for pattern, new in RULES:
-        if d.spark:
-            pattern = pattern.replace("[])}", "[\\])}").replace("\\", "\\\\")
-            text = f"regexp_replace({text}, '{quoted(pattern)}', '{quoted(new)}')"
-        else:
-            new = new.replace("$1", "\\1").replace("$2", "\\2").replace("$3", "\\3")
-            # at an end there is one place to replace
-            text = f"concat({text}, ' ')" if pattern == "$" else f"concat(' ', {text})" if pattern == "^" else f"regexp_replace({text}, '{quoted(pattern)}', '{quoted(new)}', 'g')"
+        new = new.replace("$1", "\\1").replace("$2", "\\2").replace("$3", "\\3")
+        # at an end there is one place to replace
+        text = f"concat({text}, ' ')" if pattern == "$" else f"concat(' ', {text})" if pattern == "^" else f"regexp_replace({text}, '{quoted(pattern)}', '{quoted(new)}', 'g')"
     return f"rtrim({text})"
