@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,17 @@ POISSON = np.array([0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015])
 REMEMBERED = 2000
 
 
+@lru_cache(maxsize=8)
+def heads(seed: str, draws: int) -> list[bytes]:
+    """What is hashed before the key, for each draw."""
+    return [f"{seed}|{d}".encode() for d in range(1, draws + 1)]
+
+
 def counts(seed: str, draws: int, key: Sequence[object]) -> np.ndarray:
     """How often a unit is in each of the draws 1 to draws."""
-    rest = "".join(f"|{k}" for k in key)
-    digests = b"".join([hashlib.md5(f"{seed}|{d}{rest}".encode()).digest()[:4] for d in range(1, draws + 1)])
-    return np.searchsorted(POISSON, np.frombuffer(digests, ">u4") / 4294967296.0, side="right")
+    rest, md5 = "".join(f"|{k}" for k in key).encode(), hashlib.md5
+    digests = b"".join([md5(head + rest).digest() for head in heads(seed, draws)])
+    return np.searchsorted(POISSON, np.frombuffer(digests, ">u4")[::4] / 4294967296.0, side="right")
 
 
 def resampled(units: DataFrame, streams: Sequence[tuple[str, Sequence[str]]], values: Sequence[str], by: Sequence[str] = (), draws: int = 2000) -> DataFrame:

@@ -37,3 +37,14 @@ def test_edges(spark):
     assert len(one) == 50 and all(r["x"] == 2 * r["times"] for r in one) and {r["times"] for r in one} > {0.0, 1.0}
     with pytest.raises(Exception):  # noqa: B017
         resample.resampled(frame, [("s", ["missing"])], ["x"])
+
+
+def test_draws_hash_seed_draw_and_key():
+    """Counts by the documented stream, draw by draw; what comes before the key is made once."""
+    import hashlib
+
+    for key in (("12", "3"), ("é",), ()):
+        text = lambda d: "|".join(["s", str(d), *key])  # noqa: B023, E731
+        plain = [sum(int(hashlib.md5(text(d).encode()).hexdigest()[:8], 16) / 2**32 >= p for p in resample.POISSON) for d in range(1, 201)]
+        assert resample.counts("s", 200, key).tolist() == plain
+    assert resample.heads("s", 200) is resample.heads("s", 200)
