@@ -280,6 +280,7 @@ def pair_interval(frames: dict, draws: int = DRAWS) -> DataFrame:
     after = means.select("user_id", (F.col("w") - 1).alias("w"), F.col("x").alias("y"))
     hit = F.when(F.col("y") > F.col("x"), 1.0).when(F.col("y") == F.col("x"), 0.5).otherwise(0.0)
     pairs = means.join(after, ["user_id", "w"]).select("user_id", F.col("w").alias("wa"), (F.col("w") + 1).alias("wb"), hit.alias("hit"))
+    pairs = pairs.repartition("user_id").sortWithinPartitions("user_id", "wa")  # a word is in two pairs; its draws are remembered from one to the next
     found = resampled(pairs, [("p", ["user_id", "wa"]), ("p", ["user_id", "wb"])], ["hit"], draws=draws).select(ratio("hit").alias("m"))
     low, high = interval(F.col("m"), 0.025, 0.975)
     return found.agg(F.count("m").alias("draws"), low.alias("low"), high.alias("high"))
