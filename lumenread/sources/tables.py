@@ -35,11 +35,10 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tokens with the words before and after each, from the text's own array of words."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))
-    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("words")).filter(F.size("words") > 0)
-    none = F.array(F.lit(None).cast("string"))
-    before, after = F.concat(none, F.slice("words", F.lit(1), F.size("words") - 1)), F.concat(F.slice("words", F.lit(2), F.size("words")), none)
-    zipped = F.arrays_zip(F.col("words").alias("word"), before.alias("prev"), after.alias("next"))
-    return rows.select("doc_id", "lang", F.posexplode(zipped).alias("pos0", "t")).select("doc_id", "lang", (F.col("pos0") + 1).cast("long").alias("pos"), "t.word", "t.prev", "t.next")
+    # exploded out of an array of one, so that the words are found once; neighbours are read from the row's array, which isn't copied
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.array(words)).alias("words"))
+    each = rows.select("doc_id", "lang", "words", F.posexplode("words").alias("pos0", "word"))
+    return each.select("doc_id", "lang", (F.col("pos0") + 1).cast("long").alias("pos"), "word", F.get("words", F.col("pos0") - 1).alias("prev"), F.get("words", F.col("pos0") + 1).alias("next"))
 
 
 def forward_fixations(spark: SparkSession, sf_dir: str) -> DataFrame:
