@@ -260,10 +260,11 @@ def number_cascade(d: Dialect) -> str:
 
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
-    unigram, bigram, bigram_across, cond_prob, lexical_surprisal, next_entropy, word_frequency_log, sentence_split,
+    unigram, bigram, bigram_across, cond_prob, next_entropy, word_frequency_log, sentence_split,
     sentence_length, word_stats, punct_marks, html_tokens, page_words, clean_sentences, verse_filter, latin_share, known_word_ratio, usable_pages, normalise_sentence,
     complex_eligible, stimulus_filter, text_mean_features, context_budget, section_carry, mark_split, punct_tokens, pos_surprisal,
     vocabulary_growth, lookup_tiers, top_words, ordered_unique, turn_concat, number_cascade)}
 QUERIES["transition_probs"] = FrameQuery(transition_probs, transitions.transitions, ("documents",))
+QUERIES["lexical_surprisal"] = FrameQuery(lexical_surprisal, transitions.surprisals, ("seq",))
 QUERIES["entropy_reduction"] = FrameQuery(entropy_reduction, transitions.falls, ("seq",))
 FRAMES: dict = {}

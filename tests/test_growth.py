@@ -37,3 +37,15 @@ def test_entropies_by_word_known_to_tasks_or_joined(spark, tmp_path):
 def test_at_most_so_many_words_are_known_to_all_tasks(spark):
     uses = spark.createDataFrame([(n,) for n in (1, 1, 1, 2, 5, 5, 200_000, 300_000)], "n long")
     assert [transitions.least_count(uses, most) for most in (0, 1, 2, 3, 4, 5, 7, 8)] == [100_001, 100_001, 100_000, 100_000, 5, 2, 2, 1]
+
+
+def test_surprisal_is_summed_where_pairs_are_counted(spark, tmp_path):
+    seq, oracle = neighbours(spark, tmp_path)
+    want = oracle(text.lexical_surprisal(DUCK))
+    for share in (1, 4, 10_000):
+        made = operators.run("lexical_surprisal", {"seq": seq}, share=share)
+        close({r["doc_id"]: tuple(r)[1:] for r in made.collect()}, want)
+    # tokens are dealt out once, by word, and come back as a row a document
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    assert operators.run("lexical_surprisal", {"seq": seq.filter("false")}).count() == 0
