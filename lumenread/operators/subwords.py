@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenread.operators.depths import written
+from lumenread.operators.transitions import HEAD, least_count
 from lumenread.sources import tables
 
 #: Pairs that are merged have to be seen so often; rounds, words of a context and slots of the queries.
@@ -83,15 +84,57 @@ def encoded(words: F.Column, merges: list[dict[str, str]]) -> F.Column:
     return of(words)
 
 
+def contexts(texts: DataFrame, key: list[str], order: str, text: str = "text", budget: int = BUDGET) -> DataFrame:
+    """key, order, words, whether the text has a context, and the last unit of that context."""
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    rows = texts.select(*key, order, words.alias("words")).withColumn("size", F.size("words")).withColumn("end", F.get("words", F.col("size") - 1))
+    earlier = lambda column, by=1: F.lag(column, by).over(Window.partitionBy(*key).orderBy(order))
+    inside = lambda size: F.coalesce((size > 0) & (size <= budget), F.lit(False))
+    rows = rows.withColumns({"context": inside(earlier("size")), "blank": (earlier("size") > 1) | inside(earlier("size", 2)), "end": earlier("end")})
+    return rows.select(*key, order, "words", "context", F.when(F.col("context"), F.when(F.col("blank"), F.concat(F.lit(" "), "end")).otherwise(F.col("end"))).alias("end"))
+
+
+def units_of(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """key, order, wnum, word, unit (the word with the blank before it, if any), told (the unit before it; null: none) and context, from rows of contexts."""
+    each = rows.select(*key, order, "words", "context", "end", F.posexplode("words").alias("n0", "word"))
+    with_blank = lambda n, word: F.when((n == 0) & ~F.col("context"), word).otherwise(F.concat(F.lit(" "), word))
+    told = F.when(F.col("n0") == 0, F.col("end")).otherwise(with_blank(F.col("n0") - 1, F.get("words", F.col("n0") - 1)))
+    return each.select(*key, order, (F.col("n0") + 1).alias("wnum"), "word", with_blank(F.col("n0"), F.col("word")).alias("unit"), told.alias("told"), "context")
+
+
 def units(texts: DataFrame, key: list[str], order: str, text: str = "text", budget: int = BUDGET) -> DataFrame:
     """key, order, wnum, word, unit (the word with the blank before it, if any) and whether the text has a context."""
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    rows = texts.select(*key, order, words.alias("words"))
-    before = F.coalesce(F.lag(F.size("words")).over(Window.partitionBy(*key).orderBy(order)), F.lit(0))
-    rows = rows.withColumn("context", (before > 0) & (before <= budget))
-    spaced = F.transform("words", lambda w, i: F.when((i == 0) & ~F.col("context"), w).otherwise(F.concat(F.lit(" "), w)))
-    return rows.select(*key, order, "context", F.posexplode(F.arrays_zip("words", spaced.alias("units"))).alias("n0", "z")).select(
-        *key, order, (F.col("n0") + 1).alias("wnum"), F.col("z.words").alias("word"), F.col("z.units").alias("unit"), "context")
+    return units_of(contexts(texts, key, order, text, budget), key, order).drop("told")
+
+
+def word_costs(rows: DataFrame, words: DataFrame, key: list[str], order: str, head: int = HEAD) -> DataFrame:
+    """key, order, wnum, word, pieces, inner (what its pieces but the first cost), cost (what the first costs) and lone (the first is a blank by itself).
+
+    rows are units_of's, words what was learned from all of them. The pieces of a unit are the same wherever it is, and so
+    is what they cost but for the first, which costs by the last piece of the unit before. So pairs are counted by unit and where units meet,
+    and a row a word is joined, not a row a piece: with units that all tasks know, the most frequent ones, or by the two units.
+    """
+    words = words.select(F.col("word").alias("unit"), "n", "pieces")
+    zipped = F.arrays_zip(F.slice("pieces", F.lit(1), F.size("pieces") - 1).alias("before"), F.slice("pieces", F.lit(2), F.size("pieces")).alias("piece"))
+    inside = words.filter(F.size("pieces") > 1).select("unit", "n", F.explode(zipped).alias("z")).select("unit", "n", "z.before", "z.piece")
+    ends = words.select("unit", F.get("pieces", F.lit(0)).alias("first"), F.element_at("pieces", -1).alias("last"))
+    before = F.coalesce("last", F.lit(START)).alias("before")
+    of_told = lambda of: of.select(F.col("unit").alias("told"), "last")
+    met = rows.groupBy("told", "unit").agg(F.count(F.lit(1)).alias("n")).join(ends.select("unit", "first"), "unit").join(of_told(ends), "told", "left")
+    pairs = written(inside.select("before", "piece", "n").unionByName(met.select(before, F.col("first").alias("piece"), "n")).groupBy("before", "piece").agg(F.sum("n").alias("c")))
+    totals = pairs.groupBy("before").agg(F.sum("c").alias("t"))
+    size = pairs.select("piece").distinct().agg(F.count(F.lit(1)).alias("v"))
+    model = written(pairs.join(totals, "before").crossJoin(F.broadcast(size)).select("before", "piece", (-F.log((F.col("c") + 1.0) / (F.col("t") + F.col("v")))).alias("cost")))
+    inner = inside.join(model, ["before", "piece"]).groupBy("unit").agg(F.sum("cost").alias("inner"))
+    known = written(words.select("unit", "n", F.size("pieces").alias("pieces")).join(ends, "unit").join(inner, "unit", "left").select("unit", "n", "pieces", "first", "last", F.coalesce("inner", F.lit(0.0)).alias("inner")))
+    often = known.filter(F.col("n") >= least_count(known.select("n"), head))
+    own = lambda of: of.select("unit", "pieces", "first", "inner")
+    asked = rows.select(*key, order, "wnum", "word", "unit", "told")
+    near = asked.join(F.broadcast(own(often)), "unit", "left").join(F.broadcast(of_told(often)), "told", "left")
+    missing = F.expr("first is null or (told is not null and last is null)")
+    far = near.filter(missing).select(*asked.columns).join(own(known), "unit").join(of_told(known), "told", "left")
+    both = near.filter(~missing).unionByName(far).select(*key, order, "wnum", "word", "pieces", "inner", before, F.col("first").alias("piece"))
+    return both.join(model, ["before", "piece"]).select(*key, order, "wnum", "word", "pieces", "inner", "cost", (F.col("piece") == " ").alias("lone"))
 
 
 def piece_costs(spoken: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -117,35 +160,48 @@ def first_word_costs(costs: DataFrame, key: list[str], order: str) -> DataFrame:
 KEYS, TURN = ["conv_id"], "turn"
 
 
-def spoken_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations' pieces and their costs; turns of one number count once, by their least text."""
+def spoken_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' units; turns of one number count once, by their least text."""
     turns = tables.read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    rows = units(turns, KEYS, TURN)
-    merges, words = learn(rows.groupBy(F.col("unit").alias("word")).agg(F.count(F.lit(1)).alias("n")))
-    return piece_costs(rows.join(words.select(F.col("word").alias("unit"), "pieces"), "unit"), KEYS, TURN)
+    return units_of(written(contexts(turns, KEYS, TURN)), KEYS, TURN)
+
+
+def learned(rows: DataFrame) -> DataFrame:
+    """Units of rows, how often they occur, and their pieces."""
+    return learn(rows.groupBy(F.col("unit").alias("word")).agg(F.count(F.lit(1)).alias("n")))[1]
+
+
+def spoken_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' words and their costs."""
+    rows = spoken_turns(spark, sf_dir)
+    return word_costs(rows, learned(rows), KEYS, TURN)
 
 
 def subword_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces that the words of conversations end up with: how many words hold each, and how often it is used."""
-    turns = tables.read(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    _, words = learn(units(turns, KEYS, TURN).groupBy(F.col("unit").alias("word")).agg(F.count(F.lit(1)).alias("n")))
+    words = learned(spoken_turns(spark, sf_dir))
     return words.select("n", F.explode("pieces").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("places"), F.sum("n").alias("uses"))
 
 
 def subword_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_word_costs(spoken_pieces(spark, sf_dir), KEYS, TURN)
+    """Costs by words, without a blank that is only the context's end."""
+    outside = F.col("lone") & (F.col("wnum") == 1)
+    return spoken_costs(spark, sf_dir).select(*KEYS, TURN, "wnum", "word", (F.col("pieces") - F.when(outside, 1).otherwise(0)).cast("long").alias("pieces"),
+                                              F.round(F.col("inner") + F.when(outside, 0.0).otherwise(F.col("cost")), 6).alias("surprisal"))
 
 
 def subword_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs by words where a blank by itself is the word's that it follows; before a first word it is nobody's."""
-    at = F.when(F.col("piece") == " ", F.col("wnum") - 1).otherwise(F.col("wnum"))
-    return spoken_pieces(spark, sf_dir).withColumn("wnum", at).filter("wnum > 0").groupBy(*KEYS, TURN, "wnum").agg(F.count(F.lit(1)).alias("pieces"), F.round(F.sum("cost"), 6).alias("surprisal"))
+    alone = F.struct((F.col("wnum") - 1).alias("wnum"), F.lit(1).alias("pieces"), F.col("cost").alias("surprisal"))
+    rest = F.struct("wnum", (F.col("pieces") - F.when(F.col("lone"), 1).otherwise(0)).alias("pieces"), (F.col("inner") + F.when(F.col("lone"), 0.0).otherwise(F.col("cost"))).alias("surprisal"))
+    parts = spoken_costs(spark, sf_dir).select(*KEYS, TURN, F.explode(F.when(F.col("lone") & (F.col("wnum") > 1), F.array(rest, alone)).otherwise(F.array(rest))).alias("p"))
+    return parts.groupBy(*KEYS, TURN, F.col("p.wnum").alias("wnum")).agg(F.sum("p.pieces").alias("pieces"), F.round(F.sum("p.surprisal"), 6).alias("surprisal"))
 
 
 def subword_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits by word, blanks with the words they begin, cut or padded with 0 to a number of slots."""
     rows = tables.read(spark, sf_dir, "conversations").select(*KEYS, TURN).distinct().select(*KEYS, TURN, F.explode(F.sequence(F.lit(1), F.lit(SLOTS))).alias("slot"))
-    bits = spoken_pieces(spark, sf_dir).filter(F.col("wnum") <= SLOTS).groupBy(*KEYS, TURN, F.col("wnum").alias("slot")).agg((F.sum("cost") / F.log(F.lit(2.0))).alias("bits"))
+    bits = spoken_costs(spark, sf_dir).filter(F.col("wnum") <= SLOTS).select(*KEYS, TURN, F.col("wnum").alias("slot"), ((F.col("inner") + F.col("cost")) / F.log(F.lit(2.0))).alias("bits"))
     return rows.join(bits, [*KEYS, TURN, "slot"], "left").select(*KEYS, TURN, "slot", F.round(F.coalesce("bits", F.lit(0.0)), 6).alias("bits"))
 
 

@@ -6,7 +6,7 @@ import duckdb
 
 from lumenread import operators
 from lumenread.functions.dialect import DUCK
-from lumenread.operators import transitions
+from lumenread.operators import subwords, transitions
 from lumenread.plans import text
 from lumenread.sources import tables
 
@@ -49,3 +49,18 @@ def test_surprisal_is_summed_where_pairs_are_counted(spark, tmp_path):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1
     assert operators.run("lexical_surprisal", {"seq": seq.filter("false")}).count() == 0
+
+
+def test_words_cost_by_their_units(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    full = subwords.HEAD
+    for name, head in (("subword_first", 50), ("subword_last", 50), ("subword_marked", full)):
+        monkeypatch.setattr(subwords.word_costs, "__defaults__", (head,))
+        made = subwords.QUERIES[name](spark, sf)
+        want = {tuple(r[:3]) if name != "subword_first" else tuple(r[:4]): r[-2:] if name != "subword_marked" else r[-1:] for r in con.execute(subwords.ORACLE[name]).fetchall()}
+        n = len(next(iter(want)))
+        close({tuple(r)[:n]: tuple(r)[n:] for r in made.collect()}, want)
+        # no row a piece is dealt out
+        assert "posexplode(pieces" not in made._jdf.queryExecution().optimizedPlan().toString()
