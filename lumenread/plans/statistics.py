@@ -29,6 +29,9 @@ def numbered(d: Dialect, rows: str, by: str, keys: str, out: str) -> str:
 
 def graded_sentences(d: Dialect) -> str:
     """All sentences, graded by their document's length."""
+    if d.spark:  # sentences are measured before they meet their documents, so that their text isn't dealt out
+        return """graded as (select s.doc_id, s.sid, cast(floor(ln(d.n_chars + 1e0)) as int) as grade, s.words, s.chars
+    from (select doc_id, sid, length(sentence) - length(replace(sentence, ' ', '')) + 1 as words, length(sentence) as chars from {sent}) s join {documents} d on d.doc_id = s.doc_id)"""
     return """graded as (select s.doc_id, s.sid, cast(floor(ln(d.n_chars + 1e0)) as int) as grade, length(s.sentence) - length(replace(s.sentence, ' ', '')) + 1 as words, length(s.sentence) as chars
     from {sent} s join {documents} d on d.doc_id = s.doc_id)"""
 
@@ -51,9 +54,10 @@ def drawn_pairs(d: Dialect, draws: int = 1, least_gap: int = LEAST_GAP) -> str:
     """Pairs of an easier and a harder sentence at least least_gap grades apart and of one split: documents are split
     first, then every sentence draws from all sentences of each harder grade in its own split, with replacement;
     pairs that were drawn twice are one."""
+    known = "/*+ broadcast(z) */" if d.spark else ""  # a row a side; dealt out by split, all sentences would go to two tasks
     return f"""{split_sentences(d)}, keyed as (select *, concat(split, grade) as side from sided), {numbered(d, "keyed", "side", "doc_id, sid", "ranked")},
     sides as (select distinct side, split, grade from keyed), sizes as (select s.split, s.grade, s.side, z.size from sides s join ranked_s z on z.side = s.side),
-    wishes as (select a.doc_id, a.sid, a.grade, a.split, a.words, a.chars, z.side as other, cast(1 + floor({d.uniform("'pair'", "a.doc_id", "a.sid", "z.grade", "t.draw")} * z.size) as bigint) as wish
+    wishes as (select {known} a.doc_id, a.sid, a.grade, a.split, a.words, a.chars, z.side as other, cast(1 + floor({d.uniform("'pair'", "a.doc_id", "a.sid", "z.grade", "t.draw")} * z.size) as bigint) as wish
         from sided a join sizes z on z.split = a.split and z.grade >= a.grade + {least_gap} cross join {d.series("1", str(draws), "draw")} t),
     pairs as (select distinct w.doc_id as doc_a, w.sid as sid_a, b.doc_id as doc_b, b.sid as sid_b, w.grade as grade_a, b.grade as grade_b, w.words as words_a, b.words as words_b, w.chars as chars_a, b.chars as chars_b, w.split as split
         from wishes w join ranked b on b.side = w.other and b.nth = w.wish)"""

@@ -7,6 +7,7 @@ import duckdb
 from lumenread import operators
 from lumenread.functions.dialect import DUCK
 from lumenread.operators import subwords, transitions
+from lumenread.plans import catalogue as text_queries
 from lumenread.plans import text
 from lumenread.sources import tables
 
@@ -64,3 +65,11 @@ def test_words_cost_by_their_units(spark, monkeypatch):
         close({tuple(r)[:n]: tuple(r)[n:] for r in made.collect()}, want)
         # no row a piece is dealt out
         assert "posexplode(pieces" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sides_are_told_to_all_tasks_and_no_sentence_is_dealt_out(spark):
+    for name in ("graded_pairs", "pair_baseline_accuracy"):
+        plan = text_queries.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join Inner" in line and ">= (grade" in line.replace("cast(", "")]
+        assert joins and all("strategy=broadcast" in line for line in joins)
+        assert "Project [doc_id" in plan and not any("sentence" in line and "n_chars" in line for line in plan.splitlines())
