@@ -14,6 +14,7 @@ the tracker is given. State is kept in RocksDB: a restart goes on where the last
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import median
 from typing import Any
 
 import pandas as pd
@@ -28,10 +29,16 @@ SAMPLE = "t double, x double, y double, off boolean"
 LEAST_SAMPLES = 2
 
 
-def grow(window: list[tuple], sample: tuple, spread: float, gap: float) -> bool:
-    """Whether a window with one more sample stays in bounds."""
-    xs, ys = [s[1] for s in (*window, sample)], [s[2] for s in (*window, sample)]
-    return sample[0] - window[-1][0] <= gap and max(xs) - min(xs) + max(ys) - min(ys) <= spread
+def grown(todo: list[tuple], first: int, spread: float, gap: float) -> int:
+    """Where the samples end that stay in bounds together with the one at first."""
+    _, left, top, _ = todo[first]
+    right, low = left, top
+    for at in range(first + 1, len(todo)):
+        t, x, y, _ = todo[at]
+        left, right, top, low = min(left, x), max(right, x), max(top, y), min(low, y)
+        if not (t - todo[at - 1][0] <= gap and right - left + top - low <= spread):
+            return at
+    return len(todo)
 
 
 def close(window: list[tuple], rest: list[tuple], spread: float, gap: float, least: float, interval: float, ended: bool) -> tuple[list[tuple], list[list[tuple]]]:
@@ -40,19 +47,17 @@ def close(window: list[tuple], rest: list[tuple], spread: float, gap: float, lea
     A window that can't grow goes out if it is long enough, else it begins one sample later and what is behind comes again.
     """
     done = []
-    todo = [*window, *rest]
-    while todo:
-        size = 1
-        while size < len(todo) and grow(todo[:size], todo[size], spread, gap):
-            size += 1
-        if size == len(todo) and not ended:
-            return todo, done
-        if todo[size - 1][0] - todo[0][0] + interval >= least:
-            if size >= LEAST_SAMPLES:
-                done.append(todo[:size])
-            todo = todo[size:]
+    todo, first = [*window, *rest], 0
+    while first < len(todo):
+        end = grown(todo, first, spread, gap)
+        if end == len(todo) and not ended:
+            return todo[first:], done
+        if todo[end - 1][0] - todo[first][0] + interval >= least:
+            if end - first >= LEAST_SAMPLES:
+                done.append(todo[first:end])
+            first = end
         else:
-            todo = todo[1:]
+            first += 1
     return [], done
 
 
@@ -70,7 +75,7 @@ class FixationProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last = self.taken.get()[0] if self.taken.exists() else float("-inf")
-        new = [(float(r.t), float(r.x), float(r.y), bool(r.off)) for part in rows for r in part.itertuples() if r.t > last or r.off and r.t >= last]
+        new = [(float(r.t), float(r.x), float(r.y), bool(r.off)) for part in rows for r in part.itertuples(index=False) if r.t > last or r.off and r.t >= last]
         if new:
             self.waiting.appendList(new)
         yield self._go_on(key, timerValues)
@@ -108,7 +113,7 @@ class FixationProcessor(StatefulProcessor):
         # again when the watermark has passed the next sample in wait, else when the trial has been idle
         if later or window:
             self.handle.registerTimer(int((later[0][0] if later else last + self.idle) * 1000) + 2)
-        told = [(key[0], w[0][0], w[-1][0] + self.interval, float(pd.Series([s[1] for s in w]).median()), float(pd.Series([s[2] for s in w]).median()), len(w)) for w in done]
+        told = [(key[0], w[0][0], w[-1][0] + self.interval, median(s[1] for s in w), median(s[2] for s in w), len(w)) for w in done]
         return pd.DataFrame(told, columns=["key", "start_t", "end_t", "x", "y", "samples"])
 
     def close(self) -> None:

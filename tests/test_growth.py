@@ -10,6 +10,7 @@ from lumenread.operators import subwords, transitions
 from lumenread.plans import catalogue as text_queries
 from lumenread.plans import text
 from lumenread.sources import tables
+from lumenread.streaming import fixations
 
 WORDS = ["the cat saw the dog", "the dog", "a", "", None, "the cat sat; a cat sat. The rare bird sat", "the the the cat", "dog a dog a cat saw the rare cat"]
 
@@ -73,3 +74,22 @@ def test_sides_are_told_to_all_tasks_and_no_sentence_is_dealt_out(spark):
         joins = [line for line in plan.splitlines() if "Join Inner" in line and ">= (grade" in line.replace("cast(", "")]
         assert joins and all("strategy=broadcast" in line for line in joins)
         assert "Project [doc_id" in plan and not any("sentence" in line and "n_chars" in line for line in plan.splitlines())
+
+
+class Counted(tuple):
+    """A sample that notes how often it is read."""
+
+    reads = 0
+
+    def __getitem__(self, at):
+        Counted.reads += 1
+        return tuple.__getitem__(self, at)
+
+
+def test_a_window_is_read_once_as_it_grows():
+    samples = [Counted((float(t), float(t % 7), float(t % 3), False)) for t in range(3000)]
+    window, done = fixations.close([], samples, 80.0, 5.0, 60.0, 1.0, False)
+    assert len(window) == 3000 and not done and Counted.reads < 10 * 3000
+    apart = [Counted((t + 100.0 * (t // 50), float(t), 0.0, False)) for t in range(1000)]
+    window, done = fixations.close([], apart, 19.0, 5.0, 10.0, 1.0, True)
+    assert not window and [len(w) for w in done] == [20, 20] * 20 or [len(w) for w in done] == [20, 20, 10] * 20
