@@ -25,6 +25,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SCHEMA = "key long, start_t double, end_t double, x double, y double, samples long"
 SAMPLE = "t double, x double, y double, off boolean"
+#: What a row of a trial's state is.
+WAITING, WINDOW, TAKEN = range(3)
 #: Fewer samples make no fixation.
 LEAST_SAMPLES = 2
 
@@ -69,27 +71,30 @@ class FixationProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", SAMPLE)
-        self.window = handle.getListState("window", SAMPLE)
-        self.taken = handle.getValueState("taken", "t double")
+        self.samples = handle.getListState("samples", f"part int, {SAMPLE}")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = self.taken.get()[0] if self.taken.exists() else float("-inf")
-        new = [(float(r.t), float(r.x), float(r.y), bool(r.off)) for part in rows for r in part.itertuples(index=False) if r.t > last or r.off and r.t >= last]
-        if new:
-            self.waiting.appendList(new)
-        yield self._go_on(key, timerValues)
+        held = self._held()
+        last = max((s[0] for s in held[TAKEN]), default=float("-inf"))
+        held[WAITING].extend([(float(r.t), float(r.x), float(r.y), bool(r.off)) for part in rows for r in part.itertuples(index=False) if r.t > last or r.off and r.t >= last])
+        yield self._go_on(key, timerValues, held)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield self._go_on(key, timerValues)
+        yield self._go_on(key, timerValues, self._held())
 
-    def _go_on(self, key: Any, timerValues: Any) -> pd.DataFrame:
+    def _held(self) -> tuple[list[tuple], list[tuple], list[tuple]]:
+        """The trial's samples in wait, those of the window at hand, and the time that samples were taken to."""
+        held: tuple[list[tuple], ...] = ([], [], [])
+        for part, *sample in self.samples.get():
+            held[part].append(tuple(sample))
+        return held
+
+    def _go_on(self, key: Any, timerValues: Any, held: tuple[list[tuple], list[tuple], list[tuple]]) -> pd.DataFrame:
         """Take the samples that the watermark has passed; the fixations that are done by that."""
         passed = timerValues.getCurrentWatermarkInMs() / 1000
-        waiting = sorted(set(self.waiting.get())) if self.waiting.exists() else []
+        waiting, window = sorted(set(held[WAITING])), held[WINDOW]
         ready, later = [s for s in waiting if s[0] < passed], [s for s in waiting if s[0] >= passed]
-        window = list(self.window.get()) if self.window.exists() else []
-        last = self.taken.get()[0] if self.taken.exists() else None
+        last = held[TAKEN][0][0] if held[TAKEN] else None
         done: list[list[tuple]] = []
         pending: list[tuple] = []
         for sample in ready:
@@ -103,13 +108,13 @@ class FixationProcessor(StatefulProcessor):
         idle = last is not None and not later and passed - last > self.idle
         window, more = close(window, pending, *self.bounds, self.interval, idle)
         done += more
-        for state, rows in ((self.waiting, later), (self.window, window)):
-            if rows:
-                state.put(rows)
-            else:
-                state.clear()
-        if last is not None:
-            self.taken.update((last,))
+        # one state that is read once and written once, as every call for a state is a message to the JVM
+        taken = [(last, 0.0, 0.0, False)] if last is not None else []
+        rows = [(part, *s) for part, samples in ((WAITING, later), (WINDOW, window), (TAKEN, taken)) for s in samples]
+        if rows:
+            self.samples.put(rows)
+        else:
+            self.samples.clear()
         # again when the watermark has passed the next sample in wait, else when the trial has been idle
         if later or window:
             self.handle.registerTimer(int((later[0][0] if later else last + self.idle) * 1000) + 2)
