@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenread.functions.dialect import Dialect
 from lumenread.operators import agreement
+from lumenread.operators.rankdraws import spearman_draws
 from lumenread.operators.resample import resampled
 from lumenread.plans.query import FrameQuery, SqlQuery
 
@@ -270,6 +271,15 @@ def mean_interval(frames: dict, draws: int = DRAWS) -> DataFrame:
     return means.groupBy("lang").agg(F.count("m").alias("draws"), low.alias("low"), median.alias("median"), high.alias("high"))
 
 
+def spearman_interval(frames: dict, draws: int = 200) -> DataFrame:
+    """Documents without text have no y and come last, as the oracle orders nulls."""
+    y = F.coalesce(F.length(F.replace("text", F.lit(" "), F.lit(""))) / F.col("n_chars").cast("double"), F.lit(float("inf")))
+    units = frames["documents"].filter(F.col("n_chars") > 0).select("doc_id", F.col("n_chars").cast("double").alias("x"), y.alias("y"))
+    units = units.join(frames["labels"].select("doc_id"), "doc_id").select(F.col("doc_id").cast("string").alias("key"), "x", "y")
+    low, median, high = interval(F.col("rho"), 0.025, 0.5, 0.975)
+    return spearman_draws(units, "rho", draws).agg(F.count("rho").alias("draws"), low.alias("low"), median.alias("median"), high.alias("high"))
+
+
 def difference_interval(frames: dict, draws: int = DRAWS) -> DataFrame:
     low = F.col("w") < 4
     pick = lambda on, x: F.sum(F.when(on, x).otherwise(0.0))
@@ -491,12 +501,13 @@ def score_change(d: Dialect) -> str:
 
 QUERIES = {f.__name__: SqlQuery(f) for f in (
     hash_split, group_split, seeded_group_split, hash_sample, latin_square, batches, graded_pairs, pair_baseline_accuracy, length_matched,
-    gap_accuracy, pearson, spearman, partial_spearman, r2_identity, leave_one_out, percentile_ci, tertile_bands, bootstrap_spearman,
+    gap_accuracy, pearson, spearman, partial_spearman, r2_identity, leave_one_out, percentile_ci, tertile_bands,
     threshold_search, pair_vectors, pair_score, feature_stability, per_target_error, validation_summary, standardise,
     ols_single, mean_imputation, linear_scorer, reader_qc, calibration_selection, two_level_mean, mode_vote, survey_unpivot, side_mapping, item_means,
     answer_clamp, override_join, default_lookup, semi_split, anti_seen, first_wins, last_wins, nearest_level, level_profile, confusion_by_label,
     ablation_groups, tumbling, sessions, score_change)}
 QUERIES |= {
+    "bootstrap_spearman": FrameQuery(bootstrap_spearman, spearman_interval, ("labels", "documents")),
     "bootstrap_mean": FrameQuery(bootstrap_mean, mean_interval, ("labels", "documents")), "cluster_bootstrap_diff": FrameQuery(cluster_bootstrap_diff, difference_interval, ("fix",)),
     "pair_bootstrap": FrameQuery(pair_bootstrap, pair_interval, ("fix",)), "pairwise_agreement": FrameQuery(pairwise_agreement, agreement.mean_agreement, ("fix",))}
 FRAMES: dict = {}
