@@ -237,6 +237,20 @@ def test_quality_joins_rare_grams(spark, monkeypatch):
             assert np.isclose(a["log_prob"] or 0, b["log_prob"] or 0, rtol=1e-9) and np.isclose(a["threshold"], b["threshold"], rtol=1e-9)
 
 
+def test_quality_keeps_little_on_disk(spark, tmp_path, monkeypatch):
+    """Tables of counts go when they aren't needed, rare n-grams are joined by shares of the keys, and keys are Spark's own of context and tail."""
+    monkeypatch.setattr(kneser_ney, "HEAD", 0)
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = [(i, prose(i % 20, 5 + i % 30), "en", "s", 1) for i in range(60)]
+    kneser_ney.classify(frame(spark, rows), spark.createDataFrame([(i,) for i in range(60)], "doc_id long"))
+    left = {"-".join(p.name.split("-")[2:]) for p in tmp_path.iterdir()}
+    assert left == {"trusted", "terms-1", "terms-2", "probabilities-3", "scored", *(f"told-{k}" for k in range(kneser_ney.ROUNDS))}
+    a, b = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, (2, 50))
+    both = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "context long, tail long").select("context", "tail", kneser_ney.key_of(2).alias("key")).collect()
+    assert [r["key"] for r in both] == [int(kneser_ney.gram_keys(np.array([r["context"], r["tail"]]).view(np.uint64), 2).view(np.int64)[0]) for r in both]
+    assert len(kneser_ney.gram_keys(np.zeros(1, np.uint64), 3)) == 0
+
+
 def test_quality_parts_junk(spark):
     good = [(i, prose(1, 300)[i % 40:] + " " + prose(i, 4), "en", "s", 1) for i in range(200)]
     junk = [(1000 + i, " | ".join(prose(5000 + i, 60).split()), "en", "s", 1) for i in range(10)]
