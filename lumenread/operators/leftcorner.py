@@ -15,20 +15,33 @@ A and completed category. Depth is the number of components.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenread.operators import tagger, trees
 from lumenread.operators.depths import written
+from lumenread.operators.transitions import least_count
 from lumenread.sources import tables
 
 #: What a decision costs at most: this share of its predictor's decisions.
 UNSEEN = 1e-6
 #: Kinds whose costs a word adds up, before it and after it: fixed values.
 BEFORE, AFTER = ("F", "P"), ("J", "A", "B")
+#: Decisions whose costs every task knows, the most frequent ones at most.
+HEAD = 100_000
+#: Tokens of different shapes that a task remembers, and rows that it hands over at once.
+HELD, ROWS = 500_000, 50_000
+#: A clause of a shape: up to a comma, semicolon or colon.
+CLAUSE = re.compile("[^,;:]*[,;:]|[^,;:]+")
 
 
 class _View:
@@ -156,17 +169,129 @@ def shape_steps(shapes: DataFrame) -> DataFrame:
     return decision_table(shapes, *shapes.columns)
 
 
-def left_corner_surprisal(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape of each sentence of the pages: its element and, as one character a token, _ for a word and marks as they are."""
+    marks = F.array_join(F.transform("tokens", lambda x: F.when(x.rlike("^[.,;:!?]$"), x).otherwise("_")), "")
+    return tables.marked_sentences(spark, sf_dir).select(*tagger.KEY, F.concat("element", F.lit(" "), marks).alias("shape"))
+
+
+def shape_tree(shape: str) -> tuple:
+    """The tree of a shape: tagger.page_trees' without words, parsed."""
+    element, marks = shape.split(" ")
+    return element, [("C", [(element if x == "_" else x, "_") for x in clause]) for clause in CLAUSE.findall(marks)]
+
+
+def shape_words(shape: str) -> Iterator[list[tuple[str, str]]]:
+    """For each word of a shape in order, the decisions before it and right after it, without the word itself."""
+    word: list[tuple[str, str]] = []
+    for kind, pred, resp in decisions(shape_tree(shape)):
+        if kind == "F" and word:
+            yield word
+            word = []
+        if kind != "W":
+            word.append((pred, resp))
+    yield word
+
+
+def count_decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: pred, resp and n of shapes; equal ones are gathered and parsed once, and what is held has a bound."""
+
+    def out(counts: Counter) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["pred", "resp", "n"])
+        counts.clear()
+        return batch
+
+    shapes, counts, size = Counter(), Counter(), 0
+    for batch in chain(batches, [None]):
+        for shape in batch.column("shape").to_pylist() if batch else ():
+            size += 0 if shape in shapes else len(shape)
+            shapes[shape] += 1
+        if size < HELD and batch:
+            continue
+        for shape, times in shapes.items():
+            for word in shape_words(shape):
+                for decision in word:
+                    counts[decision] += times
+            if len(counts) > ROWS:
+                yield out(counts)
+        shapes.clear()
+        size = 0
+    yield out(counts)
+
+
+def tell_costs(known: dict[tuple[str, str], float], whole: bool, key: list[str]):
+    """For mapInArrow: rows of words with what their known decisions cost, and unless known is the whole table a row for each other decision of a word.
+
+    key's columns are kept. pred and resp are set in the rows of decisions; open says that a word has such rows.
+    """
+
+    def costs_of(shape: str) -> tuple[np.ndarray, ...]:
+        at, cost, unseen, preds, resps, open_ = [], [], [], [], [], []
+        for k, word in enumerate(shape_words(shape), 1):
+            told = [known.get(d) for d in word]
+            asked = [] if whole else [d for d, x in zip(word, told, strict=True) if x is None]
+            missing = sum(x is None for x in told) if whole else 0
+            at += [k] * (1 + len(asked))
+            cost += [sum((x for x in told if x is not None), 0.0) + missing * -math.log(UNSEEN), *([0.0] * len(asked))]
+            unseen += [missing, *([0] * len(asked))]
+            preds += [None, *(p for p, _ in asked)]
+            resps += [None, *(r for _, r in asked)]
+            open_ += [bool(asked)] * (1 + len(asked))
+        return np.array(at, np.int32), np.array(cost), np.array(unseen, np.int64), np.array(preds, object), np.array(resps, object), np.array(open_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, tuple[np.ndarray, ...]] = {}
+        size = 0
+        for batch in batches:
+            rows, parts, n = [], [], 0
+            shapes = batch.column("shape").to_pylist()
+            for i, shape in enumerate(shapes):
+                if (found := seen.get(shape)) is None:
+                    if size > HELD:
+                        seen.clear()
+                        size = 0
+                    found = seen[shape] = costs_of(shape)
+                    size += len(shape)
+                rows.append(i)
+                parts.append(found)
+                n += len(found[0])
+                if n > ROWS or i + 1 == len(shapes):
+                    index = pa.array(np.repeat(rows, [len(x[0]) for x in parts]))
+                    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                    kinds = (pa.int32(), pa.float64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+                    names = ("wnum", "surprisal", "unseen", "pred", "resp", "open")[: 3 if whole else 6]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(index) for k in key), *(pa.array(x, t) for x, t, _ in zip(columns, kinds, names))], names=[*key, *names])
+                    rows, parts, n = [], [], 0
+
+    return run
+
+
+def left_corner_surprisal(spark: SparkSession, sf_dir: str, head: int = HEAD) -> DataFrame:
     """What each token of all pages costs by the decisions of four fifths of them.
 
-    Costs don't depend on the words, so each shape of tree is parsed once, with how many sentences have it.
+    Costs don't depend on the words. A task parses a shape of sentence once while it remembers it, and only counts of decisions
+    are shuffled. The most frequent decisions' costs go to all tasks; if there are more than head, others are joined to the words that they belong to.
     """
-    sentences = tagger.page_trees(spark, sf_dir, words=False).select(*tagger.KEY, "text")
-    shapes = sentences.groupBy("text").agg(F.sum(F.when(F.expr(tagger.TRAIN), 1).otherwise(0)).alias("times"))
-    steps = written(shape_steps(shapes))  # read three times
-    costs = surprisal(steps, conditional(steps.filter("times > 0"), "times"), "text")
-    told = written(costs.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("wnum", "surprisal", "unseen"))).alias("costs")))
-    return sentences.join(told, "text").select(*tagger.KEY, F.explode("costs").alias("c")).select(*tagger.KEY, "c.wnum", "c.surprisal", "c.unseen")
+    sentences = page_shapes(spark, sf_dir)
+    counts = sentences.filter(tagger.TRAIN).select("shape").mapInArrow(count_decisions, "pred string, resp string, n long").groupBy("pred", "resp").agg(F.sum("n").alias("n"))
+    table = written(conditional(written(counts), "n").select("pred", "resp", "n", (-F.log(F.greatest("p", F.lit(UNSEEN)))).alias("cost")))
+    whole = table.count() <= head
+    often = table if whole else table.filter(F.col("n") >= least_count(table.select("n"), head))
+    known = {(r["pred"], r["resp"]): r["cost"] for r in often.select("pred", "resp", "cost").collect()}
+    told = sentences.filter(F.length(F.substring_index("shape", " ", -1)) <= 50)
+    if not whole:
+        told = told.withColumn("row", F.monotonically_increasing_id())
+    key = [k for k in told.columns if k != "shape"]
+    kinds = ", ".join(f"{k} {t}" for k, t in told.dtypes if k in key)
+    told = told.mapInArrow(tell_costs(known, whole, key), f"{kinds}, wnum int, surprisal double, unseen long" + ("" if whole else ", pred string, resp string, open boolean"))
+    if not whole:
+        told = written(told)
+        asked = told.filter("pred is not null").join(table.select("pred", "resp", "cost"), ["pred", "resp"], "left")
+        asked = asked.select(*key, "wnum", F.coalesce("cost", F.lit(-math.log(UNSEEN))).alias("surprisal"), F.when(F.col("cost").isNull(), 1).otherwise(0).cast("long").alias("unseen"))
+        own = told.filter("pred is null").drop("pred", "resp")
+        sums = own.filter("open").drop("open").unionByName(asked).groupBy(*key, "wnum").agg(F.sum("surprisal").alias("surprisal"), F.sum("unseen").alias("unseen"))
+        told = own.filter("not open").drop("open").unionByName(sums)
+    return told.select(*tagger.KEY, "wnum", F.round("surprisal", 5).alias("surprisal"), "unseen")
 
 
 def cpt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
