@@ -133,11 +133,11 @@ def conditional(steps: DataFrame, times: str | None = None) -> DataFrame:
     return counted.join(totals, "pred").select("pred", "resp", "n", (F.col("n") / F.col("total")).alias("p"))
 
 
-def surprisal(steps: DataFrame, table: DataFrame, *key: str, longest: int = 50) -> DataFrame:
+def surprisal(steps: DataFrame, table: DataFrame, *key: str, longest: int | None = None) -> DataFrame:
     """key columns, wnum, surprisal and unseen of words: what the decisions before a word (F, P) and right after it (J, A, B) cost.
 
     steps has key columns, step, kind, pred and resp; table pred, resp and p. A decision that the table lacks
-    costs -ln 1e-6, which no decision exceeds; trees of more than longest words are left out.
+    costs -ln 1e-6, which no decision exceeds. Trees of more than longest words are left out, if it is given.
     """
     told = steps.filter("kind <> 'W'").join(table.select("pred", "resp", "p"), ["pred", "resp"], "left").select(*key, "step", "kind", "p")
     words = steps.filter("kind = 'W'").select(*key, "step", "kind", F.lit(None).cast("double").alias("p"))
@@ -147,7 +147,8 @@ def surprisal(steps: DataFrame, table: DataFrame, *key: str, longest: int = 50)
     wnum = F.when(F.col("kind").isin(*BEFORE), F.col("seen") + 1).otherwise(F.col("seen"))
     cost = F.when(F.col("kind") != "W", -F.log(F.greatest(F.coalesce("p", F.lit(UNSEEN)), F.lit(UNSEEN)))).otherwise(0.0)
     unseen = F.when((F.col("kind") != "W") & F.col("p").isNull(), 1).otherwise(0)
-    return placed.filter(F.col("words") <= longest).groupBy(*key, wnum.cast("int").alias("wnum")).agg(F.round(F.sum(cost), 5).alias("surprisal"), F.sum(unseen).alias("unseen"))
+    kept = placed if longest is None else placed.filter(F.col("words") <= longest)
+    return kept.groupBy(*key, wnum.cast("int").alias("wnum")).agg(F.round(F.sum(cost), 5).alias("surprisal"), F.sum(unseen).alias("unseen"))
 
 
 def lines_of(table: DataFrame) -> DataFrame:
@@ -267,9 +268,9 @@ def tell_costs(known: dict[tuple[str, str], float], whole: bool, key: list[str])
 
 
 def left_corner_surprisal(spark: SparkSession, sf_dir: str, head: int = HEAD) -> DataFrame:
-    """What each token of all pages costs by the decisions of four fifths of them.
+    """What each token of all pages costs, however long its sentence is, by the decisions of four fifths of them.
 
-    Costs don't depend on the words. A task parses a shape of sentence once while it remembers it, and only counts of decisions
+    The table has to lack some decisions, as the reference's does, which is counted on other texts than it is used on. Costs don't depend on the words. A task parses a shape of sentence once while it remembers it, and only counts of decisions
     are shuffled. The most frequent decisions' costs go to all tasks; if there are more than head, others are joined to the words that they belong to.
     """
     sentences = page_shapes(spark, sf_dir)
@@ -278,9 +279,7 @@ def left_corner_surprisal(spark: SparkSession, sf_dir: str, head: int = HEAD) ->
     whole = table.count() <= head
     often = table if whole else table.filter(F.col("n") >= least_count(table.select("n"), head))
     known = {(r["pred"], r["resp"]): r["cost"] for r in often.select("pred", "resp", "cost").collect()}
-    told = sentences.filter(F.length(F.substring_index("shape", " ", -1)) <= 50)
-    if not whole:
-        told = told.withColumn("row", F.monotonically_increasing_id())
+    told = sentences if whole else sentences.withColumn("row", F.monotonically_increasing_id())
     key = [k for k in told.columns if k != "shape"]
     kinds = ", ".join(f"{k} {t}" for k, t in told.dtypes if k in key)
     told = told.mapInArrow(tell_costs(known, whole, key), f"{kinds}, wnum int, surprisal double, unseen long" + ("" if whole else ", pred string, resp string, open boolean"))
@@ -316,7 +315,7 @@ q as (select *, 1 as nr, 'F' as kind, concat('F ', dep, ' ', aw) as pred, f::var
     union all select *, 6, 'B', case when f = 0 then 'B 1 TOP C' when last_ or n = 1 then concat('B 1 TOP ', tag) else concat('B ', dep, ' C ', tag) end, case when f = 0 or (not last_ and n = 1) then next_ else inner_ end from b where not (last_ and i = n))"""
 SURPRISAL_SQL = f"""with {tagger.CRC_SQL}, {STEPS_SQL}, t as (select pred, resp, n / cast(sum(n) over (partition by pred) as double) as p from (select pred, resp, count(*) as n from q where page_id not in (select page_id from held) group by pred, resp))
 select q.page_id, q.block, q.part, cast(q.nth as int) as wnum, round(sum(case when kind = 'W' then 0 else -ln(greatest(coalesce(p, 1e-6), 1e-6)) end), 5) as surprisal, cast(sum(case when kind <> 'W' and p is null then 1 else 0 end) as bigint) as unseen
-from q left join t on t.pred = q.pred and t.resp = q.resp where words <= 50 group by q.page_id, q.block, q.part, q.nth"""
+from q left join t on t.pred = q.pred and t.resp = q.resp group by q.page_id, q.block, q.part, q.nth"""
 LINES_SQL = f"with {STEPS_SQL} select pred, resp, round(n / cast(sum(n) over (partition by pred) as double), 9) as p from (select pred, resp, count(*) as n from q group by pred, resp)"
 
 QUERIES = {"left_corner_surprisal": left_corner_surprisal, "cpt_lines": cpt_lines}

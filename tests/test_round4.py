@@ -50,3 +50,20 @@ def test_a_task_hands_over_what_it_holds(monkeypatch):
     assert told() == want and sum(n for (pred, _), n in want[0].items() if pred[0] == "P") == sum(len(s) - 2 for s in shapes)
     # a long sentence's decisions are few different ones, and no row holds its tree
     assert len(want[0]) < 40
+
+
+def test_sentences_of_any_length_cost(spark, tmp_path):
+    long = [f"<p>{'a ' * n}b, {'c ' * n}d.</p><p>e</p>" for n in (10, 24, 25, 1500)]
+    at = folder(spark, tmp_path, long)
+    found = rows(leftcorner.left_corner_surprisal(spark, at), *tagger.KEY, "wnum", "surprisal", "unseen")
+    assert len(found) == sum(2 * n + 5 for n in (10, 24, 25, 1500))
+    steps = leftcorner.decision_table(tagger.page_trees(spark, at), *tagger.KEY)
+    plain = leftcorner.surprisal(steps, leftcorner.conditional(steps.filter(tagger.TRAIN)), *tagger.KEY)
+    assert rows(plain, *tagger.KEY, "wnum", "surprisal", "unseen") == found
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create table pages as select * from '{at}/pages.parquet/*.parquet'")
+    want = con.execute(leftcorner.ORACLE["left_corner_surprisal"]).fetchall()
+    assert [r[:4] for r in sorted(want)] == [r[:4] for r in found]
+    assert all(abs(a[4] - b[4]) < 2e-5 and a[5] == b[5] for a, b in zip(sorted(want), found, strict=True))
