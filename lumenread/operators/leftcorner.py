@@ -19,7 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,9 @@ BEFORE, AFTER = ("F", "P"), ("J", "A", "B")
 HEAD = 100_000
 #: Tokens of different shapes that a task remembers, and rows that it hands over at once.
 HELD, ROWS = 500_000, 50_000
+#: Sentences that are looked up at once.
+ROWS_AT_ONCE = 2000
+ASKED = pa.list_(pa.struct([("pred", pa.string()), ("resp", pa.string())]))
 #: A clause of a shape: up to a comma, semicolon or colon.
 CLAUSE = re.compile("[^,;:]*[,;:]|[^,;:]+")
 
@@ -172,7 +175,7 @@ def shape_steps(shapes: DataFrame) -> DataFrame:
 
 def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shape of each sentence of the pages: its element and, as one character a token, _ for a word and marks as they are."""
-    marks = F.array_join(F.transform("tokens", lambda x: F.when(x.rlike("^[.,;:!?]$"), x).otherwise("_")), "")
+    marks = F.array_join(F.transform("tokens", lambda x: F.when(x.isin(*".,;:!?"), x).otherwise("_")), "")
     return tables.marked_sentences(spark, sf_dir).select(*tagger.KEY, F.concat("element", F.lit(" "), marks).alias("shape"))
 
 
@@ -194,75 +197,122 @@ def shape_words(shape: str) -> Iterator[list[tuple[str, str]]]:
     yield word
 
 
-def count_decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: pred, resp and n of shapes; equal ones are gathered and parsed once, and what is held has a bound."""
+def shape_parts(shape: str) -> Iterator[tuple[str, int, int]]:
+    """Shapes of three clauses at most and places in them, whose words have the decisions of the shape's words in order.
 
-    def out(counts: Counter) -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["pred", "resp", "n"])
-        counts.clear()
-        return batch
+    A clause's decisions depend on whether others come before and after it, and on what the last one is if that is the next.
+    Before a clause any other does, and what comes after the next one doesn't matter.
+    """
+    element, marks = shape.split(" ")
+    clauses = CLAUSE.findall(marks)
+    for k, clause in enumerate(clauses):
+        after = len(clauses) - k - 1
+        if not after:
+            yield (f"{element} ,{clause}", 1, len(clause) + 1) if k else (shape, 0, len(clause))
+        elif after == 1:
+            last = clauses[-1] if len(clauses[-1]) == 1 else "__"
+            yield f"{element} {clause}{last}", 0, len(clause)
+        else:
+            yield f"{element} {clause},,", 0, len(clause)
+
+
+class Pool:
+    """Arrays by name and shape, one after another, so that many are gathered at once; equal parts of shapes are made once."""
+
+    def __init__(self, make):
+        self.make, self.parts = make, {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.size, self.place, self.starts, self.lengths, self.columns, self.whole = 0, {}, [], [], [], None
+        if sum(map(len, self.parts)) > HELD:
+            self.parts.clear()
+
+    def add(self, shape: str) -> int:
+        """The shape's number."""
+        at = self.place.get(shape)
+        if at is None:
+            found = [tuple(x[lo:hi] for x in self.part(part)) for part, lo, hi in shape_parts(shape)]
+            at = self.place[shape] = len(self.starts)
+            self.starts.append(self.size)
+            self.lengths.append(sum(len(x[0]) for x in found))
+            self.size += self.lengths[-1]
+            self.columns += found
+            self.whole = None
+        return at
+
+    def part(self, part: str) -> tuple[np.ndarray, ...]:
+        found = self.parts.get(part)
+        if found is None:
+            found = self.parts[part] = self.make(part)
+        return found
+
+    def gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """For each row of shapes by their numbers: which of them it belongs to, its place in the shape from 1 on, and the arrays' values."""
+        if self.whole is None:
+            self.whole = np.array(self.starts), np.array(self.lengths), [np.concatenate(x) for x in zip(*self.columns, strict=True)]
+            self.columns = [tuple(self.whole[2])]
+        starts, lengths, columns = self.whole
+        n = lengths[numbers]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(starts[numbers], n) + nth
+        return np.repeat(np.arange(len(numbers)), n), (nth + 1).astype(np.int32), [x[at] for x in columns]
 
-    shapes, counts, size = Counter(), Counter(), 0
+
+def count_decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: pred, resp and n of shapes; equal parts of shapes are gathered and parsed once, and what is held has a bound."""
+    parts, size = Counter(), 0
     for batch in chain(batches, [None]):
-        for shape in batch.column("shape").to_pylist() if batch else ():
-            size += 0 if shape in shapes else len(shape)
-            shapes[shape] += 1
-        if size < HELD and batch:
-            continue
-        for shape, times in shapes.items():
-            for word in shape_words(shape):
+        if batch:
+            shapes = batch.column("shape").value_counts()
+            for shape, times in zip(shapes.field("values").to_pylist(), shapes.field("counts").to_pylist(), strict=True):
+                for part in shape_parts(shape):
+                    size += 0 if part in parts else len(part[0])
+                    parts[part] += times
+            if size < HELD:
+                continue
+        counts = Counter()
+        for (part, lo, hi), times in parts.items():
+            for word in islice(shape_words(part), lo, hi):
                 for decision in word:
                     counts[decision] += times
-            if len(counts) > ROWS:
-                yield out(counts)
-        shapes.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["pred", "resp", "n"])
+        parts.clear()
         size = 0
-    yield out(counts)
 
 
 def tell_costs(known: dict[tuple[str, str], float], whole: bool, key: list[str]):
-    """For mapInArrow: rows of words with what their known decisions cost, and unless known is the whole table a row for each other decision of a word.
+    """For mapInArrow: rows of words with what their known decisions cost, and unless known is the whole table the other decisions of a word.
 
-    key's columns are kept. pred and resp are set in the rows of decisions; open says that a word has such rows.
+    key's columns are kept.
     """
 
-    def costs_of(shape: str) -> tuple[np.ndarray, ...]:
-        at, cost, unseen, preds, resps, open_ = [], [], [], [], [], []
-        for k, word in enumerate(shape_words(shape), 1):
-            told = [known.get(d) for d in word]
-            asked = [] if whole else [d for d, x in zip(word, told, strict=True) if x is None]
-            missing = sum(x is None for x in told) if whole else 0
-            at += [k] * (1 + len(asked))
-            cost += [sum((x for x in told if x is not None), 0.0) + missing * -math.log(UNSEEN), *([0.0] * len(asked))]
-            unseen += [missing, *([0] * len(asked))]
-            preds += [None, *(p for p, _ in asked)]
-            resps += [None, *(r for _, r in asked)]
-            open_ += [bool(asked)] * (1 + len(asked))
-        return np.array(at, np.int32), np.array(cost), np.array(unseen, np.int64), np.array(preds, object), np.array(resps, object), np.array(open_)
+    def costs_of(part: str) -> tuple[np.ndarray, ...]:
+        told = [[(known.get(d), d) for d in word] for word in shape_words(part)]
+        cost = np.array([sum((x for x, _ in word if x is not None), 0.0) for word in told])
+        missing = np.array([sum(x is None for x, _ in word) for word in told])
+        if whole:
+            return cost + missing * -math.log(UNSEEN), missing
+        asked = np.empty(len(told), object)
+        asked[:] = [[{"pred": p, "resp": r} for x, (p, r) in word if x is None] or None for word in told]
+        return cost, np.zeros(len(told), np.int64), asked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[np.ndarray, ...]] = {}
-        size = 0
+        pool = Pool(costs_of)
         for batch in batches:
-            rows, parts, n = [], [], 0
-            shapes = batch.column("shape").to_pylist()
-            for i, shape in enumerate(shapes):
-                if (found := seen.get(shape)) is None:
-                    if size > HELD:
-                        seen.clear()
-                        size = 0
-                    found = seen[shape] = costs_of(shape)
-                    size += len(shape)
-                rows.append(i)
-                parts.append(found)
-                n += len(found[0])
-                if n > ROWS or i + 1 == len(shapes):
-                    index = pa.array(np.repeat(rows, [len(x[0]) for x in parts]))
-                    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                    kinds = (pa.int32(), pa.float64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
-                    names = ("wnum", "surprisal", "unseen", "pred", "resp", "open")[: 3 if whole else 6]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(index) for k in key), *(pa.array(x, t) for x, t, _ in zip(columns, kinds, names))], names=[*key, *names])
-                    rows, parts, n = [], [], 0
+            lo = 0
+            while lo < len(batch):
+                if pool.size > HELD:
+                    pool.clear()
+                shapes = batch.column("shape").slice(lo, ROWS_AT_ONCE).dictionary_encode()
+                numbers = np.array([pool.add(x) for x in shapes.dictionary.to_pylist()])[shapes.indices.to_numpy()]
+                upto = np.cumsum(np.array(pool.lengths)[numbers])
+                for part in np.split(np.arange(len(numbers)), np.flatnonzero(np.diff(upto // ROWS)) + 1):
+                    row, nth, columns = pool.gathered(numbers[part])
+                    index = pa.array(row + lo + part[0])
+                    kinds = (pa.float64(), pa.int64(), ASKED)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(index) for k in key), pa.array(nth), *(pa.array(x, t) for x, t in zip(columns, kinds))], names=[*key, "wnum", "surprisal", "unseen", "asked"][: len(key) + 1 + len(columns)])
+                lo += len(numbers)
 
     return run
 
@@ -273,7 +323,7 @@ def left_corner_surprisal(spark: SparkSession, sf_dir: str, head: int = HEAD) ->
     The table has to lack some decisions, as the reference's does, which is counted on other texts than it is used on. Costs don't depend on the words. A task parses a shape of sentence once while it remembers it, and only counts of decisions
     are shuffled. The most frequent decisions' costs go to all tasks; if there are more than head, others are joined to the words that they belong to.
     """
-    sentences = page_shapes(spark, sf_dir)
+    sentences = written(page_shapes(spark, sf_dir))  # read twice, and small without words
     counts = sentences.filter(tagger.TRAIN).select("shape").mapInArrow(count_decisions, "pred string, resp string, n long").groupBy("pred", "resp").agg(F.sum("n").alias("n"))
     table = written(conditional(written(counts), "n").select("pred", "resp", "n", (-F.log(F.greatest("p", F.lit(UNSEEN)))).alias("cost")))
     whole = table.count() <= head
@@ -282,14 +332,13 @@ def left_corner_surprisal(spark: SparkSession, sf_dir: str, head: int = HEAD) ->
     told = sentences if whole else sentences.withColumn("row", F.monotonically_increasing_id())
     key = [k for k in told.columns if k != "shape"]
     kinds = ", ".join(f"{k} {t}" for k, t in told.dtypes if k in key)
-    told = told.mapInArrow(tell_costs(known, whole, key), f"{kinds}, wnum int, surprisal double, unseen long" + ("" if whole else ", pred string, resp string, open boolean"))
+    told = told.mapInArrow(tell_costs(known, whole, key), f"{kinds}, wnum int, surprisal double, unseen long" + ("" if whole else ", asked array<struct<pred:string,resp:string>>"))
     if not whole:
         told = written(told)
-        asked = told.filter("pred is not null").join(table.select("pred", "resp", "cost"), ["pred", "resp"], "left")
+        asked = told.select(*key, "wnum", F.explode("asked").alias("d")).select(*key, "wnum", "d.pred", "d.resp").join(table.select("pred", "resp", "cost"), ["pred", "resp"], "left")
         asked = asked.select(*key, "wnum", F.coalesce("cost", F.lit(-math.log(UNSEEN))).alias("surprisal"), F.when(F.col("cost").isNull(), 1).otherwise(0).cast("long").alias("unseen"))
-        own = told.filter("pred is null").drop("pred", "resp")
-        sums = own.filter("open").drop("open").unionByName(asked).groupBy(*key, "wnum").agg(F.sum("surprisal").alias("surprisal"), F.sum("unseen").alias("unseen"))
-        told = own.filter("not open").drop("open").unionByName(sums)
+        sums = told.filter("asked is not null").drop("asked").unionByName(asked).groupBy(*key, "wnum").agg(F.sum("surprisal").alias("surprisal"), F.sum("unseen").alias("unseen"))
+        told = told.filter("asked is null").drop("asked").unionByName(sums)
     return told.select(*tagger.KEY, "wnum", F.round("surprisal", 5).alias("surprisal"), "unseen")
 
 

@@ -1,5 +1,7 @@
 """What the review of round 4 found."""
 
+import random
+
 from lumenread.operators import leftcorner, tagger, trees
 
 PAGES = ["<p>One two, three. Four five, six.</p><h1>A b</h1>", "<p>One, two; three: four!</p><p>p , p. p, q.</p>", "<script>x</script>bare words. <li>one</li>"] * 3
@@ -52,6 +54,14 @@ def test_a_task_hands_over_what_it_holds(monkeypatch):
     assert len(want[0]) < 40
 
 
+def test_parts_of_shapes_have_the_decisions_of_the_whole():
+    rng = random.Random(4)
+    for _ in range(3000):
+        shape = rng.choice(["p ", "C ", ", ", "/h1 "]) + "".join(rng.choice("____.,;:!?") for _ in range(rng.randint(1, rng.choice([3, 12]))))
+        told = [word for part, lo, hi in leftcorner.shape_parts(shape) for word in list(leftcorner.shape_words(part))[lo:hi]]
+        assert told == list(leftcorner.shape_words(shape)) and len(told) == len(shape.split(" ")[1])
+
+
 def test_sentences_of_any_length_cost(spark, tmp_path):
     long = [f"<p>{'a ' * n}b, {'c ' * n}d.</p><p>e</p>" for n in (10, 24, 25, 1500)]
     at = folder(spark, tmp_path, long)
