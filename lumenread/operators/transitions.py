@@ -1,10 +1,9 @@
-"""What words cost given the one before and the one after, with one exchange by word and one back to the text.
+"""What words cost given the ones beside them, and how uncertain the next one is, from counts of words and pairs.
 
-Both costs are made of counts: of a word and of a word with the next one. A token is sent once to where
-all tokens of its word are, which is where the pairs that begin with it are as well, and comes back with the two counts
-to its text, where it meets its neighbours'. Words and pairs that are more than one in SHARE of all tokens, of which
+Costs by document are made where pairs are counted: a token is sent once to where all tokens of its word are, which is where
+the pairs that begin with it are as well. Words and pairs that are more than one in SHARE of all tokens, of which
 there are less than SHARE, don't meet in one task: their counts go to all tasks, and pairs that begin
-with such a word are counted pair by pair.
+with such a word are counted pair by pair. Costs of each token are made where its text is, to which counts come (parts).
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenread.operators import parts
 from lumenread.operators.depths import written
-from lumenread.sources.tables import LETTERS
 
 #: One in so many tokens makes a word or a pair a frequent one.
 SHARE = 5000
@@ -53,15 +52,6 @@ def with_counts(tokens: DataFrame, keep: list[str], share: int = SHARE) -> tuple
     return known.unionByName(rest), vocabulary
 
 
-def counted(texts: DataFrame, share: int = SHARE) -> tuple[DataFrame, int]:
-    """doc_id, text (a number for each row of texts), pos, words and pairs (how often the token's word and it with the next one occur; null for the last), and the number of words."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0))
-    rows = texts.select("doc_id", words.alias("words")).filter(F.size("words") > 0).withColumn("text", F.monotonically_increasing_id())
-    after = F.concat(F.slice("words", F.lit(2), F.size("words")), F.array(F.lit(None).cast("string")))
-    tokens = rows.select("doc_id", "text", F.posexplode(F.arrays_zip(F.col("words").alias("a"), after.alias("b"))).alias("n0", "t")).select("doc_id", "text", (F.col("n0") + 1).alias("pos"), "t.a", "t.b")
-    return with_counts(tokens, ["doc_id", "text", "pos"], share)
-
-
 def surprisals(frames: Mapping[str, DataFrame], share: int = SHARE) -> DataFrame:
     """doc_id, n_words and the mean, largest and total surprisal of its words given the ones before; a first word costs nothing.
 
@@ -100,13 +90,9 @@ def falls(frames: Mapping[str, DataFrame], head: int = HEAD) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.round(F.sum("fall"), 4).alias("reduction"))
 
 
-def transitions(frames: Mapping[str, DataFrame], share: int = SHARE) -> DataFrame:
-    """doc_id, pos, fwd and bwd of every token of documents: add-one smoothed log probabilities."""
-    tokens, vocabulary = counted(frames["documents"], share)
-    order = Window.partitionBy("text").orderBy("pos")
-    nothing = F.log(F.lit(1.0) / vocabulary) if vocabulary else F.lit(None).cast("double")
-    before, pair, after = F.lag("words").over(order), F.lag("pairs").over(order), F.lead("words").over(order)
-    cost = lambda pairs, words: F.log((pairs + F.lit(1.0)) / (words + vocabulary))
-    told = tokens.select("doc_id", F.col("pos").cast("long").alias("pos"), "pairs", before.alias("before"), pair.alias("pair"), after.alias("after"))
-    return told.select("doc_id", "pos", F.round(F.when(F.col("before").isNull(), nothing).otherwise(cost(F.col("pair"), F.col("before"))), 6).alias("fwd"),
-                       F.round(F.when(F.col("after").isNull(), nothing).otherwise(cost(F.col("pairs"), F.col("after"))), 6).alias("bwd"))
+def transitions(frames: Mapping[str, DataFrame], share: int = SHARE, part: int = parts.PART, piece: int = parts.PIECE) -> DataFrame:
+    """doc_id, pos, fwd and bwd of every token of documents: add-one smoothed log probabilities.
+
+    Tokens stay with their texts (see parts), where no word is too frequent, so share, which told frequent words apart, changes nothing.
+    """
+    return parts.costs(frames["documents"], part, piece)

@@ -1,8 +1,14 @@
 """What the review of round 4 found."""
 
+import math
 import random
+from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
 
-from lumenread.operators import leftcorner, tagger, trees
+import numpy as np
+
+from lumenread import operators
+from lumenread.operators import leftcorner, parts, tagger, trees
 
 PAGES = ["<p>One two, three. Four five, six.</p><h1>A b</h1>", "<p>One, two; three: four!</p><p>p , p. p, q.</p>", "<script>x</script>bare words. <li>one</li>"] * 3
 
@@ -77,3 +83,33 @@ def test_sentences_of_any_length_cost(spark, tmp_path):
     want = con.execute(leftcorner.ORACLE["left_corner_surprisal"]).fetchall()
     assert [r[:4] for r in sorted(want)] == [r[:4] for r in found]
     assert all(abs(a[4] - b[4]) < 2e-5 and a[5] == b[5] for a, b in zip(sorted(want), found, strict=True))
+
+
+def test_counts_come_back_to_parts_of_texts(spark):
+    rng = random.Random(7)
+    texts = [(rng.choice([None, 1, 2, 3]), [rng.choice(["a", "b", "the", "\u0130s", "w%s" % "xyz"[k % 3] * (k % 40)]) for k in range(rng.choice([0, 1, 2, 7, 8, 9, 40, 300]))]) for _ in range(40)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in texts] + [(9, None)], "doc_id int, text string")
+    texts = [(i, [w for t in words for w in t.lower().replace("\u0307", " ").split()]) for i, words in texts]
+    words, pairs = Counter(w for _, t in texts for w in t), Counter(p for _, t in texts for p in zip(t, t[1:]))
+    v = len(words)
+    cost = lambda n, m: float(Decimal(repr(math.log((n + 1) / (m + v)))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    end = round(math.log(1 / v), 6)
+    want = [(i, k + 1, cost(pairs[t[k - 1], t[k]], words[t[k - 1]]) if k else end, cost(pairs[t[k], t[k + 1]], words[t[k + 1]]) if k + 1 < len(t) else end) for i, t in texts for k in range(len(t))]
+    for part, piece in ((1, 1), (1, 8), (50, 3), (10**6, 10**6)):  # parts of one batch, texts cut into pieces, all in one
+        made = operators.run("transition_probs", {"documents": frame}, part=part, piece=piece)
+        assert made.dtypes == [("doc_id", "int"), ("pos", "bigint"), ("fwd", "double"), ("bwd", "double")]
+        assert sorted(map(tuple, made.collect()), key=str) == sorted(want, key=str)
+    # no row a token is dealt out: compressed keys of parts' different pairs go to buckets, and counts come back
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_numbers_are_packed_and_rounded():
+    arrays = [np.array([], np.uint64), np.array([3, 7, 2**63, 2**64 - 1], np.uint64), np.arange(1000, dtype=np.uint32), np.array([0, 255], np.uint8)]
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(parts.unpacked(parts.packed(*arrays)), arrays, strict=True))
+    assert (np.cumsum(parts.steps(arrays[1]), dtype=np.uint64) == arrays[1]).all()
+    values = [-5.1234565, -5.1234575, -0.0000005, -0.0000004, 0.0, -1e-9, -12.9999995, -3.25]
+    want = [float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) for x in values]
+    assert parts.rounded(np.array(values)).tolist() == want and not np.signbit(parts.rounded(np.array([-1e-9])))[0]
+    x = np.random.default_rng(1).integers(0, 50, 300)
+    assert all((a == b).all() for a, b in zip(parts.numbered(x), np.unique(x, return_inverse=True), strict=True))
