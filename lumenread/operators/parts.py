@@ -3,7 +3,7 @@
 A part is some PART tokens that a task reads one after another. A task asks once for each different word and pair of a part,
 by key, and says how often the part has it; who is asked for a share of the keys sums up and answers in the order of the question. So what
 is dealt out is a compressed key for each different word and pair of a part and a count back, not a row a token; a part's tokens
-are numbers of its own words meanwhile. A part holds what it is asked to hold whatever the length of texts: long
+are kept as numbers of its own words in a table meanwhile. A part holds what it is asked to hold whatever the length of texts: long
 ones are cut into pieces of PIECE words, which know the words beside them.
 
 A word's key is its xxhash64, a pair's are 64 bits of both words' keys and the bucket that it is asked for in, which comes from others.
@@ -14,11 +14,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenread.operators.depths import written
@@ -26,8 +27,10 @@ from lumenread.sources.tables import LETTERS
 
 #: Tokens of a part, and words of a piece of a text.
 PART, PIECE = 1_500_000, 4096
-#: Pieces that a task reads at once, and rows that it hands over at once.
-READ, ROWS = 200, 200_000
+#: Pieces and parts that a task reads at once, and rows that it hands over at once.
+READ, PARTS, ROWS = 200, 8, 200_000
+#: Shares of the buckets that are asked one after another, so that the disk holds one share's questions at a time.
+ROUNDS = 2
 #: Bytes of input for each bucket of keys.
 BUCKET_BYTES = 2 << 20
 DECIMALS = 6
@@ -113,15 +116,14 @@ class Part:
         place[order] = np.arange(len(order), dtype=np.int32)
         self.pairs = place[which]
 
-    @classmethod
-    def of(cls, hashes: np.ndarray, sizes: np.ndarray, buckets: int) -> tuple[Part, np.ndarray]:
-        """A part of tokens given by their words' keys, and the words' buckets."""
-        words, ids = numbered(hashes)
-        found = word_buckets(words, buckets)
-        order = np.argsort(found, kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        return cls(words[order], place[ids], sizes, buckets), found[order]
+
+def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of words' keys, by bucket and key, and which of them each is."""
+    words, ids = numbered(hashes)
+    order = np.argsort(word_buckets(words, buckets), kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return words[order], place[ids]
 
 
 def owned(sizes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -133,25 +135,17 @@ def owned(sizes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarra
     return mine
 
 
-def ask(buckets: int, part_tokens: int):
-    """For mapInArrow: a part's questions by bucket, and its tokens in a row of their own, of pieces (doc_id, start, before, after, words)."""
+def keep(buckets: int, part_tokens: int):
+    """For mapInArrow: the parts of pieces (doc_id, start, before, after, words), each in a row: its words and tokens in numbers, and the pieces' documents."""
 
-    def asked(table: pa.Table, number: int) -> pa.RecordBatch:
+    def kept(table: pa.Table, number: int) -> pa.RecordBatch:
         words = table.column("words").combine_chunks()
-        sizes = words.value_lengths().to_numpy().astype(np.int64)
-        before, after = (table.column(c).to_numpy() for c in ("before", "after"))
-        mine = owned(sizes, before, after)
-        part, word_bucket = Part.of(words.flatten().to_numpy().view(np.uint64), sizes, buckets)
-        word_n = np.bincount(part.ids[mine], minlength=len(part.words)).astype(np.uint32)
-        pair_n = np.bincount(part.pairs[mine[part.inside]], minlength=len(part.keys)).astype(np.uint32)
-        w, p = (np.searchsorted(x, np.arange(buckets + 1)) for x in (word_bucket, part.buckets))
-        blobs = [packed(steps(part.words[w[k]: w[k + 1]]), word_n[w[k]: w[k + 1]], steps(part.keys[p[k]: p[k + 1]]), pair_n[p[k]: p[k + 1]]) for k in range(buckets)]
-        starts = table.column("start").to_numpy().astype(np.uint32)
-        blobs.append(packed(part.words, part.ids.view(np.uint32), sizes.astype(np.uint32), starts, before.astype(np.uint8), after.astype(np.uint8)))
-        ids = table.column("doc_id").combine_chunks()
-        docs = pa.ListArray.from_arrays(pa.array([0] * (buckets + 1) + [len(ids)], pa.int32()), ids)
-        to = [*range(buckets), -1 - number]
-        return pa.RecordBatch.from_arrays([pa.array([number] * len(to), pa.int64()), pa.array(to, pa.int64()), pa.array(blobs, pa.binary()), docs], names=["part", "to", "blob", "docs"])
+        sizes = words.value_lengths().to_numpy().astype(np.uint32)
+        before, after = (table.column(c).to_numpy().astype(np.uint8) for c in ("before", "after"))
+        different, ids = by_bucket(words.flatten().to_numpy().view(np.uint64), buckets)
+        blob = packed(different, ids.view(np.uint32), sizes, table.column("start").to_numpy().astype(np.uint32), before, after)
+        docs = table.column("doc_id").combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([blob], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)], names=["part", "blob", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, TaskContext.get().partitionId() << 20
@@ -159,10 +153,28 @@ def ask(buckets: int, part_tokens: int):
             held.append(batch)
             size += len(batch.column("words").flatten())
             if size >= part_tokens:
-                yield asked(pa.Table.from_batches(held), number)
+                yield kept(pa.Table.from_batches(held), number)
                 held, size, number = [], 0, number + 1
         if size:
-            yield asked(pa.Table.from_batches(held), number)
+            yield kept(pa.Table.from_batches(held), number)
+
+    return run
+
+
+def ask(buckets: int, asked: range):
+    """For mapInArrow, of parts: what each asks of some of the buckets, its different words' and pairs' keys and how often it has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, blob in zip(batch.column("part").to_pylist(), batch.column("blob"), strict=True):
+                words, ids, sizes, _, before, after = unpacked(blob.as_py())
+                part = Part(words, ids.view(np.int32), sizes.astype(np.int64), buckets)
+                mine = owned(part.sizes, before.astype(bool), after.astype(bool))
+                word_n = np.bincount(part.ids[mine], minlength=len(words)).astype(np.uint32)
+                pair_n = np.bincount(part.pairs[mine[part.inside]], minlength=len(part.keys)).astype(np.uint32)
+                w, p = (np.searchsorted(x, [*asked, asked.stop]) for x in (word_buckets(words, buckets), part.buckets))
+                blobs = [packed(steps(words[a:b]), word_n[a:b], steps(part.keys[c:d]), pair_n[c:d]) for a, b, c, d in zip(w, w[1:], p, p[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(asked), pa.int64()), pa.array(asked, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "to", "blob"])
 
     return run
 
@@ -171,35 +183,28 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow, of questions by bucket: for each part the sums of what it asked for, in its order; words says how many different ones a bucket has."""
 
     def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-        found, which = np.unique(np.concatenate(keys), return_inverse=True)
+        found, which = numbered(np.concatenate(keys))
         sums = np.bincount(which, np.concatenate(counts), len(found)).astype(np.uint64)[which]
         return np.split(sums, np.cumsum([len(x) for x in keys])[:-1]), len(found)
 
-    def answered(bucket: int, rows: list[tuple[int, bytes]], kinds: pa.Schema) -> pa.RecordBatch:
+    def answered(bucket: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
         arrays = [unpacked(blob) for _, blob in rows]
-        rows = [part for part, _ in rows]
         words, different = summed([np.cumsum(x[0], dtype=np.uint64) for x in arrays], [x[1] for x in arrays])
         pairs, _ = summed([np.cumsum(x[2], dtype=np.uint64) for x in arrays], [x[3] for x in arrays])
         blobs = [packed(w, p) for w, p in zip(words, pairs, strict=True)]
         n = len(rows)
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([bucket] * n, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, kinds.field("docs").type), pa.array([different] + [0] * (n - 1), pa.int64())], names=[*NAMES, "words"])
+        return pa.RecordBatch.from_arrays([pa.array([part for part, _ in rows], pa.int64()), pa.array([bucket] * n, pa.int64()), pa.array(blobs, pa.binary()), pa.array([different] + [0] * (n - 1), pa.int64())], names=["part", "to", "blob", "words"])
 
-    at, held, kinds = None, [], None
+    at, held = None, []
     for batch in batches:
-        kinds, to = batch.schema, batch.column("to").to_numpy()
-        if (tokens := batch.filter(pa.array(to < 0))).num_rows:
-            yield pa.RecordBatch.from_arrays([*(tokens.column(k) for k in NAMES), pa.array([0] * tokens.num_rows, pa.int64())], names=[*NAMES, "words"])
-        for k in np.flatnonzero(to >= 0):
-            if to[k] != at and held:
-                yield answered(at, held, kinds)
+        for part, to, blob in zip(batch.column("part").to_pylist(), batch.column("to").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            if to != at and held:
+                yield answered(at, held)
                 held = []
-            at = int(to[k])
-            held.append((batch.column("part")[int(k)].as_py(), batch.column("blob")[int(k)].as_py()))
+            at = to
+            held.append((part, blob))
     if held:
-        yield answered(at, held, kinds)
-
-
-NAMES = ("part", "to", "blob", "docs")
+        yield answered(at, held)
 
 
 def rounded(x: np.ndarray) -> np.ndarray:
@@ -269,9 +274,10 @@ def scanned_bytes(df: DataFrame) -> int:
     return sum(s for s in sizes if s < 1 << 50)
 
 
-def written_alone(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """df from a table; what was shuffled for it goes at once, and batches for Python are small while it is made."""
-    held = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(READ)}
+def written_alone(df: DataFrame, rows: int) -> DataFrame:
+    """df from a table; what was shuffled for it goes at once, and batches for Python have so many rows at most while it is made."""
+    spark = df.sparkSession
+    held = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
     usual = {k: spark.conf.get(k, None) for k in held}
     try:
         for k, v in held.items():
@@ -288,9 +294,14 @@ def costs(texts: DataFrame, part: int = PART, piece: int = PIECE) -> DataFrame:
     spark, kind = texts.sparkSession, dict(texts.dtypes)["doc_id"]
     size, usual = scanned_bytes(texts), int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2 * usual, size // BUCKET_BYTES)
-    schema = f"part long, to long, blob binary, docs array<{kind}>"
-    asked = pieces(texts, piece).mapInArrow(ask(buckets, part), schema).repartition(usual, "to").sortWithinPartitions("to")
-    table = written_alone(asked.mapInArrow(answer, schema + ", words long"), spark)
-    vocabulary = table.agg(F.sum("words")).first()[0] or 0
-    parts = table.select(*NAMES).repartition(max(usual, size // (8 * BUCKET_BYTES)), "part").sortWithinPartitions("part", "to")
+    tokens = written_alone(pieces(texts, piece).mapInArrow(keep(buckets, part), f"part long, blob binary, docs array<{kind}>"), READ)
+    question, answers = "part long, to long, blob binary", []
+    for k in range(ROUNDS):
+        asked = range(buckets * k // ROUNDS, buckets * (k + 1) // ROUNDS)
+        asks = tokens.select("part", "blob").mapInArrow(ask(buckets, asked), question).repartition(usual, "to").sortWithinPartitions("to")
+        answers.append(written_alone(asks.mapInArrow(answer, question + ", words long"), PARTS))
+    answered = reduce(DataFrame.unionByName, answers)
+    vocabulary = answered.agg(F.sum("words")).first()[0] or 0
+    rows = tokens.select("part", F.lit(-1).cast("long").alias("to"), "blob", "docs").unionByName(answered.select("part", "to", "blob", F.lit(None).cast(f"array<{kind}>").alias("docs")))
+    parts = rows.repartition(max(usual, size // (8 * BUCKET_BYTES)), "part").sortWithinPartitions("part", "to")
     return parts.mapInArrow(tell(buckets, vocabulary), f"doc_id {kind}, pos long, fwd double, bwd double")
