@@ -26,9 +26,9 @@ from lumenread.operators.depths import written
 from lumenread.sources.tables import LETTERS
 
 #: Tokens of a part, and words of a piece of a text.
-PART, PIECE = 1_500_000, 4096
+PART, PIECE = 1_000_000, 4096
 #: Pieces and parts that a task reads at once, and rows that it hands over at once.
-READ, PARTS, ROWS = 200, 8, 200_000
+READ, PARTS, ROWS = 200, 4, 200_000
 #: Shares of the buckets that are asked one after another, so that the disk holds one share's questions at a time.
 ROUNDS = 2
 #: Bytes of input for each bucket of keys.
@@ -155,6 +155,7 @@ def keep(buckets: int, part_tokens: int):
             if size >= part_tokens:
                 yield kept(pa.Table.from_batches(held), number)
                 held, size, number = [], 0, number + 1
+                pa.default_memory_pool().release_unused()
         if size:
             yield kept(pa.Table.from_batches(held), number)
 
@@ -175,6 +176,7 @@ def ask(buckets: int, asked: range):
                 w, p = (np.searchsorted(x, [*asked, asked.stop]) for x in (word_buckets(words, buckets), part.buckets))
                 blobs = [packed(steps(words[a:b]), word_n[a:b], steps(part.keys[c:d]), pair_n[c:d]) for a, b, c, d in zip(w, w[1:], p, p[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([number] * len(asked), pa.int64()), pa.array(asked, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "to", "blob"])
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -246,6 +248,7 @@ def tell(buckets: int, vocabulary: int):
                 if to < 0:
                     if at is not None:
                         yield from told(docs, tokens, answers)
+                        pa.default_memory_pool().release_unused()
                     at, docs, tokens, answers = part, pa.concat_arrays([batch.column("docs")[k].values]), batch.column("blob")[k].as_py(), []
                 else:
                     assert part == at, "a part without its tokens"
