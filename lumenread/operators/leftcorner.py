@@ -320,8 +320,8 @@ def tell_costs(known: dict[tuple[str, str], float], whole: bool, key: list[str])
 def left_corner_surprisal(spark: SparkSession, sf_dir: str, head: int = HEAD) -> DataFrame:
     """What each token of all pages costs, however long its sentence is, by the decisions of four fifths of them.
 
-    The table has to lack some decisions, as the reference's does, which is counted on other texts than it is used on. Costs don't depend on the words. A task parses a shape of sentence once while it remembers it, and only counts of decisions
-    are shuffled. The most frequent decisions' costs go to all tasks; if there are more than head, others are joined to the words that they belong to.
+    The table may lack decisions, as the reference's does, which is counted on other texts than it is used on. Costs don't depend
+    on the words. A task parses a part of a shape once while it remembers it, and only counts of decisions are shuffled. The most frequent decisions' costs go to all tasks; if there are more than head, others are joined to the words that they belong to.
     """
     sentences = written(page_shapes(spark, sf_dir))  # read twice, and small without words
     counts = sentences.filter(tagger.TRAIN).select("shape").mapInArrow(count_decisions, "pred string, resp string, n long").groupBy("pred", "resp").agg(F.sum("n").alias("n"))
